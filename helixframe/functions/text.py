@@ -31,17 +31,27 @@ def strip_non_word(s) -> Column:
 def overlap_words(s, word_length: int, overlap: int) -> Column:
     """Overlapping words (TOK-01): starts 0, step ``w-o``, while
     ``start < len - o``; the last word may be short; ``o >= w`` or
-    ``len <= o`` gives an empty array."""
+    ``len <= o`` gives an empty array.
+
+    One linear regex scan: each match consumes ``w-o`` characters and a
+    look-ahead captures the ``w`` characters from its start.  (A
+    ``substring`` per start would rescan the UTF-8 string from its first
+    byte every time: quadratic on a long document.)  Matches starting at or
+    after ``len - o`` lie inside the previous word and are cut off.
+    """
     if word_length <= 0 or overlap < 0:
         raise ValueError("word_length must be > 0 and overlap >= 0")
     s = _c(s)
+    empty = F.array().cast("array<string>")
     if overlap >= word_length:
-        return F.when(s.isNull(), F.lit(None)).otherwise(F.array().cast("array<string>"))
+        return F.when(s.isNull(), F.lit(None)).otherwise(empty)
     step = word_length - overlap
+    if overlap == 0:
+        return F.regexp_extract_all(s, F.lit(f"(?s).{{1,{word_length}}}"), 0)
+    words = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{1,{word_length}}})).{{1,{step}}}"), 1)
     n = F.char_length(s)
-    starts = F.sequence(F.lit(0), n - overlap - 1, F.lit(step))
-    words = F.transform(starts, lambda i: F.substring(s, i + 1, word_length))
-    return F.when(n <= overlap, F.array().cast("array<string>")).otherwise(words)
+    count = F.floor((n - overlap - 1) / step).cast("int") + 1
+    return F.when(n <= overlap, empty).otherwise(F.slice(words, 1, count))
 
 
 def overlap_string(s, word_length: int, overlap: int) -> Column:

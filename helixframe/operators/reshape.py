@@ -12,6 +12,17 @@ from helixframe.operators.ranks import ordinal_by_value
 SPLIT_ORDER = {"train": 0, "valid": 1, "test": 2}
 
 
+def spread_rows(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin rows over at least ``min_partitions`` tasks (default: the
+    cluster's parallelism) when the scan yields fewer, e.g. one small file
+    with one row group.  A scan that is already wide is left alone, so a
+    large input pays no extra shuffle."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def quote(name: str) -> str:
     """Backtick a column name so dotted names (``surf.sequence``) resolve."""
     return "`" + name.replace("`", "``") + "`"
