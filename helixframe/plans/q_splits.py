@@ -87,17 +87,22 @@ def spl_03(spark, sf_dir):
     return splits.holdout(table(spark, sf_dir, "documents", "doc_id"), "doc_id", 0.1, SEED)
 
 
-_NESTED_SQL = f"""
-WITH h1 AS ({_holdout_sql('documents', 'doc_id', '0.27', SEED, 'held', 'train')}),
-h2 AS (SELECT doc_id, rn2, count(*) OVER () AS n2 FROM
-       (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('{SEED}', ':', CAST(doc_id AS VARCHAR))), doc_id) - 1 AS rn2
+def nested_sql(src: str, key: str = "doc_id") -> str:
+    """SQL twin of ``splits.nested_holdout(.., 0.02, 0.25)``."""
+    return f"""
+WITH h1 AS ({_holdout_sql(src, key, '0.27', SEED, 'held', 'train')}),
+h2 AS (SELECT {key}, rn2, count(*) OVER () AS n2 FROM
+       (SELECT {key}, row_number() OVER (ORDER BY md5(concat('{SEED}', ':', CAST({key} AS VARCHAR))), {key}) - 1 AS rn2
         FROM h1 WHERE split = 'held') x)
-SELECT doc_id, 'train' AS split FROM h1 WHERE split = 'train'
+SELECT {key}, 'train' AS split FROM h1 WHERE split = 'train'
 UNION ALL
-SELECT doc_id, CASE WHEN rn2 < CAST(ceil((0.02 / 0.27) * n2) AS BIGINT) THEN 'valid' ELSE 'test' END FROM h2
+SELECT {key}, CASE WHEN rn2 < CAST(ceil((0.02 / 0.27) * n2) AS BIGINT) THEN 'valid' ELSE 'test' END FROM h2
 """
 
 
+_NESTED_SQL = nested_sql("documents")
+
+
 @query("spl_04", _NESTED_SQL)
 def spl_04(spark, sf_dir):
     """Nested three-way hold-out: valid 0.02, test 0.25 (stated fractions)."""
