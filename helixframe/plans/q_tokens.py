@@ -420,3 +420,22 @@ def udf_04(spark, sf_dir):
     lab = reshape.unpivot_pairs(pairs(spark, sf_dir), "surf_sequence", "deep_sequence")
     words = lab.select(F.explode(T.overlap_words("text", 5, 2)).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------- the same row operators on a stream ----------------
+
+@query("tok_01_stream", f"""
+SELECT doc_id, len(w) AS n_words, md5(array_to_string(w, '|')) AS words_md5
+FROM (SELECT doc_id, {Q.overlap_words('text', 5, 2)} AS w FROM documents) t
+""")
+def tok_01_stream(spark, sf_dir):
+    """TOK-01 over the documents file read as a stream (availableNow) into a
+    parquet sink with a checkpoint: the row operators are stream-safe."""
+    from helixframe.streaming import run_available, stream_parquet
+    src = stream_parquet(spark, f"{sf_dir.rstrip('/')}/documents.parquet",
+                         "doc_id long, text string, lang string, source string, n_chars long")
+
+    def words(df):
+        w = T.overlap_words("text", 5, 2)
+        return df.select("doc_id", F.size(w).alias("n_words"), _md5_join(w, "|").alias("words_md5"))
+    return run_available(spark, src, words)
