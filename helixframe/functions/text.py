@@ -16,7 +16,7 @@ NON_WORD = r"[^\p{L}\p{N}_]+"
 
 # BERT punctuation: ASCII 33-47, 58-64, 91-96, 123-126 and Unicode class P.
 BERT_PUNCT = r"[\p{P}!-/:-@\[-`{-~]"
-BERT_TOKEN = BERT_PUNCT + r"|[^\s\p{P}!-/:-@\[-`{-~]+"
+BERT_TOKEN = BERT_PUNCT + r"|[^ \p{P}!-/:-@\[-`{-~]+"
 
 
 def _c(x) -> Column:
@@ -65,6 +65,23 @@ def chars(s) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
 
+def explode_items(df, arr, alias: str, keep=(), with_pos: str | None = None):
+    """Rows of ``df`` exploded to one row per item of ``arr``, empty and null
+    arrays giving no row.
+
+    Written as ``explode_outer`` plus a null filter on purpose: a plain
+    ``explode`` makes Catalyst infer ``size(arr) > 0`` and push that
+    predicate towards the scan, past a repartition, so an expensive array
+    expression runs twice, and before the rows are spread.
+    """
+    keep = list(keep)
+    if with_pos:
+        out = df.select(*keep, F.posexplode_outer(arr).alias(with_pos, alias))
+        return out.where(F.col(with_pos).isNotNull())
+    out = df.select(*keep, F.explode_outer(arr).alias(alias))
+    return out.where(F.col(alias).isNotNull())
+
+
 def pad_truncate(a, length: int, padding: str = "pre", truncating: str = "pre",
                  value: int = 0) -> Column:
     """Cut or pad an array to ``length`` (TOK-05).  ``truncating='pre'``

@@ -27,8 +27,10 @@ def random_forest(num_trees: int = 100, max_depth: int | None = 25, seed: int =
                   regression: bool = False, label: str = "label"):
     depth = MAX_TREE_DEPTH if max_depth is None else min(max_depth, MAX_TREE_DEPTH)
     cls = RandomForestRegressor if regression else RandomForestClassifier
+    # deep trees: keep each row's node id cached instead of re-walking the
+    # trees every level; checkpoint that cache to cut its lineage
     return cls(numTrees=num_trees, maxDepth=depth, seed=seed, labelCol=label, featuresCol="features",
-               maxMemoryInMB=512)
+               maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10)
 
 
 def boosted_trees(step_size: float = 0.1, max_depth: int = 25, max_iter: int = 20, seed: int = 1234,

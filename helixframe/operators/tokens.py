@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.text import BERT_PUNCT, chars, pad_truncate
+from helixframe.functions.text import BERT_TOKEN, chars, explode_items, pad_truncate
 from helixframe.operators.ranks import running_totals
 
 # ---- fixed values that must equal the libraries the reference calls ----
@@ -49,9 +49,12 @@ def fit_char_vocab(df: DataFrame, text: str, order_cols: Sequence[str], lower: b
     shuffle carries one row per distinct character per task.
     """
     t = F.lower(F.col(text)) if lower else F.col(text)
-    ex = df.select(*order_cols, F.posexplode(chars(t)).alias("pos", "token"))
-    first = F.struct(*[F.col(c) for c in order_cols], F.col("pos"))
-    counts = ex.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(first).alias("_first"))
+    ex = explode_items(df, chars(t), "token", keep=order_cols, with_pos="pos")
+    # two steps: (token, row) with fixed-width buffers (a fast hash aggregate
+    # over every character), then the struct minimum over that smaller table
+    per_row = ex.groupBy("token", *order_cols).agg(F.count(F.lit(1)).alias("_c"), F.min("pos").alias("_p"))
+    first = F.struct(*[F.col(c) for c in order_cols], F.col("_p"))
+    counts = per_row.groupBy("token").agg(F.sum("_c").alias("count"), F.min(first).alias("_first"))
     # the vocabulary is one row per distinct character: a plain window is fine
     w = Window.orderBy(F.col("count").desc(), F.col("_first").asc())
     return counts.select("token", F.row_number().over(w).cast("int").alias("id"), "count")
@@ -128,24 +131,42 @@ def strip_accents(col) -> Column:
     return udf(_c(col))
 
 
-def bert_normalize(col, lowercase: bool = True, accents: bool | None = None) -> Column:
-    """BertNormalizer: drop control characters, map whitespace to spaces,
-    strip accents (default: when lower-casing) and lower-case."""
+def bert_clean_lower(col, lowercase: bool = True) -> Column:
+    """BertNormalizer without the accent step: drop control characters, map
+    whitespace (tab, newline, return, Zs) to spaces, lower-case.  All JVM."""
     s = F.regexp_replace(_c(col), r"[\x{0}\x{FFFD}]|[^\P{C}\t\n\r]", "")
     s = F.regexp_replace(s, r"[\t\n\r\p{Zs}]", " ")
+    return F.lower(s) if lowercase else s
+
+
+def bert_normalize(col, lowercase: bool = True, accents: bool | None = None) -> Column:
+    """BertNormalizer: drop control characters, map whitespace to spaces,
+    lower-case and strip accents (by default when lower-casing)."""
+    s = bert_clean_lower(col, lowercase)
     if accents is None:
         accents = lowercase
-    if lowercase:
-        s = F.lower(s)
-    if accents:
-        s = strip_accents(s)
-    return s
+    return strip_accents(s) if accents else s
 
 
 def bert_pretokenize(col) -> Column:
-    """BertPreTokenizer: split on spaces, every punctuation mark a token."""
-    pattern = BERT_PUNCT + r"|[^\s\p{P}!-/:-@\[-`{-~]+"
-    return F.regexp_extract_all(_c(col), F.lit(pattern), 0)
+    """BertPreTokenizer: split on spaces, every punctuation mark a token
+    (run after the normaliser, which has turned all whitespace into spaces)."""
+    return F.regexp_extract_all(_c(col), F.lit(BERT_TOKEN), 0)
+
+
+def bert_raw_words(col) -> Column:
+    """Pre-tokenized words before accent stripping (JVM only).  Stripping is
+    per character, so it can be applied later to distinct words, followed
+    by a second split (:func:`strip_word_counts`, :func:`wordpiece_ids`)."""
+    return bert_pretokenize(bert_clean_lower(col))
+
+
+def strip_word_counts(counts: DataFrame, word: str = "word", count: str = "count") -> DataFrame:
+    """Accent-strip a ``(word, count)`` table of raw words and split again:
+    the Python step sees each distinct word once, not every occurrence."""
+    stripped = counts.select(strip_accents(F.col(word)).alias("_s"), F.col(count))
+    again = stripped.select(F.explode(bert_pretokenize(F.col("_s"))).alias(word), count)
+    return again.groupBy(word).agg(F.sum(count).cast("long").alias(count))
 
 
 # ---- WordPiece training (TOK-09) ----
@@ -252,12 +273,23 @@ def _wordpiece_encode(word: str, vocab: dict, unk: int) -> list[int]:
     return out
 
 
-def wordpiece_ids(words_col, vocab: DataFrame, unk_token: str = "[UNK]",
+@lru_cache(maxsize=1)
+def _token_re():
+    import regex
+    return regex.compile(BERT_TOKEN)
+
+
+def wordpiece_ids(words_col, vocab: DataFrame, unk_token: str = "[UNK]", strip: bool = True,
                   max_entries: int = 1_000_000) -> Column:
     """Encode an array of pre-tokenized words to WordPiece ids (TOK-10):
     longest match first, ``##`` continuations, ``[UNK]`` for a word that
-    cannot be covered or is longer than 100 characters.  The vocabulary is
-    size-checked and broadcast; each worker caches the words it has seen."""
+    cannot be covered or is longer than 100 characters.
+
+    With ``strip`` the words are raw (:func:`bert_raw_words`): each is
+    accent-stripped and split again here, which equals stripping the text
+    first.  The vocabulary is size-checked and broadcast; each Python worker
+    caches the words it has already encoded.
+    """
     spark = vocab.sparkSession
     rows = vocab.select("token", "id").limit(max_entries + 1).collect()
     if len(rows) > max_entries:
@@ -267,6 +299,7 @@ def wordpiece_ids(words_col, vocab: DataFrame, unk_token: str = "[UNK]",
     def encode(batch: pd.Series) -> pd.Series:
         vocab_d = bc.value
         unk = vocab_d[unk_token]
+        marks, token_re = _mark_re(), _token_re()
         cache: dict[str, list[int]] = {}
         out = []
         for words in batch:
@@ -277,7 +310,12 @@ def wordpiece_ids(words_col, vocab: DataFrame, unk_token: str = "[UNK]",
             for w in words:
                 enc = cache.get(w)
                 if enc is None:
-                    enc = cache[w] = _wordpiece_encode(w, vocab_d, unk)
+                    pieces = [w]
+                    if strip:
+                        import unicodedata
+                        pieces = token_re.findall(marks.sub("", unicodedata.normalize("NFD", w)))
+                    enc = [i for p in pieces for i in _wordpiece_encode(p, vocab_d, unk)]
+                    cache[w] = enc
                 ids.extend(enc)
             out.append(ids)
         return pd.Series(out)

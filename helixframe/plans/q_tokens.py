@@ -259,14 +259,15 @@ vocab AS (SELECT tok AS token, CAST(id AS INTEGER) AS id FROM specials UNION ALL
 
 
 def _wp_words(spark, sf_dir):
+    """Raw (accents kept) BERT words of the (2,0) word string of each document."""
     s = T.overlap_string("text", 2, 0)
-    return _docs(spark, sf_dir).select("doc_id", K.bert_pretokenize(K.bert_normalize(s)).alias("words"))
+    return _docs(spark, sf_dir).select("doc_id", K.bert_raw_words(s).alias("words"))
 
 
 def _wp_vocab(spark, sf_dir):
-    words = _wp_words(spark, sf_dir).select(F.explode("words").alias("word"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
-    return K.train_wordpiece(counts, vocab_size=30000)
+    words = T.explode_items(_wp_words(spark, sf_dir), F.col("words"), "word")
+    raw_counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
+    return K.train_wordpiece(K.strip_word_counts(raw_counts), vocab_size=30000)
 
 
 @query("tok_09", f"WITH {_WP_WORDS_SQL[1:]} SELECT token, id FROM vocab")
@@ -418,7 +419,7 @@ SELECT word, count(*) AS n FROM (SELECT unnest({Q.overlap_words('text', 5, 2)})
 def udf_04(spark, sf_dir):
     """Row generator: one labelled row to its (5,2) words, counted."""
     lab = reshape.unpivot_pairs(pairs(spark, sf_dir), "surf_sequence", "deep_sequence")
-    words = lab.select(F.explode(T.overlap_words("text", 5, 2)).alias("word"))
+    words = T.explode_items(lab, T.overlap_words("text", 5, 2), "word")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

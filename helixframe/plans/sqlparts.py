@@ -31,7 +31,7 @@ def bert_normalize(text: str) -> str:
 
 
 def bert_pretokenize(text: str) -> str:
-    return f"regexp_extract_all({text}, '{PUNCT}|[^\\s\\p{{P}}!-/:-@\\[-`{{-~]+')"
+    return f"regexp_extract_all({text}, '{PUNCT}|[^ \\p{{P}}!-/:-@\\[-`{{-~]+')"
 
 
 def str_list(items) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.functions.text import NON_WORD
+from helixframe.functions.text import NON_WORD, explode_items
 from helixframe.operators.reshape import latest_by
 
 # Python's universal newlines: \r\n, \r and \n all end a line.
@@ -67,7 +67,7 @@ def read_three_line_records(spark: SparkSession, path: str, names=("yeast_id", "
     recs = F.transform(F.sequence(F.lit(0), n_rec.cast("int") - 1),
                        lambda i: F.struct(*[F.get(F.col("lines"), i * 3 + k).alias(names[k]) for k in range(3)]))
     recs = F.when(n_rec > 0, recs).otherwise(F.array())
-    ex = d.select("path", F.posexplode(recs).alias("rec", "r"))
+    ex = explode_items(d, recs, "r", keep=["path"], with_pos="rec")
     files = d.select("path", n_rec.cast("long").alias("_nr"))
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("path", F.coalesce(F.sum("_nr").over(before), F.lit(0)).alias("_off"))
@@ -102,7 +102,8 @@ def read_fasta_all(spark: SparkSession, path: str) -> DataFrame:
     """Every FASTA record of every file: ``(id, description, seq, path, rec)``."""
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     recs = F.split(F.regexp_replace("value", r"^[^>]*>", ""), r"\n>")
-    ex = raw.select(F.col("_metadata.file_path").alias("path"), F.posexplode(recs).alias("rec", "body"))
+    ex = explode_items(raw.select(F.col("_metadata.file_path").alias("path"), recs.alias("_recs")),
+                       F.col("_recs"), "body", keep=["path"], with_pos="rec")
     header = F.regexp_extract("body", r"^([^\n]*)", 1)
     return ex.select(F.regexp_extract(header, r"^(\S*)", 1).alias("id"),
                      F.trim(F.regexp_extract(header, r"^\S*\s*(.*)$", 1)).alias("description"),
