@@ -118,8 +118,10 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, group_cols: Sequence[st
                               F.sqrt(F.avg(F.pow(F.col(y) - F.col(yhat), 2))).alias("rmse"))
     r = mid_ranks(d, y, g, out="_ry", n_buckets=n_buckets)
     r = mid_ranks(r, yhat, g, out="_rp", n_buckets=n_buckets)
-    sp = r.groupBy(*g).agg(F.corr("_ry", "_rp").alias("spearman"))
-    sp = sp.withColumn("spearman", F.when(F.isnan("spearman"), None).otherwise(F.col("spearman")))
+    # Pearson of the ranks from central moments; try_divide gives NULL for a
+    # constant column instead of failing (``corr`` divides by zero under ANSI)
+    sp = r.groupBy(*g).agg(F.try_divide(F.covar_pop("_ry", "_rp"),
+                                        F.sqrt(F.var_pop("_ry") * F.var_pop("_rp"))).alias("spearman"))
     if not g:  # two one-row results: put them side by side without a join
         return basic.select("*", F.lit(sp.select("spearman").scalar()).alias("spearman"))
     return basic.join(sp, g)

@@ -9,7 +9,6 @@ a per-worker cache so a repeated word is encoded once per worker.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -114,10 +113,15 @@ def median_length(df: DataFrame, text: str, out: str = "model_max_length") -> Da
 
 # ---- BERT normalisation and pre-tokenisation (TOK-08) ----
 
-@lru_cache(maxsize=1)
+_REGEX: dict = {}
+
+
 def _mark_re():
-    import regex
-    return regex.compile(r"\p{Mn}+")
+    """Compiled non-spacing-mark pattern, built once per worker process."""
+    if "mark" not in _REGEX:
+        import regex
+        _REGEX["mark"] = regex.compile(r"\p{Mn}+")
+    return _REGEX["mark"]
 
 
 def _strip_accents_series(s: pd.Series) -> pd.Series:
@@ -273,10 +277,11 @@ def _wordpiece_encode(word: str, vocab: dict, unk: int) -> list[int]:
     return out
 
 
-@lru_cache(maxsize=1)
 def _token_re():
-    import regex
-    return regex.compile(BERT_TOKEN)
+    if "token" not in _REGEX:
+        import regex
+        _REGEX["token"] = regex.compile(BERT_TOKEN)
+    return _REGEX["token"]
 
 
 def wordpiece_ids(words_col, vocab: DataFrame, unk_token: str = "[UNK]", strip: bool = True,

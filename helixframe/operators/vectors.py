@@ -3,6 +3,7 @@ JON-05)."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -59,6 +60,16 @@ def group_mean(df: DataFrame, vec: str, group_cols: Sequence[str], out: str = "m
     return m.select(*group_cols, vector_to_array("_m").alias(out))
 
 
+def _linear(weights, bias):
+    w = np.asarray(weights, dtype=np.float64)
+    return lambda x: x @ w[: x.shape[1]] + bias
+
+
+def linear_loader(weights, bias: float = 0.0):
+    """A loader for :func:`score_batches` of a fixed linear model."""
+    return functools.partial(_linear, list(weights), bias)
+
+
 def score_batches(df: DataFrame, loader: Callable[[], Callable[[np.ndarray], np.ndarray]],
                   feature_col: str, keep_cols: Sequence[str], out_cols: Sequence[str],
                   batch_size: int = 1024) -> DataFrame:
