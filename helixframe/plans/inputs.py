@@ -4,7 +4,7 @@ SQL twin (a CTE body) for the oracles.  See SURVEY 7.3 for the mapping.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.plans.registry import table
@@ -25,15 +25,21 @@ WHERE role = 'user' AND next_role = 'assistant'
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(row_id, surf_sequence, deep_sequence)``: one user turn and the next
-    assistant turn of a conversation.  The window is per conversation."""
+    assistant turn of a conversation.
+
+    Turns are numbered 0..n-1 in each conversation, so "the next turn" is an
+    equi-join on ``(conv_id, turn + 1)``.  Those keys are unique, so a very
+    long conversation spreads over many tasks, where a ``lead()`` window per
+    conversation would put all of it in one.  (The SQL twin uses ``lead()``
+    and so also checks the numbering.)
+    """
     conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return (conv.select("*", F.lead("role").over(w).alias("next_role"),
-                        F.lead("text").over(w).alias("next_text"))
-            .where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
-                    F.col("text").alias("surf_sequence"),
-                    F.col("next_text").alias("deep_sequence")))
+    user = conv.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("surf_sequence"))
+    nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next_role"),
+                      F.col("text").alias("deep_sequence"))
+    return (user.join(nxt, ["conv_id", "turn"])
+            .where(F.col("next_role") == "assistant")
+            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "surf_sequence", "deep_sequence"))
 
 
 def labelled_sql(pairs_cte: str = "pairs") -> str:
