@@ -57,21 +57,26 @@ def positive_probability(pred: DataFrame) -> DataFrame:
 
 
 def cross_validate(data: DataFrame, fold_col: str, make_model: Callable[[], object],
-                   keep_cols: Sequence[str], n_folds: int) -> DataFrame:
+                   keep_cols: Sequence[str], n_folds: int, parallelism: int | None = None) -> DataFrame:
     """Per fold: fit on the other folds, predict this one (ML-06).  All
     predictions come back as one table with ``fold``; metrics are then one
-    grouped aggregate.  The loop runs on the driver (one fit per fold) over a
-    cached input."""
+    grouped aggregate.  The folds are fitted from driver threads, several at
+    a time (like ``CrossValidator(parallelism=...)``), over a cached input."""
+    from concurrent.futures import ThreadPoolExecutor
+
     data = data.cache()
-    parts = []
-    for f in range(n_folds):
+
+    def one(f: int) -> DataFrame:
         model = make_model().fit(data.where(F.col(fold_col) != f))
         pred = model.transform(data.where(F.col(fold_col) == f))
         if "probability" in pred.columns:
             pred = positive_probability(pred)
         else:
             pred = pred.withColumn("score", F.col("prediction"))
-        parts.append(pred.select(*keep_cols, F.lit(f).alias("fold"), "prediction", "score"))
+        return pred.select(*keep_cols, F.lit(f).alias("fold"), "prediction", "score")
+
+    with ThreadPoolExecutor(max_workers=parallelism or n_folds) as pool:
+        parts = list(pool.map(one, range(n_folds)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from helixframe.functions.text import BERT_TOKEN, chars, explode_items, pad_truncate
 from helixframe.operators.ranks import running_totals
@@ -33,6 +34,10 @@ RESIDUE_ORDER = ["G", "A", "S", "P", "V", "T", "C", "I", "L", "N",
 # ---- end of fixed values ----
 
 
+# Distinct characters a character vocabulary may hold (all of Unicode fits).
+MAX_CHAR_VOCAB = 1_200_000
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -44,16 +49,38 @@ def fit_char_vocab(df: DataFrame, text: str, order_cols: Sequence[str], lower: b
     every character counted, id 1 = most frequent, ties by first appearance
     in ``order_cols`` order then position.  Returns ``(token, id, count)``.
 
-    The explode is aggregated map-side (partial counts per character), so the
-    shuffle carries one row per distinct character per task.
+    With one numeric order column the count and the first row of every
+    character come from one hash aggregate over the exploded characters
+    (partial aggregation: the shuffle carries about one row per distinct
+    character per task).  The position inside that first row is read in a
+    second pass over only those rows (at most one per distinct character).
+    Other orderings use a (token, row) aggregate, then a struct minimum.
     """
     t = F.lower(F.col(text)) if lower else F.col(text)
-    ex = explode_items(df, chars(t), "token", keep=order_cols, with_pos="pos")
-    # two steps: (token, row) with fixed-width buffers (a fast hash aggregate
-    # over every character), then the struct minimum over that smaller table
-    per_row = ex.groupBy("token", *order_cols).agg(F.count(F.lit(1)).alias("_c"), F.min("pos").alias("_p"))
-    first = F.struct(*[F.col(c) for c in order_cols], F.col("_p"))
-    counts = per_row.groupBy("token").agg(F.sum("_c").alias("count"), F.min(first).alias("_first"))
+    numeric = len(order_cols) == 1 and isinstance(df.schema[order_cols[0]].dataType, NumericType)
+    if not numeric:
+        ex = explode_items(df, chars(t), "token", keep=order_cols, with_pos="pos")
+        per_row = ex.groupBy("token", *order_cols).agg(F.count(F.lit(1)).alias("_c"), F.min("pos").alias("_p"))
+        first = F.struct(*[F.col(c) for c in order_cols], F.col("_p"))
+        counts = per_row.groupBy("token").agg(F.sum("_c").alias("count"), F.min(first).alias("_first"))
+    else:
+        o = order_cols[0]
+        ex = explode_items(df, chars(t), "token", keep=[o])
+        agg = ex.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(o).alias("_row"))
+        # one row per distinct character: bounded, so it comes to the driver
+        rows = agg.limit(MAX_CHAR_VOCAB + 1).collect()
+        if len(rows) > MAX_CHAR_VOCAB:
+            raise ValueError("more distinct characters than MAX_CHAR_VOCAB")
+        spark = df.sparkSession
+        small = spark.createDataFrame([(r["token"], r["_row"], r["count"]) for r in rows],
+                                      f"token string, {o} {df.schema[o].dataType.simpleString()}, count long")
+        # second pass over the first rows only (a pushed-down IN filter)
+        first_rows = sorted({r["_row"] for r in rows})
+        sub = df.where(F.col(o).isin(first_rows)) if first_rows else df.limit(0)
+        firsts = explode_items(sub, chars(t), "token", keep=[o], with_pos="pos")
+        pos = (firsts.join(F.broadcast(small.select("token", o)), ["token", o])
+               .groupBy("token").agg(F.min("pos").alias("_pos")))
+        counts = small.join(pos, "token").select("token", "count", F.struct(o, "_pos").alias("_first"))
     # the vocabulary is one row per distinct character: a plain window is fine
     w = Window.orderBy(F.col("count").desc(), F.col("_first").asc())
     return counts.select("token", F.row_number().over(w).cast("int").alias("id"), "count")
