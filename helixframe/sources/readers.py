@@ -47,17 +47,59 @@ def read_pair_csv(spark: SparkSession, path: str, first: str = "surf.sequence",
     return df
 
 
+def line_numbers(lines: DataFrame, out: str = "line_no") -> DataFrame:
+    """0-based line number inside its file for a ``spark.read.text`` scan that
+    may split large files.
+
+    Each split (``_metadata.file_block_start``) is read by one task in file
+    order, so rows of a split have consecutive ``monotonically_increasing_id``
+    values; a split's first line number is the line count of the earlier
+    splits of the same file, from a table with one row per split.
+    """
+    d = lines.select("*", F.col("_metadata.file_path").alias("path"),
+                     F.col("_metadata.file_block_start").alias("_blk"),
+                     F.monotonically_increasing_id().alias("_mid"))
+    per_split = d.groupBy("path", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    before = Window.partitionBy("path").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_split.select("path", "_blk", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (d.join(F.broadcast(offsets), ["path", "_blk"])
+            .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
+            .drop("_blk", "_mid", "_m0", "_off"))
+
+
 def read_three_line_records(spark: SparkSession, path: str, names=("yeast_id", "reference_sequence",
                                                                    "evolved_sequence"),
-                            keep_partial: bool = False) -> DataFrame:
+                            keep_partial: bool = False, whole_files: bool = False) -> DataFrame:
     """Three-line records (SRC-02): lines 3k, 3k+1, 3k+2 of each file are one
     record; non-word characters are stripped from every line (Unicode-aware).
+    Lines end at ``\n``, ``\r\n`` or ``\r``, as Python's universal newlines.
 
-    Each file is read whole and cut with array functions, so no shuffle.
+    Default: the text scan may split large files; lines get their number in
+    the file (:func:`line_numbers`) and are grouped into records by a shuffle
+    on the unique (file, record) key, so one big file spreads over the
+    cluster.  ``whole_files=True`` reads each file as one row and cuts it with
+    array functions (no shuffle; for many small files).
     A short last record (the reference's IndexError) is dropped; with
     ``keep_partial`` it is returned with NULLs for the missing lines.
     ``row_id`` numbers records across files in path order.
     """
+    if whole_files:
+        return _records_whole_files(spark, path, names, keep_partial)
+    lines = line_numbers(spark.read.text(path))
+    lines = lines.withColumn("_rec", F.floor(F.col("line_no") / 3)).withColumn("_k", F.col("line_no") % 3)
+    files = lines.groupBy("path").agg(F.count(F.lit(1)).alias("_lines"))
+    n_rec = F.ceil(F.col("_lines") / 3) if keep_partial else F.floor(F.col("_lines") / 3)
+    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("path", n_rec.cast("long").alias("_nr"),
+                           F.coalesce(F.sum(n_rec.cast("long")).over(before), F.lit(0)).alias("_off"))
+    recs = lines.groupBy("path", "_rec").agg(
+        *[F.max(F.when(F.col("_k") == k, F.col("value"))).alias(names[k]) for k in range(3)])
+    out = recs.join(F.broadcast(offsets), "path").where(F.col("_rec") < F.col("_nr"))
+    return out.select((F.col("_off") + F.col("_rec")).cast("long").alias("row_id"),
+                      *[F.regexp_replace(F.col(c), NON_WORD, "").alias(c) for c in names])
+
+
+def _records_whole_files(spark, path, names, keep_partial) -> DataFrame:
     raw = spark.read.text(path, wholetext=True)
     lines = F.split(F.col("value"), LINE_BREAK)
     lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)

@@ -43,22 +43,42 @@ def test_file_position_over_files(spark, tmp_dir):
     assert got == [(0, "a0"), (1, "a1"), (2, "a2"), (3, "b0"), (4, "b1")]
 
 
-def test_three_line_records(spark, tmp_dir):
+import pytest
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_three_line_records(spark, tmp_dir, whole):
     d = os.path.join(tmp_dir, "rec")
     body = "".join(f">id {i}\nREF{i}\nEVO{i}\n" for i in range(5))
     write(d, "a.txt", body.replace("\n", "\r\n"))                     # CRLF
     write(d, "b.txt", "> Yé ast\nÀBC-d\nxyz\nonly-one-line\n")        # accents, partial
     write(d, "c.txt", "")                                             # empty file
-    got = RD.read_three_line_records(spark, d).orderBy("row_id").collect()
+    got = RD.read_three_line_records(spark, d, whole_files=whole).orderBy("row_id").collect()
     assert [r.row_id for r in got] == list(range(6))
     assert (got[0].yeast_id, got[0].reference_sequence, got[0].evolved_sequence) == ("id0", "REF0", "EVO0")
     assert (got[5].yeast_id, got[5].reference_sequence) == ("Yéast", "ÀBCd")
     left = {os.path.basename(r.path): r.left_over for r in RD.partial_records(spark, d).collect()}
     assert left == {"b.txt": 1}
-    kept = RD.read_three_line_records(spark, d, keep_partial=True).where(F.col("reference_sequence").isNull())
+    kept = RD.read_three_line_records(spark, d, keep_partial=True, whole_files=whole).where(
+        F.col("reference_sequence").isNull())
     assert kept.count() == 1
 
 
+def test_line_numbers_across_splits(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "big")
+    write(d, "big.txt", "".join(f"line{i}\n" for i in range(20000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        df = spark.read.text(d)
+        assert df.rdd.getNumPartitions() > 4
+        got = RD.line_numbers(df).select("line_no", "value").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert all(r.value == f"line{r.line_no}" for r in got) and len(got) == 20000
+    recs = RD.read_three_line_records(spark, d)
+    assert recs.count() == 6666
+
+
 def test_fasta_cases(spark, tmp_dir):
     d = os.path.join(tmp_dir, "fasta")
     write(d, "1.fa", ">P1 one record\nMKT\n")
