@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.ranks import hash_key, ordinal_by_hash
@@ -36,12 +36,105 @@ def _ceil_fraction(fraction, n: Column) -> Column:
     return F.ceil(f * n.cast("decimal(20,0)")).cast("long")
 
 
+# ---- cut points instead of ranks ----
+#
+# A split only needs to know, per row, on which side of a few positions of the
+# md5 order it falls.  The (hash, key) value at position m is found from the
+# bucket counts (the bucket holding m) and one sort of that bucket only, so
+# assigning folds is a per-row comparison: no shuffle or sort of the rows.
+
+_MAX_COUNT_ROWS = 2_000_000
+
+
+def _positions_cut(df: DataFrame, hash_col: str, key: str, pcols: list[str],
+                   targets, bucket_chars: int = 3):
+    """For every group, the (hash, key) found at each requested 0-based
+    position (``targets(n) -> list of positions`` for a group of n rows).
+    Returns ``{group: (n, [(hash, key) or None, ...])}``, None meaning the
+    position is at or past the end of the group."""
+    d = df.select(*pcols, hash_col, key).withColumn("_b", F.substring(F.col(hash_col), 1, bucket_chars))
+    counts = d.groupBy(*pcols, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    rows = counts.limit(_MAX_COUNT_ROWS + 1).collect()
+    if len(rows) > _MAX_COUNT_ROWS:
+        raise ValueError("too many groups for cut-point splits")
+    per_group: dict = {}
+    for r in rows:
+        per_group.setdefault(tuple(r[c] for c in pcols), []).append((r["_b"], r["_n"]))
+    wanted = []          # (group, bucket, offset inside bucket, target index)
+    sizes = {}
+    for g, bl in per_group.items():
+        bl.sort()
+        n = sum(c for _, c in bl)
+        sizes[g] = (n, targets(n))
+        for ti, m in enumerate(sizes[g][1]):
+            if m >= n:
+                continue
+            cum = 0
+            for b, c in bl:
+                if m < cum + c:
+                    wanted.append((g, b, m - cum, ti))
+                    break
+                cum += c
+    found: dict = {}
+    if wanted:
+        spark = df.sparkSession
+        need = spark.createDataFrame([(*g, b, o, ti) for g, b, o, ti in wanted],
+                                     ", ".join([f"`{c}` {d.schema[c].dataType.simpleString()}" for c in pcols]
+                                               + ["_b string", "_o long", "_t int"]))
+        sub = d.join(F.broadcast(need.select(*pcols, "_b").distinct()), [*pcols, "_b"], "left_semi")
+        w = Window.partitionBy(*pcols, "_b").orderBy(F.col(hash_col), F.col(key))
+        ranked = sub.withColumn("_o", F.row_number().over(w) - 1)
+        hits = ranked.join(F.broadcast(need), [*pcols, "_b", "_o"]).select(*pcols, "_t", hash_col, key).collect()
+        for h in hits:
+            found[(tuple(h[c] for c in pcols), h["_t"])] = (h[hash_col], h[key])
+    return {g: (n, [found.get((g, ti)) for ti in range(len(ts))]) for g, (n, ts) in sizes.items()}
+
+
+def _before(hash_col: str, key: str, cut) -> Column:
+    """Row sorts before the cut point (hash, key); None = past the end."""
+    if cut is None:
+        return F.lit(True)
+    h, k = cut
+    return (F.col(hash_col) < F.lit(h)) | ((F.col(hash_col) == F.lit(h)) & (F.col(key) < F.lit(k)))
+
+
+def _per_group(pcols: list[str], cuts: dict, make) -> Column:
+    """``make(n, cut_list)`` for the row's group, as one CASE expression."""
+    if not pcols:
+        n, cl = cuts.get((), (0, []))
+        return make(n, cl)
+    expr = None
+    for g, (n, cl) in cuts.items():
+        cond = None
+        for c, v in zip(pcols, g):
+            t = F.col(c) == F.lit(v) if v is not None else F.col(c).isNull()
+            cond = t if cond is None else cond & t
+        expr = F.when(cond, make(n, cl)) if expr is None else expr.when(cond, make(n, cl))
+    return expr
+
+
+def _fold_starts(n: int, k: int) -> list[int]:
+    q, r = divmod(n, k)
+    return [j * (q + 1) if j <= r else r * (q + 1) + (j - r) * q for j in range(1, k)]
+
+
+def _ceil_frac_int(fraction, n: int) -> int:
+    """ceil(fraction * n) in exact rational arithmetic (0.1 * 230 is 23)."""
+    from fractions import Fraction
+    f = fraction if isinstance(fraction, Fraction) else Fraction(str(fraction))
+    return -((-f * n).numerator // (-f * n).denominator) if n else 0
+
+
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 1234, repeats: int | None = None,
           same_seed: bool = False, out: str = "fold") -> DataFrame:
     """Shuffled K-fold assignment (SPL-01), one row per input row with its
     test fold.  With ``repeats`` (SPL-02) every row appears once per repeat;
     repeat r uses seed ``seed + r`` unless ``same_seed`` (the reference reused
-    one seed, so its repeats were identical)."""
+    one seed, so its repeats were identical).
+
+    Rows are ordered by ``md5(seed:key)`` then key and cut into k contiguous
+    folds; the k-1 fold boundaries are found as cut points, so the fold is a
+    per-row comparison (see :func:`_positions_cut`)."""
     if k < 2:
         raise ValueError("k must be at least 2")
     d = df
@@ -54,9 +147,11 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 1234, repeats: int |
         pcols = ["repeat"]
     else:
         d = d.withColumn("_h", hash_key(seed, key))
-    r = ordinal_by_hash(d, "_h", [key], pcols, out="_rn", total_out="_n",
-                        groups_bound=repeats or 1)
-    return r.withColumn(out, fold_of(F.col("_rn"), F.col("_n"), k)).drop("_h", "_rn", "_n")
+    cuts = _positions_cut(d, "_h", key, pcols, lambda n: _fold_starts(n, k))
+
+    def fold_expr(n, cl):
+        return sum(((~_before("_h", key, c)).cast("int") for c in cl), F.lit(0))
+    return d.withColumn(out, _per_group(pcols, cuts, fold_expr).cast("int")).drop("_h")
 
 
 def split_index(assign: DataFrame, key: str, k: int, fold_col: str = "fold") -> DataFrame:
@@ -75,15 +170,17 @@ def holdout(df: DataFrame, key: str, fraction: float, seed: int = 1234,
             partition_cols: list[str] | None = None, held: str = TEST, rest: str = TRAIN,
             out: str = "split", groups_bound: int | None = None) -> DataFrame:
     """Hold-out split (SPL-03): the first ``ceil(fraction * n)`` rows of the
-    md5 order (per group) get ``held``, the others ``rest``."""
+    md5 order (per group) get ``held``, the others ``rest``.  One cut point
+    per group; the split itself is a per-row comparison."""
     if not 0 < fraction < 1:
         raise ValueError("fraction must be in (0, 1)")
+    pcols = list(partition_cols or [])
     d = df.withColumn("_h", hash_key(seed, key))
-    r = ordinal_by_hash(d, "_h", [key], partition_cols, out="_rn", total_out="_n",
-                        groups_bound=groups_bound)
-    return (r.withColumn(out, F.when(F.col("_rn") < _ceil_fraction(fraction, F.col("_n")), F.lit(held))
-                         .otherwise(F.lit(rest)))
-            .drop("_h", "_rn", "_n"))
+    cuts = _positions_cut(d, "_h", key, pcols, lambda n: [_ceil_frac_int(fraction, n)])
+
+    def side(n, cl):
+        return F.when(_before("_h", key, cl[0]), F.lit(held)).otherwise(F.lit(rest))
+    return d.withColumn(out, _per_group(pcols, cuts, side)).drop("_h")
 
 
 def nested_holdout(df: DataFrame, key: str, val_size: float, test_size: float, seed: int = 1234,
@@ -97,37 +194,42 @@ def nested_holdout(df: DataFrame, key: str, val_size: float, test_size: float, s
     ones; ``"reference"`` takes ``val/test`` of it, as the reference did
     (2.75% instead of 2.5% for 0.025/0.25).
     """
+    from fractions import Fraction
     if nested_ratio == "stated":
-        inner = Decimal(str(val_size)) / (Decimal(str(val_size)) + Decimal(str(test_size)))
+        inner = Fraction(str(val_size)) / (Fraction(str(val_size)) + Fraction(str(test_size)))
     elif nested_ratio == "reference":
-        inner = Decimal(str(val_size)) / Decimal(str(test_size))
+        inner = Fraction(str(val_size)) / Fraction(str(test_size))
     else:
         raise ValueError("nested_ratio must be 'stated' or 'reference'")
     first = holdout(df, key, float(Decimal(str(val_size)) + Decimal(str(test_size))), seed,
                     held="_held", rest=TRAIN, out="_s1")
     s2 = seed if second_seed is None else second_seed
-    # rank only the held rows: a null key would put all training rows in one bucket
-    held = first.where(F.col("_s1") == "_held").withColumn("_h2", hash_key(s2, key))
-    r = ordinal_by_hash(held, "_h2", [key], out="_rn2", total_out="_n2")
-    n_val = F.ceil(F.lit(inner) * F.col("_n2").cast("decimal(20,0)")).cast("long")
-    held_out = (r.withColumn(out, F.when(F.col("_rn2") < n_val, F.lit(VALID)).otherwise(F.lit(TEST)))
-                .drop("_s1", "_h2", "_rn2", "_n2"))
-    train = first.where(F.col("_s1") == TRAIN).withColumn(out, F.lit(TRAIN)).drop("_s1")
-    return train.unionByName(held_out)
+    # second cut among the held rows only
+    d = first.withColumn("_h2", F.when(F.col("_s1") == "_held", hash_key(s2, key)))
+    held_rows = d.where(F.col("_s1") == "_held")
+    cuts = _positions_cut(held_rows, "_h2", key, [], lambda n: [_ceil_frac_int(inner, n)])
+    n_held, cl = cuts.get((), (0, [None]))
+    valid = _before("_h2", key, cl[0]) if n_held else F.lit(False)
+    return (d.withColumn(out, F.when(F.col("_s1") == TRAIN, F.lit(TRAIN))
+                         .when(valid, F.lit(VALID)).otherwise(F.lit(TEST)))
+            .drop("_s1", "_h2"))
 
 
 def kfold_with_valid(split_idx: DataFrame, key: str, valid_fraction: float = 0.1,
                      seed: int = 1234) -> DataFrame:
     """K-fold with a validation cut from each training part (SPL-05): inside
     every (repeat, fold) the first ``ceil(f * n_train)`` training rows of a
-    second md5 order become ``valid``."""
-    train = split_idx.where(F.col("split") == TRAIN).withColumn(
-        "_h", hash_key(seed, F.col("repeat"), F.col("fold"), F.col(key)))
-    r = ordinal_by_hash(train, "_h", [key], ["repeat", "fold"], out="_rn", total_out="_n")
-    cut = _ceil_fraction(valid_fraction, F.col("_n"))
-    train = (r.withColumn("split", F.when(F.col("_rn") < cut, F.lit(VALID)).otherwise(F.lit(TRAIN)))
-             .drop("_h", "_rn", "_n"))
-    return train.unionByName(split_idx.where(F.col("split") != TRAIN))
+    second md5 order become ``valid``.  One cut point per (repeat, fold)."""
+    d = split_idx.withColumn("_h", F.when(F.col("split") == TRAIN,
+                                          hash_key(seed, F.col("repeat"), F.col("fold"), F.col(key))))
+    train = d.where(F.col("split") == TRAIN)
+    cuts = _positions_cut(train, "_h", key, ["repeat", "fold"],
+                          lambda n: [_ceil_frac_int(valid_fraction, n)])
+
+    def side(n, cl):
+        return _before("_h", key, cl[0])
+    is_valid = (F.col("split") == TRAIN) & _per_group(["repeat", "fold"], cuts, side)
+    return d.withColumn("split", F.when(is_valid, F.lit(VALID)).otherwise(F.col("split"))).drop("_h")
 
 
 def resolve_split(df: DataFrame, key: str, split_table: DataFrame | None = None,

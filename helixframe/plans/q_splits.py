@@ -88,7 +88,8 @@ def spl_03(spark, sf_dir):
 
 
 def nested_sql(src: str, key: str = "doc_id") -> str:
-    """SQL twin of ``splits.nested_holdout(.., 0.02, 0.25)``."""
+    """SQL twin of ``splits.nested_holdout(.., 0.02, 0.25)``: the valid part
+    is ceil(2/27 of the held rows), in integer arithmetic."""
     return f"""
 WITH h1 AS ({_holdout_sql(src, key, '0.27', SEED, 'held', 'train')}),
 h2 AS (SELECT {key}, rn2, count(*) OVER () AS n2 FROM
@@ -96,7 +97,7 @@ h2 AS (SELECT {key}, rn2, count(*) OVER () AS n2 FROM
         FROM h1 WHERE split = 'held') x)
 SELECT {key}, 'train' AS split FROM h1 WHERE split = 'train'
 UNION ALL
-SELECT {key}, CASE WHEN rn2 < CAST(ceil((0.02 / 0.27) * n2) AS BIGINT) THEN 'valid' ELSE 'test' END FROM h2
+SELECT {key}, CASE WHEN rn2 < (2 * n2 + 26) // 27 THEN 'valid' ELSE 'test' END FROM h2
 """
 
 

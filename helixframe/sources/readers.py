@@ -128,10 +128,14 @@ def partial_records(spark: SparkSession, path: str) -> DataFrame:
             .where("left_over > 0"))
 
 
-def read_fasta_first(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta_first(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
     """First FASTA record of every file in a folder (SRC-03):
     ``(id, seq, path)``.  The id is the first word after ``>``; sequence
-    lines are joined and whitespace removed."""
+    lines are joined and whitespace removed.  ``whole_files=False`` reads
+    splittable lines instead (for very large files)."""
+    if not whole_files:
+        recs = read_fasta_all(spark, path, whole_files=False)
+        return recs.where(F.col("rec") == 0).select("id", "seq", "path")
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     pat = r"(?s)^[^>]*>(\S*)[^\n]*\n?([^>]*)"
     return (raw.select(F.regexp_extract("value", pat, 1).alias("id"),
@@ -140,17 +144,37 @@ def read_fasta_first(spark: SparkSession, path: str) -> DataFrame:
             .where(F.col("value").contains(">")))
 
 
-def read_fasta_all(spark: SparkSession, path: str) -> DataFrame:
-    """Every FASTA record of every file: ``(id, description, seq, path, rec)``."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    recs = F.split(F.regexp_replace("value", r"^[^>]*>", ""), r"\n>")
-    ex = explode_items(raw.select(F.col("_metadata.file_path").alias("path"), recs.alias("_recs")),
-                       F.col("_recs"), "body", keep=["path"], with_pos="rec")
-    header = F.regexp_extract("body", r"^([^\n]*)", 1)
-    return ex.select(F.regexp_extract(header, r"^(\S*)", 1).alias("id"),
-                     F.trim(F.regexp_extract(header, r"^\S*\s*(.*)$", 1)).alias("description"),
-                     F.regexp_replace(F.regexp_replace("body", r"^[^\n]*\n?", ""), r"\s+", "").alias("seq"),
-                     "path", "rec")
+def read_fasta_all(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """Every FASTA record of every file: ``(id, description, seq, path, rec)``
+    with ``rec`` the 0-based record number in its file.
+
+    ``whole_files=False``: lines are numbered across file splits, the record
+    number is the running count of header lines (bucketed running totals, so
+    one large file is spread over many tasks), and each record's lines are
+    joined in line order."""
+    if whole_files:
+        raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+        recs = F.split(F.regexp_replace("value", r"^[^>]*>", ""), r"\n>")
+        ex = explode_items(raw.select(F.col("_metadata.file_path").alias("path"), recs.alias("_recs")),
+                           F.col("_recs"), "body", keep=["path"], with_pos="rec")
+        header = F.regexp_extract("body", r"^([^\n]*)", 1)
+        return ex.select(F.regexp_extract(header, r"^(\S*)", 1).alias("id"),
+                         F.trim(F.regexp_extract(header, r"^\S*\s*(.*)$", 1)).alias("description"),
+                         F.regexp_replace(F.regexp_replace("body", r"^[^\n]*\n?", ""), r"\s+", "").alias("seq"),
+                         "path", "rec")
+    from helixframe.operators.ranks import running_totals
+    lines = line_numbers(spark.read.option("recursiveFileLookup", "true").text(path))
+    lines = lines.withColumn("_h", F.col("value").startswith(">").cast("long"))
+    numbered = running_totals(lines, "line_no", ["_h"], ["path"], n_buckets=256)
+    numbered = numbered.withColumn("rec", F.col("cum__h") - 1).where(F.col("rec") >= 0)
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "value", "_h")))
+    grouped = numbered.groupBy("path", "rec").agg(parts.alias("_lines"))
+    head = F.substring(F.element_at(F.filter("_lines", lambda x: x["_h"] == 1), 1)["value"], 2, 1 << 30)
+    body = F.array_join(F.transform(F.filter("_lines", lambda x: x["_h"] == 0), lambda x: x["value"]), "")
+    return grouped.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"),
+                          F.trim(F.regexp_extract(head, r"^\S*\s*(.*)$", 1)).alias("description"),
+                          F.regexp_replace(body, r"\s+", "").alias("seq"), "path",
+                          F.col("rec").cast("int").alias("rec"))
 
 
 def fasta_map(records: DataFrame) -> DataFrame:

@@ -79,16 +79,17 @@ def test_line_numbers_across_splits(spark, tmp_dir):
     assert recs.count() == 6666
 
 
-def test_fasta_cases(spark, tmp_dir):
+@pytest.mark.parametrize("whole", [True, False])
+def test_fasta_cases(spark, tmp_dir, whole):
     d = os.path.join(tmp_dir, "fasta")
     write(d, "1.fa", ">P1 one record\nMKT\n")
     write(d, "2.fa", ">P2 first\nAAA\nCCC\n>P3 second\nGGG\n")              # two records, first kept
     write(d, "3.fa", "; comment\n>P1 later file\nTT T\nWW\n")               # same id, later path wins
-    first = {(os.path.basename(r.path), r.id, r.seq) for r in RD.read_fasta_first(spark, d).collect()}
+    first = {(os.path.basename(r.path), r.id, r.seq) for r in RD.read_fasta_first(spark, d, whole).collect()}
     assert first == {("1.fa", "P1", "MKT"), ("2.fa", "P2", "AAACCC"), ("3.fa", "P1", "TTTWW")}
-    m = {r.id: r.seq for r in RD.fasta_map(RD.read_fasta_first(spark, d)).collect()}
+    m = {r.id: r.seq for r in RD.fasta_map(RD.read_fasta_first(spark, d, whole)).collect()}
     assert m == {"P1": "TTTWW", "P2": "AAACCC"}
-    allr = {(r.id, r.description, r.seq) for r in RD.read_fasta_all(spark, d).collect()}
+    allr = {(r.id, r.description, r.seq) for r in RD.read_fasta_all(spark, d, whole).collect()}
     assert ("P3", "second", "GGG") in allr and ("P1", "one record", "MKT") in allr
 
 
