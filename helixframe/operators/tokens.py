@@ -111,7 +111,7 @@ def encode_chars(text, mapping: Column, lower: bool = True, keep_unknown: int |
 
 def longest(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Longest string over several columns (TOK-06)."""
-    return df.select(F.greatest(*[F.max(F.char_length(c)) for c in cols]).alias("max_len"))
+    return df.select(F.greatest(*[F.max(F.char_length(c)) for c in cols]).cast("long").alias("max_len"))
 
 
 def exact_median(df: DataFrame, col: str, out: str = "median") -> DataFrame:

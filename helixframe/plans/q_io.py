@@ -40,7 +40,7 @@ def src_01(spark, sf_dir):
     ordered = w.repartition("chunk").sortWithinPartitions("chunk", "row_id").drop("row_id")
     ordered.write.option("header", True).partitionBy("chunk").csv(out)
     back = RD.read_pair_csv(spark, out)
-    return back.select("row_id", F.char_length("surf_sequence").alias("surf_len"),
+    return back.select("row_id", F.char_length("surf_sequence").cast("long").alias("surf_len"),
                        F.md5("surf_sequence").alias("surf_md5"), F.md5("deep_sequence").alias("deep_md5"))
 
 
@@ -197,4 +197,4 @@ def snk_03(spark, sf_dir):
     WR.write_arrays(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), out)
     back = spark.read.parquet(out)
     total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return back.select("vec_id", "label", F.size("embedding").alias("dim"), F.round(total, 6).alias("total"))
+    return back.select("vec_id", "label", F.size("embedding").cast("long").alias("dim"), F.round(total, 6).alias("total"))

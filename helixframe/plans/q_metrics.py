@@ -172,8 +172,8 @@ def win_03(spark, sf_dir):
 
 @query("win_04", """
 SELECT doc_id, batch_id,
-       coalesce(sum(n_chars) OVER (PARTITION BY batch_id ORDER BY doc_id
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset
+       CAST(coalesce(sum(n_chars) OVER (PARTITION BY batch_id ORDER BY doc_id
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset
 FROM (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch_id FROM documents) t
 """)
 def win_04(spark, sf_dir):

@@ -218,7 +218,7 @@ def flt_01(spark, sf_dir):
     p = pairs(spark, sf_dir)
     folds = splits.kfold(p.select("row_id"), "row_id", 5, SEED)
     sel = reshape.select_rows(p, folds.where(F.col("fold") == 2))
-    return sel.select("row_id", F.char_length("surf_sequence").alias("surf_len"))
+    return sel.select("row_id", F.char_length("surf_sequence").cast("long").alias("surf_len"))
 
 
 @query("flt_02", f"""
@@ -248,7 +248,7 @@ SELECT row_id, label, length(text) AS n_chars, md5(coalesce(text, '')) AS text_m
 def set_01(spark, sf_dir):
     """Unpivot pairs to labelled rows: surface -> 0, deep -> 1."""
     lab = reshape.unpivot_pairs(pairs(spark, sf_dir), "surf_sequence", "deep_sequence")
-    return lab.select("row_id", "label", F.char_length("text").alias("n_chars"),
+    return lab.select("row_id", "label", F.char_length("text").cast("long").alias("n_chars"),
                       F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
@@ -261,7 +261,7 @@ SELECT row_id, 'deep_sequence' AS source_col, length(deep_sequence) AS n_chars F
 def set_02(spark, sf_dir):
     """Append the two sequence columns into one (bag union)."""
     a = reshape.append_columns(pairs(spark, sf_dir), ["surf_sequence", "deep_sequence"])
-    return a.select("row_id", "source_col", F.char_length("text").alias("n_chars"))
+    return a.select("row_id", "source_col", F.char_length("text").cast("long").alias("n_chars"))
 
 
 @query("set_03", f"""

@@ -34,15 +34,15 @@ def prj_01(spark, sf_dir):
     p = pairs(spark, sf_dir).withColumnRenamed("surf_sequence", "surf.sequence") \
         .withColumnRenamed("deep_sequence", "deep.sequence")
     return p.select("row_id", F.col("`surf.sequence`").alias("surf"),
-                    F.char_length(F.col("`deep.sequence`")).alias("deep_len"))
+                    F.char_length(F.col("`deep.sequence`")).cast("long").alias("deep_len"))
 
 
 @query("prj_02", f"WITH {_PAIRS} SELECT row_id, length(surf_sequence) AS surf_len, length(deep_sequence) AS deep_len FROM pairs")
 def prj_02(spark, sf_dir):
     """String length columns."""
     p = pairs(spark, sf_dir)
-    return p.select("row_id", F.char_length("surf_sequence").alias("surf_len"),
-                    F.char_length("deep_sequence").alias("deep_len"))
+    return p.select("row_id", F.char_length("surf_sequence").cast("long").alias("surf_len"),
+                    F.char_length("deep_sequence").cast("long").alias("deep_len"))
 
 
 _STRIP_SQL = "regexp_replace(text, '[^\\p{L}\\p{N}_]+', '', 'g')"
@@ -52,7 +52,7 @@ _STRIP_SQL = "regexp_replace(text, '[^\\p{L}\\p{N}_]+', '', 'g')"
 def prj_03(spark, sf_dir):
     """Strip non-word characters (Unicode-aware, accents kept)."""
     s = T.strip_non_word("text")
-    return _docs(spark, sf_dir).select("doc_id", F.char_length(s).alias("n_chars"), F.md5(s).alias("text_md5"))
+    return _docs(spark, sf_dir).select("doc_id", F.char_length(s).cast("long").alias("n_chars"), F.md5(s).alias("text_md5"))
 
 
 @query("prj_04", """
@@ -70,7 +70,7 @@ def prj_04(spark, sf_dir):
 def prj_05(spark, sf_dir):
     """Keep the first 1,024 characters."""
     s = F.substring("text", 1, 1024)
-    return _docs(spark, sf_dir).select("doc_id", F.char_length(s).alias("n_kept"), F.md5(s).alias("kept_md5"))
+    return _docs(spark, sf_dir).select("doc_id", F.char_length(s).cast("long").alias("n_kept"), F.md5(s).alias("kept_md5"))
 
 
 @query("prj_06", """
@@ -80,7 +80,7 @@ SELECT doc_id, least(length(text), 2046) AS n_kept, length(text) > 2046 AS was_t
 def prj_06(spark, sf_dir):
     """Cap at 2,046 characters with a truncation flag."""
     n = F.char_length("text")
-    return _docs(spark, sf_dir).select("doc_id", F.least(n, F.lit(2046)).alias("n_kept"),
+    return _docs(spark, sf_dir).select("doc_id", F.least(n, F.lit(2046)).cast("long").alias("n_kept"),
                                        (n > 2046).alias("was_truncated"),
                                        F.md5(F.substring("text", 1, 2046)).alias("kept_md5"))
 
@@ -114,7 +114,7 @@ FROM (SELECT doc_id, {Q.overlap_words('text', 5, 2)} AS w FROM documents) t
 def tok_01(spark, sf_dir):
     """Overlapping words (5, 2) of every document, whole text."""
     w = T.overlap_words("text", 5, 2)
-    return _docs(spark, sf_dir).select("doc_id", F.size(w).alias("n_words"), _md5_join(w, "|").alias("words_md5"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(w).cast("long").alias("n_words"), _md5_join(w, "|").alias("words_md5"))
 
 
 @query("tok_02", f"SELECT doc_id, md5({Q.overlap_string('text', 4, 1)}) AS text_md5 FROM documents")
@@ -172,7 +172,7 @@ def _encoded(spark, sf_dir):
 def tok_04(spark, sf_dir):
     """Encode every document with the vocabulary fitted on the training split."""
     e = _encoded(spark, sf_dir)
-    return e.select("doc_id", F.size("ids").alias("n_ids"), _md5_join("ids").alias("ids_md5"))
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_ids"), _md5_join("ids").alias("ids_md5"))
 
 
 @query("jon_03", _ENC_SQL + """
@@ -183,8 +183,8 @@ def jon_03(spark, sf_dir):
     """Token -> id lookup with unknown characters dropped: kept and dropped
     counts per document."""
     e = _encoded(spark, sf_dir).join(_docs(spark, sf_dir), "doc_id")
-    return e.select("doc_id", F.size("ids").alias("n_known"),
-                    (F.char_length("text") - F.size("ids")).alias("n_dropped"))
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_known"),
+                    (F.char_length("text") - F.size("ids")).cast("long").alias("n_dropped"))
 
 
 @query("top_03", f"WITH {_char_vocab_sql()[1:]} SELECT token, id FROM cv WHERE id < 20")
@@ -238,7 +238,7 @@ FROM (SELECT doc_id, {Q.bert_pretokenize(Q.bert_normalize('text'))} AS t FROM do
 def tok_08(spark, sf_dir):
     """BERT clean + lower-case + accent strip, split on spaces and punctuation."""
     t = K.bert_pretokenize(K.bert_normalize(F.col("text")))
-    return _docs(spark, sf_dir).select("doc_id", F.size(t).alias("n_tokens"),
+    return _docs(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("n_tokens"),
                                        F.md5(F.array_join(t, " ")).alias("tokens_md5"))
 
 
@@ -295,7 +295,7 @@ def _wp_encoded(spark, sf_dir):
 def tok_10(spark, sf_dir):
     """WordPiece-encode every document with the trained vocabulary."""
     e = _wp_encoded(spark, sf_dir)
-    return e.select("doc_id", F.size("ids").alias("n_ids"), _md5_join("ids").alias("ids_md5"))
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_ids"), _md5_join("ids").alias("ids_md5"))
 
 
 @query("tok_11", _WP_ENC_SQL + f"""
@@ -330,15 +330,15 @@ _RES_SQL = f"WITH r AS (SELECT doc_id, {Q.residue_seq('text')} AS seq FROM docum
 def tok_12(spark, sf_dir):
     """Residue tokens with <cls>/<eos> markers through the ESM-2 alphabet."""
     r = _residues(spark, sf_dir).select("doc_id", K.residue_ids("seq").alias("ids"))
-    return r.select("doc_id", F.size("ids").alias("n_ids"), _md5_join("ids").alias("ids_md5"))
+    return r.select("doc_id", F.size("ids").cast("long").alias("n_ids"), _md5_join("ids").alias("ids_md5"))
 
 
 @query("jon_04", _RES_SQL + " SELECT doc_id, len(list_filter(body, lambda x: x <> 3)) AS n_known, len(list_filter(body, lambda x: x = 3)) AS n_unknown FROM ri")
 def jon_04(spark, sf_dir):
     """Residue alphabet remap: known and <unk> counts per document."""
     r = _residues(spark, sf_dir).select("doc_id", K.residue_ids("seq", bos=None, eos=None).alias("b"))
-    return r.select("doc_id", F.size(F.filter("b", lambda x: x != 3)).alias("n_known"),
-                    F.size(F.filter("b", lambda x: x == 3)).alias("n_unknown"))
+    return r.select("doc_id", F.size(F.filter("b", lambda x: x != 3)).cast("long").alias("n_known"),
+                    F.size(F.filter("b", lambda x: x == 3)).cast("long").alias("n_unknown"))
 
 
 @query("tok_13", _RES_SQL + f"""
@@ -438,5 +438,5 @@ def tok_01_stream(spark, sf_dir):
 
     def words(df):
         w = T.overlap_words("text", 5, 2)
-        return df.select("doc_id", F.size(w).alias("n_words"), _md5_join(w, "|").alias("words_md5"))
+        return df.select("doc_id", F.size(w).cast("long").alias("n_words"), _md5_join(w, "|").alias("words_md5"))
     return run_available(spark, src, words)

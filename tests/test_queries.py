@@ -11,6 +11,7 @@ from conftest import SF001
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from oracle_check import TABLES, rows_of  # noqa: E402
+from type_check import spark_type  # noqa: E402
 
 import __spark_entry__ as E  # noqa: E402
 
@@ -33,10 +34,12 @@ def test_query_matches_oracle(spark, con, key):
     if key not in SQL:
         assert len(cols) > 0
         return
-    res = con.execute(SQL[key])
-    ocols = [d[0] for d in res.description]
+    rel = con.sql(SQL[key])
+    ocols = rel.columns
     assert sorted(cols) == sorted(ocols)
-    assert rows_of(cols, rows) == rows_of(ocols, res.fetchall())
+    assert {f.name: spark_type(f.dataType) for f in df.schema.fields} == \
+        {n: str(t) for n, t in zip(rel.columns, rel.types)}
+    assert rows_of(cols, rows) == rows_of(ocols, rel.fetchall())
 
 
 def test_entry_smoke(spark):
