@@ -193,3 +193,25 @@ def first_in_group(df: DataFrame, group_cols, order_cols) -> DataFrame:
     """First row per group by a window (bounded groups only)."""
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def metric_callback(df: DataFrame, fn, group_cols: Sequence[str], max_group_rows: int = 5_000_000) -> DataFrame:
+    """Run a user metric function ``fn(pandas_frame) -> {metric: value}`` per
+    group (UDF-03 for code that has no Spark form), returning
+    ``(*group_cols, metric, value)``.  Each group is handed whole to one
+    Python task, so the group sizes are checked first and a group above
+    ``max_group_rows`` is refused; use :func:`ranking_metrics` for those."""
+    g = list(group_cols)
+    biggest = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if biggest is not None and biggest > max_group_rows:
+        raise ValueError(f"a group has {biggest} rows (> {max_group_rows}); use ranking_metrics")
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in g] + ["metric string", "value double"])
+
+    def run(pdf):
+        import pandas as pd
+        res = fn(pdf)
+        rows = [{**{c: pdf[c].iloc[0] for c in g}, "metric": k, "value": float(v)} for k, v in res.items()]
+        return pd.DataFrame(rows, columns=[*g, "metric", "value"])
+
+    return df.groupBy(*g).applyInPandas(run, schema)

@@ -107,6 +107,26 @@ def encode_chars(text, mapping: Column, lower: bool = True, keep_unknown: int |
     return F.transform(ids, lambda x: F.coalesce(x, F.lit(keep_unknown)))
 
 
+def encode_chars_by_join(df: DataFrame, key: str, text: str, vocab: DataFrame, lower: bool = True,
+                         out: str = "ids", broadcast_limit: int = 1_000_000) -> DataFrame:
+    """Characters to ids for a vocabulary too large for a literal map
+    (JON-03, large form): explode ``(key, pos, char)``, join the vocabulary
+    (broadcast only below ``broadcast_limit`` rows, checked), and rebuild each
+    row's ids in position order.  A group is one row's characters, so its
+    size is bounded by the row, not by the table.  Unknown characters are
+    dropped; rows with none known get an empty array."""
+    t = F.lower(F.col(text)) if lower else F.col(text)
+    ex = explode_items(df.select(key, t.alias("_t")), chars(F.col("_t")), "token", keep=[key], with_pos="pos")
+    v = vocab.select("token", F.col("id").cast("int").alias("id"))
+    if v.limit(broadcast_limit + 1).count() <= broadcast_limit:
+        v = F.broadcast(v)
+    hits = ex.join(v, "token")
+    per_row = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
+    encoded = per_row.select(key, F.transform("_p", lambda x: x["id"]).alias(out))
+    return (df.select(key).join(encoded, key, "left")
+            .withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>"))))
+
+
 # ---- lengths (TOK-06, TOK-07) ----
 
 def longest(df: DataFrame, cols: Sequence[str]) -> DataFrame:

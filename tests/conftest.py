@@ -4,7 +4,10 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+_HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, os.path.dirname(_HERE))
+# Python workers import test-module functions (callbacks) by name
+os.environ["PYTHONPATH"] = os.pathsep.join([_HERE, os.path.dirname(_HERE), os.environ.get("PYTHONPATH", "")])
 
 SF001 = "/root/testdata/sf0.001"
 

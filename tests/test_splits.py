@@ -113,3 +113,11 @@ def test_batches_keep_every_row(spark):
     b = reshape.batches(d, "k", 8)
     sizes = sorted(r["count"] for r in b.groupBy("batch_id").count().collect())
     assert sum(sizes) == 1003 and sizes[0] == 3 and sizes[-1] == 8
+
+
+def test_duplicate_keys_stay_together(spark):
+    # a group of copies (one key on a third of the rows) lands in one fold
+    d = spark.range(300).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("row_id"))
+    a = splits.kfold(d, "row_id", 5)
+    assert a.where("row_id = -1").select("fold").distinct().count() == 1
+    assert a.count() == 300

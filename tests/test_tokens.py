@@ -114,3 +114,12 @@ def test_pad_left_truncate_right(spark):
     df = spark.createDataFrame([([5, 6, 7],), ([5],)], "ids array<int>")
     rows = df.select(*K.pad_left_truncate_right("ids", 2, pad_id=1)).collect()
     assert [tuple(r) for r in rows] == [([5, 6], [1, 1]), ([1, 5], [0, 1])]
+
+
+def test_encode_by_join_matches_literal_map(spark):
+    df = spark.createDataFrame([(0, "bAa"), (1, "zz"), (2, "cab")], "i int, t string")
+    vocab = K.fit_char_vocab(df.where("i != 1"), "t", ["i"])
+    m = K.vocab_map(vocab)
+    want = {r.i: r.ids for r in df.select("i", K.encode_chars("t", m).alias("ids")).collect()}
+    got = {r.i: r.ids for r in K.encode_chars_by_join(df, "i", "t", vocab).collect()}
+    assert got == want and got[1] == []
