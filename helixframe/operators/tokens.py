@@ -437,12 +437,14 @@ def one_hot(seq, order: Sequence[str] = RESIDUE_ORDER) -> Column:
 
 
 def residue_counts(seq, order: Sequence[str] = RESIDUE_ORDER) -> Column:
-    """Summed one-hot: count of each residue type, unknown last (TOK-16)."""
-    cs = chars(seq)
-    alpha = F.array(*[F.lit(a) for a in order])
-    known = F.transform(alpha, lambda a: F.size(F.filter(cs, lambda ch: ch == a)))
-    unknown = F.size(F.filter(cs, lambda ch: ~F.array_contains(alpha, ch)))
-    return F.concat(known, F.array(unknown))
+    """Summed one-hot: count of each residue type, unknown last (TOK-16).
+    Each count is ``length - length(without that residue)``: native string
+    scans, no per-character lambdas."""
+    s = _c(seq)
+    n = F.char_length(s)
+    known = [n - F.char_length(F.replace(s, F.lit(a), F.lit(""))) for a in order]
+    unknown = n - sum(known[1:], known[0])
+    return F.array(*known, unknown)
 
 
 __all__ = [n for n in dir() if not n.startswith("_")] + ["pad_truncate"]
