@@ -42,12 +42,10 @@ FROM w GROUP BY fold, label
 def flagship(spark, sf_dir):
     """Pairs -> 5 md5 folds -> labelled rows -> (5,2) overlapping words ->
     word totals per fold and label."""
-    p = pairs(spark, sf_dir)
-    folds = splits.kfold(p.select("row_id"), "row_id", k=5, seed=SEED)
-    lab = reshape.unpivot_pairs(p, "surf_sequence", "deep_sequence")
+    p = splits.kfold(pairs(spark, sf_dir), "row_id", k=5, seed=SEED)   # a per-row fold column
+    lab = reshape.unpivot_pairs(p, "surf_sequence", "deep_sequence", keep=["fold"])
     _, n_words, n_chars = _word_stats(F.col("text"), 5, 2)
-    return (lab.join(folds, "row_id")
-            .groupBy("fold", "label")
+    return (lab.groupBy("fold", "label")
             .agg(F.count(F.lit(1)).alias("n_texts"), F.sum(n_words).cast("long").alias("n_words"),
                  F.sum(n_chars).cast("long").alias("n_word_chars")))
 

@@ -222,9 +222,8 @@ FROM lab l JOIN folds f ON l.row_id = f.row_id WHERE f.fold <> 0
 def tok_07(spark, sf_dir):
     """Integer median length of the (2,0) word strings of fold 0's training
     rows (the reference's model_max_length)."""
-    p = pairs(spark, sf_dir)
-    folds = splits.kfold(p.select("row_id"), "row_id", 5, SEED)
-    lab = reshape.unpivot_pairs(p, "surf_sequence", "deep_sequence").join(folds, "row_id")
+    p = splits.kfold(pairs(spark, sf_dir), "row_id", 5, SEED)
+    lab = reshape.unpivot_pairs(p, "surf_sequence", "deep_sequence", keep=["fold"])
     train = lab.where(F.col("fold") != 0).select(T.overlap_string("text", 2, 0).alias("s"))
     return K.median_length(train, "s")
 
