@@ -198,3 +198,16 @@ def test_spearman_with_hot_value(spark):
     ps = [rng.randint(0, 50) if i % 3 else 7 for i in range(3000)]
     r = reg(spark, ys, ps)
     assert abs(r.spearman - brute_spearman(ys, ps)) < 1e-9
+
+
+def test_metrics_same_at_1_and_200_partitions(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("abc"), rng.randint(0, 1), rng.randint(0, 30) / 30) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "g string, label int, score double")
+    res = []
+    for n in (1, 200):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        res.append(sorted((r.g, round(r.auroc, 12), round(r.ap, 12))
+                          for r in M.ranking_metrics(df, "score", "label", ["g"]).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert res[0] == res[1]
