@@ -3,9 +3,10 @@
 A numpy permutation cannot be reproduced, so the random order is
 ``md5(seed:key)`` then the key itself.  Fold and hold-out sizes follow the
 scikit-learn rules (fold sizes differ by at most one, the first ``n mod k``
-folds are larger; a hold-out of fraction f has ``ceil(f*n)`` rows).  All
-ordinals come from :func:`ordinal_by_hash`, so there is no single-partition
-sort anywhere.
+folds are larger; a hold-out of fraction f has ``ceil(f*n)`` rows).  A split
+needs only the few boundary positions of that order: they are found from
+md5-bucket counts and a sort of the boundary buckets alone, and each row's
+side is then a comparison with them (no shuffle or sort of the rows).
 """
 
 from __future__ import annotations
@@ -15,27 +16,11 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.ranks import hash_key, ordinal_by_hash
+from helixframe.operators.ranks import hash_key
 
 TRAIN, VALID, TEST = "train", "valid", "test"
 
 
-def fold_of(rn: Column, n: Column, k: int) -> Column:
-    """Fold of the 0-based position ``rn`` among ``n`` rows cut into ``k``
-    contiguous folds, the first ``n mod k`` of size ``n div k + 1``."""
-    q = F.floor(n / k)
-    r = n - q * k
-    big = r * (q + 1)
-    return F.when(rn < big, F.floor(rn / (q + 1))).otherwise(
-        r + F.floor((rn - big) / F.greatest(q, F.lit(1)))).cast("int")
-
-
-def _ceil_fraction(fraction, n: Column) -> Column:
-    """ceil(fraction * n) computed in DECIMAL so 0.1 * 230 is exactly 23."""
-    f = F.lit(Decimal(str(fraction)))
-    return F.ceil(f * n.cast("decimal(20,0)")).cast("long")
-
-
 # ---- cut points instead of ranks ----
 #
 # A split only needs to know, per row, on which side of a few positions of the

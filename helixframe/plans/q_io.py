@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.text import strip_non_word
 from helixframe.operators import reshape, splits
-from helixframe.plans import sqlparts as Q
 from helixframe.plans.inputs import (METRIC_RECORDS_SQL, PAIRS_SQL, SEED, metric_records, pairs)
 from helixframe.plans.q_splits import _KFV_SQL, _kfold_valid, nested_sql
 from helixframe.plans.q_tokens import _WP_WORDS_SQL, _wp_vocab

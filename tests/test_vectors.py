@@ -1,6 +1,5 @@
 """Vectors and batch scoring (VEC)."""
 
-from pyspark.sql import functions as F
 
 from helixframe.operators import vectors as V
 
