@@ -16,6 +16,8 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.session import ensure_checkpoint_dir
+
 MAX_TREE_DEPTH = 30
 
 
@@ -64,6 +66,7 @@ def cross_validate(data: DataFrame, fold_col: str, make_model: Callable[[], obje
     a time (like ``CrossValidator(parallelism=...)``), over a cached input."""
     from concurrent.futures import ThreadPoolExecutor
 
+    ensure_checkpoint_dir(data.sparkSession)  # deep forests checkpoint their node-id cache
     data = data.cache()
 
     def one(f: int) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql.types import NumericType
 
 from helixframe.functions.text import BERT_TOKEN, chars, explode_items, pad_truncate
 from helixframe.operators.ranks import running_totals
+from helixframe.session import reliable_checkpoint
 
 # ---- fixed values that must equal the libraries the reference calls ----
 # BERT special tokens, ids 0-4 in this order.
@@ -246,7 +247,8 @@ def train_wordpiece(words: DataFrame, word: str = "word", count: str = "count",
     spark = spark or words.sparkSession
     state = (words.groupBy(word).agg(F.sum(count).cast("long").alias("count"))
              .select(_initial_symbols(F.col(word)).alias("sym"), "count")
-             .where(F.size("sym") > 0)).checkpoint()  # word table: reused by every round
+             .where(F.size("sym") > 0))
+    state = reliable_checkpoint(state)  # word table: reused by every round
     alpha = state.select(F.explode("sym").alias("t")).distinct()
     heads = sorted(r[0] for r in alpha.where(~F.col("t").startswith(WORDPIECE_PREFIX)).collect())
     tails = sorted(r[0] for r in alpha.where(F.col("t").startswith(WORDPIECE_PREFIX)).collect())
@@ -281,7 +283,7 @@ def train_wordpiece(words: DataFrame, word: str = "word", count: str = "count",
         state = _apply_merges(state, isolated, general)
         rounds += 1
         if rounds % checkpoint_every == 0:
-            state = state.checkpoint()
+            state = reliable_checkpoint(state)
     return spark.createDataFrame([(t, i) for i, t in enumerate(vocab)], "token string, id int")
 
 

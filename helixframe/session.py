@@ -72,3 +72,11 @@ def scratch_path(spark: SparkSession, name: str = "run") -> str:
     """A fresh, unique folder under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/helixframe-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the shared folder (resolved first, so a
+    session created elsewhere works too).  Used to cut lineage in loops;
+    ``localCheckpoint`` is never used, since executors can be lost."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
