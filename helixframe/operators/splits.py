@@ -76,26 +76,53 @@ def _positions_cut(df: DataFrame, hash_col: str, key: str, pcols: list[str],
 
 
 def _before(hash_col: str, key: str, cut) -> Column:
-    """Row sorts before the cut point (hash, key); None = past the end."""
+    """Row sorts before the cut point (hash, key); None = past the end.  The
+    cut is a pair of literals, or of columns (NULL = past the end)."""
     if cut is None:
         return F.lit(True)
     h, k = cut
+    if isinstance(h, Column):
+        return F.coalesce((F.col(hash_col) < h) | ((F.col(hash_col) == h) & (F.col(key) < k)), F.lit(True))
     return (F.col(hash_col) < F.lit(h)) | ((F.col(hash_col) == F.lit(h)) & (F.col(key) < F.lit(k)))
 
 
-def _per_group(pcols: list[str], cuts: dict, make) -> Column:
-    """``make(n, cut_list)`` for the row's group, as one CASE expression."""
+_CASE_GROUPS = 64
+
+
+def _assign(d: DataFrame, pcols: list[str], cuts: dict, make, out: str, hash_col: str, key: str) -> DataFrame:
+    """Add ``out = make(n, cut_list)`` for each row's group.  Few groups: one
+    CASE over literal cut points.  Many groups: the cut points become a small
+    table (one row per group, bounded by the count check) joined by
+    broadcast, and the comparison reads its columns."""
     if not pcols:
         n, cl = cuts.get((), (0, []))
-        return make(n, cl)
-    expr = None
+        return d.withColumn(out, make(n, cl))
+    if len(cuts) <= _CASE_GROUPS:
+        expr = None
+        for g, (n, cl) in cuts.items():
+            cond = None
+            for c, v in zip(pcols, g):
+                t = F.col(c) == F.lit(v) if v is not None else F.col(c).isNull()
+                cond = t if cond is None else cond & t
+            expr = F.when(cond, make(n, cl)) if expr is None else expr.when(cond, make(n, cl))
+        return d.withColumn(out, expr)
+    width = max(len(cl) for _, cl in cuts.values())
+    ktype = d.schema[key].dataType.simpleString()
+    fields = [f"`{c}` {d.schema[c].dataType.simpleString()}" for c in pcols] + ["_n long"]
+    for i in range(width):
+        fields += [f"_ch{i} string", f"_ck{i} {ktype}"]
+    rows = []
     for g, (n, cl) in cuts.items():
-        cond = None
-        for c, v in zip(pcols, g):
-            t = F.col(c) == F.lit(v) if v is not None else F.col(c).isNull()
-            cond = t if cond is None else cond & t
-        expr = F.when(cond, make(n, cl)) if expr is None else expr.when(cond, make(n, cl))
-    return expr
+        vals = list(g) + [n]
+        for i in range(width):
+            c = cl[i] if i < len(cl) else None
+            vals += [c[0], c[1]] if c else [None, None]
+        rows.append(tuple(vals))
+    table = d.sparkSession.createDataFrame(rows, ", ".join(fields))
+    col_cuts = [(F.col(f"_ch{i}"), F.col(f"_ck{i}")) for i in range(width)]
+    joined = d.join(F.broadcast(table), pcols, "left")
+    extra = ["_n"] + [f"_{x}{i}" for i in range(width) for x in ("ch", "ck")]
+    return joined.withColumn(out, make(F.col("_n"), col_cuts)).drop(*extra)
 
 
 def _fold_starts(n: int, k: int) -> list[int]:
@@ -135,8 +162,8 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 1234, repeats: int |
     cuts = _positions_cut(d, "_h", key, pcols, lambda n: _fold_starts(n, k))
 
     def fold_expr(n, cl):
-        return sum(((~_before("_h", key, c)).cast("int") for c in cl), F.lit(0))
-    return d.withColumn(out, _per_group(pcols, cuts, fold_expr).cast("int")).drop("_h")
+        return sum(((~_before("_h", key, c)).cast("int") for c in cl), F.lit(0)).cast("int")
+    return _assign(d, pcols, cuts, fold_expr, out, "_h", key).drop("_h")
 
 
 def split_index(assign: DataFrame, key: str, k: int, fold_col: str = "fold") -> DataFrame:
@@ -165,7 +192,7 @@ def holdout(df: DataFrame, key: str, fraction: float, seed: int = 1234,
 
     def side(n, cl):
         return F.when(_before("_h", key, cl[0]), F.lit(held)).otherwise(F.lit(rest))
-    return d.withColumn(out, _per_group(pcols, cuts, side)).drop("_h")
+    return _assign(d, pcols, cuts, side, out, "_h", key).drop("_h")
 
 
 def nested_holdout(df: DataFrame, key: str, val_size: float, test_size: float, seed: int = 1234,
@@ -213,8 +240,9 @@ def kfold_with_valid(split_idx: DataFrame, key: str, valid_fraction: float = 0.1
 
     def side(n, cl):
         return _before("_h", key, cl[0])
-    is_valid = (F.col("split") == TRAIN) & _per_group(["repeat", "fold"], cuts, side)
-    return d.withColumn("split", F.when(is_valid, F.lit(VALID)).otherwise(F.col("split"))).drop("_h")
+    d = _assign(d, ["repeat", "fold"], cuts, side, "_v", "_h", key)
+    is_valid = (F.col("split") == TRAIN) & F.col("_v")
+    return d.withColumn("split", F.when(is_valid, F.lit(VALID)).otherwise(F.col("split"))).drop("_h", "_v")
 
 
 def resolve_split(df: DataFrame, key: str, split_table: DataFrame | None = None,

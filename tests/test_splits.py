@@ -121,3 +121,13 @@ def test_duplicate_keys_stay_together(spark):
     a = splits.kfold(d, "row_id", 5)
     assert a.where("row_id = -1").select("fold").distinct().count() == 1
     assert a.count() == 300
+
+
+def test_holdout_many_groups_uses_join_path(spark):
+    d = spark.range(20000).select(F.col("id").alias("k"), (F.col("id") % 100).alias("g"))
+    h = splits.holdout(d, "k", 0.1, partition_cols=["g"])   # 100 groups > CASE limit
+    per = {r.g: r["count"] for r in h.where("split = 'test'").groupBy("g").count().collect()}
+    assert len(per) == 100 and set(per.values()) == {20}
+    few = splits.holdout(d.where("g < 10"), "k", 0.1, partition_cols=["g"])
+    both = h.where("g < 10").select("k", "split").exceptAll(few.select("k", "split")).count()
+    assert both == 0
