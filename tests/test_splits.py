@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -131,3 +133,16 @@ def test_holdout_many_groups_uses_join_path(spark):
     few = splits.holdout(d.where("g < 10"), "k", 0.1, partition_cols=["g"])
     both = h.where("g < 10").select("k", "split").exceptAll(few.select("k", "split")).count()
     assert both == 0
+
+
+@pytest.mark.parametrize("n_pairs, folds, sizes", [
+    (230456, [0], (331854, 36874, 92184)),          # train / valid / test labelled rows, fold 0
+    (5559, [0, 1, 2, 3], (8004, 890, 2224)),         # the same for folds 0-3
+])
+def test_reference_split_sizes_with_valid(spark, n_pairs, folds, sizes):
+    p = spark.range(n_pairs).withColumnRenamed("id", "row_id")
+    idx = splits.split_index(splits.kfold(p, "row_id", 5), "row_id", 5)
+    v = splits.kfold_with_valid(idx, "row_id", 0.1)
+    got = {(r.fold, r.split): r["count"] * 2 for r in v.groupBy("fold", "split").count().collect()}
+    for f in folds:
+        assert (got[(f, "train")], got[(f, "valid")], got[(f, "test")]) == sizes

@@ -123,3 +123,15 @@ def test_encode_by_join_matches_literal_map(spark):
     want = {r.i: r.ids for r in df.select("i", K.encode_chars("t", m).alias("ids")).collect()}
     got = {r.i: r.ids for r in K.encode_chars_by_join(df, "i", "t", vocab).collect()}
     assert got == want and got[1] == []
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.text(alphabet="LAGVSERTIDPKQNFYMHWC", max_size=30))
+def test_decode_encode_roundtrip(spark, seq):
+    df = spark.createDataFrame([(seq,)], "s string")
+    toks = df.select(K.ids_to_tokens(K.drop_markers(K.residue_ids("s")))).first()[0]
+    assert "".join(toks) == seq
