@@ -66,11 +66,16 @@ def prj_04(spark, sf_dir):
                      F.col("value").try_cast("decimal(12,2)").alias("value_dec"))
 
 
-@query("prj_05", "SELECT doc_id, length(substring(text, 1, 1024)) AS n_kept, md5(substring(text, 1, 1024)) AS kept_md5 FROM documents")
+@query("prj_05", """
+SELECT doc_id, length(text) AS n_chars, length(substring(text, 1, 1024)) AS n_kept,
+       md5(substring(text, 1, 1024)) AS kept_md5 FROM documents
+""")
 def prj_05(spark, sf_dir):
-    """Keep the first 1,024 characters."""
+    """Keep the first 1,024 characters (the operator truncates; the whole
+    text is read, its full length reported alongside)."""
     s = F.substring("text", 1, 1024)
-    return _docs(spark, sf_dir).select("doc_id", F.char_length(s).cast("long").alias("n_kept"), F.md5(s).alias("kept_md5"))
+    return _docs(spark, sf_dir).select("doc_id", F.char_length("text").cast("long").alias("n_chars"),
+                                       F.char_length(s).cast("long").alias("n_kept"), F.md5(s).alias("kept_md5"))
 
 
 @query("prj_06", """
@@ -298,20 +303,25 @@ def tok_10(spark, sf_dir):
 
 
 @query("tok_11", _WP_ENC_SQL + f"""
-, b AS (SELECT doc_id, ids[1:256] AS cut, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch_id FROM enc),
+, b AS (SELECT doc_id, len(ids) AS n_ids, ids[1:256] AS cut,
+              (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch_id FROM enc),
 m AS (SELECT *, max(len(cut)) OVER (PARTITION BY batch_id) AS batch_max FROM b)
-SELECT doc_id, batch_id, {Q.md5_ints("list_concat(list_transform(range(batch_max - len(cut)), lambda x: 1), cut)")} AS input_ids_md5,
+SELECT doc_id, batch_id, CAST(n_ids AS BIGINT) AS n_ids,
+       {Q.md5_ints("list_concat(list_transform(range(batch_max - len(cut)), lambda x: 1), cut)")} AS input_ids_md5,
        {Q.md5_ints("list_concat(list_transform(range(batch_max - len(cut)), lambda x: 0), list_transform(cut, lambda x: 1))")} AS mask_md5
 FROM m
 """)
 def tok_11(spark, sf_dir):
     """Truncate right at 256, pad left with [PAD] (id 1) to the longest row
-    of each batch of 64, with the attention mask."""
-    e = _wp_encoded(spark, sf_dir).withColumn("cut", F.slice("ids", 1, 256))
+    of each batch of 64, with the attention mask.  Whole documents are
+    encoded (``n_ids``); the model input is then cut, as the tokenizer does."""
+    e = _wp_encoded(spark, sf_dir).withColumn("cut", F.slice("ids", 1, 256)) \
+        .withColumn("n_ids", F.size("ids").cast("long"))
     b = reshape.batches(e, "doc_id", 64)
     b = reshape.longest_in_batch(b.withColumn("_n", F.size("cut")), "_n")
     ids, mask = K.pad_left_truncate_right("cut", F.col("batch_max"), pad_id=1)
-    return b.select("doc_id", "batch_id", _md5_join(ids).alias("input_ids_md5"), _md5_join(mask).alias("mask_md5"))
+    return b.select("doc_id", "batch_id", "n_ids", _md5_join(ids).alias("input_ids_md5"),
+                    _md5_join(mask).alias("mask_md5"))
 
 
 # ---------------- residue tokens ----------------
