@@ -59,13 +59,10 @@ def attach_splits(df: DataFrame, split_index: DataFrame, key: str = "row_id") ->
 def append_columns(df: DataFrame, cols: Sequence[str], out: str = "text",
                    key: str = "row_id") -> DataFrame:
     """Stack columns of one type into one column, bag semantics (SET-02):
-    UNION ALL, tagged with the source column."""
-    parts = [df.select(F.col(key), F.lit(c).alias("source_col"), F.col(quote(c)).alias(out))
-             for c in cols]
-    out_df = parts[0]
-    for p in parts[1:]:
-        out_df = out_df.unionByName(p)
-    return out_df
+    UNION ALL of the columns, tagged with the source column, written as one
+    ``stack`` generator so the input is scanned once, not once per column."""
+    pairs = ", ".join(f"'{c}', {quote(c)}" for c in cols)
+    return df.selectExpr(quote(key), f"stack({len(cols)}, {pairs}) AS (source_col, {quote(out)})")
 
 
 def concat_splits(df: DataFrame, key: str = "row_id", split_col: str = "split",
