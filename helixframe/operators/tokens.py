@@ -32,8 +32,13 @@ ESM_ALPHABET = ["<cls>", "<pad>", "<eos>", "<unk>",
 # Residue order of the 21-wide one-hot residue feature (20 residues, then unknown).
 RESIDUE_ORDER = ["G", "A", "S", "P", "V", "T", "C", "I", "L", "N",
                  "D", "Q", "K", "E", "M", "H", "F", "R", "Y", "W"]
+# CJK ideograph ranges that BERT's normaliser surrounds with spaces.
+CJK_RANGES = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F),
+              (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F)]
 # ---- end of fixed values ----
 
+CJK_CLASS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES) + "]"
+
 
 # Distinct characters a character vocabulary may hold (all of Unicode fits).
 MAX_CHAR_VOCAB = 1_200_000
@@ -185,9 +190,11 @@ def strip_accents(col) -> Column:
 
 def bert_clean_lower(col, lowercase: bool = True) -> Column:
     """BertNormalizer without the accent step: drop control characters, map
-    whitespace (tab, newline, return, Zs) to spaces, lower-case.  All JVM."""
+    whitespace (tab, newline, return, Zs) to spaces, put spaces around CJK
+    ideographs, lower-case.  All JVM."""
     s = F.regexp_replace(_c(col), r"[\x{0}\x{FFFD}]|[^\P{C}\t\n\r]", "")
     s = F.regexp_replace(s, r"[\t\n\r\p{Zs}]", " ")
+    s = F.regexp_replace(s, f"({CJK_CLASS})", " $1 ")  # handle_chinese_chars
     return F.lower(s) if lowercase else s
 
 

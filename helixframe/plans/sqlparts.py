@@ -3,7 +3,7 @@ expressions in ``helixframe.functions`` and ``helixframe.operators``)."""
 
 from __future__ import annotations
 
-from helixframe.operators.tokens import BERT_SPECIALS, ESM_ALPHABET, RESIDUE_ORDER
+from helixframe.operators.tokens import BERT_SPECIALS, CJK_CLASS, ESM_ALPHABET, RESIDUE_ORDER
 
 PUNCT = r"[\p{P}!-/:-@\[-`{-~]"
 
@@ -27,6 +27,7 @@ def chars(text: str) -> str:
 def bert_normalize(text: str) -> str:
     s = f"regexp_replace({text}, '[\\x00\\x{{FFFD}}]|[^\\P{{C}}\\t\\n\\r]', '', 'g')"
     s = f"regexp_replace({s}, '[\\t\\n\\r\\p{{Zs}}]', ' ', 'g')"
+    s = f"regexp_replace({s}, '({CJK_CLASS})', ' \\1 ', 'g')"
     return f"strip_accents(lower({s}))"
 
 

@@ -135,3 +135,8 @@ def test_decode_encode_roundtrip(spark, seq):
     df = spark.createDataFrame([(seq,)], "s string")
     toks = df.select(K.ids_to_tokens(K.drop_markers(K.residue_ids("s")))).first()[0]
     assert "".join(toks) == seq
+
+
+def test_bert_cjk_spacing(spark):
+    df = spark.createDataFrame([("ab中文c",)], "t string")
+    assert df.select(K.bert_pretokenize(K.bert_normalize(F.col("t")))).first()[0] == ["ab", "中", "文", "c"]
