@@ -28,7 +28,7 @@ TRAIN, VALID, TEST = "train", "valid", "test"
 # bucket counts (the bucket holding m) and one sort of that bucket only, so
 # assigning folds is a per-row comparison: no shuffle or sort of the rows.
 
-_MAX_COUNT_ROWS = 2_000_000
+_MAX_GROUPS = 1_000_000
 
 
 def _positions_cut(df: DataFrame, hash_col: str, key: str, pcols: list[str],
@@ -36,43 +36,49 @@ def _positions_cut(df: DataFrame, hash_col: str, key: str, pcols: list[str],
     """For every group, the (hash, key) found at each requested 0-based
     position (``targets(n) -> list of positions`` for a group of n rows).
     Returns ``{group: (n, [(hash, key) or None, ...])}``, None meaning the
-    position is at or past the end of the group."""
-    d = df.select(*pcols, hash_col, key).withColumn("_b", F.substring(F.col(hash_col), 1, bucket_chars))
-    counts = d.groupBy(*pcols, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    rows = counts.limit(_MAX_COUNT_ROWS + 1).collect()
-    if len(rows) > _MAX_COUNT_ROWS:
-        raise ValueError("too many groups for cut-point splits")
-    per_group: dict = {}
-    for r in rows:
-        per_group.setdefault(tuple(r[c] for c in pcols), []).append((r["_b"], r["_n"]))
-    wanted = []          # (group, bucket, offset inside bucket, target index)
-    sizes = {}
-    for g, bl in per_group.items():
-        bl.sort()
-        n = sum(c for _, c in bl)
-        sizes[g] = (n, targets(n))
-        for ti, m in enumerate(sizes[g][1]):
-            if m >= n:
-                continue
-            cum = 0
-            for b, c in bl:
-                if m < cum + c:
-                    wanted.append((g, b, m - cum, ti))
-                    break
-                cum += c
-    found: dict = {}
-    if wanted:
-        spark = df.sparkSession
-        need = spark.createDataFrame([(*g, b, o, ti) for g, b, o, ti in wanted],
-                                     ", ".join([f"`{c}` {d.schema[c].dataType.simpleString()}" for c in pcols]
-                                               + ["_b string", "_o long", "_t int"]))
-        sub = d.join(F.broadcast(need.select(*pcols, "_b").distinct()), [*pcols, "_b"], "left_semi")
-        w = Window.partitionBy(*pcols, "_b").orderBy(F.col(hash_col), F.col(key))
-        ranked = sub.withColumn("_o", F.row_number().over(w) - 1)
-        hits = ranked.join(F.broadcast(need), [*pcols, "_b", "_o"]).select(*pcols, "_t", hash_col, key).collect()
-        for h in hits:
-            found[(tuple(h[c] for c in pcols), h["_t"])] = (h[hash_col], h[key])
-    return {g: (n, [found.get((g, ti)) for ti in range(len(ts))]) for g, (n, ts) in sizes.items()}
+    position is at or past the end of the group.
+
+    Spark does the counting: rows per (group, md5-prefix bucket), a running
+    count over that small table, and the bucket holding each target.  The
+    driver sees one row per group (its size) and one per target; only the
+    target buckets are then sorted to read the exact cut rows.
+    """
+    spark = df.sparkSession
+    user_cols = list(pcols)
+    pcols = user_cols or ["_g"]          # one constant group: joins stay equi-joins
+    d = df.select(*user_cols, hash_col, key)
+    if not user_cols:
+        d = d.withColumn("_g", F.lit(0))
+    d = d.withColumn("_b", F.substring(F.col(hash_col), 1, bucket_chars))
+    counts = d.groupBy(*pcols, "_b").agg(F.count(F.lit(1)).alias("_n")).cache()
+    try:
+        size_rows = counts.groupBy(*pcols).agg(F.sum("_n").alias("n")).limit(_MAX_GROUPS + 1).collect()
+        if len(size_rows) > _MAX_GROUPS:
+            raise ValueError("too many groups for cut-point splits")
+        sizes = {tuple(r[c] for c in pcols): (int(r["n"]), targets(int(r["n"]))) for r in size_rows}
+        if not size_rows:
+            sizes = {(0,): (0, targets(0))}
+        wanted = [(*g, ti, m) for g, (n, ts) in sizes.items() for ti, m in enumerate(ts) if m < n]
+        found: dict = {}
+        if wanted:
+            gtypes = [f"`{c}` {d.schema[c].dataType.simpleString()}" for c in pcols]
+            tdf = spark.createDataFrame(wanted, ", ".join(gtypes + ["_t int", "_m long"]))
+            before = Window.partitionBy(*pcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+            cum = counts.withColumn("_c0", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+            loc = (cum.join(F.broadcast(tdf), pcols)
+                   .where((F.col("_m") >= F.col("_c0")) & (F.col("_m") < F.col("_c0") + F.col("_n")))
+                   .select(*pcols, "_b", (F.col("_m") - F.col("_c0")).alias("_o"), "_t"))
+            need = spark.createDataFrame(loc.collect(), loc.schema)
+            sub = d.join(F.broadcast(need.select(*pcols, "_b").distinct()), [*pcols, "_b"], "left_semi")
+            w = Window.partitionBy(*pcols, "_b").orderBy(F.col(hash_col), F.col(key))
+            ranked = sub.withColumn("_o", F.row_number().over(w) - 1)
+            hits = ranked.join(F.broadcast(need), [*pcols, "_b", "_o"]).select(*pcols, "_t", hash_col, key).collect()
+            for h in hits:
+                found[(tuple(h[c] for c in pcols), h["_t"])] = (h[hash_col], h[key])
+    finally:
+        counts.unpersist()
+    out = {g: (n, [found.get((g, ti)) for ti in range(len(ts))]) for g, (n, ts) in sizes.items()}
+    return out if user_cols else {(): out.get((0,), (0, []))}
 
 
 def _before(hash_col: str, key: str, cut) -> Column:
