@@ -68,7 +68,7 @@ def _positions_cut(df: DataFrame, hash_col: str, key: str, pcols: list[str],
             loc = (cum.join(F.broadcast(tdf), pcols)
                    .where((F.col("_m") >= F.col("_c0")) & (F.col("_m") < F.col("_c0") + F.col("_n")))
                    .select(*pcols, "_b", (F.col("_m") - F.col("_c0")).alias("_o"), "_t"))
-            need = spark.createDataFrame(loc.collect(), loc.schema)
+            need = loc          # built from the cached counts: small, no extra job
             sub = d.join(F.broadcast(need.select(*pcols, "_b").distinct()), [*pcols, "_b"], "left_semi")
             w = Window.partitionBy(*pcols, "_b").orderBy(F.col(hash_col), F.col(key))
             ranked = sub.withColumn("_o", F.row_number().over(w) - 1)
