@@ -17,28 +17,33 @@ def with_file_position(df: DataFrame, out: str = "row_id") -> DataFrame:
     """0-based position of each row in file order (files by path, rows in
     file order), the pandas row index of the reference.
 
-    Needs a scan where each file sits whole in one task (``multiLine`` CSV,
-    ``wholetext``): rows of a file then have consecutive
-    ``monotonically_increasing_id`` values, and the offset of each file comes
-    from a table with one row per file.
+    Works for whole-file scans (``multiLine`` CSV, ``wholetext``) and for
+    scans that split large files: rows of one split are read by one task in
+    order, so they have consecutive ``monotonically_increasing_id`` values,
+    and the offset of each (file, split) comes from a table with one row per
+    split.
     """
     d = df.select("*", F.col("_metadata.file_path").alias("_fp"),
+                  F.col("_metadata.file_block_start").alias("_blk"),
                   F.monotonically_increasing_id().alias("_mid"))
-    files = d.groupBy("_fp").agg(F.count(F.lit(1)).alias("_fc"), F.min("_mid").alias("_fmin"))
-    before = Window.orderBy("_fp").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("_fp", "_fmin", F.coalesce(F.sum("_fc").over(before), F.lit(0)).alias("_foff"))
-    return (d.join(F.broadcast(offsets), "_fp")
-            .withColumn(out, (F.col("_foff") + F.col("_mid") - F.col("_fmin")).cast("long"))
-            .drop("_fp", "_mid", "_fmin", "_foff"))
+    splits_t = d.groupBy("_fp", "_blk").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
+    before = Window.orderBy("_fp", "_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits_t.select("_fp", "_blk", "_m0", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    return (d.join(F.broadcast(offsets), ["_fp", "_blk"])
+            .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
+            .drop("_fp", "_blk", "_mid", "_m0", "_off"))
 
 
 def read_pair_csv(spark: SparkSession, path: str, first: str = "surf.sequence",
                   second: str = "deep.sequence", out_first: str = "surf_sequence",
-                  out_second: str = "deep_sequence", with_row_id: bool = True) -> DataFrame:
+                  out_second: str = "deep_sequence", with_row_id: bool = True,
+                  multiline: bool = True) -> DataFrame:
     """Pair table from comma-separated text with a header (SRC-01).  Dotted
-    header names are renamed on read; ``row_id`` is the file position."""
+    header names are renamed on read; ``row_id`` is the file position.
+    ``multiline`` allows quoted fields with line breaks (each file is then
+    parsed by one task); ``multiline=False`` lets Spark split large files."""
     schema = T.StructType([T.StructField(first, T.StringType()), T.StructField(second, T.StringType())])
-    df = (spark.read.schema(schema).option("header", True).option("multiLine", True)
+    df = (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
           .option("enforceSchema", False).csv(path))
     df = df.select(F.col(f"`{first}`").alias(out_first), F.col(f"`{second}`").alias(out_second))
     if with_row_id:

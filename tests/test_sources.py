@@ -128,3 +128,17 @@ def test_metric_records_round_trip(spark, tmp_dir):
     WR.write_metric_records(df, out)
     r = RD.read_metric_records(spark, out).first()
     assert (r.dataset, r.model, r.metric, r.value) == ("ds", "cnn", "auroc [deep]", 0.9)
+
+
+def test_pair_csv_split_large_file(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "bigcsv")
+    write(d, "a.csv", "surf.sequence,deep.sequence\n" + "".join(f"S{i},D{i}\n" for i in range(30000)))
+    write(d, "b.csv", "surf.sequence,deep.sequence\nT0,E0\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32768")
+    try:
+        df = RD.read_pair_csv(spark, d, multiline=False)
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {r.row_id: r.surf_sequence for r in rows}
+    assert len(rows) == 30001 and all(got[i] == f"S{i}" for i in range(30000)) and got[30000] == "T0"
