@@ -113,9 +113,8 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, group_cols: Sequence[st
     correlation of mid-ranks (ties averaged); NULL for a constant column."""
     g = list(group_cols or [])
     d = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
-    basic = d.groupBy(*g).agg(F.count(F.lit(1)).alias("n"),
-                              F.avg(F.abs(F.col(y) - F.col(yhat))).alias("mae"),
-                              F.sqrt(F.avg(F.pow(F.col(y) - F.col(yhat), 2))).alias("rmse"))
+    basic = d.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), mae(y, yhat).alias("mae"),
+                              rmse(y, yhat).alias("rmse"))
     r = mid_ranks(d, y, g, out="_ry", n_buckets=n_buckets)
     r = mid_ranks(r, yhat, g, out="_rp", n_buckets=n_buckets)
     # Pearson of the ranks from central moments; try_divide gives NULL for a
@@ -127,6 +126,16 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, group_cols: Sequence[st
     return basic.join(sp, g)
 
 
+def mae(y, yhat) -> Column:
+    """Mean absolute error aggregate (MET-06)."""
+    return F.avg(F.abs(_c(y) - _c(yhat)))
+
+
+def rmse(y, yhat) -> Column:
+    """Root mean squared error aggregate (MET-07)."""
+    return F.sqrt(F.avg(F.pow(_c(y) - _c(yhat), 2)))
+
+
 def accuracy(df: DataFrame, prob: str, label: str, group_cols: Sequence[str] | None = None,
              threshold: float = 0.5) -> DataFrame:
     """Share of rows with ``(prob >= threshold) == label`` (MET-09)."""

@@ -126,15 +126,14 @@ def _regression(spark, sf_dir):
 def met_06(spark, sf_dir):
     """Mean absolute error per return flag (quantity vs scaled discount)."""
     r = regression(spark, sf_dir)
-    return r.groupBy("grp").agg(F.count(F.lit(1)).alias("n"),
-                                _r(F.avg(F.abs(F.col("y") - F.col("yhat")))).alias("mae"))
+    return r.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), _r(M.mae("y", "yhat")).alias("mae"))
 
 
 @query("met_07", f"WITH {_REG} SELECT grp, round(sqrt(avg(pow(y - yhat, 2))), {R}) AS rmse FROM r GROUP BY grp")
 def met_07(spark, sf_dir):
     """Root mean squared error per return flag."""
     r = regression(spark, sf_dir)
-    return r.groupBy("grp").agg(_r(F.sqrt(F.avg(F.pow(F.col("y") - F.col("yhat"), 2)))).alias("rmse"))
+    return r.groupBy("grp").agg(_r(M.rmse("y", "yhat")).alias("rmse"))
 
 
 @query("met_08", _SPEARMAN_SQL)
