@@ -29,6 +29,8 @@ ESM_ALPHABET = ["<cls>", "<pad>", "<eos>", "<unk>",
                 "L", "A", "G", "V", "S", "E", "R", "T", "I", "D", "P", "K", "Q", "N",
                 "F", "Y", "M", "H", "W", "C", "X", "B", "U", "Z", "O", ".", "-",
                 "<null_1>", "<mask>"]
+# Keras Tokenizer default filters (characters turned into separators).
+KERAS_FILTERS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
 # Residue order of the 21-wide one-hot residue feature (20 residues, then unknown).
 RESIDUE_ORDER = ["G", "A", "S", "P", "V", "T", "C", "I", "L", "N",
                  "D", "Q", "K", "E", "M", "H", "F", "R", "Y", "W"]
@@ -63,31 +65,54 @@ def fit_char_vocab(df: DataFrame, text: str, order_cols: Sequence[str], lower: b
     Other orderings use a (token, row) aggregate, then a struct minimum.
     """
     t = F.lower(F.col(text)) if lower else F.col(text)
+    return _fit_vocab(df, lambda: chars(t), order_cols, MAX_CHAR_VOCAB)
+
+
+def keras_words(text, lower: bool = True, filters: str = KERAS_FILTERS) -> Column:
+    """Keras ``text_to_word_sequence``: lower-case, every filter character
+    becomes a space, split on single spaces, empty strings dropped."""
+    t = F.lower(_c(text)) if lower else _c(text)
+    cls = "[" + "".join({"\t": "\\t", "\n": "\\n"}.get(c, "\\" + c) for c in filters) + "]"
+    return F.filter(F.split(F.regexp_replace(t, cls, " "), " "), lambda w: w != "")
+
+
+def fit_word_vocab(df: DataFrame, text: str, order_cols: Sequence[str], lower: bool = True,
+                   max_entries: int = 5_000_000) -> DataFrame:
+    """Word vocabulary as Keras ``Tokenizer()`` fits it (TOK-03 word form):
+    id 1 = most frequent word, ties by first appearance.  The vocabulary is
+    size-checked (at most ``max_entries`` distinct words) before it is
+    numbered; cap it afterwards with :func:`cap_vocab` (``num_words``)."""
+    return _fit_vocab(df, lambda: keras_words(F.col(text), lower), order_cols, max_entries)
+
+
+def _fit_vocab(df: DataFrame, tokens, order_cols: Sequence[str], max_entries: int) -> DataFrame:
     numeric = len(order_cols) == 1 and isinstance(df.schema[order_cols[0]].dataType, NumericType)
     if not numeric:
-        ex = explode_items(df, chars(t), "token", keep=order_cols, with_pos="pos")
+        ex = explode_items(df, tokens(), "token", keep=order_cols, with_pos="pos")
         per_row = ex.groupBy("token", *order_cols).agg(F.count(F.lit(1)).alias("_c"), F.min("pos").alias("_p"))
         first = F.struct(*[F.col(c) for c in order_cols], F.col("_p"))
         counts = per_row.groupBy("token").agg(F.sum("_c").alias("count"), F.min(first).alias("_first"))
+        if counts.limit(max_entries + 1).count() > max_entries:
+            raise ValueError(f"more than {max_entries} distinct tokens")
     else:
         o = order_cols[0]
-        ex = explode_items(df, chars(t), "token", keep=[o])
+        ex = explode_items(df, tokens(), "token", keep=[o])
         agg = ex.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(o).alias("_row"))
-        # one row per distinct character: bounded, so it comes to the driver
-        rows = agg.limit(MAX_CHAR_VOCAB + 1).collect()
-        if len(rows) > MAX_CHAR_VOCAB:
-            raise ValueError("more distinct characters than MAX_CHAR_VOCAB")
+        # one row per distinct token, size-checked: it comes to the driver
+        rows = agg.limit(max_entries + 1).collect()
+        if len(rows) > max_entries:
+            raise ValueError(f"more than {max_entries} distinct tokens")
         spark = df.sparkSession
         small = spark.createDataFrame([(r["token"], r["_row"], r["count"]) for r in rows],
                                       f"token string, {o} {df.schema[o].dataType.simpleString()}, count long")
         # second pass over the first rows only (a pushed-down IN filter)
         first_rows = sorted({r["_row"] for r in rows})
         sub = df.where(F.col(o).isin(first_rows)) if first_rows else df.limit(0)
-        firsts = explode_items(sub, chars(t), "token", keep=[o], with_pos="pos")
+        firsts = explode_items(sub, tokens(), "token", keep=[o], with_pos="pos")
         pos = (firsts.join(F.broadcast(small.select("token", o)), ["token", o])
                .groupBy("token").agg(F.min("pos").alias("_pos")))
         counts = small.join(pos, "token").select("token", "count", F.struct(o, "_pos").alias("_first"))
-    # the vocabulary is one row per distinct character: a plain window is fine
+    # one row per distinct token, bounded by the check above: a plain window
     w = Window.orderBy(F.col("count").desc(), F.col("_first").asc())
     return counts.select("token", F.row_number().over(w).cast("int").alias("id"), "count")
 

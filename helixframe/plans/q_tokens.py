@@ -192,6 +192,25 @@ def jon_03(spark, sf_dir):
                     (F.char_length("text") - F.size("ids")).cast("long").alias("n_dropped"))
 
 
+def _keras_class() -> str:
+    return "[" + "".join({"\t": "\\t", "\n": "\\n"}.get(c, "\\" + c)
+                         for c in K.KERAS_FILTERS).replace("'", "''") + "]"
+
+
+@query("tok_03_word", f"""
+WITH ws AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '{_keras_class()}', ' ', 'g'), ' '),
+                                       lambda x: x <> '') AS w FROM documents),
+ww AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS pos FROM ws)
+SELECT token, CAST(row_number() OVER (ORDER BY count(*) DESC, min(doc_id * 100000000 + pos)) AS INTEGER) AS id,
+       count(*) AS count
+FROM ww GROUP BY token
+""")
+def tok_03_word(spark, sf_dir):
+    """Word vocabulary (Keras default filters, lower-case, split on spaces):
+    id 1 = most frequent word, ties by first appearance."""
+    return K.fit_word_vocab(_docs(spark, sf_dir), "text", ["doc_id"])
+
+
 @query("top_03", f"WITH {_char_vocab_sql()[1:]} SELECT token, id FROM cv WHERE id < 20")
 def top_03(spark, sf_dir):
     """Vocabulary capped to ids below 20 (Keras num_words)."""

@@ -140,3 +140,21 @@ def test_decode_encode_roundtrip(spark, seq):
 def test_bert_cjk_spacing(spark):
     df = spark.createDataFrame([("ab中文c",)], "t string")
     assert df.select(K.bert_pretokenize(K.bert_normalize(F.col("t")))).first()[0] == ["ab", "中", "文", "c"]
+
+
+def py_keras_word_vocab(texts):
+    filters = K.KERAS_FILTERS
+    counts = {}
+    for t in texts:
+        t = t.lower().translate({ord(c): " " for c in filters})
+        for w in (x for x in t.split(" ") if x):
+            counts[w] = counts.get(w, 0) + 1     # dict keeps first-appearance order
+    ranked = sorted(counts.items(), key=lambda kv: -kv[1])   # stable: ties by first appearance
+    return {w: i + 1 for i, (w, _) in enumerate(ranked)}
+
+
+def test_word_vocab_matches_keras_rule(spark):
+    texts = ["The cat, the DOG!", "a\\rb dog\\tcat", "x--y the (cat)", "dog"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.token: r.id for r in K.fit_word_vocab(df, "t", ["i"]).collect()}
+    assert got == py_keras_word_vocab(texts)
