@@ -86,6 +86,16 @@ def batches(df: DataFrame, order_col: str, size: int, out: str = "batch_id",
     return d.withColumn(out, F.floor(F.col(position) / size).cast("long"))
 
 
+def batch_rows(df: DataFrame, order_col: str, size: int, cols, out: str = "rows") -> DataFrame:
+    """Each fixed-size batch as one row ``(batch_id, rows)`` with the batch's
+    rows in order (SET-04 grouped).  A group holds at most ``size`` rows, so
+    collecting it is bounded by the caller's batch size, not by the data."""
+    b = batches(df, order_col, size)
+    item = F.struct(F.col("position"), *[F.col(c) for c in cols])
+    g = b.groupBy("batch_id").agg(F.array_sort(F.collect_list(item)).alias("_r"))
+    return g.select("batch_id", F.transform("_r", lambda x: x.dropFields("position")).alias(out))
+
+
 def latest_by(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """id -> value map where the later entry wins (JON-02): the value with the
     greatest ``order`` per key (a partial aggregate, safe on hot keys)."""

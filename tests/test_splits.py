@@ -146,3 +146,9 @@ def test_reference_split_sizes_with_valid(spark, n_pairs, folds, sizes):
     got = {(r.fold, r.split): r["count"] * 2 for r in v.groupBy("fold", "split").count().collect()}
     for f in folds:
         assert (got[(f, "train")], got[(f, "valid")], got[(f, "test")]) == sizes
+
+
+def test_batch_rows_in_order(spark):
+    d = spark.range(10).select((F.col("id") * 7 % 10).alias("k"), (F.col("id") * 2).alias("v"))
+    got = {r.batch_id: [x.k for x in r.rows] for r in reshape.batch_rows(d, "k", 4, ["k", "v"]).collect()}
+    assert got == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7], 2: [8, 9]}
