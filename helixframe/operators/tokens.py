@@ -44,6 +44,8 @@ CJK_CLASS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES) +
 
 # Distinct characters a character vocabulary may hold (all of Unicode fits).
 MAX_CHAR_VOCAB = 1_200_000
+# Above this many first rows the tie-break pass uses a semi-join, not IN.
+IN_LIST_MAX = 10_000
 
 
 def _c(x) -> Column:
@@ -97,21 +99,24 @@ def _fit_vocab(df: DataFrame, tokens, order_cols: Sequence[str], max_entries: in
     else:
         o = order_cols[0]
         ex = explode_items(df, tokens(), "token", keep=[o])
-        agg = ex.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(o).alias("_row"))
-        # one row per distinct token, size-checked: it comes to the driver
-        rows = agg.limit(max_entries + 1).collect()
-        if len(rows) > max_entries:
+        # one row per distinct token: size-checked, then checkpointed (reused three times)
+        agg = ex.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(o).alias(o))
+        agg = reliable_checkpoint(agg)
+        if agg.limit(max_entries + 1).count() > max_entries:
             raise ValueError(f"more than {max_entries} distinct tokens")
-        spark = df.sparkSession
-        small = spark.createDataFrame([(r["token"], r["_row"], r["count"]) for r in rows],
-                                      f"token string, {o} {df.schema[o].dataType.simpleString()}, count long")
-        # second pass over the first rows only (a pushed-down IN filter)
-        first_rows = sorted({r["_row"] for r in rows})
-        sub = df.where(F.col(o).isin(first_rows)) if first_rows else df.limit(0)
+        # second pass over the first rows only: an IN filter the scan can use
+        # when they are few, else a broadcast semi-join (bounded by the check)
+        first = agg.select(o).distinct()
+        few = first.limit(IN_LIST_MAX + 1).collect()
+        if len(few) <= IN_LIST_MAX:
+            ids = [r[0] for r in few]
+            sub = df.where(F.col(o).isin(ids)) if ids else df.limit(0)
+        else:
+            sub = df.join(F.broadcast(first), o, "left_semi")
         firsts = explode_items(sub, tokens(), "token", keep=[o], with_pos="pos")
-        pos = (firsts.join(F.broadcast(small.select("token", o)), ["token", o])
+        pos = (firsts.join(F.broadcast(agg.select("token", o)), ["token", o])
                .groupBy("token").agg(F.min("pos").alias("_pos")))
-        counts = small.join(pos, "token").select("token", "count", F.struct(o, "_pos").alias("_first"))
+        counts = agg.join(pos, "token").select("token", "count", F.struct(o, "_pos").alias("_first"))
     # one row per distinct token, bounded by the check above: a plain window
     w = Window.orderBy(F.col("count").desc(), F.col("_first").asc())
     return counts.select("token", F.row_number().over(w).cast("int").alias("id"), "count")
