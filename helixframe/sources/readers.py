@@ -209,6 +209,6 @@ def read_vocab_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_metric_records(spark: SparkSession, path: str) -> DataFrame:
     """Metric records written by ``write_metric_records`` (partition folders
-    dataset=/model=)."""
+    dataset=/model=/split=)."""
     schema = "split string, fold int, epoch int, task string, metric string, value double, dataset string, model string"
     return spark.read.schema(schema).json(path)

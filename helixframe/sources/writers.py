@@ -50,8 +50,9 @@ def write_fasta(df: DataFrame, path: str, id_col: str, seq_col: str, file_col: s
 
 
 def write_metric_records(df: DataFrame, path: str) -> None:
-    """Metric records as JSON lines, one folder per (dataset, model) (SNK-02)."""
-    df.write.partitionBy("dataset", "model").mode("errorifexists").json(path)
+    """Metric records as JSON lines, one folder per (dataset, model, split)
+    (SNK-02: the reference writes one file per model, split and run)."""
+    df.write.partitionBy("dataset", "model", "split").mode("errorifexists").json(path)
 
 
 def write_arrays(df: DataFrame, path: str) -> None:
