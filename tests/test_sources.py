@@ -142,3 +142,17 @@ def test_pair_csv_split_large_file(spark, tmp_dir):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     got = {r.row_id: r.surf_sequence for r in rows}
     assert len(rows) == 30001 and all(got[i] == f"S{i}" for i in range(30000)) and got[30000] == "T0"
+
+
+def test_fasta_splittable_big_file(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "bigfa")
+    body = "".join(f">R{i} rec {i}\n{'ACDE' * 20}\n{'KLMN' * 5}{i}\n" for i in range(3000))
+    write(d, "big.fa", body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        recs = RD.read_fasta_all(spark, d, whole_files=False).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = {r.rec: (r.id, r.seq) for r in recs}
+    assert len(got) == 3000
+    assert all(got[i] == (f"R{i}", "ACDE" * 20 + "KLMN" * 5 + str(i)) for i in range(3000))

@@ -158,3 +158,11 @@ def test_word_vocab_matches_keras_rule(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     got = {r.token: r.id for r in K.fit_word_vocab(df, "t", ["i"]).collect()}
     assert got == py_keras_word_vocab(texts)
+
+
+def test_exact_median_with_hot_value(spark):
+    vals = [7] * 1000 + list(range(2000))       # one value on a third of the rows
+    df = spark.createDataFrame([(v,) for v in vals], "v long")
+    s = sorted(vals)
+    want = (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
+    assert K.exact_median(df, "v").first()[0] == want
