@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixframe.llm import bpe_counts, piece_nbest, pieces
+from helixframe.llm import bpe_counts, line_bloom, piece_nbest, pieces, simhash_bk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +42,28 @@ def op3(spark, sf_dir):
 @query("op5_piece_nbest")
 def op5(spark, sf_dir):
     return piece_nbest.round_trip(table(spark, sf_dir, "documents"), piece_model(), n=2)
+
+
+@query("op8_simhash_bk")
+def op8(spark, sf_dir):
+    return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"), words_per=3, radius=2)
+
+
+@query("op10_line_bloom", r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+line AS (
+  SELECT doc_id, unnest(parts) AS line, unnest(range(1, 1 + len(parts))) AS pos FROM split),
+keyed AS (
+  SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line),
+repeated AS (
+  SELECT k, min(doc_id) AS first FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+marked AS (
+  SELECT keyed.*, coalesce(first < doc_id, false) AS gone FROM keyed LEFT JOIN repeated ON keyed.k = repeated.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(array_to_string(list(line ORDER BY pos) FILTER (WHERE NOT gone), chr(10)), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""")
+def op10(spark, sf_dir):
+    kept = line_bloom.dedup_lines(table(spark, sf_dir, "documents"), shortest=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
