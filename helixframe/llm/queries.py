@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe_counts, line_bloom, piece_nbest, pieces, simhash_bk
+from helixframe.llm import bpe_counts, line_bloom, piece_nbest, pieces, quality_rules, simhash_bk, tiling_decontam
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +67,14 @@ FROM marked GROUP BY doc_id
 def op10(spark, sf_dir):
     kept = line_bloom.dedup_lines(table(spark, sf_dir, "documents"), shortest=10)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op7_quality_rules")
+def op7(spark, sf_dir):
+    return quality_rules.quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query("op2_tiling_decontam")
+def op2(spark, sf_dir):
+    return tiling_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
