@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe_counts, line_bloom, piece_nbest, pieces, quality_rules, simhash_bk, tiling_decontam
+from helixframe.llm import bpe_counts, line_bloom, piece_nbest, pieces, quality_rules, simhash_bk, tiling_decontam, url_alias, warc_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,25 @@ def op7(spark, sf_dir):
 @query("op2_tiling_decontam")
 def op2(spark, sf_dir):
     return tiling_decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+URL_RULES = url_alias.parse_rules([("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+                                   ("allow", "com/fr/"), ("block", "com/de/")])
+
+
+@query("op1_url_alias")
+def op1(spark, sf_dir):
+    return url_alias.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op4_warc_chunks", """
+WITH page AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+first AS (SELECT digest, min(page_id) AS f FROM page WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, page.digest AS payload_digest,
+       CASE WHEN f <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN f <> page_id THEN f END AS refers_to, true AS intact
+FROM page LEFT JOIN first ON page.digest = first.digest
+""")
+def op4(spark, sf_dir):
+    return warc_chunks.round_trip(table(spark, sf_dir, "pages"))
