@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe_counts, line_bloom, piece_nbest, pieces, quality_rules, simhash_bk, tiling_decontam, url_alias, warc_chunks
+from helixframe.llm import bpe_counts, lang_fusion, line_bloom, piece_nbest, pieces, quality_rules, simhash_bk, tiling_decontam, url_alias, warc_chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,8 @@ FROM page LEFT JOIN first ON page.digest = first.digest
 """)
 def op4(spark, sf_dir):
     return warc_chunks.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op9_lang_fusion")
+def op9(spark, sf_dir):
+    return lang_fusion.identify(table(spark, sf_dir, "documents"))
