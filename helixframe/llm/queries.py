@@ -8,7 +8,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import bpe_counts, lang_fusion, line_bloom, piece_nbest, pieces, quality_rules, simhash_bk, tiling_decontam, url_alias, warc_chunks
+from helixframe.llm import (
+    bpe_counts,
+    lang_fusion,
+    line_bloom,
+    piece_nbest,
+    pieces,
+    quality_rules,
+    simhash_bk,
+    tiling_decontam,
+    toxic_gru,
+    url_alias,
+    warc_chunks,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +117,8 @@ def op4(spark, sf_dir):
 @query("op9_lang_fusion")
 def op9(spark, sf_dir):
     return lang_fusion.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op6_toxic_gru")
+def op6(spark, sf_dir):
+    return toxic_gru.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
