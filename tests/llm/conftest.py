@@ -1,0 +1,7 @@
+import os
+import sys
+
+# this folder has no __init__.py; its helpers are imported by name
+_HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, _HERE)
+os.environ["PYTHONPATH"] = os.pathsep.join([_HERE, os.environ.get("PYTHONPATH", "")])
