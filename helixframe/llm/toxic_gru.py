@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -320,25 +321,29 @@ class Scorer:
                 np.maximum.at(best, of, self.net.run(self.table, rows))
                 long, owner, held = [], [], 0
 
+        def rows_of(words):
+            if len(self.index) + len(words) > TABLE_WORDS:
+                flush()                                 # the table may be dealt anew: nothing may wait for it
+            return self.rows(words)
+
         for k, text in enumerate(texts):
             words = words_of(text)
             if len(words) <= WINDOW:
-                best[k] = self.net.run(self.table, self.rows(words)[None])[0] if words else self.net.empty_logit()
+                best[k] = self.net.run(self.table, rows_of(words)[None])[0] if words else self.net.empty_logit()
                 continue
-            span = TABLE_WORDS // 2                     # a long text in runs that share a window's words
-            for at in range(0, len(words) - WINDOW + 1, span - WINDOW):
-                part = words[at:at + span]
-                if len(self.index) + len(part) > TABLE_WORDS:
-                    flush()                             # rows below may be dealt anew
-                rows = self.rows(part)
-                starts = np.array(window_starts(len(rows)))
-                view = np.lib.stride_tricks.sliding_window_view(rows, WINDOW)[starts] if len(rows) >= WINDOW else rows[None]
-                for a in range(0, len(view), _STEP):
-                    long.append(view[a:a + _STEP])
+            starts, i = window_starts(len(words)), 0
+            while i < len(starts):                      # a very long text in runs of windows
+                low = starts[i]
+                j = bisect_right(starts, low + TABLE_WORDS // 2 - WINDOW)
+                rows = rows_of(words[low:starts[j - 1] + WINDOW])
+                view = np.lib.stride_tricks.sliding_window_view(rows, WINDOW)[np.array(starts[i:j]) - low]
+                for at in range(0, len(view), _STEP):
+                    long.append(view[at:at + _STEP])
                     owner.append(np.full(len(long[-1]), k))
                     held += len(long[-1])
                     if held >= _STEP:
                         flush()
+                i = j
         flush()
         return best.tolist()
 
