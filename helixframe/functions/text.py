@@ -100,28 +100,6 @@ def pad_truncate(a, length: int, padding: str = "pre", truncating: str = "pre",
     return F.concat(fill, cut) if padding == "pre" else F.concat(cut, fill)
 
 
-def attention_mask(n_pad, n_tokens, left: bool = True) -> Column:
-    """0 for padding, 1 for real tokens (TOK-11)."""
-    zeros = F.array_repeat(F.lit(0), _c(n_pad))
-    ones = F.array_repeat(F.lit(1), _c(n_tokens))
-    return F.concat(zeros, ones) if left else F.concat(ones, zeros)
-
-
-def bert_clean(s) -> Column:
-    """BERT ``clean_text`` + lower-case: control characters dropped, every
-    whitespace character becomes a space (TOK-08, accents handled apart)."""
-    s = _c(s)
-    s = F.regexp_replace(s, r"[\x{0}\x{FFFD}]|[\p{Cc}\p{Cf}&&[^\t\n\r]]", "")
-    s = F.regexp_replace(s, r"\s", " ")
-    return F.lower(s)
-
-
-def bert_split(s) -> Column:
-    """BERT pre-tokenizer: split on whitespace and keep each punctuation
-    character as its own token (TOK-08)."""
-    return F.regexp_extract_all(_c(s), F.lit(BERT_TOKEN), 0)
-
-
 def add_m_suffix(name) -> Column:
     """Model size alias: append ``m`` when missing (PRJ-08)."""
     name = _c(name)

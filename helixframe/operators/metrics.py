@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.ranks import mid_ranks, running_totals
+from helixframe.operators.ranks import null_safe_join, rank_table, running_totals
+from helixframe.session import reliable_checkpoint
 
 
 def _c(x) -> Column:
@@ -34,9 +35,9 @@ def softmax_at(logits, index: int) -> Column:
     """Softmax of element ``index`` (0-based) of a logit array: the max is
     subtracted first (MET-01, any number of classes)."""
     lg = _c(logits)
-    m = F.array_max(lg)
-    denom = F.aggregate(lg, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))
-    return F.exp(F.element_at(lg, index + 1) - m) / denom
+    # the maximum is bound as a lambda variable: one computation per row, not one per element
+    return F.element_at(F.transform(F.array(F.array_max(lg)), lambda m: F.exp(F.element_at(lg, index + 1) - m) / F.aggregate(
+        lg, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))), 1)
 
 
 def column_softmax(df: DataFrame, logit: str, out: str = "score") -> DataFrame:
@@ -58,8 +59,7 @@ def argmax(logits) -> Column:
 # ---- ranking metrics (MET-03, MET-04, MET-05) ----
 
 def ranking_metrics(df: DataFrame, score: str, label: str,
-                    group_cols: Sequence[str] | None = None, n_buckets: int = 64,
-                    groups_bound: int | None = None) -> DataFrame:
+                    group_cols: Sequence[str] | None = None, n_buckets: int | None = None) -> DataFrame:
     """Exact AUROC (ties count half) and average precision (the step sum
     used by scikit-learn, not the trapezoid) per group.
 
@@ -71,8 +71,7 @@ def ranking_metrics(df: DataFrame, score: str, label: str,
                  .groupBy(*g, score)
                  .agg(F.sum(F.col(label).cast("long")).alias("p"),
                       F.sum((1 - F.col(label)).cast("long")).alias("n")))
-    cum = running_totals(per_score, score, ["p", "n"], g, descending=True,
-                         n_buckets=n_buckets, groups_bound=groups_bound)
+    cum = running_totals(per_score, score, ["p", "n"], g, descending=True, n_buckets=n_buckets)
     tp, fp = F.col("cum_p"), F.col("cum_n")
     agg = cum.groupBy(*g).agg(
         F.sum("p").alias("P"), F.sum("n").alias("N"),
@@ -99,31 +98,36 @@ def confusion(df: DataFrame, pred: str, label: str, group_cols: Sequence[str] |
     return c.select("*", F.when(ok, (F.col("tp") / pos + F.col("tn") / neg) / 2).alias("auroc"))
 
 
-def warn_inverted(metrics: DataFrame, threshold: float = 0.4) -> DataFrame:
-    """Groups whose AUROC is below ``threshold``: scores are probably
-    inverted (the reference's ``ce`` runs scored 0.06)."""
-    return metrics.where(F.col("auroc") < threshold)
-
-
 # ---- regression and classification losses (MET-06..10) ----
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, group_cols: Sequence[str] | None = None,
-                       n_buckets: int = 64) -> DataFrame:
-    """MAE, RMSE and Spearman correlation per group.  Spearman is the Pearson
-    correlation of mid-ranks (ties averaged); NULL for a constant column."""
+                       n_buckets: int | None = None) -> DataFrame:
+    """MAE, RMSE and Spearman correlation per group (NULL is a group like any
+    other).  Spearman is the Pearson correlation of mid-ranks (ties averaged);
+    NULL for a constant column.
+
+    Rows are first summed up to ``(group, y, yhat, n)``, written once; ranks
+    and weighted moments come from that table, so no row is shuffled by its
+    value."""
     g = list(group_cols or [])
-    d = df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
-    basic = d.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), mae(y, yhat).alias("mae"),
-                              rmse(y, yhat).alias("rmse"))
-    r = mid_ranks(d, y, g, out="_ry", n_buckets=n_buckets)
-    r = mid_ranks(r, yhat, g, out="_rp", n_buckets=n_buckets)
-    # Pearson of the ranks from central moments; try_divide gives NULL for a
-    # constant column instead of failing (``corr`` divides by zero under ANSI)
-    sp = r.groupBy(*g).agg(F.try_divide(F.covar_pop("_ry", "_rp"),
-                                        F.sqrt(F.var_pop("_ry") * F.var_pop("_rp"))).alias("spearman"))
+    pairs = reliable_checkpoint(df.where(F.col(y).isNotNull() & F.col(yhat).isNotNull())
+                                .groupBy(*g, F.col(y).alias("_y"), F.col(yhat).alias("_p")).agg(F.count(F.lit(1)).alias("_n")))
+    n, err = F.col("_n"), F.col("_y") - F.col("_p")
+    total = F.sum("_n")
+    basic = pairs.groupBy(*g).agg(total.alias("n"), (F.sum(n * F.abs(err)) / total).alias("mae"),
+                                  F.sqrt(F.sum(n * F.pow(err, 2)) / total).alias("rmse"))
+    r = pairs
+    for v, out in (("_y", "_ry"), ("_p", "_rp")):
+        r = null_safe_join(r, rank_table(pairs, v, g, out, n_buckets, weight="_n"), [*g, v])
+    # weighted Pearson of the ranks around their mean, which is (N + 1) / 2; try_divide gives NULL for a
+    # constant column instead of failing
+    r = null_safe_join(r, basic.select(*g, ((F.col("n") + 1) / 2.0).alias("_m")), g) if g else \
+        r.withColumn("_m", (basic.select("n").scalar() + 1) / 2.0)
+    a, b = F.col("_ry") - F.col("_m"), F.col("_rp") - F.col("_m")
+    sp = r.groupBy(*g).agg(F.try_divide(F.sum(n * a * b), F.sqrt(F.sum(n * a * a) * F.sum(n * b * b))).alias("spearman"))
     if not g:  # two one-row results: put them side by side without a join
         return basic.select("*", F.lit(sp.select("spearman").scalar()).alias("spearman"))
-    return basic.join(sp, g)
+    return null_safe_join(basic, sp, g)
 
 
 def mae(y, yhat) -> Column:
@@ -151,12 +155,6 @@ def bce_from_logit(x, y) -> Column:
     return F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
 
 
-def bce_from_prob(p, y, eps: float = 1e-7) -> Column:
-    p = F.least(F.greatest(_c(p), F.lit(eps)), F.lit(1 - eps))
-    y = _c(y)
-    return -(y * F.log(p) + (1 - y) * F.log(1 - p))
-
-
 # ---- metric tables (AGG-01..04, TOP-01, UDF-03) ----
 
 def long_metrics(metrics: DataFrame, group_cols: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -190,37 +188,3 @@ def best_epoch(scores: DataFrame, group_cols=("model",), epoch: str = "epoch",
     key = F.struct(F.col(score), (-F.col(epoch)).alias("_ne"))
     return scores.groupBy(*group_cols).agg(F.max_by(epoch, key).alias("best_epoch"),
                                            F.max(score).alias("best_score"))
-
-
-def top1(scores: DataFrame, epoch: str = "epoch", score: str = "score") -> DataFrame:
-    """The single best row (TOP-01): score desc, then epoch asc; a top-k
-    report, so the limit is the feature."""
-    return scores.orderBy(F.col(score).desc(), F.col(epoch).asc()).limit(1)
-
-
-def first_in_group(df: DataFrame, group_cols, order_cols) -> DataFrame:
-    """First row per group by a window (bounded groups only)."""
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
-def metric_callback(df: DataFrame, fn, group_cols: Sequence[str], max_group_rows: int = 5_000_000) -> DataFrame:
-    """Run a user metric function ``fn(pandas_frame) -> {metric: value}`` per
-    group (UDF-03 for code that has no Spark form), returning
-    ``(*group_cols, metric, value)``.  Each group is handed whole to one
-    Python task, so the group sizes are checked first and a group above
-    ``max_group_rows`` is refused; use :func:`ranking_metrics` for those."""
-    g = list(group_cols)
-    biggest = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if biggest is not None and biggest > max_group_rows:
-        raise ValueError(f"a group has {biggest} rows (> {max_group_rows}); use ranking_metrics")
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in g] + ["metric string", "value double"])
-
-    def run(pdf):
-        import pandas as pd
-        res = fn(pdf)
-        rows = [{**{c: pdf[c].iloc[0] for c in g}, "metric": k, "value": float(v)} for k, v in res.items()]
-        return pd.DataFrame(rows, columns=[*g, "metric", "value"])
-
-    return df.groupBy(*g).applyInPandas(run, schema)

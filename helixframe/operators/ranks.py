@@ -12,15 +12,35 @@ task recomputes to the same numbers.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Offsets tables up to this many rows are broadcast; beyond it the join is
-# left to the planner (AQE broadcasts it at run time when it is small).
-BROADCAST_ROWS = 2_000_000
+from helixframe.session import reliable_checkpoint
+
+# A value range holds about this many rows: the number of ranges follows the
+# row count, so a task sorts as much at any size.
+RANGE_ROWS = 1_000_000
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``cols`` where NULL equals NULL, as in GROUP BY; the columns
+    come out once.  Whether a side is small enough to broadcast is left to the
+    planner, which sees its size."""
+    names = {c: f"_r_{c}" for c in cols}
+    right = right.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in right.columns])
+    on = F.lit(True)
+    for c, r in names.items():
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"`{r}`"))
+    return left.join(right, on, how).drop(*names.values())
+
+
+def ranges_for(n_rows: int) -> int:
+    """Value ranges for a table of ``n_rows``."""
+    return max(1, math.ceil(n_rows / RANGE_ROWS))
 
 
 def hash_key(seed, *keys) -> Column:
@@ -42,10 +62,10 @@ def _cols(names: Sequence[str] | None) -> list[str]:
 
 def ordinal_by_hash(df: DataFrame, hash_col: str, tiebreak: Sequence[str] = (),
                     partition_cols: Sequence[str] | None = None, out: str = "rn",
-                    total_out: str | None = None, bucket_chars: int = 3,
-                    groups_bound: int | None = None) -> DataFrame:
+                    total_out: str | None = None, bucket_chars: int = 3) -> DataFrame:
     """0-based ordinal of each row in ``(hash_col, *tiebreak)`` order within
-    ``partition_cols`` (WIN-02), plus optionally the group size.
+    ``partition_cols`` (WIN-02), plus optionally the group size.  NULL is a
+    group like any other.
 
     ``hash_col`` must be a lower-case hex string (md5): its first
     ``bucket_chars`` characters are a bucket with the same order as the key,
@@ -58,13 +78,9 @@ def ordinal_by_hash(df: DataFrame, hash_col: str, tiebreak: Sequence[str] = (),
     sel = [*pcols, "_hb", F.coalesce(F.sum("_hc").over(before), F.lit(0)).alias("_ho")]
     if total_out:
         sel.append(F.sum("_hc").over(Window.partitionBy(*pcols)).alias(total_out))
-    offsets = counts.select(*sel)
-    bound = (groups_bound or (1 if not pcols else None))
-    if bound is not None and bound * 16 ** bucket_chars <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
     inner = Window.partitionBy(*pcols, "_hb").orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
     ranked = d.withColumn("_hr", F.row_number().over(inner) - 1)
-    return (ranked.join(offsets, [*pcols, "_hb"])
+    return (null_safe_join(ranked, counts.select(*sel), [*pcols, "_hb"])
             .withColumn(out, (F.col("_ho") + F.col("_hr")).cast("long"))
             .drop("_hb", "_hr", "_ho"))
 
@@ -75,7 +91,7 @@ def quantile_cuts(df: DataFrame, col: str, n_buckets: int, rel_err: float = 1e-3
     if n_buckets <= 1:
         return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.select(F.col(col).cast("double").alias(col)).approxQuantile(col, probs, rel_err)
+    cuts = df.select(F.col(col).cast("double").alias(col)).approxQuantile(col, probs, min(rel_err, 0.25 / n_buckets))
     return sorted(set(c for c in cuts if c is not None))
 
 
@@ -91,22 +107,30 @@ def with_value_bucket(df: DataFrame, col: str, cuts: list[float], out: str = "_v
             .withColumn(out, F.col(out).cast("int")).drop(tmp))
 
 
+def _bucketed(df: DataFrame, order_col: str, n_buckets: int | None) -> DataFrame:
+    """``df`` with its value range ``_vb``.  The input is written once to the
+    shared checkpoint folder, so the cuts, the totals and the window read it
+    instead of computing it three times."""
+    df = reliable_checkpoint(df)
+    n = n_buckets or ranges_for(df.count())
+    return with_value_bucket(df, order_col, quantile_cuts(df, order_col, n))
+
+
 def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
                    partition_cols: Sequence[str] | None = None, descending: bool = False,
-                   prefix: str = "cum_", n_buckets: int = 64, exclusive: bool = False,
-                   groups_bound: int | None = None, cuts: list[float] | None = None) -> DataFrame:
+                   prefix: str = "cum_", n_buckets: int | None = None, exclusive: bool = False) -> DataFrame:
     """Running totals of ``sum_cols`` in ``order_col`` order (WIN-03).
 
     Inclusive totals count every row whose value is before or equal to the
     row's value (ties are peers, as in a RANGE frame); ``exclusive=True``
-    counts only strictly earlier values.  Work is split into value buckets
-    from approximate quantiles: the window runs per (group, bucket) and the
-    bucket offsets come from a table of ``groups x n_buckets`` rows.
+    counts only strictly earlier values.  NULL is a group like any other.
+    Work is split into value ranges (as many as the row count asks for) from
+    approximate quantiles: the window runs per (group, range) and the range
+    offsets come from a table of ``groups x ranges`` rows.  Pass grouped
+    values, not raw rows, where a few values may hold most rows.
     """
     pcols = _cols(partition_cols)
-    if cuts is None:
-        cuts = quantile_cuts(df, order_col, n_buckets)
-    d = with_value_bucket(df, order_col, cuts)
+    d = _bucketed(df, order_col, n_buckets)
     okey = F.col(order_col).desc() if descending else F.col(order_col).asc()
     bkey = F.col("_vb").desc() if descending else F.col("_vb").asc()
 
@@ -114,9 +138,6 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
     before = Window.partitionBy(*pcols).orderBy(bkey).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*pcols, "_vb", *[
         F.coalesce(F.sum(f"_bt_{c}").over(before), F.lit(0)).alias(f"_bo_{c}") for c in sum_cols])
-    bound = (groups_bound or (1 if not pcols else None))
-    if bound is not None and bound * (len(cuts) + 2) <= BROADCAST_ROWS:
-        offsets = F.broadcast(offsets)
 
     frame = Window.partitionBy(*pcols, "_vb").orderBy(okey).rangeBetween(Window.unboundedPreceding, 0)
     inner = d
@@ -125,36 +146,48 @@ def running_totals(df: DataFrame, order_col: str, sum_cols: Sequence[str],
         if exclusive:
             peers = Window.partitionBy(*pcols, "_vb", order_col)
             inner = inner.withColumn(f"_bi_{c}", F.col(f"_bi_{c}") - F.sum(c).over(peers))
-    out = inner.join(offsets, [*pcols, "_vb"])
+    out = null_safe_join(inner, offsets, [*pcols, "_vb"])
     for c in sum_cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_bo_{c}") + F.col(f"_bi_{c}"))
     drop = ["_vb"] + [f"_bi_{c}" for c in sum_cols] + [f"_bo_{c}" for c in sum_cols]
     return out.drop(*drop)
 
 
-def ordinal_by_value(df: DataFrame, order_col: str, partition_cols: Sequence[str] | None = None,
-                     out: str = "rn", n_buckets: int = 64, groups_bound: int | None = None) -> DataFrame:
-    """0-based ordinal by a numeric key with unique values per group (WIN-02
-    for a given order, e.g. row ids)."""
-    d = df.withColumn("_one", F.lit(1).cast("long"))
-    r = running_totals(d, order_col, ["_one"], partition_cols, n_buckets=n_buckets,
-                       groups_bound=groups_bound)
-    return r.withColumn(out, F.col("cum__one") - 1).drop("_one", "cum__one")
+def ordinal_by_value(df: DataFrame, order_cols: str | Sequence[str], partition_cols: Sequence[str] | None = None,
+                     out: str = "rn", n_buckets: int | None = None) -> DataFrame:
+    """0-based ordinal by ``order_cols`` (WIN-02 for a given order), the first
+    of them numeric.  Rows with equal keys get positions of their own, one
+    after another (in no set order), so no position is missing or double."""
+    pcols, order = _cols(partition_cols), [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    d = _bucketed(df, order[0], n_buckets)
+    counts = d.groupBy(*pcols, "_vb").agg(F.count(F.lit(1)).alias("_bc"))
+    before = Window.partitionBy(*pcols).orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*pcols, "_vb", F.coalesce(F.sum("_bc").over(before), F.lit(0)).alias("_bo"))
+    inner = d.withColumn("_bi", F.row_number().over(Window.partitionBy(*pcols, "_vb").orderBy(*order)) - 1)
+    return (null_safe_join(inner, offsets, [*pcols, "_vb"])
+            .withColumn(out, (F.col("_bo") + F.col("_bi")).cast("long")).drop("_vb", "_bi", "_bo"))
 
 
 def mid_ranks(df: DataFrame, value_col: str, partition_cols: Sequence[str] | None = None,
-              out: str | None = None, n_buckets: int = 64, groups_bound: int | None = None) -> DataFrame:
+              out: str | None = None, n_buckets: int | None = None) -> DataFrame:
     """1-based average rank of ``value_col`` (ties share the mean of their
-    positions), per group (WIN-01).  Ranks are computed on the distinct values
-    and joined back, so a value held by many rows is one row in the window."""
+    positions), per group (WIN-01); NULL is a group like any other.  Ranks are
+    computed on the distinct values and joined back, so a value held by many
+    rows is one row in the window; both sides of the join are exchanged, so
+    the rows of a hot value are split by the skew-join handling."""
     pcols = _cols(partition_cols)
     out = out or f"{value_col}_rank"
-    distinct = df.groupBy(*pcols, value_col).agg(F.count(F.lit(1)).alias("_tc"))
-    cum = running_totals(distinct, value_col, ["_tc"], pcols, n_buckets=n_buckets,
-                         groups_bound=groups_bound)
-    ranks = cum.select(*pcols, value_col,
-                       (F.col("cum__tc") - (F.col("_tc") - 1) / 2.0).alias(out))
-    return df.join(ranks, [*pcols, value_col], "left")
+    return null_safe_join(df, rank_table(df, value_col, pcols, out, n_buckets), [*pcols, value_col], "left")
+
+
+def rank_table(df: DataFrame, value_col: str, pcols: Sequence[str], out: str, n_buckets: int | None = None,
+               weight: str | None = None) -> DataFrame:
+    """``(*pcols, value_col, out)``: the average rank of each distinct value,
+    where a row stands for ``weight`` rows."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    distinct = df.where(F.col(value_col).isNotNull()).groupBy(*pcols, value_col).agg(n.alias("_tc"))
+    cum = running_totals(distinct, value_col, ["_tc"], pcols, n_buckets=n_buckets)
+    return reliable_checkpoint(cum.select(*pcols, value_col, (F.col("cum__tc") - (F.col("_tc") - 1) / 2.0).alias(out)))
 
 
 def exclusive_prefix_sum(df: DataFrame, value_col: str, order_cols: Sequence[str],

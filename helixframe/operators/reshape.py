@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.ranks import ordinal_by_value
+from helixframe.operators.ranks import null_safe_join, ordinal_by_value
 
 SPLIT_ORDER = {"train": 0, "valid": 1, "test": 2}
 
@@ -31,23 +31,20 @@ def quote(name: str) -> str:
 def unpivot_pairs(df: DataFrame, first: str, second: str, key: str = "row_id",
                   keep: Sequence[str] = ()) -> DataFrame:
     """Pair rows to labelled rows (SET-01, PRJ-07): the first column gets
-    label 0, the second label 1, one scan via ``stack``.  The reference's
-    row order (all of column 1, then all of column 2) is ``(label, key)``."""
-    extra = ", ".join(quote(c) for c in keep)
-    expr = f"stack(2, 0, {quote(first)}, 1, {quote(second)}) as (label, text)"
-    cols = [quote(key)] + ([extra] if extra else []) + [expr]
-    return df.selectExpr(*cols).withColumn("label", F.col("label").cast("int"))
+    label 0, the second label 1, in one scan.  The reference's row order (all
+    of column 1, then all of column 2) is ``(label, key)``.  The text is
+    picked by label above the generator, so a query that does not use it never
+    reads the two columns."""
+    labels = df.select(*[F.col(quote(c)) for c in (key, *keep, first, second)],
+                       F.explode(F.array(F.lit(0), F.lit(1))).alias("label"))
+    return labels.select(*[F.col(quote(c)) for c in (key, *keep)], "label",
+                         F.when(F.col("label") == 0, F.col(quote(first))).otherwise(F.col(quote(second))).alias("text"))
 
 
-def select_rows(df: DataFrame, positions: DataFrame, key: str = "row_id",
-                broadcast_limit: int | None = None) -> DataFrame:
+def select_rows(df: DataFrame, positions: DataFrame, key: str = "row_id") -> DataFrame:
     """Rows at given positions (FLT-01 / JON-01 single fold): a left-semi join
-    on the key.  ``broadcast_limit`` broadcasts the position list only after
-    checking it has at most that many rows."""
-    pos = positions.select(key)
-    if broadcast_limit is not None and pos.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        pos = F.broadcast(pos)
-    return df.join(pos, key, "left_semi")
+    on the key; the planner broadcasts the positions where they are small."""
+    return df.join(positions.select(key), key, "left_semi")
 
 
 def attach_splits(df: DataFrame, split_index: DataFrame, key: str = "row_id") -> DataFrame:
@@ -67,13 +64,20 @@ def append_columns(df: DataFrame, cols: Sequence[str], out: str = "text",
 
 def concat_splits(df: DataFrame, key: str = "row_id", split_col: str = "split",
                   out: str = "position") -> DataFrame:
-    """Train, then valid, then test, with a running position (SET-03).  The
-    position is an ordinal by ``(split order, key)`` from the bucketed
-    helper, so no task sees all rows."""
+    """Train, then valid, then test, with a running position (SET-03)."""
     order = F.create_map(*[x for k, v in SPLIT_ORDER.items() for x in (F.lit(k), F.lit(v))])
-    d = df.withColumn("_ok", (order[F.col(split_col)].cast("long") * F.lit(1 << 40))
-                      + F.col(key).cast("long"))
-    return ordinal_by_value(d, "_ok", out=out).drop("_ok")
+    return position_by(df.withColumn("_major", order[F.col(split_col)]), "_major", key, out).drop("_major")
+
+
+def position_by(df: DataFrame, major: str, key: str | Sequence[str], out: str = "position") -> DataFrame:
+    """0-based position in ``(major, key)`` order, where ``major`` has few
+    values: the ordinal of ``key`` within each of them, which no task sees
+    whole, after the rows of those before it (a table of one row each)."""
+    counts = df.groupBy(major).agg(F.count(F.lit(1)).alias("_mc"))
+    before = Window.orderBy(major).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(major, F.coalesce(F.sum("_mc").over(before), F.lit(0)).alias("_mo"))
+    d = null_safe_join(ordinal_by_value(df, key, [major], out="_mp"), offsets, [major])
+    return d.withColumn(out, (F.col("_mo") + F.col("_mp")).cast("long")).drop("_mo", "_mp")
 
 
 def batches(df: DataFrame, order_col: str, size: int, out: str = "batch_id",
@@ -102,17 +106,6 @@ def latest_by(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
 
 
-def lookup_map(entries: DataFrame, key: str, value: str, max_entries: int = 200_000):
-    """A small (key -> value) table as a literal map column, after checking
-    its size (used by JON-03/04 and TOK-15).  Larger tables must be joined."""
-    rows = entries.select(key, value).limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
-        raise ValueError(f"lookup table has more than {max_entries} entries; join it instead")
-    if not rows:
-        return F.create_map().cast(f"map<string,{entries.schema[value].dataType.simpleString()}>")
-    return F.create_map(*[F.lit(x) for r in rows for x in (r[0], r[1])])
-
-
 def longest_in_batch(df: DataFrame, size_col: str, batch_col: str = "batch_id",
                      out: str = "batch_max") -> DataFrame:
     """Longest item of each batch (padding='longest'); batches are bounded,

@@ -16,7 +16,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.ranks import hash_key
+from helixframe.operators.ranks import hash_key, null_safe_join
+from helixframe.session import reliable_checkpoint
 
 TRAIN, VALID, TEST = "train", "valid", "test"
 
@@ -28,119 +29,71 @@ TRAIN, VALID, TEST = "train", "valid", "test"
 # bucket counts (the bucket holding m) and one sort of that bucket only, so
 # assigning folds is a per-row comparison: no shuffle or sort of the rows.
 
-_MAX_GROUPS = 1_000_000
 
+def _cuts(df: DataFrame, hash_col: str, key: str, pcols: list[str], targets, bucket_chars: int = 3) -> DataFrame:
+    """One row per group: ``pcols``, ``_n`` (its rows) and ``_cuts``, an array
+    of the (hash, key) at each requested 0-based position (``targets(n column)
+    -> list of position columns``), NULL at or past the end of the group.
 
-def _positions_cut(df: DataFrame, hash_col: str, key: str, pcols: list[str],
-                   targets, bucket_chars: int = 3):
-    """For every group, the (hash, key) found at each requested 0-based
-    position (``targets(n) -> list of positions`` for a group of n rows).
-    Returns ``{group: (n, [(hash, key) or None, ...])}``, None meaning the
-    position is at or past the end of the group.
-
-    Spark does the counting: rows per (group, md5-prefix bucket), a running
-    count over that small table, and the bucket holding each target.  The
-    driver sees one row per group (its size) and one per target; only the
-    target buckets are then sorted to read the exact cut rows.
+    Rows are counted per (group, md5-prefix bucket); a running count over that
+    small table finds the bucket that holds each target, and only those
+    buckets are sorted.  Nothing comes to the driver, and NULL is a group like
+    any other.  The result is written once to the checkpoint folder.
     """
-    spark = df.sparkSession
-    user_cols = list(pcols)
-    pcols = user_cols or ["_g"]          # one constant group: joins stay equi-joins
-    d = df.select(*user_cols, hash_col, key)
-    if not user_cols:
-        d = d.withColumn("_g", F.lit(0))
-    d = d.withColumn("_b", F.substring(F.col(hash_col), 1, bucket_chars))
-    counts = d.groupBy(*pcols, "_b").agg(F.count(F.lit(1)).alias("_n")).cache()
-    try:
-        size_rows = counts.groupBy(*pcols).agg(F.sum("_n").alias("n")).limit(_MAX_GROUPS + 1).collect()
-        if len(size_rows) > _MAX_GROUPS:
-            raise ValueError("too many groups for cut-point splits")
-        sizes = {tuple(r[c] for c in pcols): (int(r["n"]), targets(int(r["n"]))) for r in size_rows}
-        if not size_rows:
-            sizes = {(0,): (0, targets(0))}
-        wanted = [(*g, ti, m) for g, (n, ts) in sizes.items() for ti, m in enumerate(ts) if m < n]
-        found: dict = {}
-        if wanted:
-            gtypes = [f"`{c}` {d.schema[c].dataType.simpleString()}" for c in pcols]
-            tdf = spark.createDataFrame(wanted, ", ".join(gtypes + ["_t int", "_m long"]))
-            before = Window.partitionBy(*pcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-            cum = counts.withColumn("_c0", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-            loc = (cum.join(F.broadcast(tdf), pcols)
-                   .where((F.col("_m") >= F.col("_c0")) & (F.col("_m") < F.col("_c0") + F.col("_n")))
-                   .select(*pcols, "_b", (F.col("_m") - F.col("_c0")).alias("_o"), "_t"))
-            need = loc          # built from the cached counts: small, no extra job
-            sub = d.join(F.broadcast(need.select(*pcols, "_b").distinct()), [*pcols, "_b"], "left_semi")
-            w = Window.partitionBy(*pcols, "_b").orderBy(F.col(hash_col), F.col(key))
-            ranked = sub.withColumn("_o", F.row_number().over(w) - 1)
-            hits = ranked.join(F.broadcast(need), [*pcols, "_b", "_o"]).select(*pcols, "_t", hash_col, key).collect()
-            for h in hits:
-                found[(tuple(h[c] for c in pcols), h["_t"])] = (h[hash_col], h[key])
-    finally:
-        counts.unpersist()
-    out = {g: (n, [found.get((g, ti)) for ti in range(len(ts))]) for g, (n, ts) in sizes.items()}
-    return out if user_cols else {(): out.get((0,), (0, []))}
-
-
-def _before(hash_col: str, key: str, cut) -> Column:
-    """Row sorts before the cut point (hash, key); None = past the end.  The
-    cut is a pair of literals, or of columns (NULL = past the end)."""
-    if cut is None:
-        return F.lit(True)
-    h, k = cut
-    if isinstance(h, Column):
-        return F.coalesce((F.col(hash_col) < h) | ((F.col(hash_col) == h) & (F.col(key) < k)), F.lit(True))
-    return (F.col(hash_col) < F.lit(h)) | ((F.col(hash_col) == F.lit(h)) & (F.col(key) < F.lit(k)))
-
-
-_CASE_GROUPS = 64
-
-
-def _assign(d: DataFrame, pcols: list[str], cuts: dict, make, out: str, hash_col: str, key: str) -> DataFrame:
-    """Add ``out = make(n, cut_list)`` for each row's group.  Few groups: one
-    CASE over literal cut points.  Many groups: the cut points become a small
-    table (one row per group, bounded by the count check) joined by
-    broadcast, and the comparison reads its columns."""
-    if not pcols:
-        n, cl = cuts.get((), (0, []))
-        return d.withColumn(out, make(n, cl))
-    if len(cuts) <= _CASE_GROUPS:
-        expr = None
-        for g, (n, cl) in cuts.items():
-            cond = None
-            for c, v in zip(pcols, g):
-                t = F.col(c) == F.lit(v) if v is not None else F.col(c).isNull()
-                cond = t if cond is None else cond & t
-            expr = F.when(cond, make(n, cl)) if expr is None else expr.when(cond, make(n, cl))
-        return d.withColumn(out, expr)
-    width = max(len(cl) for _, cl in cuts.values())
-    ktype = d.schema[key].dataType.simpleString()
-    fields = [f"`{c}` {d.schema[c].dataType.simpleString()}" for c in pcols] + ["_n long"]
-    for i in range(width):
-        fields += [f"_ch{i} string", f"_ck{i} {ktype}"]
-    rows = []
-    for g, (n, cl) in cuts.items():
-        vals = list(g) + [n]
-        for i in range(width):
-            c = cl[i] if i < len(cl) else None
-            vals += [c[0], c[1]] if c else [None, None]
-        rows.append(tuple(vals))
-    table = d.sparkSession.createDataFrame(rows, ", ".join(fields))
-    col_cuts = [(F.col(f"_ch{i}"), F.col(f"_ck{i}")) for i in range(width)]
-    joined = d.join(F.broadcast(table), pcols, "left")
-    extra = ["_n"] + [f"_{x}{i}" for i in range(width) for x in ("ch", "ck")]
-    return joined.withColumn(out, make(F.col("_n"), col_cuts)).drop(*extra)
-
-
-def _fold_starts(n: int, k: int) -> list[int]:
-    q, r = divmod(n, k)
-    return [j * (q + 1) if j <= r else r * (q + 1) + (j - r) * q for j in range(1, k)]
-
-
-def _ceil_frac_int(fraction, n: int) -> int:
-    """ceil(fraction * n) in exact rational arithmetic (0.1 * 230 is 23)."""
+    names = [f"_p{i}" for i in range(len(pcols))]
+    d = df.select(*[F.col(c).alias(n) for c, n in zip(pcols, names, strict=True)],
+                  F.substring(F.col(hash_col), 1, bucket_chars).alias("_b"), F.col(hash_col).alias("_ch"), F.col(key).alias("_ck"))
+    counts = reliable_checkpoint(d.groupBy(*names, "_b").agg(F.count(F.lit(1)).alias("_bn")))
+    group = Window.partitionBy(*names)
+    cum = counts.select("*", F.sum("_bn").over(group).alias("_n"), F.coalesce(F.sum("_bn").over(
+        group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_c0"))
+    wanted = cum.select(*names, "_b", "_c0", "_bn", "_n", F.posexplode(F.array(
+        *[t.cast("long") for t in targets(F.col("_n"))])).alias("_t", "_m"))
+    need = wanted.where((F.col("_m") >= F.col("_c0")) & (F.col("_m") < F.col("_c0") + F.col("_bn"))).select(
+        *names, "_b", "_t", (F.col("_m") - F.col("_c0")).alias("_o"))
+    buckets = need.select(*names, "_b").distinct()
+    ranked = null_safe_join(d, buckets, [*names, "_b"], "left_semi").withColumn(
+        "_o", F.row_number().over(Window.partitionBy(*names, "_b").orderBy("_ch", "_ck")) - 1)
+    hits = null_safe_join(ranked, need, [*names, "_b", "_o"]).groupBy(*names).agg(
+        F.map_from_entries(F.collect_list(F.struct("_t", F.struct("_ch", "_ck")))).alias("_found"))
+    sizes = counts.groupBy(*names).agg(F.sum("_bn").alias("_n"))
+    n_targets = len(targets(F.lit(1)))
+    found = null_safe_join(sizes, hits, names, "left") if names else sizes.join(hits, how="left")
+    return reliable_checkpoint(found.select(
+        *[F.col(n).alias(c) for c, n in zip(pcols, names, strict=True)], "_n",
+        F.array(*[F.try_element_at("_found", F.lit(t)) for t in range(n_targets)]).alias("_cuts")))
+
+
+def _before(hash_col: str, key: str, i: int) -> Column:
+    """Row sorts before cut ``i`` of its group; a NULL cut is past the end."""
+    at = F.get(F.col("_cuts"), F.lit(i))
+    return F.coalesce((F.col(hash_col) < at["_ch"]) | ((F.col(hash_col) == at["_ch"]) & (F.col(key) < at["_ck"])), F.lit(True))
+
+
+def _assign(d: DataFrame, pcols: list[str], cuts: DataFrame, value: Column, out: str) -> DataFrame:
+    """Add ``out = value``, which compares each row with the ``_cuts`` of its
+    group: a NULL-safe join with the table of groups, whose way (broadcast or
+    shuffle) the planner picks from its size.  Without groups the one row of
+    cuts is a scalar subquery."""
+    if pcols:
+        d = null_safe_join(d, cuts, pcols, "left")
+    else:
+        one = cuts.agg(F.max("_n").alias("_n"), F.first("_cuts").alias("_cuts"))
+        d = d.withColumn("_n", one.select("_n").scalar()).withColumn("_cuts", one.select("_cuts").scalar())
+    return d.withColumn(out, value).drop("_n", "_cuts")
+
+
+def _fold_starts(n: Column, k: int) -> list[Column]:
+    q, r = F.floor(n / k), n % k
+    return [F.lit(j) * q + F.least(F.lit(j), r) for j in range(1, k)]
+
+
+def _ceil_frac(fraction, n: Column) -> Column:
+    """ceil(fraction * n) in exact integer arithmetic (0.1 * 230 is 23)."""
     from fractions import Fraction
     f = fraction if isinstance(fraction, Fraction) else Fraction(str(fraction))
-    return -((-f * n).numerator // (-f * n).denominator) if n else 0
+    whole = n.cast("decimal(38,0)") * F.lit(f.numerator).cast("decimal(18,0)") + F.lit(f.denominator - 1)
+    return F.floor(whole / F.lit(f.denominator).cast("decimal(18,0)")).cast("long")
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 1234, repeats: int | None = None,
@@ -152,7 +105,7 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 1234, repeats: int |
 
     Rows are ordered by ``md5(seed:key)`` then key and cut into k contiguous
     folds; the k-1 fold boundaries are found as cut points, so the fold is a
-    per-row comparison (see :func:`_positions_cut`)."""
+    per-row comparison (see :func:`_cuts`)."""
     if k < 2:
         raise ValueError("k must be at least 2")
     d = df
@@ -165,11 +118,9 @@ def kfold(df: DataFrame, key: str, k: int = 5, seed: int = 1234, repeats: int |
         pcols = ["repeat"]
     else:
         d = d.withColumn("_h", hash_key(seed, key))
-    cuts = _positions_cut(d, "_h", key, pcols, lambda n: _fold_starts(n, k))
-
-    def fold_expr(n, cl):
-        return sum(((~_before("_h", key, c)).cast("int") for c in cl), F.lit(0)).cast("int")
-    return _assign(d, pcols, cuts, fold_expr, out, "_h", key).drop("_h")
+    cuts = _cuts(d, "_h", key, pcols, lambda n: _fold_starts(n, k))
+    fold = sum(((~_before("_h", key, i)).cast("int") for i in range(k - 1)), F.lit(0)).cast("int")
+    return _assign(d, pcols, cuts, fold, out).drop("_h")
 
 
 def split_index(assign: DataFrame, key: str, k: int, fold_col: str = "fold") -> DataFrame:
@@ -186,7 +137,7 @@ def split_index(assign: DataFrame, key: str, k: int, fold_col: str = "fold") ->
 
 def holdout(df: DataFrame, key: str, fraction: float, seed: int = 1234,
             partition_cols: list[str] | None = None, held: str = TEST, rest: str = TRAIN,
-            out: str = "split", groups_bound: int | None = None) -> DataFrame:
+            out: str = "split") -> DataFrame:
     """Hold-out split (SPL-03): the first ``ceil(fraction * n)`` rows of the
     md5 order (per group) get ``held``, the others ``rest``.  One cut point
     per group; the split itself is a per-row comparison."""
@@ -194,11 +145,9 @@ def holdout(df: DataFrame, key: str, fraction: float, seed: int = 1234,
         raise ValueError("fraction must be in (0, 1)")
     pcols = list(partition_cols or [])
     d = df.withColumn("_h", hash_key(seed, key))
-    cuts = _positions_cut(d, "_h", key, pcols, lambda n: [_ceil_frac_int(fraction, n)])
-
-    def side(n, cl):
-        return F.when(_before("_h", key, cl[0]), F.lit(held)).otherwise(F.lit(rest))
-    return _assign(d, pcols, cuts, side, out, "_h", key).drop("_h")
+    cuts = _cuts(d, "_h", key, pcols, lambda n: [_ceil_frac(fraction, n)])
+    side = F.when(_before("_h", key, 0), F.lit(held)).otherwise(F.lit(rest))
+    return _assign(d, pcols, cuts, side, out).drop("_h")
 
 
 def nested_holdout(df: DataFrame, key: str, val_size: float, test_size: float, seed: int = 1234,
@@ -224,13 +173,10 @@ def nested_holdout(df: DataFrame, key: str, val_size: float, test_size: float, s
     s2 = seed if second_seed is None else second_seed
     # second cut among the held rows only
     d = first.withColumn("_h2", F.when(F.col("_s1") == "_held", hash_key(s2, key)))
-    held_rows = d.where(F.col("_s1") == "_held")
-    cuts = _positions_cut(held_rows, "_h2", key, [], lambda n: [_ceil_frac_int(inner, n)])
-    n_held, cl = cuts.get((), (0, [None]))
-    valid = _before("_h2", key, cl[0]) if n_held else F.lit(False)
-    return (d.withColumn(out, F.when(F.col("_s1") == TRAIN, F.lit(TRAIN))
-                         .when(valid, F.lit(VALID)).otherwise(F.lit(TEST)))
-            .drop("_s1", "_h2"))
+    cuts = _cuts(d.where(F.col("_s1") == "_held"), "_h2", key, [], lambda n: [_ceil_frac(inner, n)])
+    side = (F.when(F.col("_s1") == TRAIN, F.lit(TRAIN))
+            .when(_before("_h2", key, 0), F.lit(VALID)).otherwise(F.lit(TEST)))
+    return _assign(d, [], cuts, side, out).drop("_s1", "_h2")
 
 
 def kfold_with_valid(split_idx: DataFrame, key: str, valid_fraction: float = 0.1,
@@ -241,12 +187,8 @@ def kfold_with_valid(split_idx: DataFrame, key: str, valid_fraction: float = 0.1
     d = split_idx.withColumn("_h", F.when(F.col("split") == TRAIN,
                                           hash_key(seed, F.col("repeat"), F.col("fold"), F.col(key))))
     train = d.where(F.col("split") == TRAIN)
-    cuts = _positions_cut(train, "_h", key, ["repeat", "fold"],
-                          lambda n: [_ceil_frac_int(valid_fraction, n)])
-
-    def side(n, cl):
-        return _before("_h", key, cl[0])
-    d = _assign(d, ["repeat", "fold"], cuts, side, "_v", "_h", key)
+    cuts = _cuts(train, "_h", key, ["repeat", "fold"], lambda n: [_ceil_frac(valid_fraction, n)])
+    d = _assign(d, ["repeat", "fold"], cuts, _before("_h", key, 0), "_v")
     is_valid = (F.col("split") == TRAIN) & F.col("_v")
     return d.withColumn("split", F.when(is_valid, F.lit(VALID)).otherwise(F.col("split"))).drop("_h", "_v")
 
@@ -281,13 +223,15 @@ def exact_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
 
 def split_sizes(labelled: DataFrame, group_cols=("repeat", "fold", "split", "label"),
-                fail_on_empty: bool = False) -> DataFrame:
-    """Row counts per split (SPL-08)."""
+                expected: DataFrame | None = None) -> DataFrame:
+    """Row counts per split (SPL-08).  With ``expected``, a table of the
+    groups that must be there (``group_cols``), a group of it without rows is
+    an error that names it."""
     out = labelled.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_rows"))
-    if fail_on_empty:
-        expected = labelled.select(*[c for c in group_cols]).distinct().count()
-        if out.count() != expected or out.where(F.col("n_rows") == 0).count():
-            raise ValueError("empty split group")
+    if expected is not None:
+        empty = null_safe_join(expected.select(*group_cols).distinct(), out, list(group_cols), "left_anti").first()
+        if empty is not None:
+            raise ValueError(f"empty split group: {empty.asDict()}")
     return out
 
 

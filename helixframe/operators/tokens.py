@@ -2,13 +2,13 @@
 
 Per-row work is Spark expressions.  Two steps need Python: accent stripping
 (Unicode NFD has no Spark built-in) and WordPiece longest-match encoding;
-both are Arrow-batched pandas UDFs over rows the cluster already holds, with
-a per-worker cache so a repeated word is encoded once per worker.
+both are Arrow-batched pandas UDFs, and only see the words that need them
+(accents: words beyond ASCII).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +17,7 @@ from pyspark.sql.types import NumericType
 
 from helixframe.functions.text import BERT_TOKEN, chars, explode_items, pad_truncate
 from helixframe.operators.ranks import running_totals
+from helixframe.operators.reshape import position_by
 from helixframe.session import reliable_checkpoint
 
 # ---- fixed values that must equal the libraries the reference calls ----
@@ -42,12 +43,6 @@ CJK_RANGES = [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700,
 CJK_CLASS = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES) + "]"
 
 
-# Distinct characters a character vocabulary may hold (all of Unicode fits).
-MAX_CHAR_VOCAB = 1_200_000
-# Above this many first rows the tie-break pass uses a semi-join, not IN.
-IN_LIST_MAX = 10_000
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -59,15 +54,14 @@ def fit_char_vocab(df: DataFrame, text: str, order_cols: Sequence[str], lower: b
     every character counted, id 1 = most frequent, ties by first appearance
     in ``order_cols`` order then position.  Returns ``(token, id, count)``.
 
-    With one numeric order column the count and the first row of every
-    character come from one hash aggregate over the exploded characters
+    The first order column is numeric.  The count and its smallest value for
+    every character come from one hash aggregate over the exploded characters
     (partial aggregation: the shuffle carries about one row per distinct
-    character per task).  The position inside that first row is read in a
-    second pass over only those rows (at most one per distinct character).
-    Other orderings use a (token, row) aggregate, then a struct minimum.
+    character per task).  The other columns and the position are read in a
+    second pass over only the rows with these values.
     """
     t = F.lower(F.col(text)) if lower else F.col(text)
-    return _fit_vocab(df, lambda: chars(t), order_cols, MAX_CHAR_VOCAB)
+    return _fit_vocab(df, lambda: chars(t), order_cols)
 
 
 def keras_words(text, lower: bool = True, filters: str = KERAS_FILTERS) -> Column:
@@ -78,48 +72,29 @@ def keras_words(text, lower: bool = True, filters: str = KERAS_FILTERS) -> Colum
     return F.filter(F.split(F.regexp_replace(t, cls, " "), " "), lambda w: w != "")
 
 
-def fit_word_vocab(df: DataFrame, text: str, order_cols: Sequence[str], lower: bool = True,
-                   max_entries: int = 5_000_000) -> DataFrame:
+def fit_word_vocab(df: DataFrame, text: str, order_cols: Sequence[str], lower: bool = True) -> DataFrame:
     """Word vocabulary as Keras ``Tokenizer()`` fits it (TOK-03 word form):
-    id 1 = most frequent word, ties by first appearance.  The vocabulary is
-    size-checked (at most ``max_entries`` distinct words) before it is
-    numbered; cap it afterwards with :func:`cap_vocab` (``num_words``)."""
-    return _fit_vocab(df, lambda: keras_words(F.col(text), lower), order_cols, max_entries)
-
-
-def _fit_vocab(df: DataFrame, tokens, order_cols: Sequence[str], max_entries: int) -> DataFrame:
-    numeric = len(order_cols) == 1 and isinstance(df.schema[order_cols[0]].dataType, NumericType)
-    if not numeric:
-        ex = explode_items(df, tokens(), "token", keep=order_cols, with_pos="pos")
-        per_row = ex.groupBy("token", *order_cols).agg(F.count(F.lit(1)).alias("_c"), F.min("pos").alias("_p"))
-        first = F.struct(*[F.col(c) for c in order_cols], F.col("_p"))
-        counts = per_row.groupBy("token").agg(F.sum("_c").alias("count"), F.min(first).alias("_first"))
-        if counts.limit(max_entries + 1).count() > max_entries:
-            raise ValueError(f"more than {max_entries} distinct tokens")
-    else:
-        o = order_cols[0]
-        ex = explode_items(df, tokens(), "token", keep=[o])
-        # one row per distinct token: size-checked, then checkpointed (reused three times)
-        agg = ex.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(o).alias(o))
-        agg = reliable_checkpoint(agg)
-        if agg.limit(max_entries + 1).count() > max_entries:
-            raise ValueError(f"more than {max_entries} distinct tokens")
-        # second pass over the first rows only: an IN filter the scan can use
-        # when they are few, else a broadcast semi-join (bounded by the check)
-        first = agg.select(o).distinct()
-        few = first.limit(IN_LIST_MAX + 1).collect()
-        if len(few) <= IN_LIST_MAX:
-            ids = [r[0] for r in few]
-            sub = df.where(F.col(o).isin(ids)) if ids else df.limit(0)
-        else:
-            sub = df.join(F.broadcast(first), o, "left_semi")
-        firsts = explode_items(sub, tokens(), "token", keep=[o], with_pos="pos")
-        pos = (firsts.join(F.broadcast(agg.select("token", o)), ["token", o])
-               .groupBy("token").agg(F.min("pos").alias("_pos")))
-        counts = agg.join(pos, "token").select("token", "count", F.struct(o, "_pos").alias("_first"))
-    # one row per distinct token, bounded by the check above: a plain window
-    w = Window.orderBy(F.col("count").desc(), F.col("_first").asc())
-    return counts.select("token", F.row_number().over(w).cast("int").alias("id"), "count")
+    id 1 = most frequent word, ties by first appearance.  It stays in Spark
+    whatever its size; cap it afterwards with :func:`cap_vocab`
+    (``num_words``)."""
+    return _fit_vocab(df, lambda: keras_words(F.col(text), lower), order_cols)
+
+
+def _fit_vocab(df: DataFrame, tokens, order_cols: Sequence[str]) -> DataFrame:
+    first, others = order_cols[0], list(order_cols[1:])
+    if not isinstance(df.schema[first].dataType, NumericType):
+        raise ValueError(f"the first order column must be numeric: {first}")
+    ex = explode_items(df, tokens(), "token", keep=[first])
+    # one row per distinct token, written once: read for the second pass, its join and the numbering
+    agg = reliable_checkpoint(ex.groupBy("token").agg(F.count(F.lit(1)).alias("count"), F.min(first).alias(first)))
+    sub = df.join(agg.select(first).distinct(), first, "left_semi")
+    firsts = explode_items(sub, tokens(), "token", keep=list(order_cols), with_pos="pos")
+    place = (firsts.join(agg.select("token", first), ["token", first])
+             .groupBy("token").agg(F.min(F.struct(*others, "pos")).alias("_first")))
+    counts = agg.join(place, "token").withColumn("_major", -F.col("count"))
+    # most frequent first: the tokens of one count are numbered by ranges of their first row
+    ranked = position_by(counts, "_major", [first, "_first"], out="_rank")
+    return ranked.select("token", (F.col("_rank") + 1).cast("int").alias("id"), "count")
 
 
 def cap_vocab(vocab: DataFrame, num_words: int) -> DataFrame:
@@ -127,36 +102,50 @@ def cap_vocab(vocab: DataFrame, num_words: int) -> DataFrame:
     return vocab.where(F.col("id") < num_words)
 
 
-def vocab_map(vocab: DataFrame, key: str = "token", value: str = "id", max_entries: int = 200_000) -> Column:
-    """A size-checked vocabulary as a literal map column."""
-    from helixframe.operators.reshape import lookup_map
-    return lookup_map(vocab, key, value, max_entries)
+PAGE = 256
+
+
+def vocab_map(vocab: DataFrame, key: str = "token", value: str = "id") -> Column:
+    """A character vocabulary as a literal table by code point: an array of
+    pages of 256 ids, so a lookup costs the same at any vocabulary size.  (A
+    literal map would be searched entry by entry.)  A vocabulary of single
+    characters holds at most all of Unicode, which bounds what comes to the
+    driver; tokens of several characters must be joined."""
+    pages: dict[int, dict[int, int]] = {}
+    for token, i in vocab.select(key, value).collect():
+        if len(token) != 1:
+            raise ValueError(f"not a single character: {token!r}; use encode_chars_by_join")
+        pages.setdefault(ord(token) // PAGE, {})[ord(token) % PAGE] = i
+    none = F.lit(None).cast("array<int>")
+    return F.array(*[F.array(*[F.lit(pages[p].get(k)).cast("int") for k in range(PAGE)]) if p in pages else none
+                     for p in range(max(pages, default=0) + 1)])
 
 
 def encode_chars(text, mapping: Column, lower: bool = True, keep_unknown: int | None = None) -> Column:
-    """Characters to ids through ``mapping`` (TOK-04 / JON-03).  Unknown
-    characters are dropped (Keras) or mapped to ``keep_unknown``."""
+    """Characters to ids through ``mapping`` (:func:`vocab_map`; TOK-04 /
+    JON-03).  Unknown characters are dropped (Keras) or mapped to
+    ``keep_unknown``."""
     t = F.lower(_c(text)) if lower else _c(text)
-    ids = F.transform(chars(t), lambda ch: mapping[ch])
+
+    def find(ch):
+        code = F.ascii(ch)                      # the code point
+        return F.get(F.get(mapping, F.floor(code / PAGE).cast("int")), code % PAGE)
+    ids = F.transform(chars(t), find)
     if keep_unknown is None:
         return F.filter(ids, lambda x: x.isNotNull())
     return F.transform(ids, lambda x: F.coalesce(x, F.lit(keep_unknown)))
 
 
 def encode_chars_by_join(df: DataFrame, key: str, text: str, vocab: DataFrame, lower: bool = True,
-                         out: str = "ids", broadcast_limit: int = 1_000_000) -> DataFrame:
-    """Characters to ids for a vocabulary too large for a literal map
-    (JON-03, large form): explode ``(key, pos, char)``, join the vocabulary
-    (broadcast only below ``broadcast_limit`` rows, checked), and rebuild each
-    row's ids in position order.  A group is one row's characters, so its
-    size is bounded by the row, not by the table.  Unknown characters are
-    dropped; rows with none known get an empty array."""
+                         out: str = "ids") -> DataFrame:
+    """Characters to ids by a join (JON-03): explode ``(key, pos, char)``,
+    join the vocabulary (the planner broadcasts it where it is small), and
+    rebuild each row's ids in position order.  A group is one row's
+    characters, so its size is bounded by the row, not by the table.  Unknown
+    characters are dropped; rows with none known get an empty array."""
     t = F.lower(F.col(text)) if lower else F.col(text)
     ex = explode_items(df.select(key, t.alias("_t")), chars(F.col("_t")), "token", keep=[key], with_pos="pos")
-    v = vocab.select("token", F.col("id").cast("int").alias("id"))
-    if v.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        v = F.broadcast(v)
-    hits = ex.join(v, "token")
+    hits = ex.join(vocab.select("token", F.col("id").cast("int").alias("id")), "token")
     per_row = hits.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("_p"))
     encoded = per_row.select(key, F.transform("_p", lambda x: x["id"]).alias(out))
     return (df.select(key).join(encoded, key, "left")
@@ -179,8 +168,8 @@ def exact_median(df: DataFrame, col: str, out: str = "median") -> DataFrame:
     ``percentile``/``median`` which buffer a whole group.
     """
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    cum = running_totals(counts, col, ["_n"])
-    n = counts.select(F.sum("_n")).scalar()
+    cum = reliable_checkpoint(running_totals(counts, col, ["_n"]))
+    n = cum.select(F.sum("_n")).scalar()
     lo = F.floor((n - 1) / 2)
     hi = F.floor(n / 2)
     return cum.agg(((F.min(F.when(F.col("cum__n") > lo, F.col(col))) +
@@ -196,20 +185,14 @@ def median_length(df: DataFrame, text: str, out: str = "model_max_length") -> Da
 
 # ---- BERT normalisation and pre-tokenisation (TOK-08) ----
 
-_REGEX: dict = {}
-
-
-def _mark_re():
-    """Compiled non-spacing-mark pattern, built once per worker process."""
-    if "mark" not in _REGEX:
-        import regex
-        _REGEX["mark"] = regex.compile(r"\p{Mn}+")
-    return _REGEX["mark"]
+def _strip_marks(text: str) -> str:
+    """NFD without non-spacing marks."""
+    import unicodedata
+    return "".join([c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn"])
 
 
 def _strip_accents_series(s: pd.Series) -> pd.Series:
-    rx = _mark_re()
-    return s.str.normalize("NFD").map(lambda x: rx.sub("", x) if isinstance(x, str) else x)
+    return s.map(lambda x: _strip_marks(x) if isinstance(x, str) and not x.isascii() else x)
 
 
 def strip_accents(col) -> Column:
@@ -220,10 +203,10 @@ def strip_accents(col) -> Column:
 
 def bert_clean_lower(col, lowercase: bool = True) -> Column:
     """BertNormalizer without the accent step: drop control characters, map
-    whitespace (tab, newline, return, Zs) to spaces, put spaces around CJK
-    ideographs, lower-case.  All JVM."""
+    whitespace (tab, newline, return, and the separators Zs, Zl and Zp) to
+    spaces, put spaces around CJK ideographs, lower-case.  All JVM."""
     s = F.regexp_replace(_c(col), r"[\x{0}\x{FFFD}]|[^\P{C}\t\n\r]", "")
-    s = F.regexp_replace(s, r"[\t\n\r\p{Zs}]", " ")
+    s = F.regexp_replace(s, r"[\t\n\r\p{Z}]", " ")
     s = F.regexp_replace(s, f"({CJK_CLASS})", " $1 ")  # handle_chinese_chars
     return F.lower(s) if lowercase else s
 
@@ -274,12 +257,16 @@ def train_wordpiece(words: DataFrame, word: str = "word", count: str = "count",
     Ids: the special tokens, then the alphabet (word-initial characters
     sorted, then ``##`` characters sorted), then merged tokens in merge order.
     Each merge takes the most frequent adjacent pair, ties by (left, right)
-    ascending.  The word table stays in Spark; each round sends one small
-    aggregate to the driver.  Every pair that only occurs in two-symbol words
-    changes no other count when merged, so a round applies such pairs in rank
-    order until the first pair that does not have that property (which is
-    applied last): the result equals one-merge-per-round.  The table is
-    checkpointed every few rounds to cut the lineage.
+    ascending.  The word table stays in Spark; each round sends its most
+    frequent pairs (at most ``candidates``) to the driver and applies several
+    of them, as long as that equals one merge per round:
+
+    * a pair that only occurs in two-symbol words touches no other pair;
+    * after another pair (l, r) the next one must not begin with r or end with
+      l, else its count may have changed, and must be more frequent than any
+      pair that the merge can make: (x, l) and (r, y) bound those.
+
+    The table is checkpointed every few rounds to cut the lineage.
     """
     spark = spark or words.sparkSession
     state = (words.groupBy(word).agg(F.sum(count).cast("long").alias("count"))
@@ -304,18 +291,31 @@ def train_wordpiece(words: DataFrame, word: str = "word", count: str = "count",
         if not ranked:
             break
         isolated: list[tuple[str, str, str]] = []
-        general: tuple[str, str, str] | None = None
+        general: list[tuple[str, str, str]] = []
+        rest = ranked[-1]["c"] if len(ranked) == candidates else 0      # no other pair is more frequent
+        ends: dict[str, int] = {}
+        begins: dict[str, int] = {}
+        for row in ranked:
+            ends.setdefault(row["r"], row["c"])
+            begins.setdefault(row["l"], row["c"])
+        made = 0                                                        # no pair made in this round is more frequent
         for row in ranked:
-            if len(vocab) >= vocab_size:
+            lft, rgt = row["l"], row["r"]
+            if len(vocab) >= vocab_size or (general and row["c"] <= made):
                 break
-            new = row["l"] + row["r"][len(WORDPIECE_PREFIX):] if row["r"].startswith(WORDPIECE_PREFIX) else row["l"] + row["r"]
-            if new not in known:
+            if row["maxlen"] > 2 and any(lft == r or rgt == l for l, r, _ in general):
+                break
+            new = lft + rgt[len(WORDPIECE_PREFIX):] if rgt.startswith(WORDPIECE_PREFIX) else lft + rgt
+            seen = new in known
+            if not seen:
                 vocab.append(new)
                 known.add(new)
             if row["maxlen"] == 2:
-                isolated.append((row["l"], row["r"], new))
-            else:
-                general = (row["l"], row["r"], new)
+                isolated.append((lft, rgt, new))
+                continue
+            general.append((lft, rgt, new))
+            made = max(made, min(row["c"], max(ends.get(lft, rest), begins.get(rgt, rest), rest)))
+            if seen:                            # its other occurrences may gain from this merge
                 break
         state = _apply_merges(state, isolated, general)
         rounds += 1
@@ -331,12 +331,12 @@ def _apply_merges(state: DataFrame, isolated, general) -> DataFrame:
         state = state.withColumn("sym", F.when((F.size("sym") == 2) & pairs[key].isNotNull(),
                                                F.array(pairs[key])).otherwise(F.col("sym")))
     if general:
-        lft, rgt, new = general
+        made = F.create_map(*[F.lit(x) for l, r, n in general for x in (l + "\u0000" + r, n)])
         init = F.array().cast("array<string>")
 
         def step(acc, s):
-            hit = (F.size(acc) > 0) & (F.element_at(acc, -1) == F.lit(lft)) & (s == F.lit(rgt))
-            return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(new)))) \
+            hit = made[F.concat(F.try_element_at(acc, F.lit(-1)), F.lit("\u0000"), s)]
+            return F.when((F.size(acc) > 0) & hit.isNotNull(), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(hit))) \
                     .otherwise(F.concat(acc, F.array(s)))
         state = state.withColumn("sym", F.aggregate("sym", init, step))
     return state
@@ -363,53 +363,59 @@ def _wordpiece_encode(word: str, vocab: dict, unk: int) -> list[int]:
     return out
 
 
-def _token_re():
-    if "token" not in _REGEX:
-        import regex
-        _REGEX["token"] = regex.compile(BERT_TOKEN)
-    return _REGEX["token"]
+def _split_words(text: str) -> list[str]:
+    """:func:`bert_pretokenize` of one stripped word: every punctuation mark
+    (ASCII 33-47, 58-64, 91-96, 123-126 and Unicode class P) is a token."""
+    import unicodedata
+    out, run = [], ""
+    for c in text:
+        mark = 33 <= ord(c) <= 126 and not c.isalnum() or unicodedata.category(c).startswith("P")
+        if mark or c == " ":
+            out += [run] if run else []
+            out += [c] if mark else []
+            run = ""
+        else:
+            run += c
+    return [*out, run] if run else out
 
 
-def wordpiece_ids(words_col, vocab: DataFrame, unk_token: str = "[UNK]", strip: bool = True,
-                  max_entries: int = 1_000_000) -> Column:
+def wordpiece_ids(words_col, vocab: DataFrame, unk_token: str = "[UNK]", strip: bool = True) -> Column:
     """Encode an array of pre-tokenized words to WordPiece ids (TOK-10):
     longest match first, ``##`` continuations, ``[UNK]`` for a word that
     cannot be covered or is longer than 100 characters.
 
     With ``strip`` the words are raw (:func:`bert_raw_words`): each is
     accent-stripped and split again here, which equals stripping the text
-    first.  The vocabulary is size-checked and broadcast; each Python worker
-    caches the words it has already encoded.
+    first.  The vocabulary is broadcast (the trainer's ``vocab_size`` bounds
+    it); a task keeps the words it has encoded over all its batches, so each
+    distinct word is cut into pieces once per task.
     """
-    spark = vocab.sparkSession
-    rows = vocab.select("token", "id").limit(max_entries + 1).collect()
-    if len(rows) > max_entries:
-        raise ValueError("vocabulary too large to broadcast")
-    bc = spark.sparkContext.broadcast({r[0]: int(r[1]) for r in rows})
-
-    def encode(batch: pd.Series) -> pd.Series:
-        vocab_d = bc.value
+    rows = vocab.select("token", "id").collect()
+    bc = vocab.sparkSession.sparkContext.broadcast({r[0]: int(r[1]) for r in rows})
+
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        vocab_d, cache = bc.value, {}
         unk = vocab_d[unk_token]
-        marks, token_re = _mark_re(), _token_re()
-        cache: dict[str, list[int]] = {}
-        out = []
-        for words in batch:
-            if words is None:
-                out.append(None)
-                continue
-            ids: list[int] = []
-            for w in words:
-                enc = cache.get(w)
-                if enc is None:
-                    pieces = [w]
-                    if strip:
-                        import unicodedata
-                        pieces = token_re.findall(marks.sub("", unicodedata.normalize("NFD", w)))
-                    enc = [i for p in pieces for i in _wordpiece_encode(p, vocab_d, unk)]
-                    cache[w] = enc
-                ids.extend(enc)
-            out.append(ids)
-        return pd.Series(out)
+
+        def word_ids(w: str) -> list[int]:
+            if len(cache) >= 500_000:
+                cache.clear()
+            pieces = [w] if not strip else _split_words(w if w.isascii() else _strip_marks(w))
+            ids = cache[w] = [i for p in pieces for i in _wordpiece_encode(p, vocab_d, unk)]
+            return ids
+
+        for batch in batches:
+            out = []
+            for words in batch:
+                if words is None:
+                    out.append(None)
+                    continue
+                ids: list[int] = []
+                for w in words:
+                    got = cache.get(w)
+                    ids += word_ids(w) if got is None else got
+                out.append(ids)
+            yield pd.Series(out)
 
     return F.pandas_udf(encode, "array<int>")(_c(words_col))
 

@@ -20,10 +20,13 @@ def _c(x) -> Column:
 
 
 def l2_normalize(vec) -> Column:
-    """Scale to unit L2 norm; an all-zero row stays as it is (VEC-01)."""
+    """Scale to unit L2 norm; an all-zero row stays as it is (VEC-01).  The
+    norm is bound as a lambda variable, so it is computed once per row and
+    not once per element."""
     v = F.transform(_c(vec), lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    return F.element_at(F.transform(F.array(norm), lambda n: F.when(
+        n > 0, F.transform(v, lambda x: x / n)).otherwise(v)), 1)
 
 
 def first_position(per_position) -> Column:
@@ -62,7 +65,12 @@ def group_mean(df: DataFrame, vec: str, group_cols: Sequence[str], out: str = "m
 
 def _linear(weights, bias):
     w = np.asarray(weights, dtype=np.float64)
-    return lambda x: x @ w[: x.shape[1]] + bias
+
+    def model(x):
+        if x.shape[1] != len(w):
+            raise ValueError(f"rows of {x.shape[1]} values for a model of {len(w)} weights")
+        return x @ w + bias
+    return model
 
 
 def linear_loader(weights, bias: float = 0.0):

@@ -11,10 +11,14 @@ from helixframe.plans.registry import table
 
 SEED = 1234
 
+# row_id = conv_id * 2^32 + turn: no two turns share it (a conv_id of 2^31 or
+# more fails as an overflow, it does not collide)
+PAIR_STRIDE = 1 << 32
+
 # ---- pair table (F1): a user turn and the assistant turn that answers it ----
 
 PAIRS_SQL = """
-SELECT conv_id * 1000 + turn AS row_id, text AS surf_sequence, next_text AS deep_sequence
+SELECT conv_id * 4294967296 + turn AS row_id, text AS surf_sequence, next_text AS deep_sequence
 FROM (SELECT conv_id, turn, role, text,
              lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
              lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
@@ -39,7 +43,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("text").alias("deep_sequence"))
     return (user.join(nxt, ["conv_id", "turn"])
             .where(F.col("next_role") == "assistant")
-            .select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "surf_sequence", "deep_sequence"))
+            .select((F.col("conv_id") * F.lit(PAIR_STRIDE) + F.col("turn")).alias("row_id"), "surf_sequence", "deep_sequence"))
 
 
 def labelled_sql(pairs_cte: str = "pairs") -> str:

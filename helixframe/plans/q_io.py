@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.text import strip_non_word
 from helixframe.operators import reshape, splits
-from helixframe.plans.inputs import (METRIC_RECORDS_SQL, PAIRS_SQL, SEED, metric_records, pairs)
+from helixframe.plans.inputs import (METRIC_RECORDS_SQL, PAIR_STRIDE, PAIRS_SQL, SEED, metric_records, pairs)
 from helixframe.plans.q_splits import _KFV_SQL, _kfold_valid, nested_sql
 from helixframe.plans.q_tokens import _WP_WORDS_SQL, _wp_vocab
 from helixframe.plans.registry import query, table
@@ -24,21 +24,21 @@ def _strip_sql(x: str) -> str:
 
 @query("src_01", f"""
 WITH pairs AS ({PAIRS_SQL})
-SELECT row_number() OVER (ORDER BY CAST(row_id // 100000 AS VARCHAR), row_id) - 1 AS row_id,
+SELECT row_number() OVER (ORDER BY CAST(row_id // 429496729600 AS VARCHAR), row_id) - 1 AS row_id,
        length(surf_sequence) AS surf_len, md5(surf_sequence) AS surf_md5, md5(deep_sequence) AS deep_md5
 FROM pairs
 """)
 def src_01(spark, sf_dir):
     """Pair table written as CSV with dotted headers (one file per chunk of
     conversations), read back with an explicit schema; row_id = position."""
-    p = pairs(spark, sf_dir).withColumn("chunk", F.floor(F.col("row_id") / 100000))
+    p = pairs(spark, sf_dir).withColumn("chunk", F.expr(f"row_id div {100 * PAIR_STRIDE}"))
     out = scratch_path(spark, "pairs-csv")
     w = p.select("chunk", "row_id", F.col("surf_sequence").alias("surf.sequence"),
                  F.col("deep_sequence").alias("deep.sequence"))
     # the files hold only the two sequence columns, as the reference's does
     ordered = w.repartition("chunk").sortWithinPartitions("chunk", "row_id").drop("row_id")
     ordered.write.option("header", True).partitionBy("chunk").csv(out)
-    back = RD.read_pair_csv(spark, out)
+    back = RD.read_pair_csv(spark, out, multiline=True)  # turns may hold line breaks
     return back.select("row_id", F.char_length("surf_sequence").cast("long").alias("surf_len"),
                        F.md5("surf_sequence").alias("surf_md5"), F.md5("deep_sequence").alias("deep_md5"))
 

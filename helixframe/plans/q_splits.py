@@ -231,9 +231,7 @@ def flt_02(spark, sf_dir):
     (label, row_id), with the bounds checked against the row count."""
     p = pairs(spark, sf_dir)
     lab = reshape.unpivot_pairs(p, "surf_sequence", "deep_sequence")
-    lab = lab.withColumn("_ok", F.col("label").cast("long") * F.lit(1 << 40) + F.col("row_id"))
-    from helixframe.operators.ranks import ordinal_by_value
-    o = ordinal_by_value(lab, "_ok", out="position").drop("_ok")
+    o = reshape.position_by(lab.select("row_id", "label"), "label", "row_id")
     n = p.count() * 2
     start, end = int(n * 0.72), int(n * 0.8)
     return splits.range_subset(o, "position", start, end, n).select("row_id", "label", "position")

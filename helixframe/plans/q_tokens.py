@@ -170,7 +170,8 @@ enc AS (SELECT d.doc_id, coalesce(list(cv.id ORDER BY ec.pos) FILTER (WHERE cv.i
 
 def _encoded(spark, sf_dir):
     m = K.vocab_map(_char_vocab(spark, sf_dir, train_only=True))
-    return _docs(spark, sf_dir).select("doc_id", K.encode_chars("text", m).alias("ids"))
+    return _docs(spark, sf_dir).select("doc_id", K.encode_chars("text", m).alias("ids"),
+                                       F.char_length("text").alias("n_chars"))
 
 
 @query("tok_04", _ENC_SQL + f"SELECT doc_id, len(ids) AS n_ids, {Q.md5_ints('ids')} AS ids_md5 FROM enc")
@@ -187,9 +188,8 @@ FROM enc
 def jon_03(spark, sf_dir):
     """Token -> id lookup with unknown characters dropped: kept and dropped
     counts per document."""
-    e = _encoded(spark, sf_dir).join(_docs(spark, sf_dir), "doc_id")
-    return e.select("doc_id", F.size("ids").cast("long").alias("n_known"),
-                    (F.char_length("text") - F.size("ids")).cast("long").alias("n_dropped"))
+    return _encoded(spark, sf_dir).select("doc_id", F.size("ids").cast("long").alias("n_known"),
+                                          (F.col("n_chars") - F.size("ids")).cast("long").alias("n_dropped"))
 
 
 def _keras_class() -> str:

@@ -65,13 +65,13 @@ def vec_03(spark, sf_dir):
 
 def _linear_loader():
     w = np.array([((j % 7) - 3) / 10.0 for j in range(64)])
-    return lambda x: x @ w[: x.shape[1]] + 0.1
+    return lambda x: x @ w + 0.1
 
 
 def _two_class_loader():
     w0 = np.array([((j % 5) - 2) / 10.0 for j in range(64)])
     w1 = np.array([((j % 3) - 1) / 10.0 for j in range(64)])
-    return lambda x: np.stack([x @ w0[: x.shape[1]], x @ w1[: x.shape[1]]], axis=1)
+    return lambda x: np.stack([x @ w0, x @ w1], axis=1)
 
 
 @query("vec_04", f"""

@@ -26,7 +26,7 @@ def chars(text: str) -> str:
 
 def bert_normalize(text: str) -> str:
     s = f"regexp_replace({text}, '[\\x00\\x{{FFFD}}]|[^\\P{{C}}\\t\\n\\r]', '', 'g')"
-    s = f"regexp_replace({s}, '[\\t\\n\\r\\p{{Zs}}]', ' ', 'g')"
+    s = f"regexp_replace({s}, '[\\t\\n\\r\\p{{Z}}]', ' ', 'g')"
     s = f"regexp_replace({s}, '({CJK_CLASS})', ' \\1 ', 'g')"
     return f"strip_accents(lower({s}))"
 

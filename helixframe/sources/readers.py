@@ -29,7 +29,7 @@ def with_file_position(df: DataFrame, out: str = "row_id") -> DataFrame:
     splits_t = d.groupBy("_fp", "_blk").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_m0"))
     before = Window.orderBy("_fp", "_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits_t.select("_fp", "_blk", "_m0", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return (d.join(F.broadcast(offsets), ["_fp", "_blk"])
+    return (d.join(offsets, ["_fp", "_blk"])
             .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
             .drop("_fp", "_blk", "_mid", "_m0", "_off"))
 
@@ -37,11 +37,11 @@ def with_file_position(df: DataFrame, out: str = "row_id") -> DataFrame:
 def read_pair_csv(spark: SparkSession, path: str, first: str = "surf.sequence",
                   second: str = "deep.sequence", out_first: str = "surf_sequence",
                   out_second: str = "deep_sequence", with_row_id: bool = True,
-                  multiline: bool = True) -> DataFrame:
+                  multiline: bool = False) -> DataFrame:
     """Pair table from comma-separated text with a header (SRC-01).  Dotted
     header names are renamed on read; ``row_id`` is the file position.
-    ``multiline`` allows quoted fields with line breaks (each file is then
-    parsed by one task); ``multiline=False`` lets Spark split large files."""
+    Large files are split between tasks, unless ``multiline`` asks for quoted
+    fields with line breaks (each file is then parsed by one task)."""
     schema = T.StructType([T.StructField(first, T.StringType()), T.StructField(second, T.StringType())])
     df = (spark.read.schema(schema).option("header", True).option("multiLine", multiline)
           .option("enforceSchema", False).csv(path))
@@ -67,7 +67,7 @@ def line_numbers(lines: DataFrame, out: str = "line_no") -> DataFrame:
     per_split = d.groupBy("path", "_blk").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     before = Window.partitionBy("path").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_split.select("path", "_blk", "_m0", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return (d.join(F.broadcast(offsets), ["path", "_blk"])
+    return (d.join(offsets, ["path", "_blk"])
             .withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_m0")).cast("long"))
             .drop("_blk", "_mid", "_m0", "_off"))
 
@@ -99,7 +99,7 @@ def read_three_line_records(spark: SparkSession, path: str, names=("yeast_id", "
                            F.coalesce(F.sum(n_rec.cast("long")).over(before), F.lit(0)).alias("_off"))
     recs = lines.groupBy("path", "_rec").agg(
         *[F.max(F.when(F.col("_k") == k, F.col("value"))).alias(names[k]) for k in range(3)])
-    out = recs.join(F.broadcast(offsets), "path").where(F.col("_rec") < F.col("_nr"))
+    out = recs.join(offsets, "path").where(F.col("_rec") < F.col("_nr"))
     return out.select((F.col("_off") + F.col("_rec")).cast("long").alias("row_id"),
                       *[F.regexp_replace(F.col(c), NON_WORD, "").alias(c) for c in names])
 
@@ -118,7 +118,7 @@ def _records_whole_files(spark, path, names, keep_partial) -> DataFrame:
     files = d.select("path", n_rec.cast("long").alias("_nr"))
     before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     offsets = files.select("path", F.coalesce(F.sum("_nr").over(before), F.lit(0)).alias("_off"))
-    out = ex.join(F.broadcast(offsets), "path")
+    out = ex.join(offsets, "path")
     return out.select((F.col("_off") + F.col("rec")).cast("long").alias("row_id"),
                       *[F.regexp_replace(F.col(f"r.{c}"), NON_WORD, "").alias(c) for c in names])
 
@@ -133,44 +133,46 @@ def partial_records(spark: SparkSession, path: str) -> DataFrame:
             .where("left_over > 0"))
 
 
-def read_fasta_first(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+# One rule for both FASTA modes: a header is a line that begins with ">"; what
+# stands before the first header of a file is no record; a record's other
+# lines are joined without white space.
+_HEADER = r"(?:\A|(?<=[\r\n]))>"
+
+
+def read_fasta_first(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """First FASTA record of every file in a folder (SRC-03):
-    ``(id, seq, path)``.  The id is the first word after ``>``; sequence
-    lines are joined and whitespace removed.  ``whole_files=False`` reads
-    splittable lines instead (for very large files)."""
-    if not whole_files:
-        recs = read_fasta_all(spark, path, whole_files=False)
-        return recs.where(F.col("rec") == 0).select("id", "seq", "path")
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    pat = r"(?s)^[^>]*>(\S*)[^\n]*\n?([^>]*)"
-    return (raw.select(F.regexp_extract("value", pat, 1).alias("id"),
-                       F.regexp_replace(F.regexp_extract("value", pat, 2), r"\s+", "").alias("seq"),
-                       F.col("_metadata.file_path").alias("path"))
-            .where(F.col("value").contains(">")))
-
-
-def read_fasta_all(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
-    """Every FASTA record of every file: ``(id, description, seq, path, rec)``
-    with ``rec`` the 0-based record number in its file.
+    ``(id, seq, path)``; see :func:`read_fasta_all`."""
+    recs = read_fasta_all(spark, path, whole_files)
+    return recs.where(F.col("rec") == 0).select("id", "seq", "path")
 
-    ``whole_files=False``: lines are numbered across file splits, the record
-    number is the running count of header lines (bucketed running totals, so
-    one large file is spread over many tasks), and each record's lines are
-    joined in line order."""
+
+def read_fasta_all(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Every FASTA record of every file: ``(id, description, seq, path, rec)``
+    with ``rec`` the 0-based record number in its file and the id the first
+    word after ``>``.
+
+    Lines are numbered across file splits, the record number is the running
+    count of header lines (bucketed running totals, so one large file is
+    spread over many tasks), and each record's lines are joined in line order
+    (a record is one row of the result, so it must fit in one).
+    ``whole_files=True`` reads each file as one row (no shuffle; for many
+    small files); both give the same records."""
     if whole_files:
         raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-        recs = F.split(F.regexp_replace("value", r"^[^>]*>", ""), r"\n>")
-        ex = explode_items(raw.select(F.col("_metadata.file_path").alias("path"), recs.alias("_recs")),
+        parts = F.split("value", _HEADER)
+        ex = explode_items(raw.select(F.col("_metadata.file_path").alias("path"),
+                                      F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("_recs")),
                            F.col("_recs"), "body", keep=["path"], with_pos="rec")
-        header = F.regexp_extract("body", r"^([^\n]*)", 1)
-        return ex.select(F.regexp_extract(header, r"^(\S*)", 1).alias("id"),
-                         F.trim(F.regexp_extract(header, r"^\S*\s*(.*)$", 1)).alias("description"),
-                         F.regexp_replace(F.regexp_replace("body", r"^[^\n]*\n?", ""), r"\s+", "").alias("seq"),
-                         "path", "rec")
+        header = F.regexp_extract("body", r"\A([^\r\n]*)", 1)
+        return ex.where(F.col("body").isNotNull()).select(
+            F.regexp_extract(header, r"^(\S*)", 1).alias("id"),
+            F.trim(F.regexp_extract(header, r"^\S*\s*(.*)$", 1)).alias("description"),
+            F.regexp_replace(F.regexp_replace("body", r"\A[^\r\n]*", ""), r"\s+", "").alias("seq"),
+            "path", F.col("rec").cast("int").alias("rec"))
     from helixframe.operators.ranks import running_totals
     lines = line_numbers(spark.read.option("recursiveFileLookup", "true").text(path))
     lines = lines.withColumn("_h", F.col("value").startswith(">").cast("long"))
-    numbered = running_totals(lines, "line_no", ["_h"], ["path"], n_buckets=256)
+    numbered = running_totals(lines, "line_no", ["_h"], ["path"])
     numbered = numbered.withColumn("rec", F.col("cum__h") - 1).where(F.col("rec") >= 0)
     parts = F.array_sort(F.collect_list(F.struct("line_no", "value", "_h")))
     grouped = numbered.groupBy("path", "rec").agg(parts.alias("_lines"))

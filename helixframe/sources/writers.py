@@ -35,9 +35,10 @@ def write_three_line_records(df: DataFrame, path: str, id_line: str, ref_line: s
 
 def fasta_text(id_col, seq_col, desc_col=None, width: int = 60):
     """``>id desc`` then the sequence wrapped at ``width`` characters."""
-    header = F.concat(F.lit(">"), F.col(id_col)) if desc_col is None else \
-        F.concat(F.lit(">"), F.col(id_col), F.lit(" "), F.col(desc_col))
-    wrapped = F.regexp_replace(F.col(seq_col), f"(.{{{width}}})(?=.)", "$1\n")
+    header = F.concat(F.lit(">"), F.coalesce(F.col(id_col), F.lit("")))
+    if desc_col is not None:  # a record without a description has none, it is not lost
+        header = F.concat_ws(" ", header, F.col(desc_col))
+    wrapped = F.regexp_replace(F.coalesce(F.col(seq_col), F.lit("")), f"(.{{{width}}})(?=.)", "$1\n")
     return F.concat(header, F.lit("\n"), wrapped)
 
 
@@ -62,15 +63,18 @@ def write_arrays(df: DataFrame, path: str) -> None:
 
 def write_split_index(df: DataFrame, path: str) -> None:
     """Split index partitioned by (repeat, fold) so a reader of one fold
-    touches one folder (SNK-04)."""
+    touches one folder (SNK-04).  Rows are rebalanced by folder: small folders
+    share tasks, and a folder above the advisory partition size is written by
+    several tasks into several files."""
     (df.select("row_id", "split", F.col("repeat").cast("int"), F.col("fold").cast("int"))
-     .repartition("repeat", "fold").write.partitionBy("repeat", "fold").mode("errorifexists").parquet(path))
+     .hint("rebalance", "repeat", "fold").write.partitionBy("repeat", "fold").mode("errorifexists").parquet(path))
 
 
 def write_vocab(vocab: DataFrame, path: str, json_path: str | None = None, max_entries: int = 1_000_000) -> None:
     """Vocabulary as parquet ``(token, id)`` (SNK-05); optionally also as a
     tokenizer-style JSON object ``{"model": {"vocab": {...}}}``.  The JSON
-    form is one object, so its size is checked first."""
+    form is one object in one file by its format, so its size is checked first
+    (``max_entries``); the parquet form has no bound."""
     vocab.select("token", F.col("id").cast("int")).write.mode("errorifexists").parquet(path)
     if json_path:
         if vocab.limit(max_entries + 1).count() > max_entries:

@@ -177,21 +177,6 @@ def test_exclusive_prefix_sum(spark):
     assert got == [(1, 0), (2, 3), (3, 0)]
 
 
-def _auc_callback(pdf):
-    ys, ss = list(pdf["label"]), list(pdf["score"])
-    return {"auroc": brute_auroc(ys, ss), "n": len(ys)}
-
-
-def test_metric_callback_per_group(spark):
-    import pytest
-    rows = [("a", 1, 0.9), ("a", 0, 0.1), ("a", 1, 0.4), ("a", 0, 0.5), ("b", 1, 0.2), ("b", 0, 0.8)]
-    df = spark.createDataFrame(rows, "g string, label int, score double")
-    got = {(r.g, r.metric): r.value for r in M.metric_callback(df, _auc_callback, ["g"]).collect()}
-    assert got[("a", "auroc")] == 0.75 and got[("b", "auroc")] == 0.0 and got[("a", "n")] == 4
-    with pytest.raises(ValueError):
-        M.metric_callback(df, _auc_callback, ["g"], max_group_rows=3)
-
-
 def test_spearman_with_hot_value(spark):
     rng = random.Random(4)
     ys = [7 if i % 3 == 0 else rng.randint(0, 50) for i in range(3000)]

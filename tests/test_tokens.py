@@ -16,7 +16,8 @@ def test_char_vocab_order_and_ties(spark):
 
 def test_encode_drops_unknown(spark):
     df = spark.createDataFrame([(0, "abz")], "i int, t string")
-    m = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.lit(2))
+    m = K.vocab_map(spark.createDataFrame([("a", 1), ("b", 2), ("\U0001f642", 3)], "token string, id int"))
+    assert df.select(K.encode_chars(F.lit("\U0001f642b\u00e9"), m)).first()[0] == [3, 2]
     assert df.select(K.encode_chars("t", m)).first()[0] == [1, 2]
     assert df.select(K.encode_chars("t", m, keep_unknown=0)).first()[0] == [1, 2, 0]
 
