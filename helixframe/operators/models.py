@@ -11,12 +11,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.session import ensure_checkpoint_dir
+from helixframe.session import ensure_checkpoint_dir, reliable_checkpoint
 
 MAX_TREE_DEPTH = 30
 
@@ -58,24 +60,38 @@ def positive_probability(pred: DataFrame) -> DataFrame:
     return pred.withColumn("score", vector_to_array("probability")[1])
 
 
+def char_counts_then(model, text: str = "text") -> Pipeline:
+    """Characters of the whole text, counted over the vocabulary of the rows it
+    is fitted on, scaled to unit L2 norm, then ``model``: fitted as one, so a
+    fold's test rows never shape its vocabulary (``fit_scope="each"``)."""
+    from pyspark.ml.feature import SQLTransformer
+    split = SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower(`{text}`), '(?s).', 0) AS __chars FROM __THIS__")
+    return Pipeline(stages=[split, CountVectorizer(inputCol="__chars", outputCol="__counts"),
+                            Normalizer(p=2.0, inputCol="__counts", outputCol="features"), model])
+
+
+def fit_predict(train: DataFrame, test: DataFrame, model, keep_cols: Sequence[str]) -> DataFrame:
+    """``keep_cols, prediction, score`` of the test rows, written once to the
+    checkpoint folder: metrics read them several times, trees score once."""
+    ensure_checkpoint_dir(train.sparkSession)  # deep forests checkpoint their node-id cache
+    pred = model.fit(train).transform(test)
+    pred = positive_probability(pred) if "probability" in pred.columns else pred.withColumn("score", F.col("prediction"))
+    return reliable_checkpoint(pred.select(*keep_cols, "prediction", "score"))
+
+
 def cross_validate(data: DataFrame, fold_col: str, make_model: Callable[[], object],
                    keep_cols: Sequence[str], n_folds: int, parallelism: int | None = None) -> DataFrame:
     """Per fold: fit on the other folds, predict this one (ML-06).  All
     predictions come back as one table with ``fold``; metrics are then one
     grouped aggregate.  The folds are fitted from driver threads, several at
-    a time (like ``CrossValidator(parallelism=...)``), over a cached input."""
+    a time (like ``CrossValidator(parallelism=...)``), over an input written
+    once to the checkpoint folder."""
     from concurrent.futures import ThreadPoolExecutor
 
-    ensure_checkpoint_dir(data.sparkSession)  # deep forests checkpoint their node-id cache
-    data = data.cache()
+    data = reliable_checkpoint(data)
 
     def one(f: int) -> DataFrame:
-        model = make_model().fit(data.where(F.col(fold_col) != f))
-        pred = model.transform(data.where(F.col(fold_col) == f))
-        if "probability" in pred.columns:
-            pred = positive_probability(pred)
-        else:
-            pred = pred.withColumn("score", F.col("prediction"))
+        pred = fit_predict(data.where(F.col(fold_col) != f), data.where(F.col(fold_col) == f), make_model(), keep_cols)
         return pred.select(*keep_cols, F.lit(f).alias("fold"), "prediction", "score")
 
     with ThreadPoolExecutor(max_workers=parallelism or n_folds) as pool:

@@ -75,6 +75,17 @@ def met_03(spark, sf_dir):
     return _ranking(spark, sf_dir).select("lang", "n", "n_pos", "auroc")
 
 
+_S_NULL = f"s0 AS ({SCORED_SQL}), s AS (SELECT nullif(lang, 'de') AS grp, label, score FROM s0)"
+
+
+@query("met_03_nullgroup", _rank_sql(_S_NULL, "grp") + "SELECT grp, n, n_pos, auroc, ap FROM m")
+def met_03_nullgroup(spark, sf_dir):
+    """AUROC and average precision per language, where one language is NULL."""
+    s = scored(spark, sf_dir).select(F.expr("nullif(lang, 'de')").alias("grp"), "label", "score")
+    m = M.ranking_metrics(s, "score", "label", ["grp"])
+    return m.select("grp", "n", "n_pos", _r(F.col("auroc")).alias("auroc"), _r(F.col("ap")).alias("ap"))
+
+
 @query("met_04", _rank_sql(_S, "lang") + "SELECT lang, ap FROM m")
 def met_04(spark, sf_dir):
     """Average precision per language (step sum over distinct thresholds)."""

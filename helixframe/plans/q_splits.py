@@ -85,6 +85,20 @@ def spl_03(spark, sf_dir):
     return splits.holdout(table(spark, sf_dir, "documents", "doc_id"), "doc_id", 0.1, SEED)
 
 
+@query("spl_03_grouped", """
+SELECT doc_id, grp, CASE WHEN rn < CAST(ceil(0.2 * n) AS BIGINT) THEN 'test' ELSE 'train' END AS split
+FROM (SELECT doc_id, nullif(lang, 'de') AS grp,
+             row_number() OVER (PARTITION BY nullif(lang, 'de') ORDER BY md5(concat('1234', ':', CAST(doc_id AS VARCHAR))), doc_id) - 1 AS rn,
+             count(*) OVER (PARTITION BY nullif(lang, 'de')) AS n FROM documents) r
+""")
+def spl_03_grouped(spark, sf_dir):
+    """Hold-out of 20% of each language, where one language is NULL: NULL is a
+    group like any other."""
+    from helixframe.plans.registry import table
+    d = table(spark, sf_dir, "documents", "doc_id", "lang").select("doc_id", F.expr("nullif(lang, 'de')").alias("grp"))
+    return splits.holdout(d, "doc_id", 0.2, SEED, ["grp"])
+
+
 def nested_sql(src: str, key: str = "doc_id") -> str:
     """SQL twin of ``splits.nested_holdout(.., 0.02, 0.25)``: the valid part
     is ceil(2/27 of the held rows), in integer arithmetic."""
@@ -147,6 +161,34 @@ def spl_06(spark, sf_dir):
     return d.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query("spl_06_fold", f"""
+WITH kfv AS ({_REPEATS_SQL.replace("range(0, 5)", "range(0, 2)")} SELECT repeat, row_id, fold FROM folds),
+part AS (SELECT row_id, CASE WHEN fold = 3 THEN 'test' ELSE 'train' END AS split FROM kfv WHERE repeat = 1),
+tr AS (SELECT row_id, row_number() OVER (ORDER BY md5(concat('1234', ':', CAST(row_id AS VARCHAR))), row_id) - 1 AS rn,
+              count(*) OVER () AS n FROM part WHERE split = 'train'),
+sp AS (SELECT row_id, CASE WHEN rn < (n + 19) // 20 THEN 'valid' ELSE 'train' END AS split FROM tr
+       UNION ALL SELECT row_id, split FROM part WHERE split = 'test')
+SELECT row_id, split FROM sp
+""")
+def spl_06_fold(spark, sf_dir):
+    """Split by priority with a stored (repeat, fold): that fold's test part,
+    and 5% of its training part as validation."""
+    p = pairs(spark, sf_dir).select("row_id")
+    idx = splits.split_index(splits.kfold(p, "row_id", 5, SEED, repeats=2), "row_id", 5)
+    return splits.resolve_split(p, "row_id", split_table=idx, repeat=1, fold=3, seed=SEED).select("row_id", "split")
+
+
+@query("spl_06_fixed", f"""
+WITH fixed AS ({_NESTED_SQL}) SELECT d.doc_id, d.lang, f.split FROM documents d JOIN fixed f ON d.doc_id = f.doc_id
+""")
+def spl_06_fixed(spark, sf_dir):
+    """Split by priority with a stored fixed split."""
+    from helixframe.plans.registry import table
+    d = table(spark, sf_dir, "documents", "doc_id", "lang")
+    fixed = splits.nested_holdout(d.select("doc_id"), "doc_id", 0.02, 0.25, SEED)
+    return splits.resolve_split(d, "doc_id", fixed_split=fixed)
+
+
 @query("spl_07", """
 SELECT doc_id, n_chars FROM documents
 ORDER BY md5(concat('7', ':', CAST(doc_id AS VARCHAR))), doc_id LIMIT 100

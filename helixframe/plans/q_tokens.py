@@ -468,3 +468,19 @@ def tok_01_stream(spark, sf_dir):
         w = T.overlap_words("text", 5, 2)
         return df.select("doc_id", F.size(w).cast("long").alias("n_words"), _md5_join(w, "|").alias("words_md5"))
     return run_available(spark, src, words)
+
+
+@query("tok_16_rows", f"""
+WITH r AS (SELECT doc_id, {Q.chars(Q.residue_seq('text'))} AS cs FROM documents)
+SELECT doc_id, CAST(len(cs) AS BIGINT) AS n_residues, md5(array_to_string(list_transform(cs, lambda c: array_to_string(list_concat(
+         list_transform({Q.RESIDUE_LIST}, lambda a: CASE WHEN a = c THEN 1 ELSE 0 END),
+         [CASE WHEN list_contains({Q.RESIDUE_LIST}, c) THEN 0 ELSE 1 END]), '')), ' ')) AS rows_md5
+FROM r
+""")
+def tok_16_rows(spark, sf_dir):
+    """Per-residue one-hot rows, 21 wide, of whole sequences (as one digest a
+    document)."""
+    rows = K.one_hot("seq")
+    return _residues(spark, sf_dir).select(
+        "doc_id", F.char_length("seq").cast("long").alias("n_residues"),
+        F.md5(F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda x: x.cast("string")), "")), " ")).alias("rows_md5"))
