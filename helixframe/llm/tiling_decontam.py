@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import arrow_schema, docs_of, schema
+from helixframe.llm.common import arrow_schema, cut, docs_of, schema
 
 SEED = 5
 THRESHOLD = 0.5
@@ -228,5 +228,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, threshold: float = THRESH
                   **how) -> DataFrame:
     """``df`` without the rows whose id is in a contaminated pair (rows with a
     null id are held against their own pairs alike)."""
-    bad = contaminated(df, benchmark, threshold, id_col=id_col, **how).select(F.col("doc_id").alias("__id")).distinct()
+    # written first, so the planner knows how few they are when it plans the anti join
+    bad = cut(contaminated(df, benchmark, threshold, id_col=id_col, **how).select(
+        F.col("doc_id").alias("__id")).distinct(), "contaminated")
     return df.join(bad, df[id_col].eqNullSafe(bad["__id"]), "left_anti")
