@@ -14,6 +14,7 @@ from helixframe.session import scratch_path
 #: the ASCII white space that separates words: space, \t, \n, \v, \f, \r
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 _SLICE = 512
+_BATCH_ROWS = 1024
 
 
 def worker_state(name: str, make: Callable):
@@ -36,24 +37,39 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Rows with whole texts go to Python in Arrow batches of at most
+    ``_BATCH_ROWS``: both sides hold a batch in memory, and the default of
+    10,000 rows is for narrow ones.  A smaller setting of the session stays."""
+    key, spark = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession
+    if not 0 < int(spark.conf.get(key)) <= _BATCH_ROWS:
+        spark.conf.set(key, str(_BATCH_ROWS))
+
+
 def docs_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
     """Only the columns an operator needs, under its own names, so extra
     columns of the input can neither clash nor be read."""
+    bounded_batches(df)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
                      *[F.col(c).alias(a) for a, c in more.items()])
 
 
-def by_rows(fn: Callable, names: list[str], out):
+def by_rows(fn: Callable, names: list[str], out, done: Callable | None = None):
     """Body for ``mapInArrow``: ``fn(*columns as lists) -> dict of lists`` is
     called on slices of each Arrow batch, so few texts are Python objects at
-    once.  ``out`` is the Arrow schema of the result."""
+    once.  ``out`` is the Arrow schema of the result; ``done`` is called when
+    the task ends."""
     def run(batches) -> Iterator:
         import pyarrow as pa
-        for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                part = batch.slice(at, _SLICE)
-                cols = fn(*[part.column(part.schema.get_field_index(n)).to_pylist() for n in names])
-                yield pa.RecordBatch.from_pydict(cols, schema=out)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, _SLICE):
+                    part = batch.slice(at, _SLICE)
+                    cols = fn(*[part.column(part.schema.get_field_index(n)).to_pylist() for n in names])
+                    yield pa.RecordBatch.from_pydict(cols, schema=out)
+        finally:
+            if done:
+                done()
     return run
 
 

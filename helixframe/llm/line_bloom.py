@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from helixframe.llm.common import ASCII_SPACE, arrow_schema, cut, schema
+from helixframe.llm.common import ASCII_SPACE, arrow_schema, bounded_batches, cut, schema
 
 #: bits of one segment, bits set for each key, and the sizes of a filter
 SEGMENT = 1 << 16
@@ -177,6 +177,7 @@ def dedup_lines(df: DataFrame, shortest: int = 10, id_col: str = "doc_id", text_
     numbers of lines before and of lines dropped come as columns ``n_lines``
     and ``n_dropped`` (which replace columns of these names)."""
     spark = df.sparkSession
+    bounded_batches(df)
     df = df.drop(n_lines, n_dropped)
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     bits = bits or filter_bits(df.count())
@@ -202,8 +203,12 @@ def dedup_lines(df: DataFrame, shortest: int = 10, id_col: str = "doc_id", text_
                    .filter("first <> last").select("key", "first"), "line-repeats")
     losses = (held.join(repeated, "key").filter(F.col("__id") != F.col("first"))
               .groupBy("__id").agg(F.collect_set("key").alias("__lost")))
+    # nothing to take out of these: only the lines are counted, in the JVM (a second Python
+    # function behind the first would double the workers of an executor)
+    alone = marked.filter(F.size("__keys") == 0).drop("__keys").withColumns({
+        n_lines: F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("bigint"),
+        n_dropped: F.lit(0).cast("bigint")})
     none = F.array().cast("array<string>")
-    alone = marked.filter(F.size("__keys") == 0).drop("__keys").withColumn("__lost", none)
     others = marked.filter(F.size("__keys") > 0).drop("__keys")
     others = (others.join(losses, others[id_col] == losses["__id"], "left").drop("__id")
               .withColumn("__lost", F.coalesce("__lost", none)))
@@ -233,4 +238,4 @@ def dedup_lines(df: DataFrame, shortest: int = 10, id_col: str = "doc_id", text_
                 cols |= {text_col: pa.array(kept, pa.string()), n_lines: lines, n_dropped: dropped}
                 yield pa.RecordBatch.from_pydict(cols, schema=form)
 
-    return alone.unionByName(others).mapInArrow(rebuild, kept_schema)
+    return alone.unionByName(others.mapInArrow(rebuild, kept_schema))
