@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import re
 from contextlib import contextmanager
+from operator import add
 
 MAX_MODEL_BYTES = 64 << 20
 SPACE = "\u2581"
@@ -62,7 +63,10 @@ class Pieces:
         # two characters that follow each other in no piece are never in one piece
         self.pairs = {p[i:i + 2] for p in self.score for i in range(len(p) - 1)}
         crosses = any(a != SPACE and b == SPACE for a, b in self.pairs)
-        self.words = (lambda s: [s]) if crosses else re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
+        # a line feed that no piece of two characters holds is a part of its own
+        alone = "" if any("\n" in p for p in self.pairs) else "\n"
+        split = re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|{alone}" if alone else ""))
+        self.words = (lambda s: [s]) if crosses else split.findall
 
     def normal(self, text: str) -> str:
         """The text with spaces as marks and the mark put before it."""
@@ -72,6 +76,8 @@ class Pieces:
         """``word`` cut at every place that no piece crosses; any
         segmentation of it is one of each part."""
         pairs, out, start = self.pairs, [], 0
+        if pairs.issuperset(map(add, word, word[1:])):
+            return [word]
         for i in range(1, len(word)):
             if word[i - 1:i + 1] not in pairs:
                 out.append(word[start:i])
@@ -97,16 +103,28 @@ def no_gc():
 
 
 class BoundedCache(dict):
-    """A dictionary that forgets everything when it is full; long keys are not
-    kept.  It only saves work: results never depend on it."""
+    """A dictionary of bounded size in two generations: when the young one is
+    full it becomes the old one, and what is asked for again (``again``) moves
+    back.  Long keys are not kept.  It only saves work: results never depend
+    on it."""
 
     def __init__(self, entries: int, key_chars: int = 64):
         super().__init__()
-        self.entries, self.key_chars = entries, key_chars
+        self.entries, self.key_chars, self.old = entries, key_chars, {}
 
     def keep(self, key: str, value):
         if len(key) <= self.key_chars:
-            if len(self) >= self.entries:
+            if 2 * len(self) >= self.entries:
+                self.old = self.copy()
                 self.clear()
             self[key] = value
         return value
+
+    def again(self, key: str):
+        """The value of a key that is only in the old generation, else None."""
+        value = self.old.get(key)
+        return None if value is None else self.keep(key, value)
+
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
