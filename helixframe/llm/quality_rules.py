@@ -7,12 +7,19 @@ one eighth).  Sketches are rows of counts: they merge by adding, on the map
 side, in the shuffle and again from sources to languages to all documents, so
 a source with a third of all rows is no hot group.
 
-The fence of a group is read from its sketch: the upper quartile plus
-``spread`` times the distance from the median to it (``least`` at least).  A
-group with fewer than ``enough`` documents takes its language's sketch, and a
-language with fewer takes that of all documents.  Documents are joined with
-their group's fences (one row for each language and source) and kept if no
-measure lies beyond its fence.
+The fence of a group is read from its sketch.  Most documents have no symbols,
+duplicate lines or repeats, so the quartiles of these measures are 0 and say
+nothing; ``tail_fences``, which op7 uses, takes the mean of the sketch's upper
+tail (from the 75 % point to the one in ``TAILS``, so the oddest documents do
+not widen their own fence) plus ``spread`` times the tail's standard deviation
+(``least`` and a quarter of the mean at least).  Word lengths are
+spread around their median and keep the quartile fence.  What is read from a
+group is shrunk towards its language's, and that towards all documents', as
+if ``weight`` documents of the wider sketch were added.  ``fences`` is the
+plain quartile version, in which a group of fewer than ``enough`` documents
+takes its language's sketch whole.  Documents are joined with their group's
+fences (one row for each language and source) and kept if no measure lies
+beyond its fence.
 
 Defined cases: null and empty texts have no words and fail the base rules;
 null languages and sources are groups like any other; repeated rows count and
@@ -38,6 +45,13 @@ MEASURES = {
     "repeat_permille": (6, 300, False),
     "word_centichars": (6, 150, True),
 }
+#: measure -> (where its tail ends in per cent, spread, least distance)
+TAILS = {
+    "symbol_permille": (95, 1, 20),
+    "dup_line_permille": (99, 6, 100),
+    "repeat_permille": (99, 6, 50),
+}
+_TAIL_FROM = 75
 
 
 def repeated_words(words: list[bytes], per: int = 3) -> int:
@@ -103,19 +117,31 @@ def bucket_value(b: Column) -> Column:
 
 
 def _quantiles(sketch: DataFrame, *by: str) -> DataFrame:
-    """25 %, 50 % and 75 % points of merged sketches (rows of bucket
-    counts)."""
+    """25 %, 50 % and 75 % points of merged sketches (rows of bucket counts),
+    and the mean and standard deviation of their upper tails (``TAILS``; a
+    bucket counts as its largest measure)."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "measure")
     upto = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
     at = [F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket"))) for k in (1, 2, 3)]
+    end = F.lit(99)
+    for m, (last, _, _) in TAILS.items():
+        end = F.when(F.col("measure") == m, last).otherwise(end)
+    # hundredths of documents of a bucket that lie between the tail's ends
+    inside = F.greatest(F.lit(0), F.least(100 * F.col("upto"), end * F.col("total"))
+                        - F.greatest(100 * (F.col("upto") - F.col("n")), _TAIL_FROM * F.col("total")))
+    value = F.when(F.col("measure").isin(*TAILS), bucket_value(F.col("bucket") + 1) - 1).otherwise(0)
+    held = F.max((end - _TAIL_FROM) * F.col("total"))
+    tail, square = F.sum(inside * value) / held, F.sum(inside * value * value) / held
     return upto.groupBy(*by, "measure").agg(
-        F.max("total").alias("total"), *[bucket_value(q).alias(f"q{k}") for k, q in zip((1, 2, 3), at, strict=True)])
+        F.max("total").alias("total"), *[bucket_value(q).alias(f"q{k}") for k, q in zip((1, 2, 3), at, strict=True)],
+        tail.alias("tail"), F.sqrt(F.greatest(F.lit(0.0), square - tail * tail)).alias("sd"))
 
 
-def fences(docs: DataFrame, enough: int = 200) -> DataFrame:
-    """``lang, source`` and for each measure ``low_<measure>, high_<measure>``
-    from sketches over ``docs`` (columns lang, source and the measures)."""
+def _levels(docs: DataFrame) -> DataFrame:
+    """What the sketches over ``docs`` (columns lang, source and the measures)
+    say for each group and measure: ``o_`` of the group, ``l_`` of its
+    language, ``e_`` of every document."""
     long = docs.select("lang", "source", F.explode(F.array(*[
         F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in MEASURES])).alias("x"))
     sketch = cut(long.groupBy("lang", "source", F.col("x.measure").alias("measure"), F.col("x.bucket").alias("bucket"))
@@ -123,28 +149,55 @@ def fences(docs: DataFrame, enough: int = 200) -> DataFrame:
     own, lang, every = _quantiles(sketch, "lang", "source"), _quantiles(sketch, "lang"), _quantiles(sketch)
     own, lang, every = [d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
                         for p, d in (("o", own), ("l", lang), ("e", every))]
-    level = (own.join(lang, F.col("o_lang").eqNullSafe(F.col("l_lang")) & (F.col("o_measure") == F.col("l_measure")))
-             .join(every, F.col("o_measure") == F.col("e_measure")))
+    return (own.join(lang, F.col("o_lang").eqNullSafe(F.col("l_lang")) & (F.col("o_measure") == F.col("l_measure")))
+            .join(every, F.col("o_measure") == F.col("e_measure")))
 
-    def q(k: int) -> Column:
-        return (F.when(F.col("o_total") >= enough, F.col(f"o_q{k}"))
-                .when(F.col("l_total") >= enough, F.col(f"l_q{k}")).otherwise(F.col(f"e_q{k}")))
 
-    level = level.select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"),
-                         F.col("o_measure").alias("measure"), *[q(k).alias(f"q{k}") for k in (1, 2, 3)])
+def _by_group(level: DataFrame, bounds: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """``lang, source`` and the low and high fence of each measure."""
     cols = []
-    for m, (spread, least, both) in MEASURES.items():
+    for m, (low, high) in bounds.items():
         here = F.col("measure") == m
-        high = F.col("q3") + F.greatest(F.lit(least), spread * (F.col("q3") - F.col("q2")))
-        low = F.col("q1") - F.greatest(F.lit(least), spread * (F.col("q2") - F.col("q1"))) if both else F.lit(-1)
         cols += [F.max(F.when(here, high)).alias(f"high_{m}"), F.max(F.when(here, low)).alias(f"low_{m}")]
     return level.groupBy("lang", "source").agg(*cols)
 
 
+def _quartile_bounds(m: str) -> tuple[Column, Column]:
+    spread, least, both = MEASURES[m]
+    high = F.col("q3") + F.greatest(F.lit(least), spread * (F.col("q3") - F.col("q2")))
+    return F.col("q1") - F.greatest(F.lit(least), spread * (F.col("q2") - F.col("q1"))) if both else F.lit(-1), high
+
+
+def fences(docs: DataFrame, enough: int = 200) -> DataFrame:
+    """``lang, source`` and for each measure ``low_<measure>, high_<measure>``
+    from sketches over ``docs`` (columns lang, source and the measures)."""
+    def q(k: int) -> Column:
+        return (F.when(F.col("o_total") >= enough, F.col(f"o_q{k}"))
+                .when(F.col("l_total") >= enough, F.col(f"l_q{k}")).otherwise(F.col(f"e_q{k}")))
+
+    level = _levels(docs).select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"),
+                                 F.col("o_measure").alias("measure"), *[q(k).alias(f"q{k}") for k in (1, 2, 3)])
+    return _by_group(level, {m: _quartile_bounds(m) for m in MEASURES})
+
+
+def tail_fences(docs: DataFrame, weight: int = 20) -> DataFrame:
+    """The same columns, from the sketches' upper tails."""
+    def shrunk(c: str) -> Column:
+        wide = (F.col("l_total") * F.col(f"l_{c}") + weight * F.col(f"e_{c}")) / (F.col("l_total") + weight)
+        return (F.col("o_total") * F.col(f"o_{c}") + weight * wide) / (F.col("o_total") + weight)
+
+    level = _levels(docs).select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"),
+                                 F.col("o_measure").alias("measure"), *[shrunk(c).alias(c) for c in ("q1", "q2", "q3", "tail", "sd")])
+    bounds = {m: _quartile_bounds(m) for m in MEASURES}
+    for m, (_, spread, least) in TAILS.items():
+        bounds[m] = (F.lit(-1.0), F.col("tail") + F.greatest(F.lit(least), F.col("tail") / 4, spread * F.col("sd")))
+    return _by_group(level, bounds)
+
+
 def quality(df: DataFrame, enough: int = 200, id_col: str = "doc_id", text_col: str = "text",
-            lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+            lang_col: str = "lang", source_col: str = "source", tails: bool = False) -> DataFrame:
     """One row per row of ``df``: the counts, ``base_failed``, the measures,
-    and ``kept``."""
+    and ``kept``, by ``tail_fences`` where ``tails`` is set."""
     docs = cut(measured(df, id_col, text_col, lang_col, source_col).withColumns({
         "base_failed": F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"),
         "symbol_permille": _per("n_symbols", 1000, "word_chars"),
@@ -152,7 +205,8 @@ def quality(df: DataFrame, enough: int = 200, id_col: str = "doc_id", text_col:
         "repeat_permille": _per("n_repeat_words", 1000, "n_words"),
         "word_centichars": _per("word_chars", 100, "n_words")}), "quality-measures")
     # the fences come from documents that pass the base rules
-    group = fences(docs.filter("NOT base_failed"), enough).select(
+    passed = docs.filter("NOT base_failed")
+    group = (tail_fences(passed) if tails else fences(passed, enough)).select(
         F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "*").drop("lang", "source")
     joined = docs.join(group, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")),
                        "left").drop("g_lang", "g_source")

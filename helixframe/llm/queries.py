@@ -83,7 +83,7 @@ def op10(spark, sf_dir):
 
 @query("op7_quality_rules")
 def op7(spark, sf_dir):
-    return quality_rules.quality(table(spark, sf_dir, "documents")).select(
+    return quality_rules.quality(table(spark, sf_dir, "documents"), tails=True).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

@@ -101,3 +101,33 @@ def test_a_very_long_text():
     words = [f"w{i}" for i in range(300_000)]
     assert Q.repeated_words([w.encode() for w in words]) == 0
     assert Q.repeated_words([b"same"] * 300_000) == 300_000
+
+
+def test_the_groups_own_tail_decides(spark):
+    """The registered query's fences: what is odd in one source is usual in
+    another, also where three quarters of the documents have a measure of 0."""
+    def text(i, dup=0, symbols=0):
+        lines = [" ".join(f"{'#' * symbols}w{i:03d}x{k}y{j}" for j in range(8)) for k in range(8)]
+        return "\n".join(x for k, line in enumerate(lines) for x in (line, "more")[:1 + (0 < dup and k <= dup)])
+
+    rows = [(i, text(i), "en", "clean", 1) for i in range(300)]
+    rows += [(1000 + i, text(i, dup=3 * (i % 5 == 0)), "en", "forms", 1) for i in range(300)]
+    rows += [(2000 + i, text(i, symbols=3 * (i % 3 == 0)), "en", "marked", 1) for i in range(300)]
+    rows += [(3000 + i, text(i, dup=3 * (i == 0)), "en", "small", 1) for i in range(20)]
+    rows += [(9001, text(400, dup=3), "en", "clean", 1), (9002, text(401, symbols=3), "en", "clean", 1)]
+    df = documents(spark, rows)
+    old = {x["doc_id"]: x for x in Q.quality(df).collect()}
+    got = {x["doc_id"]: x for x in Q.quality(df, tails=True).collect()}
+    assert not any(x["base_failed"] for x in got.values()) and old[9001]["kept"]
+    assert not got[9001]["kept"] and not got[9002]["kept"]
+    assert all(got[i]["kept"] for i in got if i < 3000)
+    highs = {x["source"]: x["high_dup_line_permille"] for x in Q.quality(df, tails=True).collect()}
+    assert highs["clean"] < highs["small"] < highs["forms"]             # shrunk, not switched, towards the language
+
+
+def test_tail_fences_merge_and_take_odd_rows(spark):
+    df = clashing(documents(spark))
+    sets = [sorted([(x["doc_id"], x["base_failed"], x["kept"]) for x in Q.quality(df.repartition(n), tails=True).collect()], key=str)
+            for n in (1, 7)]
+    assert sets[0] == sets[1] and len(sets[0]) == len(ODD)
+    assert Q.quality(df.limit(0), tails=True).count() == 0
