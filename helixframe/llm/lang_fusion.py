@@ -15,18 +15,21 @@ log P(language | row) is, up to a constant, the sum of
 
 Gram counts, agreement counts and host counts are grouped aggregates over all
 rows with partial sums, so a host with a third of all rows is no hot group.
-What comes to the driver are the tables by language: grams (languages x
-``GRAMS``) and agreement (declared languages x languages), where a language
-is one that at least ``MIN_SHARE`` of the rows declare, so at most
-1 / ``MIN_SHARE`` of them.
+A language has a gram model if the rows that declare it hold ``MIN_GRAMS``
+grams, however many rows there are beside them.  Rows that declare a rarer one
+have one more candidate, their own declared language: its text is worth what
+``und``'s is, so declared and host evidence decide, and where it wins it is the
+row's language.  Gram counts are written; what comes to the driver and goes to
+the tasks is the model, 128 KB a language with one (and as a table of languages
+x languages the agreement), whatever the number of rows.
 
 A row is rejected (``kept`` is false) if its text has no letters, ``und`` wins
 or the best language stays below ``least``, or the best is not in ``accept``
 where that is given.
 
 Defined cases: null and empty texts have no letters and are rejected; a null
-or unknown declared language, a null host and a suffix without a hint are no
-evidence; rows with a null host share the prior of all rows; repeated rows
+declared language, one outside ``languages`` where that is given, ``und``, a
+null host and a suffix without a hint are no evidence; rows with a null host share the prior of all rows; repeated rows
 count and are returned repeatedly; an empty table gives no rows.
 """
 
@@ -41,12 +44,16 @@ from pyspark.sql import functions as F
 from helixframe.llm.common import arrow_schema, by_rows, cut, schema
 
 GRAMS = 1 << 15
-MIN_SHARE = 0.001
+#: grams from which a declared language has a model of its own
+MIN_GRAMS = 4096
 TEMPER = 0.1
 #: top levels that hint at a language (fixed values)
 SUFFIX_HINTS = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en",
                 "au": "en", "ie": "en"}
 UND = "und"
+#: stands for the row's own declared language where that has no gram model
+RARE = "*"
+_HELD = 64
 _MIX = 2654435761
 
 
@@ -71,37 +78,46 @@ def gram_counts(docs: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
         held: dict[str, np.ndarray] = {}
+
+        def partial() -> Iterator:
+            for lang, counts in held.items():
+                some = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_pydict({"declared": [lang] * len(some), "gram": some, "n": counts[some]},
+                                                 schema=arrow_schema(out))
+            held.clear()
+
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 for text, lang in zip(*[part.column(k).to_pylist() for k in (0, 1)], strict=True):
                     if lang not in held:
+                        if len(held) == _HELD:
+                            yield from partial()
                         held[lang] = np.zeros(GRAMS, "i8")
                     held[lang] += np.bincount(grams(text)[0], minlength=GRAMS)
-        for lang, counts in held.items():
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_pydict({"declared": [lang] * len(some), "gram": some, "n": counts[some]},
-                                             schema=arrow_schema(out))
+        yield from partial()
 
     return docs.select("text", "declared").mapInArrow(run, out).groupBy("declared", "gram").agg(F.sum("n").alias("n"))
 
 
-def languages_of(docs: DataFrame) -> list[str]:
-    """The languages that at least ``MIN_SHARE`` of the rows declare."""
-    total = docs.count()
-    return sorted(r[0] for r in docs.filter("declared IS NOT NULL").groupBy("declared").count()
-                  .filter(F.col("count") >= MIN_SHARE * total).select("declared").collect())
+def languages_of(counts: DataFrame) -> list[str]:
+    """The declared languages with at least ``MIN_GRAMS`` grams."""
+    return sorted(r[0] for r in counts.groupBy("declared").agg(F.sum("n").alias("n"))
+                  .filter(F.col("n") >= MIN_GRAMS).select("declared").collect())
 
 
-def fit_text(docs: DataFrame, languages: Sequence[str]):
-    """Log likelihood of each gram (rows) in each language and ``und``."""
+def fit_text(gram_table: DataFrame, languages: Sequence[str], rare: bool = False):
+    """Log likelihood of each gram (rows) in each language, ``und`` and, with
+    ``rare``, a language without a model."""
     import numpy as np
-    counts = np.full((GRAMS, len(languages)), 0.5)
-    rows = gram_counts(docs.filter(F.col("declared").isin(list(languages)))).collect()
-    for lang, gram, n in rows:
-        counts[gram, languages.index(lang)] += n
-    loglik = np.log(counts / counts.sum(axis=0))
-    return np.hstack([loglik, np.full((GRAMS, 1), -math.log(GRAMS))]).astype("f4")
+    counts = np.full((GRAMS, len(languages)), 0.5, "f4")
+    number = {lang: k for k, lang in enumerate(languages)}
+    got = gram_table.filter(F.col("declared").isin(list(languages))).toArrow()
+    for batch in got.to_batches():
+        at = np.array([number[x] for x in batch.column("declared").to_pylist()], "i8")
+        counts[batch.column("gram").to_numpy(), at] += batch.column("n").to_numpy()
+    loglik = np.log(counts / counts.sum(axis=0, dtype="f8"))
+    return np.hstack([loglik, np.full((GRAMS, 1 + rare), -math.log(GRAMS))]).astype("f4")
 
 
 def text_evidence(docs: DataFrame, model, keep: Sequence[str], temper: float = TEMPER) -> DataFrame:
@@ -128,17 +144,17 @@ def _argmax(a: Column, names: Sequence[str]) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in names]), F.array_position(a, F.array_max(a)).cast("int"))
 
 
-def _agreement(rows: DataFrame, said: str, names: Sequence[str]) -> Column:
-    """log P(said | language) for each language as an array, from counts of
-    what is said against what the text says; zeros where nothing is said."""
-    known = list(names[:-1])
-    counts = {(r[0], r[1]): r[2] for r in rows.filter(F.col(said).isin(known)).groupBy(said, "heard").count().collect()}
-    per = {lang: sum(counts.get((d, lang), 0) for d in known) for lang in names}
-    out = F.array(*[F.lit(0.0)] * len(names))
-    for d in known:
-        p = [(counts.get((d, lang), 0) + (2.0 if d == lang else 0.5)) / (per[lang] + 1.5 + 0.5 * len(known)) for lang in names]
-        out = F.when(F.col(said) == d, F.array(*[F.lit(math.log(x)) for x in p])).otherwise(out)
-    return out
+def agreement(rows: DataFrame, said: str, names: Sequence[str]) -> DataFrame:
+    """``<said>_is, <said>_p``: log P(said | language) for each language as an
+    array, from counts of what is said against what the text says."""
+    known = [x for x in names if x != UND]
+    n = [F.sum(F.when(F.col("heard") == x, 1.0).otherwise(0.0)).alias(f"n{k}") for k, x in enumerate(names)]
+    spoken = rows.filter(F.col(said).isin(known)).groupBy(F.col(said).alias("is")).agg(*n)
+    spoken = cut(spoken, f"lang-{said}")
+    per = [float(v or 0) for v in spoken.agg(*[F.sum(f"n{k}") for k in range(len(names))]).first()]
+    p = [F.log((F.col(f"n{k}") + F.when(F.col("is") == x, 2.0).otherwise(0.5)) / (per[k] + 1.5 + 0.5 * len(known)))
+         for k, x in enumerate(names)]
+    return spoken.select(F.col("is").alias(f"{said}_is"), F.array(*p).alias(f"{said}_p"))
 
 
 def _log_shares(counts: Column, towards: Column, weight: float) -> Column:
@@ -173,19 +189,33 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", decl
                      F.lower(text(declared_col)).alias("declared"), F.lower(text(host_col)).alias("host"))
     hints = F.create_map(*[F.lit(x) for kv in SUFFIX_HINTS.items() for x in kv])
     docs = docs.withColumn("hint", F.when(F.instr("host", ".") > 0, hints[F.substring_index("host", ".", -1)]))
-    languages = list(languages or languages_of(docs))
-    names = [*languages, UND]
-    rows = text_evidence(docs, fit_text(docs, languages), ["id", "declared", "host", "hint"])
-    rows = cut(rows.withColumn("heard", F.when(F.col("letters") > 0, _argmax(F.col("ll"), names)).otherwise(UND)), "lang-text")
+    rare = not languages
+    counts = cut(gram_counts(docs.filter(F.col("declared").isNotNull() & (F.col("declared") != UND))), "lang-grams")
+    languages = list(languages or languages_of(counts))
+    names = [*languages, UND, *[RARE] * rare]
+    rows = text_evidence(docs, fit_text(counts, languages, rare), ["id", "declared", "host", "hint"])
+    modelled = F.col("declared").isin(languages)
+    rows = rows.withColumn("said", F.when(modelled, F.col("declared")).when(
+        F.lit(rare) & F.col("declared").isNotNull() & (F.col("declared") != UND), RARE))
+    heard = _argmax(F.col("ll"), names)                         # ``und`` stands before RARE, which has the same likelihood
+    heard = F.when((heard == UND) & (F.col("said") == RARE), RARE).otherwise(heard)
+    rows = cut(rows.withColumn("heard", F.when(F.col("letters") > 0, heard).otherwise(UND)), "lang-text")
     priors, shares = host_priors(rows, names, host_weight)
     priors = cut(priors.select(F.col("host").alias("p_host"), "prior"), "lang-priors")
     joined = rows.join(priors, rows["host"] == priors["p_host"], "left")
     total = F.zip_with(F.col("ll"), F.coalesce("prior", F.array(*[F.lit(s) for s in shares])), lambda a, p: a + F.log(p))
-    for said in ("declared", "hint"):
-        total = F.zip_with(total, _agreement(rows, said, names), lambda a, b: a + b)
+    for said in ("said", "hint"):
+        # one row for each language, so sent to all tasks
+        joined = joined.join(F.broadcast(agreement(rows, said, names)), F.col(said) == F.col(f"{said}_is"), "left")
+        total = F.zip_with(total, F.coalesce(f"{said}_p", F.array(*[F.lit(0.0)] * len(names))), lambda a, b: a + b)
+    if rare:                            # RARE is no candidate for rows that do not declare such a language
+        others = F.concat(F.slice(total, 1, len(names) - 1), F.array(F.lit(float("-inf"))))
+        total = F.when(F.col("said").eqNullSafe(F.lit(RARE)), total).otherwise(others)
     fused = joined.withColumn("total", total).withColumn("top", F.array_max("total"))
     fused = fused.withColumn("posterior", 1 / F.aggregate("total", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
-    language = F.when(F.col("letters") > 0, _argmax(F.col("total"), names)).otherwise(UND)
+    best = _argmax(F.col("total"), names)
+    best = F.when(best == RARE, F.col("declared")).otherwise(best)
+    language = F.when(F.col("letters") > 0, best).otherwise(UND)
     fused = fused.withColumn("language", language)
     kept = (F.col("language") != UND) & (F.col("posterior") >= least)
     if accept is not None:

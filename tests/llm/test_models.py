@@ -46,6 +46,21 @@ def test_evidence_decides_where_the_text_is_thin(spark):
     assert [got[i] for i in (900, 901, 902, 903)] == ["de", "en", "de", "en"]
 
 
+def test_languages_that_few_rows_declare(spark):
+    """A model needs so many grams, not a share of the rows; below that the
+    declared language itself decides."""
+    r = random.Random(5)
+    rows = [(i, text_in("en", r, 12), "en", "a.net", 1) for i in range(12_000)]
+    rows += [(20_000 + i, text_in("de", r, 200), "de", "a.net", 1) for i in range(9)]
+    rows += [(20_100, text_in("de", r, 60), None, "b.net", 1), (20_101, text_in("en", r, 60), "xx", "b.net", 1)]
+    rows += [(20_200 + i, "漢字仮名 交じり文 " * (3 + i), "ja", "c.net", 1) for i in range(3)]
+    rows += [(20_300, "ﷺﷻꙮꙮ ꙮ" * 9, None, "a.net", 1), (20_301, "", "ja", "c.net", 1)]
+    got = {x["doc_id"]: x for x in L.identify(documents(spark, rows)).filter("doc_id >= 20000").collect()}
+    for i, lang in [*[(20_000 + k, "de") for k in range(9)], (20_100, "de"), (20_101, "en"), *[(20_200 + k, "ja") for k in range(3)]]:
+        assert (got[i]["language"], got[i]["kept"]) == (lang, True), i
+    assert not got[20_300]["kept"] and not got[20_301]["kept"]
+
+
 def test_priors_are_smoothed_towards_the_parent(spark):
     rows = ([("a.x.net", "en")] * 50 + [("b.x.net", "de")] + [("c.y.net", "de")] * 50 + [(None, "en")])
     df = spark.createDataFrame(rows, "host string, heard string")
