@@ -37,6 +37,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a key for each row, and the key's name.  The rows are
+    written with it, so it is the same wherever they are read."""
+    key = "__row"
+    while key.lower() in {c.lower() for c in df.columns}:
+        key += "_"
+    return cut(df.withColumn(key, F.monotonically_increasing_id()), "row-keys"), key
+
+
 def bounded_batches(df: DataFrame) -> None:
     """Rows with whole texts go to Python in Arrow batches of at most
     ``_BATCH_ROWS``: both sides hold a batch in memory, and the default of

@@ -36,7 +36,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import arrow_schema, cut, docs_of, schema
+from helixframe.llm.common import arrow_schema, cut, docs_of, schema, with_row_key
 
 SEED = 5
 THRESHOLD = 0.5
@@ -226,9 +226,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id",
                   **how) -> DataFrame:
-    """``df`` without the rows whose id is in a contaminated pair (rows with a
-    null id are held against their own pairs alike)."""
+    """``df`` without the rows whose own text is contaminated, whatever their
+    ids (``id_col`` is not read)."""
+    rows, key = with_row_key(df)
     # written first, so the planner knows how few they are when it plans the anti join
-    bad = cut(contaminated(df, benchmark, threshold, id_col=id_col, **how).select(
-        F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return df.join(bad, df[id_col].eqNullSafe(bad["__id"]), "left_anti")
+    bad = cut(contaminated(rows, benchmark, threshold, id_col=key, **how).select(
+        F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    return rows.join(bad, rows[key] == bad["__bad"], "left_anti").select(*df.columns)

@@ -102,3 +102,16 @@ def test_stages_take_odd_rows_extra_columns_and_empty_tables(spark, sf_dir):
             if name != "sentencepiece":
                 assert out.columns == df.columns
     assert len(LONG) in {len(t or "") for _, t, *_ in ODD}
+
+
+def test_rows_are_judged_not_ids(spark, sf_dir):
+    """Clean rows stay beside a rejected or contaminated row with their id."""
+    r = random.Random(11)
+    clean = [(i, text_in("en", r, 60), "en", "a", 1) for i in (None, None, 7, *range(50, 90))]
+    item = next(x["text"] for x in C.table(spark, sf_dir, "benchmark").orderBy("item_id").collect())
+    empty, leaked = [(i, "", "en", "a", 0) for i in (None, 7)], [(i, item, "en", "a", 1) for i in (None, 7)]
+    stages = dict(C.STAGES)
+    for stage, bad in (("language_id", empty), ("decontamination", leaked)):
+        df = documents(spark, clean + bad).repartition(3).withColumnRenamed("n_chars", "__row")
+        out = stages[stage](spark, df, sf_dir)
+        assert out.columns == df.columns and rows_of(out) == sorted(clean, key=str)
