@@ -12,6 +12,9 @@ from helixframe.llm import (
     bpe_counts,
     lang_fusion,
     line_bloom,
+    linear_grouping,
+    max_sketch,
+    overlap_dsir,
     piece_nbest,
     pieces,
     quality_rules,
@@ -26,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def query(key: str, sql: str | None = None):
@@ -122,3 +126,47 @@ def op9(spark, sf_dir):
 @query("op6_toxic_gru")
 def op6(spark, sf_dir):
     return toxic_gru.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_linear_grouping")
+def op11(spark, sf_dir):
+    import public_tokenizers
+    tokenizer = linear_grouping.read_tokenizer(public_tokenizers.path(BYTE_TOKENIZER))
+    made = linear_grouping.pieces(table(spark, sf_dir, "documents"), tokenizer, capacity=2048, end_id=0)
+    return linear_grouping.place(made.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), capacity=2048)
+
+
+@query("op12_overlap_dsir")
+def op12(spark, sf_dir):
+    return overlap_dsir.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_max_sketch", r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+full_doc AS (SELECT r, doc_id, ts, CAST(len(ts) AS BIGINT) AS n FROM doc WHERE len(ts) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM full_doc),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM full_doc) GROUP BY r, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+item AS (
+  SELECT item_id, t, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM benchmark) GROUP BY item_id, t),
+weighed AS (
+  SELECT item_id, item.t, q * CAST(floor(1000 * ln((2 * CAST(docs AS DOUBLE) + 2) / (2 * CAST(df AS DOUBLE) + 1))) AS BIGINT) AS w
+  FROM item JOIN df ON item.t = df.t, total),
+scored AS (
+  SELECT item_id, tf.r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM weighed JOIN tf ON weighed.t = tf.t JOIN full_doc ON tf.r = full_doc.r, total GROUP BY item_id, tf.r),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scored JOIN full_doc ON scored.r = full_doc.r WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def op13(spark, sf_dir):
+    return max_sketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
