@@ -12,8 +12,14 @@ lattice of a text is the chain of its parts' lattices: the best segmentation
 of the text joins the parts' best, and its N best come from the N-1 words
 where a worse choice costs least, by the same best-first search over words.
 
-Shape: one map over the scan, with parts' results in a bounded cache per
-worker (which changes no result; ``encode`` gives it back after each task); no shuffle, nothing collected.
+Words of up to 32 characters that need no byte pieces are segmented whole, the
+distinct new ones of a slice of rows together (``piece_batches``); longer or odd
+ones part by part.  Only the best segmentation and the loss of the second are
+kept of a word; the few words whose other choices count are searched again.
+
+Shape: one map over the scan, with words' results in a bounded table per
+worker (which changes no result; ``encode`` gives it back after each task); no
+shuffle, nothing collected.
 Defined cases: null and empty texts have no pieces, one empty segmentation of
 score 0 and decode to the empty text; a null id stays null; repeated rows give
 repeated rows; an empty table gives no rows.  A space mark (U+2581) in a text
@@ -31,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import arrow_schema, by_rows, docs_of, schema, worker_state
-from helixframe.llm.pieces import SPACE, BoundedCache, Pieces, no_gc
+from helixframe.llm.piece_batches import Found, Lattices
+from helixframe.llm.pieces import SPACE, Pieces, no_gc
 
-CACHE_ENTRIES = 400_000
-_FEW = 16
+CACHE_ENTRIES = 1_000_000
+_LONG = 64                                              # longer words are not kept whole
 _NONE = float("inf")
 
 
@@ -84,8 +91,8 @@ def n_best(part: str, pieces: Pieces, n: int) -> list[tuple[float, bytes]]:
             room -= 1
             continue
         for i, s, edge in into[j]:
+            f = -(best[i] + s + so_far)
             s += so_far
-            f = -(best[i] + s)
             if len(agenda) < room or f < agenda[-1][0]:
                 number += 1
                 insort(agenda, (f, number, i, s, edge, top))
@@ -99,66 +106,42 @@ def pack(ids) -> bytes:
     return b"".join([i.to_bytes(4, "little") for i in ids])
 
 
-#: what is kept of a part or word: score and ids of the best, what the second
-#: best loses (infinite if there is none), and all N best
-Entry = tuple[float, bytes, float, list]
-
-
-def entry(found: list[tuple[float, bytes]]) -> Entry:
-    return (*found[0], found[0][0] - found[1][0] if len(found) > 1 else _NONE, found)
-
-
-def followed(head: Entry, tail: Entry) -> Entry:
-    """``head`` with a part behind it that has one segmentation."""
-    s, ids = tail[0], tail[1]
-    return head[0] + s, head[1] + ids, head[2], [(t + s, i + ids) for t, i in head[3]]
-
-
-def chained(parts: list[Entry], n: int) -> Entry:
-    """A word's entry from those of its few parts."""
-    best = [(0.0, b"")]
-    for _, _, _, options in parts:
-        if len(options) == 1:
-            s, ids = options[0]
-            best = [(t + s, i + ids) for t, i in best]
-        else:
-            best = sorted([(t + s, i + ids) for t, i in best for s, ids in options], key=itemgetter(0), reverse=True)[:n]
-    return entry(best)
-
-
-def join_best(parts: list[Entry], n: int) -> list[tuple[float, bytes]]:
-    """The ``n`` best of a chain of independent parts: best-first search over
-    how far each part is from its best.  Only the ``n - 1`` parts with the
-    cheapest second choice can differ from their best in any result."""
-    total = sum([p[0] for p in parts])
-    first = b"".join([p[1] for p in parts])
-    out = [(total, first)]
-    if n == 1 or not parts:
-        return out
-    gaps = [p[2] for p in parts]
-    free = sorted(k for k in heapq.nsmallest(n - 1, range(len(gaps)), key=gaps.__getitem__) if gaps[k] < _NONE)
-    start, done, at = [], 0, 0
-    for k in free:                                      # where the ids of these parts begin
-        at += sum([len(p[1]) for p in parts[done:k]])
-        start.append(at)
-        done = k
-    agenda, seen = [(0.0, (0,) * len(free))], set()
-    while agenda and len(out) <= n:
-        loss, choice = heapq.heappop(agenda)
-        if choice in seen:
-            continue
-        seen.add(choice)
-        if any(choice):
-            ids, done = b"", 0
-            for k, at, c in zip(free, start, choice, strict=True):
-                ids += first[done:at] + parts[k][3][c][1]
-                done = at + len(parts[k][1])
-            out.append((total - loss, ids + first[done:]))
-        for a, k in enumerate(free):
-            c, of = choice[a] + 1, parts[k][3]
-            if c < len(of):
-                heapq.heappush(agenda, (loss + of[c - 1][0] - of[c][0], (*choice[:a], c, *choice[a + 1:])))
-    return out[:n]
+def chained(parts: list[Found], n: int) -> Found:
+    """The ``n`` best of a few independent parts, from theirs."""
+    best: Found = [(0.0, b"")]
+    for options in parts:
+        best = sorted([(t + s, i + ids) for t, i in best for s, ids in options], key=itemgetter(0), reverse=True)[:n]
+    return best
+
+
+class Words(dict):
+    """Numbers words as they are asked for; ``new`` are those not looked at
+    yet.  For each number it holds the best score, what the second best
+    segmentation loses (infinite if there is none) and the best one's ids."""
+
+    def __init__(self):
+        import numpy as np
+        super().__init__()
+        self.new: list[str] = []
+        self.score, self.gap, self.length, self.at = np.zeros(0), np.zeros(0), np.zeros(0, "i8"), np.zeros(0, "i8")
+        self.ids = np.zeros(0, "<i4")
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def learn(self, found: list[tuple[float, float, bytes]]) -> None:
+        """Score, gap and ids of the new words, in their order."""
+        import numpy as np
+        if found:
+            score, gap, ids = zip(*found, strict=True)
+            length = np.array([len(i) // 4 for i in ids], "i8")
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(length) - length])
+            self.score, self.gap = np.concatenate([self.score, score]), np.concatenate([self.gap, gap])
+            self.length = np.concatenate([self.length, length])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<i4")])
+        self.new = []
 
 
 class Segmenter:
@@ -168,8 +151,8 @@ class Segmenter:
         for node in _nodes(self.pieces.trie):
             if node[1] is not None:
                 node[2] = pack([node[2]])
-        self.of_part = BoundedCache(cache_entries)
-        self.of_word = BoundedCache(2 * cache_entries)
+        self.lattices = Lattices(self.pieces)
+        self.entries, self.known, self.odd = cache_entries, Words(), False
         # for decoding: the bytes of all pieces, one after another
         raw = [bytes((self.pieces.byte_of[i],)) if i in self.pieces.byte_of else t.replace(SPACE, " ").encode()
                for i, t in enumerate(self.pieces.text)]
@@ -178,33 +161,118 @@ class Segmenter:
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
 
     def forget(self) -> None:
-        """Gives the caches' memory back; a worker outlives its tasks and may
+        """Gives the words' memory back; a worker outlives its tasks and may
         serve other operators next."""
-        self.of_part.forget()
-        self.of_word.forget()
+        self.known, self.odd = Words(), False
 
-    def part(self, part: str) -> Entry:
-        got = self.of_part.get(part) or self.of_part.again(part)
-        return got or self.of_part.keep(part, entry(n_best(part, self.pieces, self.n)))
-
-    def word(self, word: str) -> Entry:
-        """A word's N best, from those of its parts."""
-        if got := self.of_word.again(word):
-            return got
+    def parts(self, word: str) -> list[str]:
+        """What a word is segmented by: itself if it is short and plain, else
+        parts that no piece crosses."""
         if self.pieces.ends_apart(word):
-            head = word[:-1]
-            return self.of_word.keep(word, followed(self.of_word.get(head) or self.word(head), self.part(word[-1])))
-        parts = self.pieces.parts(word)
+            return [word[:-1], word[-1]]
+        return [word] if self.lattices.fits(word) else self.pieces.parts(word)
+
+    def options(self, word: str) -> Found:
+        """The ``n`` best segmentations of a word."""
+        parts = self.parts(word)
         if len(parts) == 1:
-            return self.of_word.keep(word, entry(n_best(word, self.pieces, self.n)))
-        parts = [self.part(p) for p in parts]
-        return self.of_word.keep(word, chained(parts, self.n) if len(parts) <= _FEW else entry(join_best(parts, self.n)))
+            return n_best(word, self.pieces, self.n)
+        return chained([self.options(p) for p in parts], self.n)
+
+    def learn(self) -> None:
+        """Segments the words asked for since the last time: short ones
+        together, others from their parts."""
+        known = self.known
+        first = len(known) - len(known.new)
+        of = [self.parts(w) for w in known.new]
+        done = 0
+        while done < len(known.new):                    # parts may be new words, too
+            for word in known.new[done:]:
+                if len(of) <= done:
+                    of.append(self.parts(word))
+                for p in of[done] if len(of[done]) > 1 else ():
+                    known[p]
+                done += 1
+        got: dict[int, tuple[float, float, bytes]] = {}
+        two, whole = min(self.n, 2), [k for k, p in enumerate(of) if len(p) == 1]
+        short = [k for k in whole if self.lattices.fits(known.new[k])]
+        found = dict(zip(short, self.lattices.n_best([known.new[k] for k in short], two), strict=True))
+        for k in whole:
+            f = found.get(k) or n_best(known.new[k], self.pieces, two)
+            got[k] = f[0][0], f[0][0] - f[1][0] if len(f) > 1 else _NONE, f[0][1]
+        for k in range(len(of) - 1, -1, -1):            # parts stand behind the word that asked for them, or were known
+            if k not in got:
+                each = [self.told(known[p], first, got) for p in of[k]]
+                got[k] = sum([s for s, _, _ in each]), min([g for _, g, _ in each]), b"".join([i for _, _, i in each])
+        known.learn([got[k] for k in range(len(of))])
+
+    def told(self, number: int, first: int, got: dict[int, tuple]) -> tuple[float, float, bytes]:
+        if number >= first:
+            if number - first not in got:               # asked for by an earlier word as well
+                each = [self.told(self.known[p], first, got) for p in self.parts(self.known.new[number - first])]
+                got[number - first] = (sum([s for s, _, _ in each]), min([g for _, g, _ in each]),
+                                       b"".join([i for _, _, i in each]))
+            return got[number - first]
+        known, at = self.known, self.known.at[number]
+        return known.score[number], known.gap[number], known.ids[at:at + known.length[number]].tobytes()
+
+    def texts(self, texts: list[str | None]) -> list[Found]:
+        """The texts' N best segmentations as (score, ids)."""
+        split = [self.words(t) for t in texts]
+        number = self.known.__getitem__
+        numbers = [list(map(number, words)) for words in split]
+        self.learn()
+        got = [self.join(words, of) for words, of in zip(split, numbers, strict=True)]
+        if self.odd or len(self.known) >= self.entries:
+            self.forget()
+        return got
+
+    def words(self, text: str | None) -> list[str]:
+        words = self.pieces.words(self.pieces.normal(text or ""))
+        if max(map(len, words), default=0) > _LONG:
+            words = [p for w in words for p in (self.pieces.parts(w) if len(w) > _LONG else (w,))]
+            self.odd |= max(map(len, words)) > _LONG
+        return words
 
-    def text(self, text: str | None) -> list[tuple[float, bytes]]:
+    def text(self, text: str | None) -> Found:
         """The text's N best segmentations as (score, ids)."""
-        words = self.pieces.words(self.pieces.normal(text or ""))
-        get = self.of_word.get
-        return join_best([get(w) or self.word(w) for w in words], self.n)
+        return self.texts([text])[0]
+
+    def join(self, words: list[str], numbers: list[int]) -> Found:
+        """The ``n`` best of a chain of words: best-first search over how far
+        each is from its best.  Only the ``n - 1`` words with the cheapest
+        second choice can differ from their best in any result."""
+        import numpy as np
+        if not words:
+            return [(0.0, b"")]
+        known, numbers = self.known, np.array(numbers)
+        length = known.length[numbers]
+        end = np.cumsum(length)
+        first = known.ids[np.arange(end[-1]) + np.repeat(known.at[numbers] - end + length, length)].tobytes()
+        total = float(known.score[numbers].sum())
+        out = [(total, first)]
+        if self.n == 1:
+            return out
+        gaps = known.gap[numbers]
+        cheap = [int(gaps.argmin())] if self.n == 2 else np.argsort(gaps, kind="stable")[:self.n - 1].tolist()
+        free = sorted(k for k in cheap if gaps[k] < _NONE)
+        start, options = [4 * int(end[k] - length[k]) for k in free], [self.options(words[k]) for k in free]
+        agenda, seen = [(0.0, (0,) * len(free))], set()
+        while agenda and len(out) <= self.n:
+            loss, choice = heapq.heappop(agenda)
+            if choice in seen:
+                continue
+            seen.add(choice)
+            if any(choice):
+                ids, done = b"", 0
+                for at, k, of, c in zip(start, free, options, choice, strict=True):
+                    ids += first[done:at] + of[c][1]
+                    done = at + 4 * int(length[k])
+                out.append((total - loss, ids + first[done:]))
+            for a, of in enumerate(options):
+                if (c := choice[a] + 1) < len(of):
+                    heapq.heappush(agenda, (loss + of[c - 1][0] - of[c][0], (*choice[:a], c, *choice[a + 1:])))
+        return out[:self.n]
 
     def decode(self, ids) -> str:
         """The text of a segmentation (ids as an integer array), without the
@@ -216,6 +284,11 @@ class Segmenter:
         take = np.arange(n) + np.repeat(self.raw_at[ids] - end + length, length)
         return self.raw[take].tobytes()[1:].decode("utf-8", "replace")
 
+    def same(self, ids: bytes, text: str | None) -> bool:
+        """Whether packed ids decode to the text (U+2581 is a space)."""
+        import numpy as np
+        return self.decode(np.frombuffer(ids, "<i4")) == (text or "").replace(SPACE, " ")
+
 
 def _nodes(at: dict):
     stack = list(at.values())
@@ -240,23 +313,37 @@ def _kept(docs: DataFrame, keep) -> str:
 
 
 def encode(df: DataFrame, model: bytes, n: int = 2, id_col: str = "doc_id", text_col: str = "text",
-           keep: tuple[str, ...] = (), cache_entries: int = CACHE_ENTRIES) -> DataFrame:
+           keep: tuple[str, ...] = (), cache_entries: int = CACHE_ENTRIES, compare: bool = False) -> DataFrame:
     """Every row's ``n`` best segmentations: ``doc_id``, the columns named in
     ``keep``, ``ids`` (the best), ``scores`` (of all, best first) and
-    ``alternatives`` (ids of the others).  ``cache_entries`` parts, and twice
-    as many words, of half a kilobyte or so each are kept per task."""
+    ``alternatives`` (ids of the others).  ``cache_entries`` words, of a quarter of
+    a kilobyte or so each, are kept per task.
+
+    ``compare`` adds ``library_ids``, what the model's own library gives, and
+    ``decoded_ok``, whether ``ids`` decode to the text.  The two kinds of ids
+    are not the same where the model's scores are merge ranks instead of log
+    probabilities: the library merges in the order of the ranks, N-best adds
+    them up."""
     docs = docs_of(df, id_col, text_col, **{c: c for c in keep})
     out = schema(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}{_kept(docs, keep)}, ids array<int>, "
-                 "scores array<double>, alternatives array<array<int>>")
+                 "scores array<double>, alternatives array<array<int>>"
+                 + ", library_ids array<int>, decoded_ok boolean" * compare)
     key = f"nbest_{hash(model)}_{n}_{cache_entries}"
 
     def rows(ids, texts, *others):
         seg = worker_state(key, lambda: Segmenter(model, n, cache_entries))
         with no_gc():
-            got = [seg.text(t) for t in texts]
-        return {"doc_id": ids, **dict(zip(keep, others, strict=True)), "ids": _lists([[g[0][1]] for g in got])[0],
+            got = seg.texts(texts)
+        made = {"doc_id": ids, **dict(zip(keep, others, strict=True)), "ids": _lists([[g[0][1]] for g in got])[0],
                 "scores": [[s for s, _ in g] for g in got],
                 "alternatives": _lists([[i for _, i in g[1:]] for g in got])[1]}
+        if compare:
+            import numpy as np
+            import sentencepiece
+            library = worker_state(f"sp_{hash(model)}", lambda: sentencepiece.SentencePieceProcessor(model_proto=model))
+            made["library_ids"] = _lists([[np.array(library.encode(t or ""), "<i4").tobytes()] for t in texts])[0]
+            made["decoded_ok"] = [seg.same(g[0][1], t) for g, t in zip(got, texts, strict=True)]
+        return made
 
     done = lambda: worker_state(key, lambda: Segmenter(model, n, cache_entries)).forget()
     return docs.mapInArrow(by_rows(rows, ["doc_id", "text", *keep], arrow_schema(out), done), out)
@@ -291,14 +378,12 @@ def round_trip(df: DataFrame, model: bytes, n: int = 2, id_col: str = "doc_id",
     key = f"nbest_{hash(model)}_{n}"
 
     def rows(ids, texts):
-        import numpy as np
         seg = worker_state(key, lambda: Segmenter(model, n))
         with no_gc():
-            got = [seg.text(t) for t in texts]
+            got = seg.texts(texts)
         return {"doc_id": ids, "n_pieces": [len(g[0][1]) // 4 for g in got], "best_score": [g[0][0] for g in got],
                 "last_score": [g[-1][0] for g in got],
                 "ids_sha256": [hashlib.sha256(g[0][1]).hexdigest() for g in got],
-                "decoded_ok": [seg.decode(np.frombuffer(g[0][1], "<i4")) == (t or "").replace(SPACE, " ")
-                               for g, t in zip(got, texts, strict=True)]}
+                "decoded_ok": [seg.same(g[0][1], t) for g, t in zip(got, texts, strict=True)]}
 
     return docs.mapInArrow(by_rows(rows, ["doc_id", "text"], arrow_schema(out)), out)

@@ -89,3 +89,22 @@ def test_odd_rows(spark, library):
     assert all(text[i, lang] == (t or "").replace("▁", " ") for i, t, lang, *_ in ODD)
     assert bpe_counts.token_counts(df.limit(0), MODEL).count() == 0
     assert piece_nbest.encode(df.limit(0), MODEL).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_many_words_at_once_are_as_one_by_one(n):
+    from helixframe.llm.pieces import Pieces
+    r = random.Random(n)
+    pieces = Pieces(MODEL)
+    many = piece_nbest.Lattices(pieces)
+    alone = piece_nbest.Segmenter(MODEL, n)
+    words = [w for w in {"".join(r.choice("▁abcdeinsthr.,é") for _ in range(r.choice([1, 2, 5, 8, 9, 16, 17, 32]))) for _ in range(3000)}
+             if many.fits(w)]
+    assert len(words) > 1000 and max(map(len, words)) == 32
+    assert many.n_best(words, n) == [piece_nbest.n_best(w, alone.pieces, n) for w in words]
+
+
+def test_a_full_cache_changes_no_segmentation():
+    small, large = piece_nbest.Segmenter(MODEL, 2, cache_entries=3), piece_nbest.Segmenter(MODEL, 2)
+    texts = [*ODD_TEXTS, *random_texts(300, 60, seed=6)]
+    assert small.texts(texts) == large.texts(texts)
