@@ -1,6 +1,7 @@
 """Operator 2 against a plain greedy tiling."""
 
 import random
+import time
 
 from cases import LONG, ODD, clashing, documents
 
@@ -49,6 +50,7 @@ def test_tiles_with_repeats_stop_and_are_valid():
         pattern = [r.randint(1, 3) for _ in range(r.randint(1, 40))]
         text = [r.randint(0, 3) for _ in range(r.randint(1, 80))]
         tiles = T.tile(pattern, text, 3)
+        assert [k for *_, k in tiles] == sorted((k for *_, k in tiles), reverse=True)
         used_p = [p for a, _, k in tiles for p in range(a, a + k)]
         used_t = [p for _, b, k in tiles for p in range(b, b + k)]
         assert len(set(used_p)) == len(used_p) and len(set(used_t)) == len(used_t)
@@ -82,9 +84,9 @@ def test_pairs_and_odd_rows(spark):
         words = T.tokens(t)
         for i, p in items:
             pattern = [number.setdefault(w, len(number) + 1) for w in T.tokens(p)]
-            if not pattern:
+            s = 5
+            if len(pattern) < s:                                        # says too little: matches nothing
                 continue
-            s = min(5, len(pattern))
             near = set(zip(*[words[k:] for k in range(s)], strict=False)) & set(
                 zip(*[T.tokens(p)[k:] for k in range(s)], strict=False))
             if near:
@@ -101,6 +103,32 @@ def test_pairs_and_odd_rows(spark):
     assert sorted(str(x["doc_id"]) for x in left.collect()) == sorted(str(d) for d, *_ in docs if d not in bad)
 
 
+def test_short_items_convict_nobody(spark):
+    docs = documents(spark, [(i, "yes and no and this is all there is to say", "en", "a", 1) for i in range(50)])
+    bench = spark.createDataFrame([(1, "yes"), (2, "yes and no and"), (3, None), (4, "no and this is all there")],
+                                  "item_id bigint, text string")
+    assert {(x["item_id"], x["n_tokens"]) for x in T.unusable_items(bench).collect()} == {(1, 1), (2, 4), (3, 0)}
+    assert T.decontaminate(docs, bench.filter("item_id < 4")).count() == 50
+    assert {x["item_id"] for x in T.contaminated(docs, bench).collect()} == {4}
+
+
+def test_repeated_tokens_take_linear_time():
+    block = T.Block([(1, "go " * 200), (2, "a b " * 300), (3, "x y z u v w")], 5)
+    start = time.perf_counter()
+    assert list(block.pairs("go " * 300_000)) == [(1, 200, 200, 1)]
+    assert list(block.pairs("a b " * 150_000)) == [(2, 600, 600, 1)]
+    assert list(block.pairs("x y z u v " * 60_000)) == [(3, 6, 5, 1)]
+    assert time.perf_counter() - start < 15
+
+
+def test_scripts_without_spaces():
+    passage = "人工智能的发展改变了人们的生活方式"
+    assert T.tokens("ab漢字 かな c1") == ["ab", "漢", "字", "か", "な", "c1"]
+    block = T.Block([(1, passage)], 5)
+    assert [p[:3] for p in block.pairs(f"今天我们说{passage}，以后再谈")] == [(1, len(passage), len(passage))]
+    assert list(block.pairs("今天天气很好，我们去公园")) == []
+
+
 def test_empty_tables(spark):
     docs, bench = documents(spark), spark.createDataFrame([(1, "one line here another")], "item_id bigint, text string")
     assert T.matches(docs.limit(0), bench).count() == 0
