@@ -60,12 +60,12 @@ def test_every_stage(spark, sf_dir):
     three = C.cut(stages["simhash_near_dedup"](spark, two, sf_dir), "t")
     fp = [(r["doc_id"], plain_fingerprint(r["text"])) for r in two.collect()]
     root = closed(sorted({f for _, f in fp}), plain_links(sorted({f for _, f in fp})))
-    least = {}
+    least = {}                                      # one row of each group, the smallest id
     for i, f in fp:
-        if i is not None:
-            least[root[f]] = min(i, least.get(root[f], i))
-    assert sorted([str(r["doc_id"]) for r in three.collect()]) == sorted(
-        str(i) for i, f in fp if i is None or least[root[f]] == i)
+        least[root[f]] = min((i is None, i or 0), least.get(root[f], (True, 0)))
+    root_of = lambda r: root[plain_fingerprint(r["text"])]
+    assert sorted((root_of(r), r["doc_id"] is None, r["doc_id"] or 0) for r in three.collect()) == sorted(
+        (k, *v) for k, v in least.items())
 
     four = C.cut(stages["decontamination"](spark, three, sf_dir), "t")
     bad, number = set(), {}
@@ -87,6 +87,7 @@ def test_every_stage(spark, sf_dir):
     got = five.collect()
     assert len(got) == four.count()
     for r in got:
+        assert r["decoded_ok"] and r["library_ids"] == library.encode(text[str(r["doc_id"])])
         assert library.decode(list(r["ids"])) == text[str(r["doc_id"])].replace("▁", " ")
         assert cost(r["ids"], text[str(r["doc_id"])]) >= cost(library.encode(text[str(r["doc_id"])]), text[str(r["doc_id"])])
     back = piece_nbest.decode(five, C.piece_model())
@@ -115,3 +116,14 @@ def test_rows_are_judged_not_ids(spark, sf_dir):
         df = documents(spark, clean + bad).repartition(3).withColumnRenamed("n_chars", "__row")
         out = stages[stage](spark, df, sf_dir)
         assert out.columns == df.columns and rows_of(out) == sorted(clean, key=str)
+
+
+def test_near_copies_go_by_row(spark, sf_dir):
+    """A clean text stays beside a copy that has its id; of repeated rows one
+    stays; copies without an id go like others."""
+    r = random.Random(12)
+    a, b, c, d = (text_in("en", r, 300) for _ in range(4))
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, c), (5, d), (5, d), (None, d), (None, c)]
+    df = documents(spark, [(i, t, "en", "a", 1) for i, t in rows]).repartition(3)
+    got = sorted([(x["doc_id"], x["text"]) for x in C.near_copies(spark, df, sf_dir).collect()], key=str)
+    assert got == sorted([(1, a), (2, b), (None, c), (5, d)], key=str)

@@ -95,9 +95,9 @@ def test_near_duplicates_and_odd_rows(spark):
     for i, t, *_ in rows:
         fps.setdefault(plain_fingerprint(t), []).append(i)
     root = closed(sorted(fps), plain_links(sorted(fps)))
-    least = {}
+    least = {}                                      # a class without any id has none to be named by
     for f, ids in fps.items():
-        known = [i for i in ids if i is not None]
-        least[root[f]] = min([*known, least.get(root[f], 10**9)])
+        known = [i for i in [*ids, least.get(root[f])] if i is not None]
+        least[root[f]] = min(known, default=None)
     assert got == {(i, f"{f:016x}", least[root[f]]) for f, ids in fps.items() for i in ids}
     assert S.near_duplicates(documents(spark, rows).limit(0)).count() == 0
