@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from helixframe.session import reliable_checkpoint
 
-# A value range holds about this many rows: the number of ranges follows the
-# row count, so a task sorts as much at any size.
+# A value range holds about this many rows at most, so a task sorts as much at
+# any size; there are at least as many ranges as tasks run at a time, so no
+# table is sorted by one task.
 RANGE_ROWS = 1_000_000
 
 
@@ -38,9 +39,10 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how:
     return left.join(right, on, how).drop(*names.values())
 
 
-def ranges_for(n_rows: int) -> int:
-    """Value ranges for a table of ``n_rows``."""
-    return max(1, math.ceil(n_rows / RANGE_ROWS))
+def ranges_for(df: DataFrame, n_rows: int) -> int:
+    """Value ranges for a table of ``n_rows``: one for each task that can run
+    at a time, more where a range would hold over ``RANGE_ROWS``."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n_rows / RANGE_ROWS))
 
 
 def hash_key(seed, *keys) -> Column:
@@ -112,7 +114,7 @@ def _bucketed(df: DataFrame, order_col: str, n_buckets: int | None) -> DataFrame
     shared checkpoint folder, so the cuts, the totals and the window read it
     instead of computing it three times."""
     df = reliable_checkpoint(df)
-    n = n_buckets or ranges_for(df.count())
+    n = n_buckets or ranges_for(df, df.count())
     return with_value_bucket(df, order_col, quantile_cuts(df, order_col, n))
 
 

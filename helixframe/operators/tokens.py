@@ -474,11 +474,13 @@ def ids_to_tokens(ids, alphabet: Sequence[str] = ESM_ALPHABET) -> Column:
 
 def one_hot(seq, order: Sequence[str] = RESIDUE_ORDER) -> Column:
     """Per-residue one-hot rows, ``len(order) + 1`` wide (last = unknown)
-    (TOK-16)."""
-    alpha = F.array(*[F.lit(a) for a in order])
-    return F.transform(chars(seq), lambda ch: F.concat(
-        F.transform(alpha, lambda a: (a == ch).cast("int")),
-        F.array(F.when(F.array_contains(alpha, ch), 0).otherwise(1))))
+    (TOK-16).  The rows are ready literals, found by the code point of the
+    character, so a character costs one look-up whatever the width."""
+    wide = len(order) + 1
+    rows = F.array(*[F.array(*[F.lit(int(i == k)) for i in range(wide)]) for k in range(wide)])
+    place = {ord(a): k for k, a in enumerate(order)}
+    at = F.array(*[F.lit(place.get(c, wide - 1)) for c in range(max(place, default=-1) + 1)])
+    return F.transform(chars(seq), lambda ch: F.get(rows, F.coalesce(F.get(at, F.ascii(ch)), F.lit(wide - 1))))
 
 
 def residue_counts(seq, order: Sequence[str] = RESIDUE_ORDER) -> Column:

@@ -393,11 +393,9 @@ def tok_15(spark, sf_dir):
 
 
 @query("tok_16", f"""
-WITH r AS (SELECT doc_id, {Q.residue_seq('text')} AS seq FROM documents)
-SELECT doc_id, array_to_string(list_concat(
-         list_transform({Q.RESIDUE_LIST}, lambda a: len(list_filter({Q.chars('seq')}, lambda c: c = a))),
-         [len(list_filter({Q.chars('seq')}, lambda c: NOT list_contains({Q.RESIDUE_LIST}, c)))]), ',') AS counts
-FROM r
+WITH r AS (SELECT doc_id, {Q.residue_seq('text')} AS seq FROM documents),
+k AS (SELECT doc_id, length(seq) AS n, [{', '.join(f"length(seq) - length(replace(seq, '{a}', ''))" for a in K.RESIDUE_ORDER)}] AS known FROM r)
+SELECT doc_id, array_to_string(list_concat(known, [n - CAST(list_sum(known) AS BIGINT)]), ',') AS counts FROM k
 """)
 def tok_16(spark, sf_dir):
     """Summed 21-wide one-hot residue features (counts per residue type)."""
@@ -470,11 +468,15 @@ def tok_01_stream(spark, sf_dir):
     return run_available(spark, src, words)
 
 
+# residues are letters A-Z: the rows of the alphabet one after another
+_ONE_HOT_SQL = "".join("".join(str(int(a == c)) for a in K.RESIDUE_ORDER) + str(int(c not in K.RESIDUE_ORDER))
+                       for c in map(chr, range(ord("A"), ord("Z") + 1)))
+
+
 @query("tok_16_rows", f"""
-WITH r AS (SELECT doc_id, {Q.chars(Q.residue_seq('text'))} AS cs FROM documents)
-SELECT doc_id, CAST(len(cs) AS BIGINT) AS n_residues, md5(array_to_string(list_transform(cs, lambda c: array_to_string(list_concat(
-         list_transform({Q.RESIDUE_LIST}, lambda a: CASE WHEN a = c THEN 1 ELSE 0 END),
-         [CASE WHEN list_contains({Q.RESIDUE_LIST}, c) THEN 0 ELSE 1 END]), '')), ' ')) AS rows_md5
+WITH r AS (SELECT doc_id, regexp_extract_all({Q.residue_seq('text')}, '.') AS cs FROM documents)
+SELECT doc_id, CAST(len(cs) AS BIGINT) AS n_residues,
+       md5(array_to_string(list_transform(cs, lambda c: substring('{_ONE_HOT_SQL}', (ascii(c) - 65) * 21 + 1, 21)), ' ')) AS rows_md5
 FROM r
 """)
 def tok_16_rows(spark, sf_dir):
