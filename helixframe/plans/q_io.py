@@ -113,6 +113,27 @@ def src_04(spark, sf_dir):
     return RD.read_split_index(spark, out, repeat=1, fold=3).select("repeat", "fold", "row_id", "split")
 
 
+@query("src_04_npy", f"WITH kfv AS ({_KFV_SQL}) SELECT repeat, fold, row_id, split FROM kfv")
+def src_04_npy(spark, sf_dir):
+    """All folds' positions stored as .npy arrays (one or more a repeat, fold
+    and split) and read back by byte ranges."""
+    out = scratch_path(spark, "splits-npy")
+    WR.write_npy_splits(_kfold_valid(spark, sf_dir), out)
+    return RD.read_npy_splits(spark, out)
+
+
+@query("src_03_all", f"""
+SELECT CAST(doc_id // 100 AS INTEGER) AS chunk, CAST(row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS INTEGER) AS rec,
+       lang AS id, 'doc=' || CAST(doc_id AS VARCHAR) || ' source=' || source AS description, md5({_strip_sql('text')}) AS seq_md5
+FROM documents
+""")
+def src_03_all(spark, sf_dir):
+    """Every record of the FASTA folder with its number in its file."""
+    r = RD.read_fasta_all(spark, _fasta_dir(spark, sf_dir))
+    return r.select(F.regexp_extract("path", r"chunk=(\d+)", 1).cast("int").alias("chunk"), "rec", "id", "description",
+                    F.md5("seq").alias("seq_md5"))
+
+
 @query("snk_04", f"WITH kfv AS ({_KFV_SQL}) SELECT repeat, fold, split, count(*) AS n_rows FROM kfv GROUP BY repeat, fold, split")
 def snk_04(spark, sf_dir):
     """Persist a split assignment (parquet by repeat/fold) and read it all back."""
@@ -185,6 +206,21 @@ def snk_02(spark, sf_dir):
                                                           F.round(F.avg("value"), 6).alias("mean"))
 
 
+@query("snk_02_files", f"""
+WITH mr AS ({METRIC_RECORDS_SQL})
+SELECT dataset || '/' || model || '_test_' || CAST(fold AS VARCHAR) || '.json' AS file, count(*) AS n, round(sum(value), 6) AS total
+FROM mr GROUP BY dataset, model, fold
+""")
+def snk_02_files(spark, sf_dir):
+    """Metric records as one JSON file for each (dataset, model, split, run),
+    committed in two phases; rows and sum of each file read back."""
+    out = scratch_path(spark, "metric-files")
+    WR.write_metric_files(metric_records(spark, sf_dir).withColumn("split", F.lit("test")), out)
+    back = spark.read.schema("value double").option("recursiveFileLookup", True).json(out)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+/[^/]+)$", 1)
+    return back.groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
 @query("snk_03", """
 SELECT vec_id, label, len(embedding) AS dim,
        round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total

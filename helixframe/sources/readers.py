@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from helixframe.functions.text import NON_WORD, explode_items
 from helixframe.operators.reshape import latest_by
+from helixframe.sources import byte_ranges
 
 # Python's universal newlines: \r\n, \r and \n all end a line.
 LINE_BREAK = r"\r\n|\r|\n"
@@ -74,34 +75,25 @@ def line_numbers(lines: DataFrame, out: str = "line_no") -> DataFrame:
 
 def read_three_line_records(spark: SparkSession, path: str, names=("yeast_id", "reference_sequence",
                                                                    "evolved_sequence"),
-                            keep_partial: bool = False, whole_files: bool = False) -> DataFrame:
+                            keep_partial: bool = False, whole_files: bool = False,
+                            split_bytes: int | None = None) -> DataFrame:
     """Three-line records (SRC-02): lines 3k, 3k+1, 3k+2 of each file are one
     record; non-word characters are stripped from every line (Unicode-aware).
     Lines end at ``\n``, ``\r\n`` or ``\r``, as Python's universal newlines.
 
-    Default: the text scan may split large files; lines get their number in
-    the file (:func:`line_numbers`) and are grouped into records by a shuffle
-    on the unique (file, record) key, so one big file spreads over the
-    cluster.  ``whole_files=True`` reads each file as one row and cuts it with
-    array functions (no shuffle; for many small files).
-    A short last record (the reference's IndexError) is dropped; with
-    ``keep_partial`` it is returned with NULLs for the missing lines.
-    ``row_id`` numbers records across files in path order.
+    Byte ranges of the files (``split_bytes``) are read by tasks of their own,
+    each from the first record that starts in it; see
+    :mod:`helixframe.sources.byte_ranges`; no row is shuffled.
+    ``whole_files=True`` reads each file as one row and cuts it with array
+    functions (for paths that only Spark opens).  A short last record (the
+    reference's IndexError) is dropped; with ``keep_partial`` it is returned
+    with NULLs for the missing lines.  ``row_id`` numbers records across files
+    in path order.
     """
     if whole_files:
         return _records_whole_files(spark, path, names, keep_partial)
-    lines = line_numbers(spark.read.text(path))
-    lines = lines.withColumn("_rec", F.floor(F.col("line_no") / 3)).withColumn("_k", F.col("line_no") % 3)
-    files = lines.groupBy("path").agg(F.count(F.lit(1)).alias("_lines"))
-    n_rec = F.ceil(F.col("_lines") / 3) if keep_partial else F.floor(F.col("_lines") / 3)
-    before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("path", n_rec.cast("long").alias("_nr"),
-                           F.coalesce(F.sum(n_rec.cast("long")).over(before), F.lit(0)).alias("_off"))
-    recs = lines.groupBy("path", "_rec").agg(
-        *[F.max(F.when(F.col("_k") == k, F.col("value"))).alias(names[k]) for k in range(3)])
-    out = recs.join(offsets, "path").where(F.col("_rec") < F.col("_nr"))
-    return out.select((F.col("_off") + F.col("_rec")).cast("long").alias("row_id"),
-                      *[F.regexp_replace(F.col(c), NON_WORD, "").alias(c) for c in names])
+    recs = byte_ranges.load(spark, "helix_line_triples", path, split_bytes, keepPartial=str(keep_partial).lower())
+    return recs.select("row_id", *[F.regexp_replace(F.col(f"line_{k}"), NON_WORD, "").alias(c) for k, c in enumerate(names)])
 
 
 def _records_whole_files(spark, path, names, keep_partial) -> DataFrame:
@@ -141,22 +133,23 @@ _HEADER = r"(?:\A|(?<=[\r\n]))>"
 
 def read_fasta_first(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """First FASTA record of every file in a folder (SRC-03):
-    ``(id, seq, path)``; see :func:`read_fasta_all`."""
-    recs = read_fasta_all(spark, path, whole_files)
-    return recs.where(F.col("rec") == 0).select("id", "seq", "path")
+    ``(id, seq, path)``.  Reading a file stops at its second header."""
+    if whole_files:
+        return read_fasta_all(spark, path, True).where(F.col("rec") == 0).select("id", "seq", "path")
+    return byte_ranges.load(spark, "helix_fasta_first", path).select("id", "seq", "path")
 
 
-def read_fasta_all(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+def read_fasta_all(spark: SparkSession, path: str, whole_files: bool = False,
+                   split_bytes: int | None = None) -> DataFrame:
     """Every FASTA record of every file: ``(id, description, seq, path, rec)``
     with ``rec`` the 0-based record number in its file and the id the first
     word after ``>``.
 
-    Lines are numbered across file splits, the record number is the running
-    count of header lines (bucketed running totals, so one large file is
-    spread over many tasks), and each record's lines are joined in line order
-    (a record is one row of the result, so it must fit in one).
-    ``whole_files=True`` reads each file as one row (no shuffle; for many
-    small files); both give the same records."""
+    Byte ranges of the files are read by tasks of their own, each from the
+    first header in it; a table of the headers in each range gives the record
+    numbers.  Nothing is shuffled (a record is one row of the result, so it
+    must fit in one).  ``whole_files=True`` reads each file as one row (for
+    paths that only Spark opens); both give the same records."""
     if whole_files:
         raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
         parts = F.split("value", _HEADER)
@@ -169,19 +162,7 @@ def read_fasta_all(spark: SparkSession, path: str, whole_files: bool = False) ->
             F.trim(F.regexp_extract(header, r"^\S*\s*(.*)$", 1)).alias("description"),
             F.regexp_replace(F.regexp_replace("body", r"\A[^\r\n]*", ""), r"\s+", "").alias("seq"),
             "path", F.col("rec").cast("int").alias("rec"))
-    from helixframe.operators.ranks import running_totals
-    lines = line_numbers(spark.read.option("recursiveFileLookup", "true").text(path))
-    lines = lines.withColumn("_h", F.col("value").startswith(">").cast("long"))
-    numbered = running_totals(lines, "line_no", ["_h"], ["path"])
-    numbered = numbered.withColumn("rec", F.col("cum__h") - 1).where(F.col("rec") >= 0)
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "value", "_h")))
-    grouped = numbered.groupBy("path", "rec").agg(parts.alias("_lines"))
-    head = F.substring(F.element_at(F.filter("_lines", lambda x: x["_h"] == 1), 1)["value"], 2, 1 << 30)
-    body = F.array_join(F.transform(F.filter("_lines", lambda x: x["_h"] == 0), lambda x: x["value"]), "")
-    return grouped.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"),
-                          F.trim(F.regexp_extract(head, r"^\S*\s*(.*)$", 1)).alias("description"),
-                          F.regexp_replace(body, r"\s+", "").alias("seq"), "path",
-                          F.col("rec").cast("int").alias("rec"))
+    return byte_ranges.load(spark, "helix_fasta", path, split_bytes)
 
 
 def fasta_map(records: DataFrame) -> DataFrame:
@@ -189,6 +170,26 @@ def fasta_map(records: DataFrame) -> DataFrame:
     return latest_by(records, "id", "seq", "path")
 
 
+def read_npy(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """Rows of the ``.npy`` arrays below ``path`` (SRC-04): ``(path, position,
+    value)``, ``value`` a number, or an array of them for a table.  A huge
+    array is read by several tasks; nothing is unpickled."""
+    return byte_ranges.load(spark, "helix_npy", path, split_bytes)
+
+
+def read_npy_splits(spark: SparkSession, path: str, split_bytes: int | None = None) -> DataFrame:
+    """Split positions stored as ``train_split.npy``, ``val_split.npy`` and
+    ``test_split.npy`` (SRC-04), in one folder or in folders
+    ``repeat=<r>/fold=<f>``: ``(repeat, fold, row_id, split)``.  A split may
+    have several files (``train_split-00001.npy``); ``val`` reads as
+    ``valid``; without such folders repeat and fold are 0."""
+    name = F.regexp_extract("path", r"([a-z]+)_split[^/]*\.npy$", 1)
+    number = lambda key: F.coalesce(F.regexp_extract("path", rf"/{key}=(\d+)/", 1).try_cast("int"), F.lit(0))
+    return read_npy(spark, path, split_bytes).select(
+        number("repeat").alias("repeat"), number("fold").alias("fold"), F.col("value").alias("row_id"),
+        F.when(name == "val", "valid").otherwise(name).alias("split"))
+
+
 def read_split_index(spark: SparkSession, path: str, repeat: int | None = None,
                      fold: int | None = None) -> DataFrame:
     """Stored split positions (SRC-04), pruned to one (repeat, fold) by the

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.sources import byte_ranges
+
 
 def write_csv(df: DataFrame, path: str, file_col: str | None = None, order: list[str] | None = None) -> None:
     """Comma-separated text with a header, no index column (SNK-01).  With
@@ -70,6 +72,27 @@ def write_split_index(df: DataFrame, path: str) -> None:
      .hint("rebalance", "repeat", "fold").write.partitionBy("repeat", "fold").mode("errorifexists").parquet(path))
 
 
+def write_npy_splits(df: DataFrame, path: str) -> None:
+    """Split positions as ``.npy`` arrays (SNK-04), in folders
+    ``repeat=<r>/fold=<f>``: ``<split>_split-<task>.npy``, with ``valid``
+    named ``val``.  Rows are rebalanced by folder, so a large split is several
+    arrays; the files appear when all tasks have succeeded."""
+    byte_ranges.save(df.select(F.col("repeat").cast("int"), F.col("fold").cast("int"), F.col("row_id").cast("long"),
+                               F.when(F.col("split") == "valid", "val").otherwise(F.col("split")).alias("split"))
+                     .hint("rebalance", "repeat", "fold"), "helix_npy", path)
+
+
+def write_metric_files(df: DataFrame, path: str, run_col: str = "fold") -> None:
+    """Metric records as one JSON-lines file for each dataset, model, split
+    and run (SNK-02): ``<dataset>/<model>_<split>_<run>.json``.  A run's records
+    are few and go to one task; a task that fails or runs twice leaves no
+    second file."""
+    name = F.concat_ws("", *[x for c, end in (("dataset", "/"), ("model", "_"), ("split", "_"), (run_col, ".json"))
+                             for x in (F.url_encode(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(end))])
+    named = df.select(name.alias("file"), F.to_json(F.struct(*df.columns)).alias("line"))
+    byte_ranges.save(named.repartition("file").sortWithinPartitions("file", "line"), "helix_files", path)
+
+
 def write_vocab(vocab: DataFrame, path: str, json_path: str | None = None, max_entries: int = 1_000_000) -> None:
     """Vocabulary as parquet ``(token, id)`` (SNK-05); optionally also as a
     tokenizer-style JSON object ``{"model": {"vocab": {...}}}``.  The JSON

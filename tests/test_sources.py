@@ -1,9 +1,16 @@
 """Readers and writers with the FIXTURES edge cases (SRC, SNK, JON-02)."""
 
+import glob
+import io
 import os
+import random
+import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from helixframe.sources import byte_ranges as B
 from helixframe.sources import readers as RD
 from helixframe.sources import writers as WR
 
@@ -156,3 +163,196 @@ def test_fasta_splittable_big_file(spark, tmp_dir):
     got = {r.rec: (r.id, r.seq) for r in recs}
     assert len(got) == 3000
     assert all(got[i] == (f"R{i}", "ACDE" * 20 + "KLMN" * 5 + str(i)) for i in range(3000))
+
+
+# ---- byte ranges ----
+
+ENDS = {"lf": "\n", "crlf": "\r\n", "cr": "\r"}
+
+
+def plain_lines(data):
+    return [x for x in re.split(rb"\r\n|\r|\n", data)[:-1]] + ([data.replace(b"\r", b"\n").rsplit(b"\n", 1)[-1]]
+                                                              if data and data[-1:] not in b"\r\n" else [])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_ranges_of_any_size_hold_every_line_once(seed):
+    r = random.Random(seed)
+    for _ in range(150):
+        data = b"".join(r.choice([b"a", b"bc", b">", b"\n", b"\r", b"\r\n", b"\n\n", "\u00e9".encode()]) for _ in range(r.randint(0, 40)))
+        size, step = len(data), r.randint(1, 9)
+        got, n = [], 0
+        for part in B.cut_up([("f", size)], step):
+            here = []
+            for offset, line in B.lines(io.BytesIO(data), part.start):
+                if offset >= part.end:
+                    break
+                here.append(line)
+            assert B.counted(io.BytesIO(data), part) == (len(here), sum(x[:1] == b">" for x in here)), (data, part)
+            got += here
+        assert got == plain_lines(data), data
+
+
+def test_a_line_across_many_blocks(monkeypatch):
+    monkeypatch.setattr(B, "_BLOCK", 7)
+    data = b"ab\r\n" + b"x" * 1000 + b"\r" + b"\ny\r\rz"
+    assert [x for _, x in B.lines(io.BytesIO(data), 0)] == [b"ab", b"x" * 1000, b"y", b"", b"z"]
+
+
+@pytest.mark.parametrize("end", ENDS)
+@pytest.mark.parametrize("split_bytes", [5, 64, 1000, None])
+def test_records_in_byte_ranges(spark, tmp_dir, end, split_bytes):
+    d, r = os.path.join(tmp_dir, "r"), random.Random(3)
+    want, fasta = [], []
+    for name in ("a.txt", "b.txt", "c.txt", "d.txt"):
+        lines = ["".join(r.choice("ab c>") for _ in range(r.randint(0, 12))) + "x" for _ in range(r.randint(0, 40))]
+        write(d, name, "".join(x + ENDS[end] for x in lines))
+        want += [lines[i:i + 3] for i in range(0, len(lines) - len(lines) % 3, 3)]
+        body, rec = [], -1
+        for x in lines:
+            if x.startswith(">"):
+                rec += 1
+                body.append([name, rec, x[1:], ""])
+            elif body:
+                body[-1][3] += x.replace(" ", "")
+        fasta += [tuple(b) for b in body]
+    got = B.load(spark, "helix_line_triples", d, split_bytes).orderBy("row_id").collect()
+    assert [(x.row_id, x.line_0, x.line_1, x.line_2) for x in got] == [(i, *w) for i, w in enumerate(want)]
+    got = RD.read_fasta_all(spark, d, split_bytes=split_bytes).collect()
+    assert sorted((os.path.basename(x.path), x.rec, x.seq) for x in got) == sorted((n, k, s) for n, k, _, s in fasta)
+    words = {(n, k): (h.split(" ")[0], h) for n, k, h, _ in fasta}
+    assert all(x.id == words[os.path.basename(x.path), x.rec][0] for x in got)
+    first = {os.path.basename(x.path): x.seq for x in RD.read_fasta_first(spark, d).collect()}
+    assert first == {n: s for n, k, _, s in fasta if k == 0}
+
+
+def test_records_are_read_without_a_shuffle_by_many_tasks(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "one")
+    write(d, "one.fa", "".join(f">R{i} rec {i}\n{'ACDE' * 20}\n" for i in range(5000)))
+    recs = RD.read_fasta_all(spark, d, split_bytes=20_000)
+    assert recs.rdd.getNumPartitions() > 10
+    plan = recs._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert {x.rec: x.id for x in recs.collect()} == {i: f"R{i}" for i in range(5000)}
+
+
+def test_first_records_stop_reading(tmp_dir):
+    write(tmp_dir, "x.fa", "; note\n>A one\nMK\nT\n>B two\n" + "G" * 50_000_000)
+    reader = B.FirstFastaReader({"path": tmp_dir})
+    read = []
+
+    class Counting(io.FileIO):
+        def read(self, n=-1):
+            got = super().read(n)
+            read.append(len(got))
+            return got
+    with Counting(os.path.join(tmp_dir, "x.fa")) as f:
+        [part] = [p for ps in reader.partitions() for p in ps.parts]
+        assert [row[:3] for row, _ in reader.rows(f, part)] == [("A", "one", "MKT")]
+    assert sum(read) < 3_000_000
+
+
+# ---- arrays ----
+
+def test_one_huge_array_is_read_by_many_tasks(spark, tmp_dir):
+    values = np.random.default_rng(1).permutation(200_000).astype("<i4")
+    np.save(os.path.join(tmp_dir, "x.npy"), values)
+    df = RD.read_npy(spark, tmp_dir, split_bytes=50_000)
+    assert df.rdd.getNumPartitions() >= 16
+    got = df.orderBy("position").collect()
+    assert [x.value for x in got] == values.tolist() and [x.position for x in got] == list(range(len(values)))
+
+
+@pytest.mark.parametrize("array", [np.arange(7, dtype=">i2"), np.linspace(0, 1, 5), np.array([True, False]),
+                                   np.arange(12, dtype="u1").reshape(4, 3), np.zeros((0,), "i8"),
+                                   np.arange(6, dtype="f4").reshape(3, 2)])
+@pytest.mark.parametrize("version", [(1, 0), (2, 0)])
+def test_arrays_of_numbers(spark, tmp_dir, array, version):
+    with open(os.path.join(tmp_dir, "x.npy"), "wb") as f:
+        np.lib.format.write_array(f, array, version)
+    got = RD.read_npy(spark, tmp_dir, split_bytes=4).orderBy("position").collect()
+    assert [x.value for x in got] == array.tolist()
+
+
+def test_object_arrays_are_refused(spark, tmp_dir):
+    np.save(os.path.join(tmp_dir, "x.npy"), np.array([{"a": 1}], dtype=object), allow_pickle=True)
+    with open(os.path.join(tmp_dir, "x.npy"), "rb") as f, pytest.raises(ValueError, match="fixed width"):
+        B.npy_header(f)
+
+
+def test_split_arrays_as_numpy_writes_them(spark, tmp_dir):
+    for k, name in enumerate(("train", "val", "test")):
+        np.save(os.path.join(tmp_dir, f"{name}_split.npy"), np.arange(k, 30, 3))
+    got = {(x.repeat, x.fold, x.row_id, x.split) for x in RD.read_npy_splits(spark, tmp_dir).collect()}
+    assert got == {(0, 0, i, ("train", "valid", "test")[i % 3]) for i in range(30)}
+
+
+def test_split_arrays_round_trip(spark, tmp_dir):
+    rows = [(i, ("train", "valid", "test")[(i + f) % 3], r, f) for i in range(60) for r in range(2) for f in range(3)]
+    df = spark.createDataFrame(rows, "row_id long, split string, repeat int, fold int").repartition(5)
+    out = os.path.join(tmp_dir, "npy")
+    WR.write_npy_splits(df, out)
+    assert {(x.row_id, x.split, x.repeat, x.fold) for x in RD.read_npy_splits(spark, out).collect()} == set(rows)
+    part = np.concatenate([np.load(p) for p in glob.glob(out + "/repeat=1/fold=2/val_split-*.npy")])
+    assert sorted(part.tolist()) == [i for i, s, r, f in rows if (s, r, f) == ("valid", 1, 2)]
+    assert not glob.glob(out + "/_staging*")
+
+
+# ---- writing in two phases ----
+
+METRICS = "split string, fold int, epoch int, metric string, value double, dataset string, model string"
+
+
+def metric_rows():
+    return [(s, f, e, "auroc", e / 10 + f, "ds", m) for s in ("valid", "test") for f in range(3) for e in range(4) for m in ("cnn", "a/b")]
+
+
+def test_one_file_for_each_run(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "runs")
+    WR.write_metric_files(spark.createDataFrame(metric_rows(), METRICS).repartition(7), out)
+    names = sorted(os.path.relpath(p, out) for p in glob.glob(out + "/**/*.json", recursive=True))
+    assert names == sorted(f"ds/{m}_{s}_{f}.json" for m in ("cnn", "a%2Fb") for s in ("valid", "test") for f in range(3))
+    back = {tuple(x) for x in spark.read.schema(METRICS).option("recursiveFileLookup", True).json(out).collect()}
+    assert back == set(metric_rows())
+
+
+def test_a_failed_attempt_leaves_no_file(spark, tmp_dir):
+    """The staged files of an attempt that failed after writing are not moved."""
+    out = os.path.join(tmp_dir, "w")
+    writer = B.StagedWriter({"path": out}, "records")
+    batch = pa.RecordBatch.from_pydict({"file": ["x.json", "x.json", "y.json"], "line": ["1", "2", "3"]})
+    import pyspark
+
+    class Here:
+        @staticmethod
+        def get():
+            return Here()
+
+        def partitionId(self):
+            return 4
+    real, pyspark.TaskContext = pyspark.TaskContext, Here
+    try:
+        writer.write(iter([batch]))                     # the attempt whose message never arrives
+        kept = writer.write(iter([batch]))
+    finally:
+        pyspark.TaskContext = real
+    assert len(glob.glob(out + "/_staging*/*")) == 2
+    writer.commit([kept, None])
+    assert sorted(os.listdir(out)) == ["x.json", "y.json"] and open(out + "/x.json").read() == "1\n2\n"
+    with pytest.raises(FileExistsError):
+        B.StagedWriter({"path": out}, "records")
+
+
+def test_a_failed_job_leaves_nothing(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "f")
+    bad = spark.range(40, numPartitions=4).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("file"),
+                                                  F.when(F.col("id") < 35, "ok").otherwise(F.raise_error(F.lit("no"))).alias("line"))
+    with pytest.raises(Exception, match="no"):
+        B.save(bad, "helix_files", out)
+    assert not os.path.exists(out) or os.listdir(out) == []
+
+
+def test_rows_of_one_file_in_two_tasks_are_refused(spark, tmp_dir):
+    df = spark.range(4, numPartitions=2).select(F.lit("same.txt").alias("file"), F.col("id").cast("string").alias("line"))
+    with pytest.raises(Exception, match="repartition"):
+        B.save(df, "helix_files", os.path.join(tmp_dir, "g"))
