@@ -11,14 +11,15 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from helixframe.functions.text import BERT_TOKEN, chars, explode_items, pad_truncate
+from helixframe.operators.piecetrie import PieceTrie
 from helixframe.operators.ranks import running_totals
 from helixframe.operators.reshape import position_by
-from helixframe.session import reliable_checkpoint
+from helixframe.session import reliable_checkpoint, scratch_path
 
 # ---- fixed values that must equal the libraries the reference calls ----
 # BERT special tokens, ids 0-4 in this order.
@@ -248,49 +249,139 @@ def _initial_symbols(word: Column) -> Column:
     return F.transform(cs, lambda ch, i: F.when(i == 0, ch).otherwise(F.concat(F.lit(WORDPIECE_PREFIX), ch)))
 
 
+def _adjacent(sym: str) -> Column:
+    """The adjacent pairs of a symbol array, as an array of (l, r)."""
+    n = F.size(sym)
+    pairs = F.arrays_zip(F.slice(sym, 1, n - 1).alias("l"), F.slice(sym, 2, n - 1).alias("r"))
+    return F.when(n > 1, pairs).otherwise(F.array().cast("array<struct<l:string,r:string>>"))
+
+
+class PairIndex:
+    """Pairs -> the words that hold them, and how often each pair occurs.
+
+    A row of the index is a pair with a word that holds it, complete with the
+    word's symbols, its count and the round ``gen`` it is from; a word that a
+    merge changes is written again under every pair that it held or holds now,
+    so the latest row of a word under any pair is the word as it is.  The index
+    lies in files sorted by pair: a round reads the rows of the pairs it
+    merges (the file statistics leave out the rest) and the words changed
+    since the last files were written, not the word table.  ``rows_read``
+    has the index rows that each round read.
+    """
+
+    INDEX = "l string, r string, wid long, gen int, count long, sym array<string>"
+
+    def __init__(self, state: DataFrame, segment_every: int):
+        self.spark, self.every = state.sparkSession, segment_every
+        self.folder, self.gen, self.segment = scratch_path(self.spark, "wordpiece-index"), 0, 0
+        state = state.withColumn("gen", F.lit(0))
+        self._write(state.select(F.explode(F.array_distinct(_adjacent("sym"))).alias("p"), "wid", "gen", "count", "sym"))
+        self.counts = reliable_checkpoint(self._sums(state, "sym", 1))
+        self.changes: list[DataFrame] = []
+        self.deltas: list[DataFrame] = []
+        self.gone: dict[tuple[str, str], int] = {}      # merged without a look at the words: rows up to this round are past
+        self.rows_read: list[int] = []
+
+    def _write(self, entries: DataFrame) -> None:
+        (entries.select("p.l", "p.r", "wid", "gen", "count", "sym").repartitionByRange("l", "r").sortWithinPartitions("l", "r")
+         .write.parquet(f"{self.folder}/segment={self.segment}"))
+        self.segment += 1
+
+    @staticmethod
+    def _sums(words: DataFrame, sym: str, sign: int) -> DataFrame:
+        """(l, r, c, c_long): occurrences of each pair, and those in words of
+        more than two symbols."""
+        n = F.col("count") * sign
+        return (words.select(F.explode(_adjacent(sym)).alias("p"), n.alias("n"), F.when(F.size(sym) > 2, n).otherwise(0).alias("m"))
+                .groupBy("p.l", "p.r").agg(F.sum("n").alias("c"), F.sum("m").alias("c_long")))
+
+    def totals(self) -> DataFrame:
+        """(l, r, c, c_long) of all pairs as they are now."""
+        if not self.deltas:
+            return self.counts
+        every = self.counts
+        for d in self.deltas:
+            every = every.unionByName(d)
+        return every.groupBy("l", "r").agg(F.sum("c").alias("c"), F.sum("c_long").alias("c_long")).where("c > 0")
+
+    def _entries(self, changed: DataFrame) -> DataFrame:
+        pairs = F.array_distinct(F.concat(_adjacent("old"), _adjacent("sym")))
+        return changed.select(F.explode(pairs).alias("p"), "wid", "gen", "count", "sym")
+
+    def merge(self, isolated: list[tuple], general: list[tuple]) -> None:
+        """Apply merges (l, r, made).  ``isolated`` pairs occur in words of two
+        symbols only and with the count given in place of ``made``: no other
+        pair changes, so no word is read."""
+        self.gen += 1
+        if isolated:
+            self.gone.update({(l, r): self.gen - 1 for l, r, _ in isolated})
+            self.deltas.append(self.spark.createDataFrame([(l, r, -c, 0) for l, r, c in isolated], "l string, r string, c long, c_long long"))
+        if general:
+            wanted = F.broadcast(self.spark.createDataFrame(
+                [(l, r, self.gone.get((l, r), -1)) for l, r, _ in general], "l string, r string, __after int"))
+            index = self.spark.read.schema(self.INDEX).parquet(f"{self.folder}/segment=*")
+            rows = index.where(F.col("l").isin([l for l, _, _ in general]) & F.col("r").isin([r for _, r, _ in general]))
+            for c in self.changes:
+                rows = rows.unionByName(self._entries(c).select("p.l", "p.r", "wid", "gen", "count", "sym"))
+            read = Observation()
+            rows = rows.join(wanted, ["l", "r"]).where("gen > __after").observe(read, F.count(F.lit(1)).alias("n"))
+            now = rows.groupBy("wid").agg(F.max_by(F.struct("count", "sym"), "gen").alias("w"))
+            old = now.select("wid", F.lit(self.gen).alias("gen"), "w.count", F.col("w.sym").alias("old"), "w.sym")
+            changed = _apply_merges(old, general).where(F.size("sym") < F.size("old"))
+            path = scratch_path(self.spark, "wordpiece-changes")
+            changed.write.parquet(path)
+            changed = self.spark.read.schema(changed.schema).parquet(path)
+            self.changes.append(changed)
+            self.deltas += [self._sums(changed, "old", -1), self._sums(changed, "sym", 1)]
+            self.rows_read.append(read.get["n"])
+        if self.gen % self.every == 0:
+            for c in self.changes:
+                self._write(self._entries(c))
+            self.counts = reliable_checkpoint(self.totals())
+            self.changes, self.deltas = [], []
+
+
 def train_wordpiece(words: DataFrame, word: str = "word", count: str = "count",
                     vocab_size: int = 30000, min_frequency: int = 0,
                     specials: Sequence[str] = BERT_SPECIALS, candidates: int = 4096,
-                    checkpoint_every: int = 8, spark: SparkSession | None = None) -> DataFrame:
+                    segment_every: int = 8, spark: SparkSession | None = None,
+                    rows_read: list[int] | None = None) -> DataFrame:
     """Train a WordPiece vocabulary from ``(word, count)`` (TOK-09).
 
     Ids: the special tokens, then the alphabet (word-initial characters
     sorted, then ``##`` characters sorted), then merged tokens in merge order.
     Each merge takes the most frequent adjacent pair, ties by (left, right)
-    ascending.  The word table stays in Spark; each round sends its most
-    frequent pairs (at most ``candidates``) to the driver and applies several
-    of them, as long as that equals one merge per round:
+    ascending.  Pair counts and an index from pairs to words are kept up to
+    date (:class:`PairIndex`), so a round touches only words that hold a merged
+    pair.  Each round sends the most frequent pairs (at most ``candidates``) to
+    the driver and applies several of them, as long as that equals one merge
+    per round:
 
     * a pair that only occurs in two-symbol words touches no other pair;
     * after another pair (l, r) the next one must not begin with r or end with
       l, else its count may have changed, and must be more frequent than any
       pair that the merge can make: (x, l) and (r, y) bound those.
 
-    The table is checkpointed every few rounds to cut the lineage.
+    ``rows_read`` gets the number of index rows that each round with such
+    other pairs read.
     """
     spark = spark or words.sparkSession
     state = (words.groupBy(word).agg(F.sum(count).cast("long").alias("count"))
              .select(_initial_symbols(F.col(word)).alias("sym"), "count")
-             .where(F.size("sym") > 0))
-    state = reliable_checkpoint(state)  # word table: reused by every round
+             .where(F.size("sym") > 0).withColumn("wid", F.monotonically_increasing_id()))
+    state = reliable_checkpoint(state)
     alpha = state.select(F.explode("sym").alias("t")).distinct()
     heads = sorted(r[0] for r in alpha.where(~F.col("t").startswith(WORDPIECE_PREFIX)).collect())
     tails = sorted(r[0] for r in alpha.where(F.col("t").startswith(WORDPIECE_PREFIX)).collect())
     vocab: list[str] = list(dict.fromkeys([*specials, *heads, *tails]))
     known = set(vocab)
-    rounds = 0
+    index = PairIndex(state, segment_every)
     while len(vocab) < vocab_size:
-        adj = state.where(F.size("sym") > 1).select(
-            "count", F.size("sym").alias("_len"),
-            F.explode(F.arrays_zip(F.slice("sym", 1, F.size("sym") - 1).alias("l"),
-                                   F.slice("sym", 2, F.size("sym")).alias("r"))).alias("p"))
-        ranked = (adj.groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r"))
-                  .agg(F.sum("count").alias("c"), F.max("_len").alias("maxlen"))
-                  .where(F.col("c") >= max(min_frequency, 1))
+        ranked = (index.totals().where(F.col("c") >= max(min_frequency, 1))
                   .orderBy(F.col("c").desc(), "l", "r").limit(candidates).collect())
         if not ranked:
             break
-        isolated: list[tuple[str, str, str]] = []
+        isolated: list[tuple[str, str, int]] = []
         general: list[tuple[str, str, str]] = []
         rest = ranked[-1]["c"] if len(ranked) == candidates else 0      # no other pair is more frequent
         ends: dict[str, int] = {}
@@ -303,66 +394,40 @@ def train_wordpiece(words: DataFrame, word: str = "word", count: str = "count",
             lft, rgt = row["l"], row["r"]
             if len(vocab) >= vocab_size or (general and row["c"] <= made):
                 break
-            if row["maxlen"] > 2 and any(lft == r or rgt == l for l, r, _ in general):
+            if row["c_long"] and any(lft == r or rgt == l for l, r, _ in general):
                 break
             new = lft + rgt[len(WORDPIECE_PREFIX):] if rgt.startswith(WORDPIECE_PREFIX) else lft + rgt
             seen = new in known
             if not seen:
                 vocab.append(new)
                 known.add(new)
-            if row["maxlen"] == 2:
-                isolated.append((lft, rgt, new))
+            if not row["c_long"]:
+                isolated.append((lft, rgt, row["c"]))
                 continue
             general.append((lft, rgt, new))
             made = max(made, min(row["c"], max(ends.get(lft, rest), begins.get(rgt, rest), rest)))
             if seen:                            # its other occurrences may gain from this merge
                 break
-        state = _apply_merges(state, isolated, general)
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            state = reliable_checkpoint(state)
+        index.merge(isolated, general)
+    if rows_read is not None:
+        rows_read += index.rows_read
     return spark.createDataFrame([(t, i) for i, t in enumerate(vocab)], "token string, id int")
 
 
-def _apply_merges(state: DataFrame, isolated, general) -> DataFrame:
-    if isolated:
-        pairs = F.create_map(*[F.lit(x) for l, r, n in isolated for x in (l + "\u0000" + r, n)])
-        key = F.concat(F.element_at("sym", 1), F.lit("\u0000"), F.element_at("sym", 2))
-        state = state.withColumn("sym", F.when((F.size("sym") == 2) & pairs[key].isNotNull(),
-                                               F.array(pairs[key])).otherwise(F.col("sym")))
-    if general:
-        made = F.create_map(*[F.lit(x) for l, r, n in general for x in (l + "\u0000" + r, n)])
-        init = F.array().cast("array<string>")
+def _apply_merges(state: DataFrame, merges) -> DataFrame:
+    """``sym`` with every merge (l, r, made) applied from the left."""
+    made = F.create_map(*[F.lit(x) for l, r, n in merges for x in (l + "\u0000" + r, n)])
+    init = F.array().cast("array<string>")
 
-        def step(acc, s):
-            hit = made[F.concat(F.try_element_at(acc, F.lit(-1)), F.lit("\u0000"), s)]
-            return F.when((F.size(acc) > 0) & hit.isNotNull(), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(hit))) \
-                    .otherwise(F.concat(acc, F.array(s)))
-        state = state.withColumn("sym", F.aggregate("sym", init, step))
-    return state
+    def step(acc, s):
+        hit = made[F.concat(F.try_element_at(acc, F.lit(-1)), F.lit("\u0000"), s)]
+        return F.when((F.size(acc) > 0) & hit.isNotNull(), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(hit))) \
+                .otherwise(F.concat(acc, F.array(s)))
+    return state.withColumn("sym", F.aggregate("sym", init, step))
 
 
 # ---- WordPiece encoding (TOK-10) ----
 
-def _wordpiece_encode(word: str, vocab: dict, unk: int) -> list[int]:
-    if len(word) > WORDPIECE_MAX_CHARS:
-        return [unk]
-    out, start = [], 0
-    while start < len(word):
-        end, cur = len(word), None
-        while start < end:
-            piece = word[start:end] if start == 0 else WORDPIECE_PREFIX + word[start:end]
-            if piece in vocab:
-                cur = vocab[piece]
-                break
-            end -= 1
-        if cur is None:
-            return [unk]
-        out.append(cur)
-        start = end
-    return out
-
-
 def _split_words(text: str) -> list[str]:
     """:func:`bert_pretokenize` of one stripped word: every punctuation mark
     (ASCII 33-47, 58-64, 91-96, 123-126 and Unicode class P) is a token."""
@@ -379,29 +444,34 @@ def _split_words(text: str) -> list[str]:
     return [*out, run] if run else out
 
 
-def wordpiece_ids(words_col, vocab: DataFrame, unk_token: str = "[UNK]", strip: bool = True) -> Column:
+def wordpiece_ids(words_col, vocab: DataFrame, unk_token: str = "[UNK]", strip: bool = True,
+                  max_entries: int = 1_000_000) -> Column:
     """Encode an array of pre-tokenized words to WordPiece ids (TOK-10):
     longest match first, ``##`` continuations, ``[UNK]`` for a word that
     cannot be covered or is longer than 100 characters.
 
     With ``strip`` the words are raw (:func:`bert_raw_words`): each is
     accent-stripped and split again here, which equals stripping the text
-    first.  The vocabulary is broadcast (the trainer's ``vocab_size`` bounds
-    it); a task keeps the words it has encoded over all its batches, so each
-    distinct word is cut into pieces once per task.
+    first.  The vocabulary, of ``max_entries`` at most, is broadcast as a trie
+    that reads a word in one pass (:class:`PieceTrie`); a task keeps the words
+    it has encoded over all its batches, so each distinct word is cut into
+    pieces once per task.
     """
-    rows = vocab.select("token", "id").collect()
-    bc = vocab.sparkSession.sparkContext.broadcast({r[0]: int(r[1]) for r in rows})
+    rows = vocab.select("token", "id").limit(max_entries + 1).collect()
+    if len(rows) > max_entries:
+        raise ValueError(f"a vocabulary of more than {max_entries} pieces is not sent to the tasks")
+    ids_of = {r[0]: int(r[1]) for r in rows}
+    bc = vocab.sparkSession.sparkContext.broadcast(
+        PieceTrie(ids_of, ids_of[unk_token], WORDPIECE_PREFIX, WORDPIECE_MAX_CHARS))
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocab_d, cache = bc.value, {}
-        unk = vocab_d[unk_token]
+        trie, cache = bc.value, {}
 
         def word_ids(w: str) -> list[int]:
             if len(cache) >= 500_000:
                 cache.clear()
             pieces = [w] if not strip else _split_words(w if w.isascii() else _strip_marks(w))
-            ids = cache[w] = [i for p in pieces for i in _wordpiece_encode(p, vocab_d, unk)]
+            ids = cache[w] = [i for p in pieces for i in trie.encode(p)]
             return ids
 
         for batch in batches:

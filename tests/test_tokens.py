@@ -1,10 +1,14 @@
 """Vocabularies and encodings (TOK-03..16)."""
 
+import random
+import time
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators import tokens as K
+from helixframe.operators.piecetrie import PieceTrie
 
 
 def test_char_vocab_order_and_ties(spark):
@@ -70,6 +74,67 @@ def test_wordpiece_pairs_and_long_words(spark):
         assert train(spark, counts, size) == py_wordpiece(counts, size), size
 
 
+def test_wordpiece_rounds_read_fewer_rows(spark):
+    """A round reads the index rows of the pairs it merges, not all words; the
+    rarer the pairs, the fewer.  Segments written in between change nothing."""
+    r = random.Random(9)
+    parts = ["an", "the", "re", "in", "st", "on", "er", "al"]
+    counts = {"".join(r.choice(parts) for _ in range(r.randint(1, 4))): r.randint(1, 40) for _ in range(400)}
+    df = spark.createDataFrame(list(counts.items()), "word string, count long")
+    want = py_wordpiece(counts, 70)
+    for every in (2, 5):
+        read = []
+        v = K.train_wordpiece(df, vocab_size=70, segment_every=every, rows_read=read).orderBy("id").collect()
+        assert [x.token for x in v] == want
+        held = sum(len(w) - 1 for w in counts)              # pairs of words at the start
+        assert max(read) < held / 2 and sum(read[-3:]) < sum(read[:3])
+
+
+def greedy_pieces(word, vocab, unk):
+    out, start = [], 0
+    if len(word) > K.WORDPIECE_MAX_CHARS:
+        return [unk]
+    while start < len(word):
+        end = len(word)
+        while end > start and (word[start:end] if start == 0 else "##" + word[start:end]) not in vocab:
+            end -= 1
+        if end == start:
+            return [unk]
+        out.append(vocab[word[start:end] if start == 0 else "##" + word[start:end]])
+        start = end
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_trie_cuts_as_longest_match(seed):
+    r = random.Random(seed)
+    for _ in range(60):
+        letters = r.choice(["ab", "abc", "a#b", "aéb\U0001f642"])
+        word = lambda n: "".join(r.choice(letters) for _ in range(r.randint(1, n)))
+        pieces = {p for _ in range(r.randint(1, 25)) for p in [("##" if r.random() < 0.6 else "") + word(6)]}
+        vocab = {p: i + 1 for i, p in enumerate(sorted(pieces | {"##"}))}
+        trie = PieceTrie(vocab, 0)
+        for _ in range(60):
+            w = word(r.choice([4, 12, 40]))
+            assert trie.encode(w) == greedy_pieces(w, vocab, 0), (w, vocab)
+    assert trie.encode("") == [] and trie.encode("a" * 101) == [0]
+
+
+def test_trie_takes_linear_time():
+    """Every start is a long near-match: the longest-match loop would be cubic."""
+    vocab = {"a": 1, "##a": 2, **{"##" + "a" * n + "b": n + 2 for n in range(1, 300)}}
+    trie = PieceTrie(vocab, 0, max_chars=1 << 30)
+    start = time.perf_counter()
+    assert trie.encode("a" * 200_000) == [1] + [2] * 199_999
+    assert time.perf_counter() - start < 5
+
+
+def test_large_vocabularies_are_refused(spark):
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(K.BERT_SPECIALS)], "token string, id int")
+    with pytest.raises(ValueError, match="not sent"):
+        K.wordpiece_ids("w", vocab, max_entries=4)
+
+
 def test_wordpiece_encode(spark):
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(K.BERT_SPECIALS + ["a", "b", "##b", "##c", "ab"])],
                                   "token string, id int")
