@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,6 +17,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.boosting import BoostedTrees
 from helixframe.session import ensure_checkpoint_dir, reliable_checkpoint
 
 MAX_TREE_DEPTH = 30
@@ -37,10 +37,10 @@ def random_forest(num_trees: int = 100, max_depth: int | None = 25, seed: int =
                maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10)
 
 
-def boosted_trees(step_size: float = 0.1, max_depth: int = 25, max_iter: int = 20, seed: int = 1234,
-                  label: str = "label"):
-    return GBTClassifier(stepSize=step_size, maxDepth=min(max_depth, MAX_TREE_DEPTH), maxIter=max_iter,
-                         seed=seed, labelCol=label, featuresCol="features", maxMemoryInMB=512)
+def boosted_trees(step_size: float = 0.1, max_depth: int = 25, max_iter: int = 100, label: str = "label", **how) -> BoostedTrees:
+    """Second-order boosted trees (ML-03): the reference's rate, depth and the
+    100 trees it leaves to the library's default."""
+    return BoostedTrees(max_iter, step_size, max_depth, label=label, **how)
 
 
 def dense_network(n_inputs: int, hidden: Sequence[int] = (32, 64, 128, 64, 32), seed: int = 1234,
@@ -75,7 +75,8 @@ def fit_predict(train: DataFrame, test: DataFrame, model, keep_cols: Sequence[st
     checkpoint folder: metrics read them several times, trees score once."""
     ensure_checkpoint_dir(train.sparkSession)  # deep forests checkpoint their node-id cache
     pred = model.fit(train).transform(test)
-    pred = positive_probability(pred) if "probability" in pred.columns else pred.withColumn("score", F.col("prediction"))
+    if "score" not in pred.columns:
+        pred = positive_probability(pred) if "probability" in pred.columns else pred.withColumn("score", F.col("prediction"))
     return reliable_checkpoint(pred.select(*keep_cols, "prediction", "score"))
 
 
