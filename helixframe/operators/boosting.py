@@ -25,6 +25,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -399,9 +400,8 @@ class BoostedModel:
         ``prediction``; rows without features get the base score."""
         shared = df.sparkSession.sparkContext.broadcast(self)
 
-        def run(batches):
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             import numpy as np
-            import pandas as pd
             model = shared.value
             for s in batches:
                 x = np.full((len(s), model.n_features), np.nan)
@@ -409,9 +409,5 @@ class BoostedModel:
                     if v is not None and model.trees:
                         x[k] = v
                 yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(model.margins(x), -500, 500))))
-        from collections.abc import Iterator as I  # noqa: E741
-
-        import pandas as pd
-        run.__annotations__ = {"batches": I[pd.Series], "return": I[pd.Series]}
         score = F.pandas_udf(run, "double")(_array(df, self.features))
         return df.withColumn("score", score).withColumn("prediction", (F.col("score") >= 0.5).cast("double"))

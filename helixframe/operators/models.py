@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.operators.boosting import BoostedTrees
+from helixframe.operators.network import Network, NetworkTrainer
 from helixframe.session import ensure_checkpoint_dir, reliable_checkpoint
 
 MAX_TREE_DEPTH = 30
@@ -43,11 +44,29 @@ def boosted_trees(step_size: float = 0.1, max_depth: int = 25, max_iter: int = 1
     return BoostedTrees(max_iter, step_size, max_depth, label=label, **how)
 
 
+#: how the reference trains its dense network
+DENSE_AS_REFERENCE = {"learning_rate": 1e-4, "max_iter": 10, "batch": 64}
+
+
 def dense_network(n_inputs: int, hidden: Sequence[int] = (32, 64, 128, 64, 32), seed: int = 1234,
-                  max_iter: int = 100, label: str = "label"):
-    """The 32-64-128-64-32 network (sigmoid hidden units, softmax output)."""
-    return MultilayerPerceptronClassifier(layers=[n_inputs, *hidden, 2], seed=seed, maxIter=max_iter,
-                                          labelCol=label, featuresCol="features")
+                  max_iter: int = 40, label: str = "label", learning_rate: float = 3e-3, batch: int = 32,
+                  dropout: float = 0.1, **how) -> NetworkTrainer:
+    """The 32-64-128-64-32 network (ML-04): the first layer rectified, the
+    others linear, dropout, one sigmoid output.  ``DENSE_AS_REFERENCE`` has the
+    reference's settings, which are for hundreds of thousands of rows."""
+    layers = [(n, "linear" if k else "relu") for k, n in enumerate(hidden)]
+    how = {"epochs_per_round": 4, "standardize": True} | how
+    return NetworkTrainer(Network(n_inputs, layers, dropout), learning_rate, max_iter, batch, seed, label=label, **how)
+
+
+def mlp_head(n_inputs: int, label: str = "label", loss: str = "bce", max_iter: int = 40, learning_rate: float = 3e-3,
+             batch: int = 32, seed: int = 1234, validation: DataFrame | None = None, **how) -> NetworkTrainer:
+    """The two-layer head on frozen embeddings (ML-05): a rectified layer as
+    wide as the input and one output.  With ``validation`` the epoch of least
+    validation loss is kept."""
+    how = {"epochs_per_round": 2, "standardize": True} | how
+    return NetworkTrainer(Network(n_inputs, [(n_inputs, "relu")], 0.0, loss), learning_rate, max_iter, batch, seed,
+                          validation, label=label, **how)
 
 
 def linear_head(label: str = "label", max_iter: int = 100):
