@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from helixframe.operators import layout as L
 from helixframe.operators import metrics as M
 from helixframe.operators import models as ML
 from helixframe.operators import splits
@@ -117,6 +118,23 @@ def vec_05(spark, sf_dir):
         "label", "n_rows", *[F.lit(bool(x)).alias(n) for n, x in zip(("in_order", "uncorrelated", "best_axis"), held)])
 
 
+@query("vec_05_layout", """
+SELECT label, count(*) AS n_rows, count(*) FILTER (WHERE vec_id % 20 = 0) AS n_probes, true AS finite, true AS recall_ok
+FROM embeddings GROUP BY label
+""")
+def vec_05_layout(spark, sf_dir):
+    """Neighbour layout of the embeddings in the plane: rows per label, whether all places are finite, and
+    whether the graph holds at least 0.9 of the 15 nearest rows of the probes
+    (every row whose id is divisible by 20), found by comparing the probes
+    with all rows in blocks."""
+    rows = L.numbered(_emb(spark, sf_dir), "embedding", ["vec_id", "label"])
+    placed = L.layout(rows, "v", ["vec_id", "label"], k=15, steps=8)
+    ok = L.recall(rows, L.neighbours(rows, 15), F.col("vec_id") % 20 == 0, 15) >= 0.9
+    fine = ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < 1e6) & (F.abs("y") < 1e6)
+    return placed.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("vec_id") % 20 == 0, 1)).alias("n_probes"),
+                                       F.min(fine).alias("finite")).withColumn("recall_ok", F.lit(ok))
+
+
 @query("vec_03_positions", f"""
 WITH {_EMB}, c AS (SELECT vec_id, {_CHUNKS} AS pos FROM e),
 x AS (SELECT vec_id, unnest(range(8)) AS dim, pos FROM c),
