@@ -49,7 +49,8 @@ def select_rows(df: DataFrame, positions: DataFrame, key: str = "row_id") -> Dat
 
 def attach_splits(df: DataFrame, split_index: DataFrame, key: str = "row_id") -> DataFrame:
     """Data x split index on the key, all folds in one pass (JON-01).  Both
-    sides shuffle on the key once; the index has k rows per key."""
+    sides shuffle on the key once, or not at all where both are bucketed on it
+    (:func:`helixframe.sources.writers.write_bucketed`); the index has k rows per key."""
     return df.join(split_index, key, "inner")
 
 

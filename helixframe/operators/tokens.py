@@ -202,13 +202,16 @@ def strip_accents(col) -> Column:
     return udf(_c(col))
 
 
-def bert_clean_lower(col, lowercase: bool = True) -> Column:
+def bert_clean_lower(col, lowercase: bool = True, clean: bool = True, cjk: bool = True) -> Column:
     """BertNormalizer without the accent step: drop control characters, map
     whitespace (tab, newline, return, and the separators Zs, Zl and Zp) to
     spaces, put spaces around CJK ideographs, lower-case.  All JVM."""
-    s = F.regexp_replace(_c(col), r"[\x{0}\x{FFFD}]|[^\P{C}\t\n\r]", "")
-    s = F.regexp_replace(s, r"[\t\n\r\p{Z}]", " ")
-    s = F.regexp_replace(s, f"({CJK_CLASS})", " $1 ")  # handle_chinese_chars
+    s = _c(col)
+    if clean:
+        s = F.regexp_replace(s, r"[\x{0}\x{FFFD}]|[^\P{C}\t\n\r]", "")
+        s = F.regexp_replace(s, r"[\t\n\r\p{Z}]", " ")
+    if cjk:
+        s = F.regexp_replace(s, f"({CJK_CLASS})", " $1 ")  # handle_chinese_chars
     return F.lower(s) if lowercase else s
 
 
@@ -444,8 +447,13 @@ def _split_words(text: str) -> list[str]:
     return [*out, run] if run else out
 
 
+#: stands before a word that is a special token; normalised words hold no private characters
+SPECIAL_MARK = "\ue000"
+
+
 def wordpiece_ids(words_col, vocab: DataFrame, unk_token: str = "[UNK]", strip: bool = True,
-                  max_entries: int = 1_000_000) -> Column:
+                  max_entries: int = 1_000_000, prefix: str = WORDPIECE_PREFIX,
+                  max_chars: int = WORDPIECE_MAX_CHARS, specials: dict[str, int] | None = None) -> Column:
     """Encode an array of pre-tokenized words to WordPiece ids (TOK-10):
     longest match first, ``##`` continuations, ``[UNK]`` for a word that
     cannot be covered or is longer than 100 characters.
@@ -455,21 +463,24 @@ def wordpiece_ids(words_col, vocab: DataFrame, unk_token: str = "[UNK]", strip:
     first.  The vocabulary, of ``max_entries`` at most, is broadcast as a trie
     that reads a word in one pass (:class:`PieceTrie`); a task keeps the words
     it has encoded over all its batches, so each distinct word is cut into
-    pieces once per task.
+    pieces once per task.  A word that begins with ``SPECIAL_MARK`` is a
+    special token, with its id in ``specials``.
     """
     rows = vocab.select("token", "id").limit(max_entries + 1).collect()
     if len(rows) > max_entries:
         raise ValueError(f"a vocabulary of more than {max_entries} pieces is not sent to the tasks")
     ids_of = {r[0]: int(r[1]) for r in rows}
     bc = vocab.sparkSession.sparkContext.broadcast(
-        PieceTrie(ids_of, ids_of[unk_token], WORDPIECE_PREFIX, WORDPIECE_MAX_CHARS))
+        PieceTrie(ids_of, ids_of[unk_token], prefix, max_chars))
+    marked = {SPECIAL_MARK + t: [i] for t, i in (specials or {}).items()}
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        trie, cache = bc.value, {}
+        trie, cache = bc.value, dict(marked)
 
         def word_ids(w: str) -> list[int]:
             if len(cache) >= 500_000:
                 cache.clear()
+                cache.update(marked)
             pieces = [w] if not strip else _split_words(w if w.isascii() else _strip_marks(w))
             ids = cache[w] = [i for p in pieces for i in trie.encode(p)]
             return ids

@@ -5,14 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from helixframe.functions.text import strip_non_word
+from helixframe.functions.text import overlap_string, strip_non_word
 from helixframe.operators import reshape, splits
+from helixframe.plans import sqlparts as Q
 from helixframe.plans.inputs import (METRIC_RECORDS_SQL, PAIR_STRIDE, PAIRS_SQL, SEED, metric_records, pairs)
 from helixframe.plans.q_splits import _KFV_SQL, _kfold_valid, nested_sql
-from helixframe.plans.q_tokens import _WP_WORDS_SQL, _wp_vocab
+from helixframe.plans.q_tokens import _WP_ENC_SQL, _WP_WORDS_SQL, _wp_vocab
 from helixframe.plans.registry import query, table
 from helixframe.session import scratch_path
 from helixframe.sources import readers as RD
+from helixframe.sources import tokenizer_file as TF
 from helixframe.sources import writers as WR
 
 _STRIP = "regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]+', '', 'g')"
@@ -162,6 +164,22 @@ def src_05(spark, sf_dir):
     return long.groupBy("split", "task").agg(F.count(F.lit(1)).alias("n"), F.sum("target").cast("long").alias("n_pos"))
 
 
+@query("src_05_stored", f"""
+WITH dl AS (SELECT l.doc_id, l.quality, l.toxic FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+sp AS ({nested_sql('dl')})
+SELECT sp.split, dl.quality, dl.toxic, count(*) AS n FROM sp JOIN dl ON sp.doc_id = dl.doc_id GROUP BY ALL
+""")
+def src_05_stored(spark, sf_dir):
+    """Benchmark set with a stored split: its index lists (.npy) are read and
+    joined to the rows with their two targets."""
+    ds = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").join(table(spark, sf_dir, "documents", "doc_id"), "doc_id")
+    out = scratch_path(spark, "benchmark-split")
+    sp = splits.nested_holdout(ds, "doc_id", 0.02, 0.25, SEED)
+    WR.write_npy_splits(sp.select(F.lit(0).alias("repeat"), F.lit(0).alias("fold"), F.col("doc_id").alias("row_id"), "split"), out)
+    stored = RD.read_npy_splits(spark, out).select(F.col("row_id").alias("doc_id"), "split")
+    return ds.join(stored, "doc_id").groupBy("split", "quality", "toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("src_06", f"WITH {_WP_WORDS_SQL[1:]} SELECT token, id FROM vocab")
 def src_06(spark, sf_dir):
     """Vocabulary loaded from a tokenizer JSON file (written by SNK-05 from
@@ -171,6 +189,18 @@ def src_06(spark, sf_dir):
     return RD.read_vocab_json(spark, base + "/json")
 
 
+@query("src_06_file", _WP_ENC_SQL + f"SELECT doc_id, len(ids) AS n_ids, {Q.md5_ints('ids')} AS ids_md5 FROM enc")
+def src_06_file(spark, sf_dir):
+    """Documents encoded by a whole tokenizer file (normaliser, pre-tokeniser,
+    special tokens, model), written with the trained vocabulary and read back."""
+    path = scratch_path(spark, "tokenizer")
+    TF.write_tokenizer(_wp_vocab(spark, sf_dir), path)
+    docs = reshape.spread_rows(table(spark, sf_dir, "documents", "doc_id", "text"))
+    ids = TF.read_tokenizer(spark, path).ids(spark, overlap_string("text", 2, 0))
+    e = docs.select("doc_id", ids.alias("ids"))
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
+
+
 @query("snk_05", f"WITH {_WP_WORDS_SQL[1:]} SELECT token, id FROM vocab")
 def snk_05(spark, sf_dir):
     """Vocabulary saved as parquet (token, id) and read back."""

@@ -210,11 +210,14 @@ ls AS (SELECT i.repeat, i.fold, i.split, l.label, l.row_id FROM lab l JOIN idx i
 """
 
 
-def _labelled_splits(spark, sf_dir):
+def _labelled_and_index(spark, sf_dir):
     p = pairs(spark, sf_dir)
     idx = splits.split_index(splits.kfold(p.select("row_id"), "row_id", 5, SEED), "row_id", 5)
-    lab = reshape.unpivot_pairs(p, "surf_sequence", "deep_sequence")
-    return reshape.attach_splits(lab, idx)
+    return reshape.unpivot_pairs(p, "surf_sequence", "deep_sequence"), idx
+
+
+def _labelled_splits(spark, sf_dir):
+    return reshape.attach_splits(*_labelled_and_index(spark, sf_dir))
 
 
 @query("spl_08", _LAB_SPLIT_SQL + """
@@ -248,6 +251,26 @@ def jon_01(spark, sf_dir):
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.char_length("text")).cast("long").alias("n_chars"))
 
 
+@query("jon_01_bucketed", _LAB_SPLIT_SQL + """
+SELECT repeat, fold, split, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars
+FROM (SELECT i.repeat, i.fold, i.split, l.text FROM lab l JOIN idx i ON l.row_id = i.row_id) t
+GROUP BY repeat, fold, split
+""")
+def jon_01_bucketed(spark, sf_dir):
+    """Labelled rows and split index stored bucketed on the row key: the join
+    of all folds needs no exchange."""
+    d = bucketed_join(spark, *_labelled_and_index(spark, sf_dir))
+    return d.groupBy("repeat", "fold", "split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.char_length("text")).cast("long").alias("n_chars"))
+
+
+def bucketed_join(spark, rows, index, buckets: int = 16):
+    from helixframe.session import scratch_path
+    from helixframe.sources.writers import write_bucketed
+    stored = [write_bucketed(d, "row_id", buckets, scratch_path(spark, f"bucketed-{n}")) for d, n in ((rows, "rows"), (index, "index"))]
+    return reshape.attach_splits(stored[0].hint("merge"), stored[1])
+
+
 @query("flt_01", f"""
 WITH {_PAIRS}, {_FOLDS}
 SELECT p.row_id, length(p.surf_sequence) AS surf_len FROM pairs p

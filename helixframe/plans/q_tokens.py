@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from helixframe.functions import text as T
 from helixframe.operators import reshape, splits
 from helixframe.operators import tokens as K
+from helixframe.operators.generators import generate_rows
 from helixframe.plans import sqlparts as Q
 from helixframe.plans.inputs import PAIRS_SQL, SEED, kfold_sql, labelled_sql, pairs
 from helixframe.plans.registry import query, table
@@ -449,6 +450,25 @@ def udf_04(spark, sf_dir):
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("udf_04_table", f"""
+WITH {_PAIRS}, {_LAB}
+SELECT row_id, word, count(*) AS n FROM (SELECT row_id, unnest({Q.overlap_words('text', 5, 2)}) AS word FROM lab) u GROUP BY row_id, word
+""")
+def udf_04_table(spark, sf_dir):
+    """A user's row generator as a table function with a planned schema, over
+    the labelled rows partitioned by pair."""
+    lab = reshape.unpivot_pairs(pairs(spark, sf_dir), "surf_sequence", "deep_sequence")
+    words = generate_rows(lab, _py_overlap_words, "word string", keep=["row_id"], partition_by=["row_id"])
+    return words.groupBy("row_id", "word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _py_overlap_words(row):
+    """Words of 5 characters, each beginning 3 after the one before (TOK-01)."""
+    text = row["text"] or ""
+    for at in range(0, max(len(text) - 2, 0), 3):
+        yield (text[at:at + 5],)
+
+
 # ---------------- the same row operators on a stream ----------------
 
 @query("tok_01_stream", f"""

@@ -72,6 +72,17 @@ def write_split_index(df: DataFrame, path: str) -> None:
      .hint("rebalance", "repeat", "fold").write.partitionBy("repeat", "fold").mode("errorifexists").parquet(path))
 
 
+def write_bucketed(df: DataFrame, key: str, buckets: int, path: str) -> DataFrame:
+    """``df`` as a table bucketed and sorted on ``key`` under ``path``, read
+    back (JON-01): joins of such tables on the key, with the same number of
+    buckets, need no exchange, however often they are repeated.  Equal keys
+    share a bucket, so the key should be one that few rows share."""
+    import uuid
+    name = f"helix_bucketed_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_npy_splits(df: DataFrame, path: str) -> None:
     """Split positions as ``.npy`` arrays (SNK-04), in folders
     ``repeat=<r>/fold=<f>``: ``<split>_split-<task>.npy``, with ``valid``
