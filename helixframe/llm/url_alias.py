@@ -23,13 +23,14 @@ pages with the verdicts of components is left to skew-join handling.
 
 Defined cases: a null url or one without ``://`` has an empty host and path,
 no rule, no links and verdict allow; null and empty html has no links; a link
-that is not absolute is resolved against its page; repeated rows give repeated
+that is not absolute is resolved against its page or the page's ``<base>``, one
+that leads to no page (``mailto:``) is none; repeated rows give repeated
 rows; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -93,31 +94,75 @@ def implied_address(url: Column) -> Column:
         F.lit("https://"), bare, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with ``/`` without its ``.`` and ``..`` segments."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, s: F.when(
+        s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    last = F.element_at(parts, -1)
+    return F.when(~path.contains("/."), path).otherwise(
+        F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _absolute(link: Column, url: Column) -> Column:
-    """``link`` resolved against ``url``; null if there is none."""
-    link = F.regexp_replace(F.trim(link), "&amp;", "&")
+    """``link`` resolved against ``url`` (RFC 3986, 5.2); null if there is
+    none, or if it leads to no page (``mailto:`` and the like)."""
+    return _bound(F.struct(F.regexp_replace(F.trim(link), "&amp;", "&").alias("link"), url.alias("url")),
+                  lambda x: _bound(_joined(x["link"], x["url"]), _undotted))
+
+
+def _joined(link: Column, url: Column) -> Column:
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     base = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(path_of(url), r"^(.*/)[^/]*$", 1)
+    path, query = path_of(url), F.regexp_extract(url, r"(?s)^[^#]*?(\?[^#]*)", 1)
+    folder = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*/)", 1)
     return (F.when(link == "", None)
-            .when(F.instr(link, "://") > 0, link)
+            .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+            .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
             .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
             .when(link.startswith("/"), F.concat(base, link))
-            .otherwise(F.concat(base, F.when(folder == "", "/").otherwise(folder), link)))
+            .when(link.startswith("?"), F.concat(base, path, link))
+            .when(link.startswith("#"), F.concat(base, path, query, link))
+            .otherwise(F.concat(base, F.coalesce(F.nullif(folder, F.lit("")), F.lit("/")), link)))
+
+
+def _undotted(address: Column) -> Column:
+    return F.when(~address.contains("/."), address).otherwise(F.concat(
+        F.regexp_extract(address, r"(?s)^(.*?://[^/?#]*)", 1), _bound(path_of(address), without_dots),
+        F.regexp_extract(address, r"(?s)^[^?#]*(.*)$", 1)))
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)
+    return F.regexp_extract(tag, rf"(?is)(?<![\w-]){name}\s*=\s*[\"']?\s*([^\"'>\s]+)", 1)
+
+
+def base_address(html: Column, url: Column) -> Column:
+    """What a page's links are resolved against: its first ``<base href>``,
+    else its url."""
+    tag = F.regexp_extract(html, r"(?is)(<base\b[^>]*>)", 1)
+    return F.when(tag == "", url).otherwise(F.coalesce(_absolute(_attribute(tag, "href"), url), url))
+
+
+def canonical_href(html: Column) -> Column:
+    tag = F.regexp_extract(html, r"(?is)(<link\b[^>]*(?<![\w-])rel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
+    return _attribute(tag, "href")
 
 
-def canonical_link(html: Column, url: Column) -> Column:
-    tag = F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1)
-    return _absolute(_attribute(tag, "href"), url)
+def redirect_href(html: Column) -> Column:
+    tag = F.regexp_extract(html, r"(?is)(<meta\b[^>]*(?<![\w-])http-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
+    return F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)", 1)
 
 
-def redirect_link(html: Column, url: Column) -> Column:
-    tag = F.regexp_extract(html, r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)", 1)
-    return _absolute(F.regexp_extract(tag, r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)", 1), url)
+def page_links(html: Column, url: Column) -> Column:
+    """The addresses that a page's canonical link and redirect lead to."""
+    found = F.filter(F.array(canonical_href(html), redirect_href(html)), lambda x: x.isNotNull() & (x != ""))
+    return F.when(F.size(found) > 0, _bound(base_address(html, url), lambda b: F.transform(found, lambda x: _absolute(x, b)))) \
+            .otherwise(F.array().cast("array<string>"))
 
 
 def _name(address: Column) -> Column:
@@ -135,13 +180,19 @@ def judge(pages: DataFrame, rules: Sequence[Rule], implied: bool = True, allow_s
     parsed = cut(src.select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
         F.when(whole, _name(F.col("url"))).alias("node"),
-        F.filter(F.array(*[F.when(whole, x) for x in (
-            canonical_link(F.col("html"), F.col("url")), redirect_link(F.col("html"), F.col("url")),
-            *([implied_address(F.col("url"))] if implied else []))]), lambda x: x.isNotNull()).alias("to"),
+        F.filter(F.when(whole, F.concat(
+            F.coalesce(page_links(F.col("html"), F.col("url")), F.array().cast("array<string>")),
+            F.array(*([implied_address(F.col("url"))] if implied else [])).cast("array<string>"))), lambda x: x.isNotNull()).alias("to"),
     ).withColumn("r", best_rule(F.col("host"), F.col("path"), rules)), "url-pages")
 
     # what a link leads to is judged like a page: a blocked target blocks its aliases
     targets = parsed.filter(F.size("to") > 0).select("node", F.explode("to").alias("address"))
+    if implied:                                         # a target has the conventional redirects of its own address, too
+        onward = F.col("t.address"), implied_address(F.col("t.address"))
+        targets = targets.alias("t").select(F.explode(F.array(
+            F.struct(F.col("t.node").alias("node"), onward[0].alias("address")),
+            F.struct(_name(onward[0]).alias("node"), onward[1].alias("address")))).alias("e")).select("e.*").filter(
+                "address IS NOT NULL").filter(F.col("node") != _name(F.col("address")))
     edges = targets.select(F.col("node").alias("a"), _name(F.col("address")).alias("b"))
     roots = cut(components(edges), "url-roots")
     own = parsed.filter("node IS NOT NULL AND r IS NOT NULL").select("node", F.col("r.verdict").alias("v"))

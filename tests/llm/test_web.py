@@ -8,6 +8,7 @@ import zlib
 
 import pytest
 from cases import LONG, clashing
+from pyspark.sql import functions as F
 
 from helixframe.llm import url_alias as U
 from helixframe.llm import warc_chunks as W
@@ -32,7 +33,7 @@ def plain_rule(url):
 
 
 def test_rules_on_odd_urls(spark):
-    got = U.judge(clashing(spark.createDataFrame(ODD, PAGES)).drop("node"), RULES, implied=False).collect()
+    got = U.judge(clashing(spark.createDataFrame(ODD, PAGES)), RULES, implied=False).collect()
     want = []
     for i, u, _ in ODD:
         host, path, r = plain_rule(u)
@@ -69,6 +70,33 @@ def test_implied_addresses(spark):
     assert [r[0] for r in df.select(U.implied_address(df["url"])).collect()] == ["https://a.net/x?b=1"] * 3 + [None]
 
 
+def test_links_resolve_as_browsers_do(spark):
+    from urllib.parse import urljoin
+    base = "https://h.net/x/y/z.html?q=1"
+    links = ["../z", "../../../z", "./a", "b/./c/../d", "?p=2", "#t", "/r/../s", "//o.net/k", "https://o.net/b?c=/../d", ".", "..",
+             "e.html", "/.well", "f/..g"]
+    df = spark.createDataFrame([(i, x, base) for i, x in enumerate(links)], "i int, x string, u string")
+    got = {r["i"]: r["a"] for r in df.select("i", U._absolute(df["x"], df["u"]).alias("a")).collect()}
+    assert got == {i: urljoin(base, x) for i, x in enumerate(links)}
+    dotted = spark.createDataFrame([("//o.net/./k/..",), ("https://o.net/a/../b?c=/../d",)], "x string")
+    assert [r[0] for r in dotted.select(U._absolute(dotted["x"], F.lit(base))).collect()] == ["https://o.net/", "https://o.net/b?c=/../d"]
+    none = spark.createDataFrame([("mailto:a@b.c",), ("javascript:x()",), ("data:,x",), ("",), (None,)], "x string")
+    assert {r[0] for r in none.select(U._absolute(none["x"], none["x"].isNull().cast("string"))).collect()} == {None}
+    html = '<base href="/deep/"><link data-href="/no" rel=canonical href="c"><meta http-equiv=refresh content="0;url=../m">'
+    one = spark.createDataFrame([(html, base)], "h string, u string")
+    assert one.select(U.page_links(one["h"], one["u"])).first()[0] == ["https://h.net/deep/c", "https://h.net/m"]
+
+
+def test_targets_have_conventional_redirects(spark):
+    link = lambda to: f'<link rel="canonical" href="{to}">'
+    pages = [(1, "https://p.net/q", link("http://www.foo.com/a/")), (2, "https://foo.com/a", link("https://bad.net/")),
+             (3, "https://p.net/r", link("http://www.foo.com/b/"))]
+    df = spark.createDataFrame(pages, PAGES)
+    got = {r["page_id"]: r["verdict"] for r in U.judge(df, RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
+    assert {r["page_id"]: r["verdict"] for r in U.judge(df, RULES, implied=False).collect()}[1] == "allow"
+
+
 def plain_records(rows):
     least = {}
     for i, _, h in rows:
@@ -117,3 +145,36 @@ def test_plain_and_truncated_archives():
     with pytest.raises(ValueError):
         list(W.chunks_of(W.ByteStream(io.BytesIO(record[:-8])), 10))
     assert list(W.chunks_of(W.ByteStream(io.BytesIO(b"")), 10)) == []
+
+
+def test_string_ids_and_null_ids(spark):
+    ids = ["a\r\nX-Evil: 1", "null:7", "%41 é>", None, "7", "", None]
+    rows = [(i, "u", f"{k} " * 60) for k, i in enumerate(ids)] + [("z", "u", "0 " * 60)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = W.round_trip(df).collect()
+    assert sorted((str(x["page_id"]) for x in got)) == sorted(str(i) for i, *_ in rows)
+    assert [(x["page_id"], x["refers_to"]) for x in got if x["record_type"] == "revisit"] == [("z", ids[0])]
+    assert all(x["intact"] for x in got)
+
+
+def test_manifest_is_held_against_what_was_read(spark):
+    folder = scratch_path(spark, "warc-test")
+    manifest = W.write_archives(spark.createDataFrame([(i, "u", "x") for i in range(5)], PAGES).coalesce(1), folder)
+    chunks = W.read_chunks(manifest)
+    assert W.incomplete(manifest, chunks).count() == 0
+    assert [(x["records"], x["found"]) for x in W.incomplete(manifest, chunks.filter("record_id <> '3'")).collect()] == [(5, 4)]
+
+
+def test_a_body_without_a_blank_line_is_not_gathered():
+    body = b"HTTP/1.1 200 OK\r\n" + b"x" * 3_000_000
+    record = b"WARC/1.1\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+
+    class Watched(W.ByteStream):
+        most = 0
+
+        def _more(self):
+            got = super()._more()
+            Watched.most = max(Watched.most, len(self.held))
+            return got
+    assert [x["data"] for x in W.chunks_of(Watched(io.BytesIO(record * 2)), 10)] == [b"", b""]
+    assert Watched.most < 2 * W._READ
