@@ -34,6 +34,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,17 +61,23 @@ def file_system(address: str):
     return fs.LocalFileSystem(), address
 
 
+def record_name(page) -> str:
+    """A page id as it stands in a record's URN: percent-encoded, so no id can
+    end a header line; a null id is marked and gets a number of its own."""
+    return f"null:{uuid.uuid4().hex}" if page is None else quote(str(page), safe="")
+
+
 def record_head(page, url, digest: str, payload_bytes: int, refers_to, date: str) -> bytes:
     """Header lines and HTTP head of a record; ``refers_to`` makes it a
     revisit, whose block has no payload."""
     revisit = refers_to is not None
-    name = page if page is not None else uuid.uuid4()
+    name = record_name(page)
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
              f"WARC-Record-ID: <{_URN}{name}>", f"WARC-Date: {date}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
-        lines += [f"WARC-Refers-To: <{_URN}{refers_to}>", f"WARC-Profile: {_PROFILE}"]
+        lines += [f"WARC-Refers-To: <{_URN}{record_name(refers_to)}>", f"WARC-Profile: {_PROFILE}"]
     lines += [f"WARC-Payload-Digest: sha256:{digest}", f"Payload-Length: {payload_bytes}",
               "Content-Type: application/http; msgtype=response",
               f"Content-Length: {len(_HTTP) + (0 if revisit else payload_bytes)}"]
@@ -197,7 +204,9 @@ def _fields(stream: ByteStream) -> dict[str, str]:
 
 
 def _name(urn: str | None) -> str | None:
-    return urn.strip("<>").removeprefix(_URN) if urn else None
+    """The page id of a record's URN; null for a null id."""
+    name = urn.strip("<>").removeprefix(_URN) if urn else None
+    return None if name is None or name.startswith("null:") else unquote(name)
 
 
 def chunks_of(stream: ByteStream, chunk_bytes: int) -> Iterator[dict]:
@@ -212,8 +221,9 @@ def chunks_of(stream: ByteStream, chunk_bytes: int) -> Iterator[dict]:
         body = stream.pieces(left)
         held = b""
         if fields.get("content-type", "").startswith("application/http"):
+            # the payload follows the blank line; a body without one has none, and is not gathered to find out
             while (at := held.find(b"\r\n\r\n")) < 0 and (piece := next(body, None)) is not None:
-                held += piece
+                held = held[-3:] + piece
             held = held[at + 4:] if at >= 0 else b""
         row = {"record_id": _name(fields.get("warc-record-id")), "record_type": fields.get("warc-type"),
                "target_uri": fields.get("warc-target-uri"), "refers_to": _name(fields.get("warc-refers-to")),
@@ -262,6 +272,14 @@ def read_chunks(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_data:
     return manifest.select("path").repartition(shuffle_partitions(manifest)).mapInArrow(run, out)
 
 
+def incomplete(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Archives of which fewer or more records were read than the manifest
+    says: ``path, records, found``."""
+    read = chunks.filter("last").groupBy("path").agg(F.count(F.lit(1)).alias("found"))
+    said = manifest.groupBy("path").agg(F.max("records").alias("records"))
+    return said.join(read, "path", "left").withColumn("found", F.coalesce("found", F.lit(0))).filter("records <> found")
+
+
 def records(chunks: DataFrame) -> DataFrame:
     """One row per record from its last chunk: ``record_id, record_type,
     refers_to, payload_bytes, payload_digest`` (of the full payload: as read
@@ -272,7 +290,7 @@ def records(chunks: DataFrame) -> DataFrame:
         "record_id", "record_type", "refers_to", "target_uri",
         F.when(revisit, F.col("declared_bytes")).otherwise(F.col("bytes")).alias("payload_bytes"),
         F.when(revisit, F.col("declared_digest")).otherwise(F.col("sha256")).alias("payload_digest"),
-        F.when(revisit, F.col("bytes") == 0).otherwise(
+        F.when(revisit, (F.col("bytes") == 0) & F.col("declared_digest").isNotNull()).otherwise(
             F.col("sha256").eqNullSafe(F.col("declared_digest"))).alias("intact"))
 
 
@@ -282,7 +300,7 @@ def round_trip(pages: DataFrame, **how) -> DataFrame:
     intact``."""
     id_type = pages.schema[how.get("id_col", "page_id")].dataType
     manifest = write_archives(pages, scratch_path(pages.sparkSession, "warc"), **how)
-    back = records(read_chunks(manifest, with_data=False))
+    back = records(read_chunks(manifest))
     number = lambda c: F.expr(f"try_cast({c} AS {id_type.simpleString()})")
     return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        number("refers_to").alias("refers_to"), "intact")
