@@ -9,17 +9,18 @@ a source with a third of all rows is no hot group.
 
 The fence of a group is read from its sketch.  Most documents have no symbols,
 duplicate lines or repeats, so the quartiles of these measures are 0 and say
-nothing; ``tail_fences``, which op7 uses, takes the mean of the sketch's upper
-tail (from the 75 % point to the one in ``TAILS``, so the oddest documents do
-not widen their own fence) plus ``spread`` times the tail's standard deviation
-(``least`` and a quarter of the mean at least).  Word lengths are
-spread around their median and keep the quartile fence.  What is read from a
-group is shrunk towards its language's, and that towards all documents', as
-if ``weight`` documents of the wider sketch were added.  ``fences`` is the
-plain quartile version, in which a group of fewer than ``enough`` documents
-takes its language's sketch whole.  Documents are joined with their group's
-fences (one row for each language and source) and kept if no measure lies
-beyond its fence.
+nothing; ``tail_fences``, which op7 uses, takes the mean of a part of the
+sketch (``PARTS``: the upper tail without its end, so the oddest documents do
+not widen their own fence; for word lengths all but both ends) plus a number
+of that part's standard deviations.  What is read from a group is shrunk
+towards its language's, and that towards all documents', as if ``weight``
+documents of the wider sketch were added.  No distance is a constant of the
+measure: a group that does not vary has the spread of all documents, and no
+fence stands closer than the sketch can tell (a quarter of the mean, an eighth
+for word lengths).  ``fences`` is the plain quartile version with least
+distances, in which a group of fewer than ``enough`` documents takes its
+language's sketch whole.  Documents are joined with their group's fences (one
+row for each language and source) and kept if no measure lies beyond its fence.
 
 Defined cases: null and empty texts have no words and fail the base rules;
 null languages and sources are groups like any other; repeated rows count and
@@ -45,13 +46,18 @@ MEASURES = {
     "repeat_permille": (6, 300, False),
     "word_centichars": (6, 150, True),
 }
-#: measure -> (where its tail ends in per cent, spread, least distance)
-TAILS = {
-    "symbol_permille": (95, 1, 20),
-    "dup_line_permille": (99, 6, 100),
-    "repeat_permille": (99, 6, 50),
+#: measure -> (the part of its sketch that is read, from and to per cent, and
+#: how many of that part's standard deviations the fence stands off its mean)
+PARTS = {
+    "symbol_permille": (75, 95, 1),
+    "dup_line_permille": (75, 99, 6),
+    "repeat_permille": (75, 99, 6),
+    "word_centichars": (1, 99, 6),
 }
-_TAIL_FROM = 75
+
+
+#: measures of which only large values are odd
+UPPER = [m for m, (_, _, both) in MEASURES.items() if not both]
 
 
 def repeated_words(words: list[bytes], per: int = 3) -> int:
@@ -118,20 +124,22 @@ def bucket_value(b: Column) -> Column:
 
 def _quantiles(sketch: DataFrame, *by: str) -> DataFrame:
     """25 %, 50 % and 75 % points of merged sketches (rows of bucket counts),
-    and the mean and standard deviation of their upper tails (``TAILS``; a
-    bucket counts as its largest measure)."""
+    and the mean and standard deviation of their parts (``PARTS``; a bucket
+    counts as its largest measure, for word lengths as its middle)."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "measure")
     upto = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
     at = [F.min(F.when(4 * F.col("upto") >= k * F.col("total"), F.col("bucket"))) for k in (1, 2, 3)]
-    end = F.lit(99)
-    for m, (last, _, _) in TAILS.items():
+    start, end = F.lit(0), F.lit(100)
+    for m, (first, last, _) in PARTS.items():
+        start = F.when(F.col("measure") == m, first).otherwise(start)
         end = F.when(F.col("measure") == m, last).otherwise(end)
-    # hundredths of documents of a bucket that lie between the tail's ends
+    # hundredths of documents of a bucket that lie in the part
     inside = F.greatest(F.lit(0), F.least(100 * F.col("upto"), end * F.col("total"))
-                        - F.greatest(100 * (F.col("upto") - F.col("n")), _TAIL_FROM * F.col("total")))
-    value = F.when(F.col("measure").isin(*TAILS), bucket_value(F.col("bucket") + 1) - 1).otherwise(0)
-    held = F.max((end - _TAIL_FROM) * F.col("total"))
+                        - F.greatest(100 * (F.col("upto") - F.col("n")), start * F.col("total")))
+    top = bucket_value(F.col("bucket") + 1) - 1
+    value = F.when(F.col("measure") == "word_centichars", (bucket_value(F.col("bucket")) + top) / 2).otherwise(top)
+    held = F.max((end - start) * F.col("total"))
     tail, square = F.sum(inside * value) / held, F.sum(inside * value * value) / held
     return upto.groupBy(*by, "measure").agg(
         F.max("total").alias("total"), *[bucket_value(q).alias(f"q{k}") for k, q in zip((1, 2, 3), at, strict=True)],
@@ -186,11 +194,13 @@ def tail_fences(docs: DataFrame, weight: int = 20) -> DataFrame:
         wide = (F.col("l_total") * F.col(f"l_{c}") + weight * F.col(f"e_{c}")) / (F.col("l_total") + weight)
         return (F.col("o_total") * F.col(f"o_{c}") + weight * wide) / (F.col("o_total") + weight)
 
-    level = _levels(docs).select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"),
-                                 F.col("o_measure").alias("measure"), *[shrunk(c).alias(c) for c in ("q1", "q2", "q3", "tail", "sd")])
-    bounds = {m: _quartile_bounds(m) for m in MEASURES}
-    for m, (_, spread, least) in TAILS.items():
-        bounds[m] = (F.lit(-1.0), F.col("tail") + F.greatest(F.lit(least), F.col("tail") / 4, spread * F.col("sd")))
+    level = _levels(docs).select(F.col("o_lang").alias("lang"), F.col("o_source").alias("source"), F.col("o_measure").alias("measure"),
+                                 shrunk("tail").alias("tail"), shrunk("sd").alias("sd"), "e_sd")
+    bounds = {}
+    for m, (_, _, spread) in PARTS.items():
+        # a group that does not vary has all documents' spread, and no fence is finer than the sketch
+        off = F.greatest(F.col("tail") / 4 if m in UPPER else F.col("tail") / 8, spread * F.col("sd"), F.col("e_sd"))
+        bounds[m] = (F.lit(-1.0) if m in UPPER else F.col("tail") - off, F.col("tail") + off)
     return _by_group(level, bounds)
 
 

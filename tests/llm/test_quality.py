@@ -45,7 +45,8 @@ def test_buckets_are_in_order_and_near(spark):
         assert b == bucket(v) and low == low_end(b) and low <= v <= low * 9 / 8 + 1
 
 
-def plain_kept(rows, enough):
+def plain_groups(rows):
+    """Measures of all rows, and of those that pass the base rules by group."""
     got, groups = [], {}
     for i, t, lang, source, _ in rows:
         n, chars, symbols, dup, rep, lines = plain_measure(t)
@@ -56,6 +57,42 @@ def plain_kept(rows, enough):
         if not failed:
             for key in ((lang, source), (lang,), ()):
                 groups.setdefault(key, []).append(m)
+    return got, groups
+
+
+def plain_part(values, first, last, middle):
+    """Mean and standard deviation of the part of the sorted values from
+    ``first`` to ``last`` per cent, each value as its bucket stands for it."""
+    held, n = [], len(values)
+    for k, v in enumerate(sorted(bucket(v) for v in values)):
+        share = max(0, min(100 * (k + 1), last * n) - max(100 * k, first * n))
+        top = low_end(v + 1) - 1
+        held.append((share, (low_end(v) + top) / 2 if middle else top))
+    whole = (last - first) * n
+    mean = sum(w * v for w, v in held) / whole
+    return mean, max(0.0, sum(w * v * v for w, v in held) / whole - mean * mean) ** 0.5
+
+
+def plain_tails(rows, weight=20):
+    got, groups = plain_groups(rows)
+    out = []
+    for i, (lang, source), failed, m in got:
+        kept = not failed
+        if (lang, source) in groups:
+            for name, (first, last, spread) in Q.PARTS.items():
+                words = name == "word_centichars"
+                own, wide, every = [(len(groups[k]), *plain_part([g[name] for g in groups[k]], first, last, words))
+                                    for k in ((lang, source), (lang,), ())]
+                mix = lambda a, na, b: (na * a + weight * b) / (na + weight)
+                mean, sd = [mix(own[k], own[0], mix(wide[k], wide[0], every[k])) for k in (1, 2)]
+                off = max(mean / (8 if words else 4), spread * sd, every[2])
+                kept &= (mean - off if words else -1) - 1e-9 <= m[name] <= mean + off + 1e-9
+        out.append((i, failed, kept))
+    return sorted(out, key=str)
+
+
+def plain_kept(rows, enough):
+    got, groups = plain_groups(rows)
     out = []
     for i, (lang, source), failed, m in got:
         kept = not failed
@@ -89,6 +126,27 @@ def test_verdicts_and_odd_rows(spark):
     assert Q.quality(df.limit(0)).count() == 0
 
 
+def test_tail_verdicts_against_a_plain_version(spark):
+    """The registered query's path: parts of sketches, shrunk, no constants."""
+    for seed in (3, 4):
+        r = random.Random(seed)
+        rows = list(ODD)[:3] + list(ODD)[4:]
+        for k in range(300):
+            words = ["".join(r.choice("abcdefg") for _ in range(r.randint(1, 9))) for _ in range(r.randint(45, 120))]
+            if k % 7 == 0:
+                words = [w + "%#" * r.randint(1, 3) for w in words]
+            if k % 11 == 0:
+                words = [w * r.randint(2, 9) for w in words]
+            lines = [" ".join(words[i:i + 9]) for i in range(0, len(words), 9)]
+            if k % 6 == 0:
+                lines += lines[:r.randint(1, 5)]
+            lang, source = r.choice([("en", "hot"), ("en", "hot"), ("en", "c"), ("de", "b"), (None, "hot"), ("fr", None)])
+            rows.append((100 + k, "\n".join(lines), lang, source, 1))
+        got = Q.quality(clashing(documents(spark, rows)), tails=True).collect()
+        assert sorted([(x["doc_id"], x["base_failed"], x["kept"]) for x in got], key=str) == plain_tails(rows)
+        assert 5 < sum(not x["kept"] and not x["base_failed"] for x in got) < 150
+
+
 def test_sketches_merge(spark):
     """Fences do not depend on how the rows are dealt."""
     rows = [(i, " ".join(f"w{(i * k) % 97}" for k in range(60 + i % 7)), "en", f"s{i % 3}", 1) for i in range(200)]
