@@ -37,12 +37,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, ``name`` if it can be."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` with a key for each row, and the key's name.  The rows are
     written with it, so it is the same wherever they are read."""
-    key = "__row"
-    while key.lower() in {c.lower() for c in df.columns}:
-        key += "_"
+    key = fresh(df, "__row")
     return cut(df.withColumn(key, F.monotonically_increasing_id()), "row-keys"), key
 
 

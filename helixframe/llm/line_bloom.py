@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from helixframe.llm.common import ASCII_SPACE, arrow_schema, bounded_batches, cut, schema
+from helixframe.llm.common import ASCII_SPACE, arrow_schema, bounded_batches, cut, fresh, schema
 
 #: bits of one segment, bits set for each key, and the sizes of a filter
 SEGMENT = 1 << 16
@@ -179,12 +179,13 @@ def dedup_lines(df: DataFrame, shortest: int = 10, id_col: str = "doc_id", text_
     spark = df.sparkSession
     bounded_batches(df)
     df = df.drop(n_lines, n_dropped)
+    keys_col, lost_col, of = (fresh(df, n) for n in ("__keys", "__lost", "__id"))
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     bits = bits or filter_bits(df.count())
     segments = bits // SEGMENT
     shared = spark.sparkContext.broadcast(twice_filter(docs, bits, shortest))
 
-    marked_schema = StructType([*df.schema.fields, *schema("__keys array<string>").fields])
+    marked_schema = StructType([*df.schema.fields, *schema(f"{keys_col} array<string>").fields])
 
     def mark(batches) -> Iterator:
         import pyarrow as pa
@@ -195,23 +196,23 @@ def dedup_lines(df: DataFrame, shortest: int = 10, id_col: str = "doc_id", text_
                 texts, ids = [part.column(part.schema.get_field_index(c)).to_pylist() for c in (text_col, id_col)]
                 keys = [suspects(keys_of(t, shortest), seen, segments) if i is not None else []
                         for i, t in zip(ids, texts, strict=True)]
-                yield part.append_column(pa.field("__keys", pa.list_(pa.string())), pa.array(keys, pa.list_(pa.string())))
+                yield part.append_column(pa.field(keys_col, pa.list_(pa.string())), pa.array(keys, pa.list_(pa.string())))
 
     marked = df.mapInArrow(mark, marked_schema)
-    held = cut(marked.select(F.col(id_col).alias("__id"), F.explode("__keys").alias("key")), "line-suspects")
-    repeated = cut(held.groupBy("key").agg(F.min("__id").alias("first"), F.max("__id").alias("last"))
+    held = cut(marked.select(F.col(id_col).alias(of), F.explode(keys_col).alias("key")), "line-suspects")
+    repeated = cut(held.groupBy("key").agg(F.min(of).alias("first"), F.max(of).alias("last"))
                    .filter("first <> last").select("key", "first"), "line-repeats")
-    losses = (held.join(repeated, "key").filter(F.col("__id") != F.col("first"))
-              .groupBy("__id").agg(F.collect_set("key").alias("__lost")))
+    losses = (held.join(repeated, "key").filter(F.col(of) != F.col("first"))
+              .groupBy(of).agg(F.collect_set("key").alias(lost_col)))
     # nothing to take out of these: only the lines are counted, in the JVM (a second Python
     # function behind the first would double the workers of an executor)
-    alone = marked.filter(F.size("__keys") == 0).drop("__keys").withColumns({
+    alone = marked.filter(F.size(keys_col) == 0).drop(keys_col).withColumns({
         n_lines: F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("bigint"),
         n_dropped: F.lit(0).cast("bigint")})
     none = F.array().cast("array<string>")
-    others = marked.filter(F.size("__keys") > 0).drop("__keys")
-    others = (others.join(losses, others[id_col] == losses["__id"], "left").drop("__id")
-              .withColumn("__lost", F.coalesce("__lost", none)))
+    others = marked.filter(F.size(keys_col) > 0).drop(keys_col)
+    others = (others.join(losses, others[id_col] == losses[of], "left").drop(of)
+              .withColumn(lost_col, F.coalesce(lost_col, none)))
 
     kept_schema = StructType([*df.schema.fields, *schema(f"`{n_lines}` bigint, `{n_dropped}` bigint").fields])
 
@@ -221,7 +222,7 @@ def dedup_lines(df: DataFrame, shortest: int = 10, id_col: str = "doc_id", text_
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
-                texts, lost = [part.column(part.schema.get_field_index(c)).to_pylist() for c in (text_col, "__lost")]
+                texts, lost = [part.column(part.schema.get_field_index(c)).to_pylist() for c in (text_col, lost_col)]
                 kept, lines, dropped = [], [], []
                 for text, gone in zip(texts, lost, strict=True):
                     all_lines = (text or "").split("\n")

@@ -34,6 +34,16 @@ def test_lines_and_odd_rows(spark, bits):
     assert set(documents(spark).columns) < set(got.columns)
 
 
+def test_columns_with_internal_names(spark):
+    rows = [(1, "a line that two hold\nx"), (2, "a line that two hold\ny")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for c in ("__keys", "__ID", "__lost", "__row", "key", "first", "last"):
+        df = df.withColumn(c, df["doc_id"])
+    got = L.dedup_lines(df).orderBy("doc_id").collect()
+    assert [(x["text"], x["n_dropped"], x["__keys"], x["__ID"], x["__lost"]) for x in got] == [
+        ("a line that two hold\nx", 0, 1, 1, 1), ("y", 1, 2, 2, 2)]
+
+
 def test_empty_table(spark):
     assert L.dedup_lines(documents(spark).limit(0)).count() == 0
 
