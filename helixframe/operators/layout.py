@@ -86,9 +86,14 @@ def numbered(df: DataFrame, vec: str, keep_cols) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, k: int = 15, block: int = 256, starts: int = 3, rounds: int = 8, least_change: float = 0.002,
-               seed: int = 1234) -> DataFrame:
-    """``(u, w, d)``: for each row ``u`` of ``numbered`` about its ``k`` nearest rows ``w``."""
+               seed: int = 1234, search: int | None = None) -> DataFrame:
+    """``(u, w, d)``: for each row ``u`` of ``numbered`` about its ``k`` nearest rows ``w``.
+
+    The descent keeps ``search`` neighbours of each row (three times ``k`` if
+    not given): in many dimensions a near row is often a neighbour of a
+    neighbour that is not among the ``k`` nearest."""
     import numpy as np
+    wanted, k = k, search or 3 * k
     total = rows.count()
     if not total:
         return rows.sparkSession.createDataFrame([], "u long, w long, d double")
@@ -127,7 +132,7 @@ def neighbours(rows: DataFrame, k: int = 15, block: int = 256, starts: int = 3,
         edges = after
         if fresh <= least_change * k * total:
             break
-    return edges
+    return _written(_top(edges, wanted))
 
 
 def recall(rows: DataFrame, edges: DataFrame, probe, k: int, block: int = 512) -> float:
