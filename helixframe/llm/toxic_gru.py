@@ -2,10 +2,16 @@
 
 Each word's input is a word vector (by the word's hash) plus the mean of its
 character-gram vectors, so forms that were never seen share what their stems
-taught.  A gated recurrent network reads a window of words in both directions,
-attention pools the states, and a logistic unit scores the window.  A document
-is scored by its highest window; windows overlap by half and cover the whole
-text, the last one ending with it.
+taught.  A gated recurrent network reads the words in both directions, attention
+pools the states of a window of words, and a logistic unit scores the window.
+A document is scored by its highest window, and a window starts at every word
+that has a whole window before the text ends.
+
+Overlapping windows share their words' states: the text is cut into blocks as
+long as a window, each read with ``CONTEXT`` words before it (forwards) and
+after it (backwards), so a word has one state.  Pooling is a quotient of two
+sums over the window's words, and the sums for all starts are made by doubling
+(of 1, 2, 4 ... words).  Training reads windows with the same context.
 
 Training is numpy on the driver over a bounded sample of labelled rows:
 ``per_class`` documents of label 0 and 1, those with the smallest hash, of
@@ -18,7 +24,8 @@ weighing as it does among all labelled rows; it places 0.5.
 Scoring is one map over the documents with the weights (fixed size) broadcast.
 The input side of all gates is worked out once for each distinct word and kept
 in a bounded table; a step of the network is then one small matrix product for
-thousands of windows.
+thousands of blocks.  A very long text goes through in runs that overlap by a
+window, so its states are bounded too.
 
 Defined cases: null and empty texts and texts without words have the score of
 an empty state; rows whose label is missing are scored like others; a label
@@ -31,7 +38,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -42,11 +48,12 @@ from helixframe.llm.common import arrow_schema, cut, docs_of, schema
 
 WORDS, GRAMS = 1 << 14, 1 << 13        # rows of the word and character-gram tables
 DIM, HIDDEN, ATTEND = 8, 8, 8
-WINDOW, STRIDE = 32, 16
+WINDOW, CONTEXT = 32, 16               # words of a window (a power of two), and read on each side of a block
+SPAN = CONTEXT + WINDOW + CONTEXT
 PER_CLASS, MIN_WORDS, MAX_WORDS = (2400, 800), 32, 2000     # documents of label 0 and 1, their words
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 TABLE_WORDS = 200_000
-_STEP = 2048                            # windows at a time
+_STEP = 2048                            # blocks at a time
 _word = re.compile(r"\w+").findall
 
 
@@ -74,6 +81,34 @@ def sigmoid(x):
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def steps_of(direction: str) -> range:
+    """The places of a span that one direction reads, in its order."""
+    return range(CONTEXT + WINDOW) if direction == "f" else range(SPAN - 1, CONTEXT - 1, -1)
+
+
+def blocks(rows, n: int, before: int = 0):
+    """Blocks (x ``SPAN``) over ``n`` words, 0 where there is none.  ``rows``
+    begins ``before`` words (``CONTEXT`` at most) ahead of them and may go on
+    behind them if they fill their blocks."""
+    import numpy as np
+    padded = np.zeros(2 * CONTEXT + -(-n // WINDOW) * WINDOW, "i4")
+    padded[CONTEXT - before:][:len(rows)] = rows
+    return np.lib.stride_tricks.sliding_window_view(padded, SPAN)[::WINDOW]
+
+
+def window_means(share, value):
+    """For each start the mean of ``value`` over ``WINDOW`` places, weighted by
+    ``share``; -inf where all of it is nought."""
+    import numpy as np
+    total, part = share.astype("f4"), (share * value).astype("f4")
+    width = 1
+    while width < WINDOW:
+        for sums in (total, part):
+            sums[:-width] += sums[width:]
+        width *= 2
+    return np.divide(part, total, out=np.full(len(total), -np.inf, "f4"), where=total > 0)
+
+
 @dataclass
 class Network:
     """Weights by name, and the line (slope, offset) from the highest window
@@ -106,19 +141,21 @@ class Network:
         return [x @ self.w[f"in_{d}"] + self.w[f"b_{d}"] for d in "fb"]
 
     def run(self, gates: Sequence, rows):
-        """Scores of windows; ``rows`` (windows x words) picks each word's row
-        of ``gates``.  The same steps as ``traced``, in place."""
+        """(attention, value) of the words of blocks, both blocks x ``WINDOW``;
+        ``rows`` (blocks x ``SPAN``) picks each word's row of ``gates``.  Row 0
+        of the gates is nought: no word, which leaves an empty state empty and
+        gets no attention.  The same steps as ``traced``, in place."""
         import numpy as np
-        n, t_all, h2 = rows.shape[0], rows.shape[1], 2 * HIDDEN
-        states = np.empty((t_all, n, h2), "f4")
+        n, h2 = rows.shape[0], 2 * HIDDEN
+        states = np.empty((WINDOW, n, h2), "f4")
         rows = np.ascontiguousarray(rows.T)
         rz, new = np.empty((n, h2), "f4"), np.empty((n, HIDDEN), "f4")
         r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-        for d, own, at in (("f", gates[0], range(t_all)), ("b", gates[1], range(t_all - 1, -1, -1))):
+        for d, own in zip("fb", gates, strict=True):
             u, side = self.w[f"rec_{d}"], slice(0, HIDDEN) if d == "f" else slice(HIDDEN, h2)
             u_rz, u_new = np.ascontiguousarray(u[:, :h2]), np.ascontiguousarray(u[:, h2:])
             h = np.zeros((n, HIDDEN), "f4")
-            for t in at:
+            for t in steps_of(d):
                 x = own.take(rows[t], axis=0)
                 np.matmul(h, u_rz, out=rz)
                 rz += x[:, :h2]
@@ -133,27 +170,43 @@ class Network:
                 h -= new
                 h *= z
                 h += new
-                states[t, :, side] = h
-        e = np.tanh((states.reshape(-1, h2) @ self.w["att"]) + self.w["att_b"]) @ self.w["att_v"]
-        e = np.exp(e.reshape(t_all, n) - np.abs(self.w["att_v"]).sum())       # |e| is at most that sum
-        value = (states.reshape(-1, h2) @ self.w["out"]).reshape(t_all, n)
-        return (e * value).sum(axis=0) / e.sum(axis=0) + self.w["out_b"][0]
+                if 0 <= t - CONTEXT < WINDOW:
+                    states[t - CONTEXT, :, side] = h
+        flat = states.reshape(-1, h2)
+        e = np.tanh((flat @ self.w["att"]) + self.w["att_b"]) @ self.w["att_v"]
+        e = np.exp(e - np.abs(self.w["att_v"]).sum()).reshape(WINDOW, n)      # |e| is at most that sum
+        e *= rows[CONTEXT:CONTEXT + WINDOW] > 0
+        return e.T, (flat @ self.w["out"]).reshape(WINDOW, n).T
+
+    def highest(self, gates: Sequence, rows, lengths: Sequence[int]):
+        """The highest window's score of each text, and where it starts.
+        ``rows`` holds the blocks of texts of ``lengths`` words (1 at least),
+        one text after the other."""
+        import numpy as np
+        done = [self.run(gates, rows[at:at + _STEP]) for at in range(0, len(rows), _STEP)]
+        share, value = (np.concatenate([d[i] for d in done]).ravel() for i in (0, 1))
+        score = window_means(share, value)
+        first = np.cumsum([0, *[-(-n // WINDOW) * WINDOW for n in lengths]])
+        at = [int(a + score[a:a + max(n - WINDOW, 0) + 1].argmax()) for a, n in zip(first, lengths, strict=False)]
+        return score[at] + self.w["out_b"][0], np.array(at) - first[:-1]
 
     def traced(self, gates: Sequence, rows):
-        """Scores of windows, and what the gradient needs."""
+        """Scores of windows (``rows``: windows x ``SPAN``), and what the
+        gradient needs."""
         import numpy as np
-        n, t_all, h2 = rows.shape[0], rows.shape[1], 2 * HIDDEN
-        states, steps = np.empty((t_all, n, h2), "f4"), {}
-        for d, own, at in (("f", gates[0], range(t_all)), ("b", gates[1], range(t_all - 1, -1, -1))):
+        n, h2 = rows.shape[0], 2 * HIDDEN
+        states, steps = np.empty((WINDOW, n, h2), "f4"), {}
+        for d, own in zip("fb", gates, strict=True):
             u, h, side = self.w[f"rec_{d}"], np.zeros((n, HIDDEN), "f4"), slice(0, HIDDEN) if d == "f" else slice(HIDDEN, h2)
-            for t in at:
+            for t in steps_of(d):
                 a, hu = own[rows[:, t]], h @ u
                 rz = sigmoid(a[:, :h2] + hu[:, :h2])
                 r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
                 new = np.tanh(a[:, h2:] + r * hu[:, h2:])
                 steps[d, t] = (h, r, z, new, hu[:, h2:])
                 h = new + z * (h - new)
-                states[t, :, side] = h
+                if 0 <= t - CONTEXT < WINDOW:
+                    states[t - CONTEXT, :, side] = h
         k = np.tanh(states @ self.w["att"] + self.w["att_b"])
         e = k @ self.w["att_v"]
         e = np.exp(e - e.max(axis=0))
@@ -164,14 +217,15 @@ class Network:
     def empty_logit(self) -> float:
         return float(self.w["out_b"][0])
 
-    def gradient(self, x, label, weight):
-        """Gradient of the weighted log loss over windows (windows x words x
-        DIM inputs): by weight name, and of the inputs."""
+    def gradient(self, x, real, label, weight):
+        """Gradient of the weighted log loss over windows (windows x ``SPAN`` x
+        DIM inputs, and which of them are words; a window's own all are): by
+        weight name, and of the inputs."""
         import numpy as np
-        n, t_all, _ = x.shape
-        flat = x.reshape(-1, DIM)
-        rows = np.arange(n * t_all).reshape(n, t_all)
-        logit, (states, steps, k, share, pooled) = self.traced(self.gates(flat), rows)
+        n = len(x)
+        flat, word = x.reshape(-1, DIM), real.reshape(-1, 1)
+        rows = np.arange(n * SPAN).reshape(n, SPAN)
+        logit, (states, steps, k, share, pooled) = self.traced([g * word for g in self.gates(flat)], rows)
         g: dict = {}
         d_logit = (sigmoid(logit) - label) * weight / n
         g["out"], g["out_b"] = pooled.T @ d_logit, d_logit.sum(keepdims=True)
@@ -184,18 +238,18 @@ class Network:
         g["att"] = np.einsum("tnh,tna->ha", states, d_k)
         g["att_b"] = d_k.sum(axis=(0, 1))
         d_states += d_k @ self.w["att"].T
-        d_x = np.zeros((n, t_all, DIM), "f4")
-        for d, at in (("f", range(t_all - 1, -1, -1)), ("b", range(t_all))):
+        d_x = np.zeros((n, SPAN, DIM), "f4")
+        for d in "fb":
             u, side = self.w[f"rec_{d}"], slice(0, HIDDEN) if d == "f" else slice(HIDDEN, 2 * HIDDEN)
             g_in, g_rec, g_b = (np.zeros_like(self.w[f"{name}_{d}"]) for name in ("in", "rec", "b"))
             carry = np.zeros((n, HIDDEN), "f4")
-            for t in at:
+            for t in reversed(steps_of(d)):
                 h, r, z, new, hu = steps[d, t]
-                dh = carry + d_states[t][:, side]
+                dh = carry + d_states[t - CONTEXT][:, side] if 0 <= t - CONTEXT < WINDOW else carry
                 d_new = dh * (1 - z) * (1 - new * new)
                 d_z = dh * (h - new) * z * (1 - z)
                 d_r = d_new * hu * r * (1 - r)
-                d_a = np.hstack([d_r, d_z, d_new])                  # of the input side
+                d_a = np.hstack([d_r, d_z, d_new]) * real[:, t, None]      # of the input side
                 d_hu = np.hstack([d_r, d_z, d_new * r])             # of the state side
                 carry = dh * z + d_hu @ u.T
                 g_in += x[:, t].T @ d_a
@@ -206,9 +260,10 @@ class Network:
         return g, d_x
 
 
-def window_starts(n: int) -> list[int]:
-    """Overlapping windows over ``n`` words: the last one ends with them."""
-    return [*range(0, n - WINDOW, STRIDE), n - WINDOW] if n > WINDOW else [0]
+def with_none(gates: Sequence) -> list:
+    """Gate tables with a first row of nought, which stands for no word."""
+    import numpy as np
+    return [np.vstack([np.zeros((1, g.shape[1]), g.dtype), g]) for g in gates]
 
 
 class Adam:
@@ -231,44 +286,46 @@ def train(texts: Sequence[str], labels: Sequence[int], epochs: int = EPOCHS, sha
     import numpy as np
     net, r = Network.new(seed), np.random.default_rng(seed)
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)]) for t in texts]
+    docs = [np.array([index.setdefault(w, len(index) + 1) for w in words_of(t)]) for t in texts]
     label = np.array(labels, "f4")
     vocabulary = list(index)
     rows, grams, first = word_inputs(vocabulary)
     sizes = np.diff(np.append(first, len(grams)))
-    of_doc = [np.array([d[s:s + WINDOW] for s in window_starts(len(d))]) for d in docs]
-    begin = np.cumsum([0, *map(len, of_doc)])
-    windows = np.concatenate(of_doc)
+    lengths = np.array([len(d) for d in docs])
+    in_blocks = np.concatenate([blocks(d, len(d)) for d in docs])
+    none = np.zeros(CONTEXT, "i8")
+    laid = np.concatenate([np.concatenate([none, d, none]) for d in docs])      # a window's span is a run of it
+    begin = np.cumsum(lengths + 2 * CONTEXT) - lengths - 2 * CONTEXT
     aside = np.arange(len(docs)) % 4 == 3                           # only for the line at the end
     aside &= (label[aside].min() != label[aside].max()) if aside.any() else False
     learn = np.flatnonzero(~aside)
     adam, clean = Adam(net.w), np.flatnonzero(~aside & (label == 0))
 
     def highest():
-        """Score of each document, and which of its windows has it."""
-        gates = net.gates(net.vectors(vocabulary))
-        score = np.concatenate([net.run(gates, windows[at:at + _STEP]) for at in range(0, len(windows), _STEP)])
-        best = np.array([a + int(score[a:b].argmax()) for a, b in zip(begin, begin[1:], strict=False)])
-        return score[best], best
+        """Score of each document, and where its highest window starts."""
+        return net.highest(with_none(net.gates(net.vectors(vocabulary))), in_blocks, lengths)
 
     for epoch in range(epochs):
-        at_random = begin[:-1] + (r.random(len(docs)) * np.diff(begin)).astype(int)
-        pick = at_random if epoch < 2 else highest()[1]
+        at_random = begin + (r.random(len(docs)) * (lengths - WINDOW + 1)).astype(int)
+        pick = at_random if epoch < 2 else begin + highest()[1]
         pick = np.concatenate([pick[learn], at_random[clean]])
         truth = np.concatenate([label[learn], label[clean]])
         weight = np.where(truth > 0, 3.0, 1.0).astype("f4")
         order = r.permutation(len(pick))
         for at in range(0, len(order), BATCH):
             some = order[at:at + BATCH]
-            used, inverse = np.unique(windows[pick[some]], return_inverse=True)
-            inverse = inverse.reshape(len(some), WINDOW)
+            spans = laid[pick[some][:, None] + np.arange(SPAN)]
+            used, inverse = np.unique(np.append(spans, 0), return_inverse=True)
+            inverse, used = inverse.ravel()[:-1].reshape(spans.shape), used[1:] - 1       # row 0: no word
             counts = sizes[used]
             own = np.concatenate([np.arange(first[u], first[u] + sizes[u]) for u in used])
-            x = net.w["word"][rows[used]] + np.add.reduceat(
+            x = np.zeros((len(used) + 1, DIM), "f4")
+            x[1:] = net.w["word"][rows[used]] + np.add.reduceat(
                 net.w["gram"][grams[own]], np.cumsum(counts) - counts, axis=0) / counts[:, None]
-            g, d_x = net.gradient(x[inverse], truth[some], weight[some])
-            d_word = np.zeros((len(used), DIM), "f4")
+            g, d_x = net.gradient(x[inverse], spans > 0, truth[some], weight[some])
+            d_word = np.zeros((len(used) + 1, DIM), "f4")
             np.add.at(d_word, inverse.ravel(), d_x.reshape(-1, DIM))
+            d_word = d_word[1:]
             g["word"], g["gram"] = np.zeros_like(net.w["word"]), np.zeros_like(net.w["gram"])
             np.add.at(g["word"], rows[used], d_word)
             np.add.at(g["gram"], grams[own], np.repeat(d_word / counts[:, None], counts, axis=0))
@@ -292,7 +349,7 @@ class Scorer:
         import numpy as np
         self.net = net
         self.index: dict[str, int] = {}
-        self.table = [np.zeros((TABLE_WORDS, 3 * HIDDEN), "f4") for _ in "fb"]
+        self.table = [np.zeros((TABLE_WORDS + 1, 3 * HIDDEN), "f4") for _ in "fb"]
 
     def rows(self, words: list[str]):
         """Rows of the gate table for up to ``TABLE_WORDS`` words."""
@@ -302,7 +359,7 @@ class Scorer:
             self.index.clear()
             new = list(dict.fromkeys(words))
         if new:
-            at = len(self.index)
+            at = len(self.index) + 1
             for table, gates in zip(self.table, self.net.gates(self.net.vectors(new)), strict=True):
                 table[at:at + len(new)] = gates
             self.index.update(zip(new, range(at, at + len(new)), strict=True))
@@ -312,38 +369,31 @@ class Scorer:
         """The highest window of each text."""
         import numpy as np
         best = np.full(len(texts), -np.inf)
-        long, owner, held = [], [], 0
+        held, owner, lengths, waiting = [], [], [], 0
+        run = max(2 * WINDOW, TABLE_WORDS // 2 // WINDOW * WINDOW)
 
         def flush():
-            nonlocal long, owner, held
-            if long:
-                rows, of = np.concatenate(long), np.concatenate(owner)
-                np.maximum.at(best, of, self.net.run(self.table, rows))
-                long, owner, held = [], [], 0
-
-        def rows_of(words):
-            if len(self.index) + len(words) > TABLE_WORDS:
-                flush()                                 # the table may be dealt anew: nothing may wait for it
-            return self.rows(words)
+            nonlocal held, owner, lengths, waiting
+            if held:
+                np.maximum.at(best, owner, self.net.highest(self.table, np.concatenate(held), lengths)[0])
+                held, owner, lengths, waiting = [], [], [], 0
 
         for k, text in enumerate(texts):
             words = words_of(text)
-            if len(words) <= WINDOW:
-                best[k] = self.net.run(self.table, rows_of(words)[None])[0] if words else self.net.empty_logit()
-                continue
-            starts, i = window_starts(len(words)), 0
-            while i < len(starts):                      # a very long text in runs of windows
-                low = starts[i]
-                j = bisect_right(starts, low + TABLE_WORDS // 2 - WINDOW)
-                rows = rows_of(words[low:starts[j - 1] + WINDOW])
-                view = np.lib.stride_tricks.sliding_window_view(rows, WINDOW)[np.array(starts[i:j]) - low]
-                for at in range(0, len(view), _STEP):
-                    long.append(view[at:at + _STEP])
-                    owner.append(np.full(len(long[-1]), k))
-                    held += len(long[-1])
-                    if held >= _STEP:
-                        flush()
-                i = j
+            if not words:
+                best[k] = self.net.empty_logit()
+            # a very long text in runs of whole blocks that overlap by a window
+            for at in range(0, max(len(words) - WINDOW, min(len(words), 1)), run - WINDOW):
+                part = words[max(0, at - CONTEXT):at + run + CONTEXT]
+                if len(self.index) + len(part) > TABLE_WORDS:
+                    flush()                             # the table may be dealt anew: nothing may wait for it
+                n = min(run, len(words) - at)
+                held.append(blocks(self.rows(part), n, min(at, CONTEXT)))
+                owner.append(k)
+                lengths.append(n)
+                waiting += len(held[-1])
+                if waiting >= _STEP:
+                    flush()
         flush()
         return best.tolist()
 
@@ -365,17 +415,17 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int], min_w
              .filter("l_id IS NOT NULL AND label IN (0, 1)").groupBy("l_id").agg(F.max("label").alias("label"))
              .filter(~held_out("l_id")))
     n_words = F.size(F.split(F.trim("text"), r"\s+"))
-    long = docs.filter(n_words.between(min_words, max_words))
-    known = cut(long.select("doc_id").distinct().join(known, F.col("doc_id") == F.col("l_id")).select("doc_id", "label"),
-                "toxic-labels")
+    fits = n_words.between(min_words, max_words)
+    known = cut(docs.filter(fits).select("doc_id").distinct().join(known, F.col("doc_id") == F.col("l_id"))
+                .select("doc_id", "label"), "toxic-labels")
     totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    rows = []
-    for label in (0, 1):        # ids first, so only the texts of a bounded number of rows come to the driver
-        ids = [r[0] for r in known.filter(F.col("label") == label).orderBy(
-            F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(per_class[label]).collect()]
-        texts = long.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-        rows += [(t, label) for _, t in sorted((r[0], r[1]) for r in texts)]
-    return rows, [totals.get(0, 0), totals.get(1, 0)]
+    # ids first, so only the texts of a bounded number of rows come to the driver
+    label_of = {r[0]: label for label in (0, 1) for r in known.filter(F.col("label") == label).orderBy(
+        F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(per_class[label]).collect()}
+    texts = (docs.filter(F.col("doc_id").isin(list(label_of))).filter(fits)
+             .groupBy("doc_id").agg(F.min("text").alias("text")).collect())
+    rows = sorted((label_of[i], i, t) for i, t in texts)
+    return [(t, label) for label, _, t in rows], [totals.get(0, 0), totals.get(1, 0)]
 
 
 def toxicity(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
