@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from helixframe.session import reliable_checkpoint
+from helixframe.session import Shared, reliable_checkpoint
 
 UNIT = float(1 << 24)
 _ROW = "row_bins binary, y double, margin double"
@@ -229,7 +229,7 @@ class BoostedTrees:
         if not level:
             small[root] = 0
         while level:
-            shared = spark.sparkContext.broadcast((tree, level, fresh))
+            shared = Shared(spark, (tree, level, fresh))
             sums = (data.mapInArrow(_histograms(shared, n_features), "node int, feature int, bin int, g long, h long, n long")
                     .groupBy("node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]))
             each = sums.groupBy("node", "feature").agg(F.collect_list(F.struct("bin", "g", "h", "n")).alias("bins"))
@@ -252,7 +252,7 @@ class BoostedTrees:
                             small[kid] = depth + 1
             level, depth = below, depth + 1
         if small:
-            shared = spark.sparkContext.broadcast((tree, small, fresh))
+            shared = Shared(spark, (tree, small, fresh))
             rows = data.mapInArrow(_rows_of(shared, n_features), "node int, row_bins binary, g long, h long")
             done = rows.groupBy("node").applyInArrow(_finished(rule, shared, n_features, self.max_bins), _SUBTREE)
             for r in done.collect():
@@ -398,7 +398,7 @@ class BoostedModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``score`` (the probability of label 1) and
         ``prediction``; rows without features get the base score."""
-        shared = df.sparkSession.sparkContext.broadcast(self)
+        shared = Shared(df.sparkSession, self)
 
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             import numpy as np

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from helixframe.operators.metrics import best_epoch
-from helixframe.session import reliable_checkpoint
+from helixframe.session import Shared, reliable_checkpoint
 
 CHUNK_ROWS = 65_536
 _B1, _B2, _EPS = 0.9, 0.999, 1e-7                       # Adam's usual constants
@@ -245,7 +245,7 @@ class NetworkModel:
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``score`` (probability of label 1, or the value) and
         ``prediction``; null where there are no features."""
-        shared = df.sparkSession.sparkContext.broadcast((self.network, self.theta, self.scale))
+        shared = Shared(df.sparkSession, (self.network, self.theta, self.scale))
 
         def score(s: pd.Series) -> pd.Series:
             import numpy as np

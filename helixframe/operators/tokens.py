@@ -19,7 +19,7 @@ from helixframe.functions.text import BERT_TOKEN, chars, explode_items, pad_trun
 from helixframe.operators.piecetrie import PieceTrie
 from helixframe.operators.ranks import running_totals
 from helixframe.operators.reshape import position_by
-from helixframe.session import reliable_checkpoint, scratch_path
+from helixframe.session import Shared, reliable_checkpoint, scratch_path
 
 # ---- fixed values that must equal the libraries the reference calls ----
 # BERT special tokens, ids 0-4 in this order.
@@ -470,8 +470,7 @@ def wordpiece_ids(words_col, vocab: DataFrame, unk_token: str = "[UNK]", strip:
     if len(rows) > max_entries:
         raise ValueError(f"a vocabulary of more than {max_entries} pieces is not sent to the tasks")
     ids_of = {r[0]: int(r[1]) for r in rows}
-    bc = vocab.sparkSession.sparkContext.broadcast(
-        PieceTrie(ids_of, ids_of[unk_token], prefix, max_chars))
+    bc = Shared(vocab.sparkSession, PieceTrie(ids_of, ids_of[unk_token], prefix, max_chars))
     marked = {SPECIAL_MARK + t: [i] for t, i in (specials or {}).items()}
 
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

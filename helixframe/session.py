@@ -10,9 +10,11 @@ to other executors and does not survive their loss.
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _DEFAULTS = {
@@ -80,3 +82,21 @@ def reliable_checkpoint(df):
     ``localCheckpoint`` is never used, since executors can be lost."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Shared:
+    """A broadcast value that may hold objects of this package's classes.
+
+    A plain broadcast names their classes, so a worker without the package
+    could not read it; here they travel by value, as the package's functions
+    do.  A task reads the value once.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        if "read" not in self.__dict__:
+            self.read = pickle.loads(self.sent.value)
+        return self.read
