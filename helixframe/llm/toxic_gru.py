@@ -438,12 +438,13 @@ def toxicity(df: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     share = (totals[1] + 1) / (sum(totals) + 2)
     both = len({y for _, y in rows}) == 2
     net = train([t for t, _ in rows], [y for _, y in rows], epochs, share) if both else None
-    shared = df.sparkSession.sparkContext.broadcast(net)
+    # plain data: a broadcast class would need the package on the workers
+    shared = df.sparkSession.sparkContext.broadcast((net.w, net.slope, net.offset) if net else None)
     out = schema(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
     def run(batches) -> Iterator:
         import pyarrow as pa
-        scorer = Scorer(shared.value) if shared.value is not None else None
+        scorer = Scorer(Network(*shared.value)) if shared.value is not None else None
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
