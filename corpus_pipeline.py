@@ -24,6 +24,8 @@ from helixframe.llm.queries import piece_model, table
 
 #: words that the segmentation keeps in a worker, which serves all stages
 CACHE_ENTRIES = 300_000
+#: segmentations of each document, as many as op5_piece_nbest finds
+N_BEST = 2
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,11 +65,11 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece encoding and decoding (5): each document with the ids of
-    its best segmentation, whether they decode to its text, and, as the
-    vocabulary's scores are merge ranks, the ids that its own library gives."""
-    return piece_nbest.encode(docs, piece_model(), n=1, keep=("lang", "source"), cache_entries=CACHE_ENTRIES,
-                              compare=True).select("doc_id", "lang", "source", "ids", "library_ids", "decoded_ok")
-
+    its best segmentation, its N best ones' scores and the others' ids, whether
+    the best decodes to its text, and, as the vocabulary's scores are merge
+    ranks, the ids that its own library gives."""
+    return piece_nbest.encode(docs, piece_model(), n=N_BEST, keep=("lang", "source"), cache_entries=CACHE_ENTRIES, compare=True).select(
+        "doc_id", "lang", "source", "ids", "scores", "alternatives", "library_ids", "decoded_ok")
 
 
 STAGES = [

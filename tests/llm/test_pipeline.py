@@ -127,3 +127,12 @@ def test_near_copies_go_by_row(spark, sf_dir):
     df = documents(spark, [(i, t, "en", "a", 1) for i, t in rows]).repartition(3)
     got = sorted([(x["doc_id"], x["text"]) for x in C.near_copies(spark, df, sf_dir).collect()], key=str)
     assert got == sorted([(1, a), (2, b), (None, c), (5, d)], key=str)
+
+
+def test_the_last_stage_searches_the_n_best(spark, sf_dir):
+    """Not the best segmentation alone: as many as the operator's own query, with their scores."""
+    r = random.Random(13)
+    df = documents(spark, [(i, text_in("en", r, 30), "en", "a", 1) for i in range(6)])
+    for row in C.segmented(spark, df, sf_dir).collect():
+        assert len(row["scores"]) == 2 and row["scores"][0] >= row["scores"][1]
+        assert len(row["alternatives"]) == 1 and row["alternatives"][0] != row["ids"]
