@@ -232,3 +232,27 @@ def test_exact_median_with_hot_value(spark):
     s = sorted(vals)
     want = (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
     assert K.exact_median(df, "v").first()[0] == want
+
+
+def test_whole_texts_go_to_python_in_small_batches(spark):
+    """Memory of a worker must not grow with the rows of a task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    K.strip_accents(F.lit("\u00e9"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 4 << 20
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = [(0, ["\u00e9a", "a", "\u00e9a"]), (1, []), (2, None), (3, ["x"]), (4, ["a", "a"])]
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(K.BERT_SPECIALS + ["a", "e", "##a"])], "token string, id int")
+    df = spark.createDataFrame(rows, "i int, w array<string>").coalesce(1)
+    assert {r.i: r.ids for r in df.select("i", K.wordpiece_ids("w", vocab).alias("ids")).collect()} == {
+        0: [6, 7, 5, 6, 7], 1: [], 2: None, 3: [0], 4: [5, 5]}
+    texts = spark.createDataFrame([(0, "\u00e9"), (1, None), (2, "e"), (3, "\u1e69\uac01")], "i int, t string").coalesce(1)
+    got = {r.i: r.s for r in texts.select("i", K.strip_accents("t").alias("s")).collect()}
+    assert got == {0: "e", 1: None, 2: "e", 3: "s\u1100\u1161\u11a8"}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_hot_rows_as_digits(spark):
+    df = spark.createDataFrame([("GAXZ",), ("",)], "s string")
+    for r in df.select(K.one_hot("s").alias("rows"), K.one_hot("s", digits=True).alias("text")).collect():
+        assert r.text == ["".join(map(str, x)) for x in r.rows]
