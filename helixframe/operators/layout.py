@@ -52,14 +52,20 @@ def _distances(x):
     return np.sqrt(np.maximum(square[:, None] + square - 2 * x @ x.T, 0))
 
 
+def _matrix(column):
+    """A column of vectors as a matrix."""
+    import numpy as np
+    return np.asarray(column.combine_chunks().flatten().to_numpy(zero_copy_only=False), "f8").reshape(len(column), -1)
+
+
 def _in_block(k: int):
     def run(key, table):
         import numpy as np
         import pyarrow as pa
-        at, x = table.column("n").to_numpy(), np.array(table.column("v").to_pylist(), "f8")
+        at, x = table.column("n").to_numpy(), _matrix(table.column("v"))
         d = _distances(x)
         np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, :k]
+        near = np.argpartition(d, k, axis=1)[:, :k] if k < len(at) else np.tile(np.arange(len(at)), (len(at), 1))
         u = np.repeat(np.arange(len(at)), near.shape[1])
         w = near.ravel()
         real = u != w
@@ -69,12 +75,12 @@ def _in_block(k: int):
 
 def _meet(table):
     """The neighbours of one row, compared with one another: the pairs that
-    one side would take."""
+    one side would take.  Two that had met here before are left out."""
     import numpy as np
     import pyarrow as pa
-    at, worst = table.column("w").to_numpy(), table.column("worst").to_numpy()
-    d = _distances(np.array(table.column("v").to_pylist(), "f8"))
-    u, w = np.nonzero((d < worst[:, None]) & (at[:, None] != at))
+    at, worst, new = (table.column(c).to_numpy(zero_copy_only=False) for c in ("w", "worst", "new"))
+    d = _distances(_matrix(table.column("v")))
+    u, w = np.nonzero((d < worst[:, None]) & (at[:, None] != at) & (new[:, None] | new))
     return pa.Table.from_pydict({"u": at[u], "w": at[w], "d": d[u, w]})
 
 
@@ -85,13 +91,16 @@ def numbered(df: DataFrame, vec: str, keep_cols) -> DataFrame:
     return _written(ordinal_by_value(d, "__m", out="n").drop("__m"))
 
 
-def neighbours(rows: DataFrame, k: int = 15, block: int = 256, starts: int = 3, rounds: int = 8, least_change: float = 0.002,
+def neighbours(rows: DataFrame, k: int = 15, block: int = 1024, starts: int = 3, rounds: int = 8, least_change: float = 0.002,
                seed: int = 1234, search: int | None = None) -> DataFrame:
     """``(u, w, d)``: for each row ``u`` of ``numbered`` about its ``k`` nearest rows ``w``.
 
     The descent keeps ``search`` neighbours of each row (three times ``k`` if
     not given): in many dimensions a near row is often a neighbour of a
-    neighbour that is not among the ``k`` nearest."""
+    neighbour that is not among the ``k`` nearest.  Two neighbours of a row
+    that both were its neighbours in the round before have met, and the
+    farthest neighbours only come closer, so each round compares pairs with a
+    new one alone; rows without a new neighbour take no part."""
     import numpy as np
     wanted, k = k, search or 3 * k
     total = rows.count()
@@ -115,7 +124,7 @@ def neighbours(rows: DataFrame, k: int = 15, block: int = 256, starts: int = 3,
         found = ranked.select("n", "v", F.floor(F.col("__at") / block).alias("__block")).groupBy("__block").applyInArrow(
             _in_block(k), "u long, w long, d double")
         edges = found if edges is None else edges.unionByName(found)
-    edges = _written(_top(edges, k))
+    edges, met = _written(_top(edges, k)), None
     for r in range(rounds):
         worst = edges.groupBy("u").agg(F.max("d").alias("worst"), F.count(F.lit(1)).alias("c"))
         worst = worst.select("u", F.when(F.col("c") >= k, F.col("worst")).otherwise(F.lit(float("inf"))).alias("worst"))
@@ -124,6 +133,10 @@ def neighbours(rows: DataFrame, k: int = 15, block: int = 256, starts: int = 3,
         for part in (["u", F.pmod("w", F.lit(64))], ["u"]):
             back = back.withColumn("__r", F.row_number().over(Window.partitionBy(*part).orderBy("h", "w"))).where(F.col("__r") <= k).drop("__r")
         known = edges.select("u", "w").unionByName(back.select("u", "w")).distinct()
+        known = known.withColumn("new", F.lit(True)) if met is None else known.join(
+            met.select("u", "w", F.lit(False).alias("old")), ["u", "w"], "left").select("u", "w", F.coalesce("old", F.lit(True)).alias("new"))
+        met = _written(known)
+        known = met.join(met.where("new").select("u").distinct(), "u", "left_semi")
         vectors = rows.select(F.col("n").alias("w"), "v").join(worst.withColumnRenamed("u", "w"), "w", "left")
         vectors = vectors.withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
         closer = known.join(vectors, "w").groupBy("u").applyInArrow(_meet, "u long, w long, d double")
@@ -152,7 +165,7 @@ def recall(rows: DataFrame, edges: DataFrame, probe, k: int, block: int = 512) -
             ids, q = shared.value
             best_n, best_d = np.zeros((len(ids), 0), "i8"), np.zeros((len(ids), 0))
             for b in batches:
-                at, x = b.column(0).to_numpy(), np.array(b.column(1).to_pylist(), "f8").reshape(b.num_rows, -1)
+                at, x = b.column(0).to_numpy(), np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), "f8").reshape(b.num_rows, -1)
                 d = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * q @ x.T, 0))
                 d[np.array(ids)[:, None] == at] = np.inf
                 best_n, best_d = np.concatenate([best_n, np.tile(at, (len(ids), 1))], axis=1), np.concatenate([best_d, d], axis=1)
@@ -209,13 +222,15 @@ def weights(edges: DataFrame, k: int) -> DataFrame:
 
 
 def layout(df: DataFrame, vec: str, keep_cols, k: int = 15, steps: int = 12, rate: float = 1.0, negatives: int = 5,
-           seed: int = 1234) -> DataFrame:
-    """``keep_cols, x, y``: the rows with vectors in the plane."""
-    rows = numbered(df, vec, keep_cols)
+           seed: int = 1234, edges: DataFrame | None = None) -> DataFrame:
+    """``keep_cols, x, y``: the rows with vectors in the plane.  With ``edges``,
+    the ``neighbours`` of ``df``, which is then the result of ``numbered``, no
+    second graph is made."""
+    rows = numbered(df, vec, keep_cols) if edges is None else df
     total = rows.count()
     if not total:
         return rows.select(*keep_cols, F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    edges = _written(weights(neighbours(rows, k, seed=seed), k))
+    edges = _written(weights(neighbours(rows, k, seed=seed) if edges is None else edges, k))
     axes = project_2d(rows, "v", ["n"]) if total > 1 else rows.select("n", F.lit(0.0).alias("pc1"), F.lit(0.0).alias("pc2"))
     spread = axes.agg(*[F.max(F.abs(c)).alias(c) for c in ("pc1", "pc2")]).first()
     unit = max(spread["pc1"] or 0.0, spread["pc2"] or 0.0) or 1.0

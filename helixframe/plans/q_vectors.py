@@ -128,8 +128,9 @@ def vec_05_layout(spark, sf_dir):
     (every row whose id is divisible by 20), found by comparing the probes
     with all rows in blocks."""
     rows = L.numbered(_emb(spark, sf_dir), "embedding", ["vec_id", "label"])
-    placed = L.layout(rows, "v", ["vec_id", "label"], k=15, steps=8)
-    ok = L.recall(rows, L.neighbours(rows, 15), F.col("vec_id") % 20 == 0, 15) >= 0.9
+    near = L.neighbours(rows, 15)
+    placed = L.layout(rows, "v", ["vec_id", "label"], k=15, steps=8, edges=near)
+    ok = L.recall(rows, near, F.col("vec_id") % 20 == 0, 15) >= 0.9
     fine = ~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < 1e6) & (F.abs("y") < 1e6)
     return placed.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("vec_id") % 20 == 0, 1)).alias("n_probes"),
                                        F.min(fine).alias("finite")).withColumn("recall_ok", F.lit(ok))

@@ -86,3 +86,18 @@ def test_odd_tables(spark):
     nulls = df.union(spark.createDataFrame([(7, None)], df.schema)).union(df)
     assert sorted(r["id"] for r in L.layout(nulls, "v", ["id"], steps=2).select("id").collect()) == [0, 0]
     assert L.layout(nulls, "v", ["id"], steps=2).where(F.col("x").isNull()).count() == 0
+
+
+def test_layout_takes_a_graph_and_rounds_compare_new_pairs(spark, monkeypatch):
+    """One graph serves the layout and its recall; a round leaves out pairs that have met."""
+    x = np.random.default_rng(6).normal(size=(300, 6))
+    rows = L.numbered(table(spark, x), "v", ["id"])
+    near = L.neighbours(rows, 8, block=32)
+    assert L.recall(rows, near, F.col("id") % 20 == 0, 8) >= 0.9
+    monkeypatch.setattr(L, "neighbours", None)              # a second graph would fail
+    placed = L.layout(rows, "v", ["id"], k=8, steps=2, edges=near)
+    assert sorted(r["id"] for r in placed.collect()) == list(range(300))
+    import pyarrow as pa
+    met = pa.table({"w": [4, 5, 6], "worst": [9.0, 9.0, 9.0], "new": [False, False, True], "v": [[0.0], [1.0], [3.0]]})
+    got = L._meet(met).to_pydict()
+    assert sorted(zip(got["u"], got["w"], got["d"])) == [(4, 6, 3.0), (5, 6, 2.0), (6, 4, 3.0), (6, 5, 2.0)]
