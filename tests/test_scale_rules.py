@@ -170,3 +170,32 @@ def test_projection_is_the_principal_axes(spark):
     for k in (0, 1):
         want = x @ axes[:, -1 - k]
         assert min(np.abs(got[:, k] - want).max(), np.abs(got[:, k] + want).max()) < 1e-8
+
+
+@pytest.mark.parametrize("regression", [False, True])
+def test_forests_are_held_in_parts(spark, monkeypatch, regression):
+    """No fit on the driver holds more trees than ``nodes_held`` nodes allow; the parts make up the whole forest."""
+    d = separable(spark)
+    train, test = d.where("split = 'train'"), d.where("split = 'test'")
+    made = []
+    forest = ML.random_forest(10, 5, regression=regression, label="y", nodes_held=1)
+    monkeypatch.setattr(forest, "cls", lambda numTrees, seed, f=forest.cls, **how: made.append((numTrees, seed)) or f(numTrees=numTrees, seed=seed, **how))
+    if regression:
+        monkeypatch.setattr(ML, "RandomForestRegressor", forest.cls)
+    pred = ML.fit_predict(train, test, forest, ["id", "y"])
+    assert [n for n, _ in made] == [1] * 10 and len({s for _, s in made}) == 10
+    assert sorted(r.id for r in pred.collect()) == sorted(r.id for r in test.collect())
+    whole = ML.fit_predict(train, test, ML.random_forest(10, 5, label="y", nodes_held=1 << 30, regression=False), ["id", "y"])
+    for p in (pred, whole):
+        assert M.ranking_metrics(p, "score", "y").first().auroc > 0.95
+        assert p.where("abs(prediction - y) > 0.5").count() <= 5
+
+
+def test_texts_are_counted_once_over_training_characters(spark):
+    rows = [(0, "abA\U0001f642"), (1, ""), (2, None), (3, "zb")]
+    df = spark.createDataFrame(rows, "i int, text string")
+    counts = ML.char_counts_then(None)
+    train, test = counts.vectors(counts.prepared(df.where("i < 3")), counts.prepared(df.where("i = 3")))
+    got = {r.i: r.features for r in train.collect()}
+    assert np.allclose(got[0].toArray(), np.array([2, 1, 1]) / 6 ** 0.5) and not got[1].toArray().any() and not got[2].toArray().any()
+    assert test.first().features.toArray().tolist() == [0.0, 1.0, 0.0]      # z is no character of the training rows
