@@ -28,7 +28,6 @@ SPLIT_BYTES = 64 << 20
 OPEN_COST = 1 << 20                                     # a file's opening costs as much as reading this much
 _BLOCK = 1 << 20
 _BATCH_ROWS, _BATCH_BYTES = 4096, 8 << 20
-_LINE_END = re.compile(rb"\r\n|\r|\n")
 _SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -107,24 +106,20 @@ def lines(file, start: int) -> Iterator[tuple[int, bytes]]:
     or later; ``\\n``, ``\\r\\n`` and ``\\r`` end a line."""
     at = max(start - 1, 0)                              # the end of the line before tells where the first one starts
     file.seek(at)
-    skip, held, looked, block = start > 0, b"", 0, _BLOCK
+    skip, held, block = start > 0, b"", _BLOCK
     while True:
         more = file.read(block)
         held += more
-        done = 0
-        for m in _LINE_END.finditer(held, looked):
-            if more and m.end() == len(held) and m.group() == b"\r":
-                break                                   # a \n may follow
+        found = held.splitlines(True)                   # bytes are split at \n, \r\n and \r alone
+        held = found.pop() if more and found else b""   # may go on, or be \r before a \n
+        for line in found:
             if not skip:
-                yield at + done, held[done:m.start()]
-            skip, done = False, m.end()
+                yield at, line.rstrip(b"\r\n")
+            skip = False
+            at += len(line)
         if not more:
-            if done < len(held) and not skip:
-                yield at + done, held[done:]
             return
-        block = _BLOCK if done else 2 * block           # a long line is not looked through again and again
-        at, held = at + done, held[done:]
-        looked = max(len(held) - 1, 0)
+        block = _BLOCK if found else 2 * block          # a long line is not looked through again and again
 
 
 def counted(file, part: Range) -> tuple[int, int]:

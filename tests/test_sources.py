@@ -356,3 +356,19 @@ def test_rows_of_one_file_in_two_tasks_are_refused(spark, tmp_dir):
     df = spark.range(4, numPartitions=2).select(F.lit("same.txt").alias("file"), F.col("id").cast("string").alias("line"))
     with pytest.raises(Exception, match="repartition"):
         B.save(df, "helix_files", os.path.join(tmp_dir, "g"))
+
+
+def test_lines_end_alike_over_block_borders(monkeypatch):
+    import io
+    import re
+    import random as rnd
+    from helixframe.sources import byte_ranges
+    r = rnd.Random(3)
+    for block in (1, 2, 3, 7):
+        monkeypatch.setattr(byte_ranges, "_BLOCK", block)
+        for _ in range(60):
+            data = b"".join(r.choice([b"a", b"\r", b"\n", b"\r\n", b"\x0b\x1c\xc2\x85"]) for _ in range(r.randint(0, 12)))
+            cut = [0, *[m.end() for m in re.finditer(rb"\r\n|\r|\n", data)]]
+            want = [(a, re.split(rb"[\r\n]", data[a:])[0]) for a in cut if a < len(data)]
+            for start in {0, *cut}:
+                assert list(byte_ranges.lines(io.BytesIO(data), start)) == [w for w in want if w[0] >= start], (data, start)
