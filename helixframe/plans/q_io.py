@@ -62,7 +62,7 @@ def src_02(spark, sf_dir):
     d = reshape.spread_rows(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source", "n_chars"))
     d = d.select(F.floor(F.col("doc_id") / 100).alias("chunk"), "doc_id",
                  F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit(" "), F.col("lang")).alias("l1"),
-                 F.translate(F.replace("text", F.lit("\r\n"), F.lit(" ")), "\r\n", "  ").alias("l2"),
+                 F.replace(F.replace(F.replace("text", F.lit("\r\n"), F.lit(" ")), F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" ")).alias("l2"),
                  F.concat_ws(" ", F.col("source"), F.col("n_chars").cast("string")).alias("l3"))
     out = scratch_path(spark, "records")
     WR.write_three_line_records(d, out, "l1", "l2", "l3", file_col="chunk", order=["doc_id"])
