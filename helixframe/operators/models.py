@@ -7,6 +7,7 @@ model boundary only.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -14,12 +15,12 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from helixframe.operators.boosting import BoostedTrees
+from helixframe.operators.forest import RandomForestRegressor
 from helixframe.operators.network import Network, NetworkTrainer
 from helixframe.session import Shared, bounded_batches, ensure_checkpoint_dir, reliable_checkpoint
 
@@ -40,7 +41,9 @@ class Forest:
     Spark ML keeps a forest whole on the driver, and deep trees have up to two
     nodes a row; so the trees are fitted in parts of about ``nodes_held`` nodes,
     each part scores the rows to predict, and only their sums of
-    probabilities (or values) are kept.  A forest that fits is one part."""
+    probabilities (or values) are kept.  A forest that fits is one part.  Trees
+    for numbers (``forest.py``) are not held on the driver: all are one part,
+    unless ``nodes_held`` is given."""
 
     def __init__(self, cls, num_trees: int, seed: int, nodes_held: int = NODES_HELD, **how):
         self.cls, self.num_trees, self.seed, self.nodes_held, self.how = cls, num_trees, seed, nodes_held, how
@@ -55,11 +58,12 @@ class Forest:
         while done < self.num_trees:
             size = max(1, min(self.num_trees - done, self.nodes_held // width))
             model = self.cls(numTrees=size, seed=self.seed + done, **self.how).fit(train)
-            width = max(1, model.totalNumNodes // size)             # from now on by the trees as they are
             value = F.array("prediction") if kind == "prediction" else vector_to_array("probability")
             part = reliable_checkpoint(model.transform(test).select("__row", F.transform(value, lambda x: x * size).alias("__v")))
             sums = part if sums is None else sums.unionByName(part)
             done += size
+            if done < self.num_trees:
+                width = max(1, model.totalNumNodes // size)         # from now on by the trees as they are
         n = len((sums.first() or {"__v": [0.0]})["__v"])
         mean = sums.groupBy("__row").agg(F.array(*[F.sum(F.col("__v")[k]) / self.num_trees for k in range(n)]).alias(kind))
         if kind == "prediction":
@@ -69,15 +73,16 @@ class Forest:
 
 
 def random_forest(num_trees: int = 100, max_depth: int | None = 25, seed: int = 1234,
-                  regression: bool = False, label: str = "label", nodes_held: int = NODES_HELD) -> Forest:
+                  regression: bool = False, label: str = "label", nodes_held: int | None = None) -> Forest:
     depth = MAX_TREE_DEPTH if max_depth is None else min(max_depth, MAX_TREE_DEPTH)
-    cls = RandomForestRegressor if regression else RandomForestClassifier
     # what "auto" is for several trees: a part of one tree draws its features like the others
     subset = "all" if num_trees == 1 else "onethird" if regression else "sqrt"
+    how = {"maxDepth": depth, "labelCol": label, "featuresCol": "features", "featureSubsetStrategy": subset}
+    if regression:
+        return Forest(RandomForestRegressor, num_trees, seed, nodes_held or sys.maxsize, **how)
     # deep trees: keep each row's node id cached instead of re-walking the
     # trees every level; checkpoint that cache to cut its lineage
-    return Forest(cls, num_trees, seed, nodes_held, maxDepth=depth, labelCol=label, featuresCol="features",
-                  featureSubsetStrategy=subset, maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10)
+    return Forest(RandomForestClassifier, num_trees, seed, nodes_held or NODES_HELD, **how, maxMemoryInMB=512, cacheNodeIds=True, checkpointInterval=10)
 
 
 def boosted_trees(step_size: float = 0.1, max_depth: int = 25, max_iter: int = 100, label: str = "label", **how) -> BoostedTrees:
